@@ -160,7 +160,7 @@ def pack_documents(
         keys: list[pa.Array] = []
         ids: list[bytes] = []
         held = 0
-        for batch in common.slices_by_bytes(batches, "_text", 2 << 20):
+        for batch in common.slices_by_bytes(batches, "_text", 4 << 20):
             got = [x + end for x in coder.encode(common.strings(batch.column("_text")))]
             keys.append(batch.column("_key"))
             ids += got

@@ -52,7 +52,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0]
 
 
-def _word_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     out = np.empty(len(begins), np.uint64)
     lo = 0
     while lo < len(begins):
@@ -79,18 +79,22 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (raw[offsets[0] : offsets[-1]], offsets - offsets[0]) if len(column) else (raw[:0], np.zeros(1, np.int64))
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of all texts in order, and where each text's words begin (length n + 1)."""
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of all texts begins and ends; no word goes from one text into the next."""
     inside = ~_SEPARATOR[data]
     first = np.zeros(len(data) + 1, bool)
     first[offsets] = True
     left = np.concatenate([[False], inside[:-1]])
-    begins = np.flatnonzero(inside & (~left | first[:-1]))
     right = np.concatenate([inside[1:], [False]])
-    ends = np.flatnonzero(inside & (~right | first[1:])) + 1
-    return _word_hashes(data, begins, ends), np.searchsorted(begins, offsets).astype(np.int64)
+    return np.flatnonzero(inside & (~left | first[:-1])), np.flatnonzero(inside & (~right | first[1:])) + 1
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of all texts in order, and where each text's words begin (length n + 1)."""
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    begins, ends = word_bounds(data, offsets)
+    return word_hashes(data, begins, ends), np.searchsorted(begins, offsets).astype(np.int64)
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
