@@ -91,20 +91,24 @@ def _score(hashes: Column, n: Column, ratios: list[int]) -> Column:
     return F.aggregate(each, F.lit(0).cast("bigint"), lambda a, x: a + x)
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
     """Rows (key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score) for every row of docs.
 
     labels has the key and quality (1: trusted). base_failed: n_words < 50 or 100 * n_repeat_words > 50 * n_words.
     score is the mean log ratio of the document's words and word pairs; kept: not base_failed and score >= threshold.
     Null, empty or blank text: all counts 0, base_failed, score 0. Without trusted documents every score is 0. Repeated
-    rows are judged each, alike. An empty table gives no rows. Other columns are not read.
+    rows are judged each, alike. An empty table gives no rows. Other columns are not read. With keep, rows are
+    the columns named there and kept, so that a filter needs no join.
     """
     ratios = log_ratios(docs, trusted_keys(labels), key, text)
-    source = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    worded = source.select("_key", "_text", word_list(F.col("_text")).alias("_w"))
+    carried = [F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep or [])]
+    names = [f"_keep{i}" for i in range(len(carried))]
+    source = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"), *carried)
+    worded = source.select("_key", "_text", *names, word_list(F.col("_text")).alias("_w"))
     lines = F.filter(F.split("_text", "\n"), lambda x: F.btrim(x, F.lit(_SPACE)) != "")
     hashed = worded.select(
         "_key",
+        *names,
         F.size("_w").alias("_n"),
         F.length(F.array_join("_w", "")).cast("bigint").alias("word_chars"),
         F.regexp_count("_text", F.lit("[#*$%&|<>]")).cast("bigint").alias("n_symbols"),
@@ -112,8 +116,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
         F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"),
     )
     n = F.col("_n")
-    judged = hashed.select(
-        "_key",
+    found = F.struct(
         n.cast("bigint").alias("n_words"),
         "word_chars",
         "n_symbols",
@@ -121,8 +124,13 @@ def quality_rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
         _repeated_words(F.col("_h"), n).alias("n_repeat_words"),
         F.when(n > 0, _score(F.col("_h"), n, ratios) / (F.lit(float(UNIT)) * (2 * n - 1))).otherwise(F.lit(0.0)).alias("score"),
     )
+    # A generator, so that a filter on the verdict is not moved below and its arrays computed again for each element.
+    judged = hashed.select("_key", *names, F.explode(F.array(found)).alias("_f")).select("_key", *names, "_f.*")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    verdict = (~failed & (F.col("score") >= threshold)).alias("kept")
+    if keep is not None:
+        return judged.select(*(F.col(n).alias(c) for n, c in zip(names, keep, strict=True)), verdict)
     return judged.select(
         F.col("_key").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), (~failed & (F.col("score") >= threshold)).alias("kept"), "score",
+        failed.alias("base_failed"), verdict, "score",
     )
