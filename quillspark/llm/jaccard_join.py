@@ -9,11 +9,14 @@
 3. Order a node's hashes with the unshared ones first. If two sets reach the threshold, their prefixes
    of length size - ceil(t * size) + l have at least l hashes in common. Each node picks the l whose
    prefix has the lowest estimated cost, from counts of hashes in a fixed number of slots.
-4. First pass: in the list of a hash each node is paired with its neighbour and with the list's first
-   node only; pairs are verified exactly, links contracted to components. Second pass: all pairs of a
-   list across two components, kept if they share min(l) prefix hashes, verified too. A group of
-   near copies is one component after the first pass, so it never makes all of its pairs; pairs of
-   different components are all considered, so no link that joins two components is lost.
+4. Nodes of a hash's list whose sizes allow a link are chained; chains give clusters outside of which no
+   link is possible. One pair for each chained node is verified exactly, which already makes one component
+   of almost every group of near copies.
+5. Clusters are then compared completely, but only across components: blocks of at most 2 * SIDE sets meet
+   in a task, pairs that share min(l) prefix hashes and lie in different components are verified until the
+   block knows them connected. In a cluster of more than SIDE nodes the largest component is never
+   compared with itself, so a large group of near copies costs its stragglers times its size, not its square.
+   No row is made for a pair: tasks return the links that joined something.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ HASH_BYTES = 1 << 20
 #: Ranges of the hash space for each shuffle partition.
 RANGES = 4
 #: Slots of the hash counts behind the cost estimate, the largest l, and the cost of a verification in list entries.
-SLOTS = 1 << 18
+SLOTS = 1 << 20
 MOST_MATCHES = 8
 VERIFY_COST = 50.0
 #: Hashes are compared by their upper 48 bits.
@@ -222,49 +225,52 @@ def _most_matches(size: int, percent: int) -> int:
     return min(MOST_MATCHES, _need(size, percent))
 
 
-def slot_counts(nodes: DataFrame, percent: int) -> np.ndarray:
-    """Counts, by slot, of the hashes that the longest prefixes post. SLOTS numbers at most reach the driver."""
+def slot_counts(nodes: DataFrame) -> np.ndarray:
+    """How often the nodes have hashes of each slot. SLOTS numbers at most reach the driver."""
     schema = "slot int, n long"
 
     def run(batches):
         total = np.zeros(SLOTS, np.int64)
         for batch in batches:
-            for size, blob in zip(batch.column("size").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
-                tokens = np.frombuffer(blob, "<u8")
-                np.add.at(total, _slots(tokens[: _posted(size, len(tokens), _most_matches(size, percent), percent)]), 1)
+            for blob in batch.column("tokens").to_pylist():
+                np.add.at(total, _slots(np.frombuffer(blob, "<u8")), 1)
         slots = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array(total[slots])], names=["slot", "n"])
 
-    got = nodes.select("size", "tokens").mapInArrow(run, schema).groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    got = nodes.select("tokens").mapInArrow(run, schema).groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(SLOTS, np.int32)
     out[got.column("slot").to_numpy()] = np.minimum(got.column("n").to_numpy(), 2**31 - 1)
     return out
 
 
-def _choose(size: int, tokens: np.ndarray, counts: np.ndarray, percent: int) -> tuple[int, int]:
-    """(l, posted hashes) of the lowest cost: reading the lists, and verifying at most (entries read) / l candidates."""
+def _prefix(size: int, tokens: np.ndarray, counts: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
+    """(l, the shared hashes of the prefix for l common ones), for the l of the lowest cost.
+
+    The order, the same for all nodes, is by the slots' counts and then by hash. Cost: reading the lists, and
+    verifying at most (entries read) / l candidates.
+    """
+    often = counts[_slots(tokens)]
     posted = [_posted(size, len(tokens), m, percent) for m in range(1, _most_matches(size, percent) + 1)]
-    read = np.cumsum(counts[_slots(tokens[: posted[-1]])], dtype=np.int64)
+    ordered = np.lexsort((tokens, often))[: posted[-1]]
+    read = np.cumsum(often[ordered], dtype=np.int64)
     cost = [int(read[k - 1]) * (1 + VERIFY_COST / m) for m, k in enumerate(posted, 1)]
     best = min(range(len(cost)), key=cost.__getitem__)
-    return best + 1, posted[best]
+    return best + 1, tokens[ordered[: posted[best]]]
 
 
 _POSTED = T.StructType([T.StructField("dest", T.LongType()), T.StructField("payload", T.BinaryType())])
-_ENTRY = np.dtype([("token", "<u8"), ("node", "<i8"), ("group", "<i8"), ("size", "<i4"), ("shared", "<i4"), ("matches", "<i2")])
+_ENTRY = np.dtype([("token", "<u8"), ("node", "<i8"), ("size", "<i4")])
 
 
 def _post(percent: int, ranges: int, counts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for node, group, size, blob in zip(*(batch.column(n).to_pylist() for n in ("node", "group", "size", "tokens")), strict=True):
-                tokens = np.frombuffer(blob, "<u8")
-                matches, k = _choose(size, tokens, counts.value, percent)
-                if k:
-                    rows = np.empty(k, _ENTRY)
-                    rows["token"], rows["node"], rows["group"], rows["size"], rows["shared"], rows["matches"] = tokens[:k], node, group, size, len(tokens), matches
-                    found.append(rows)
+            for node, size, blob in zip(*(batch.column(n).to_pylist() for n in ("node", "size", "tokens")), strict=True):
+                _, prefix = _prefix(size, np.frombuffer(blob, "<u8"), counts.value, percent)
+                rows = np.empty(len(prefix), _ENTRY)
+                rows["token"], rows["node"], rows["size"] = prefix, node, size
+                found.append(rows)
             if not found:
                 continue
             rows = np.concatenate(found)
@@ -277,72 +283,146 @@ def _post(percent: int, ranges: int, counts):
     return run
 
 
-def _may_link(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sizes and shared hashes of entry pairs leave room for the overlap that a link takes."""
-    total = x["size"].astype(np.int64) + y["size"]
-    least = (percent * total + 99 + percent) // (100 + percent)
-    return (x["node"] != y["node"]) & (np.minimum(x["shared"], y["shared"]) >= least) & (np.minimum(x["size"], y["size"]) >= _need(np.maximum(x["size"], y["size"]).astype(np.int64), percent))
+_MET = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+
+class _Union:
+    """Union-find over 0 .. n - 1; the smallest number of a set leads it."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
 
+    def find(self, x: int) -> int:
+        up = self.up
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
 
-_PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("matches", T.IntegerType()), T.StructField("n", T.LongType())])
-#: Entry pairs that are made at once.
-PAIR_CHUNK = 1 << 20
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        if x == y:
+            return False
+        self.up[max(x, y)] = min(x, y)
+        return True
 
 
-def _candidates(percent: int, across: bool):
-    """Pairs (a, b, matches asked, lists in which they met) of one range, summed up inside the range."""
+def _chained(percent: int):
+    """(a, b) for each node b that shares a list with others of this partition, a the smallest node chained to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[bytes]] = {}
+        links = []
         for batch in batches:
             for dest, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held.setdefault(dest, []).append(payload)
-
-        def summed(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-            a, b = np.minimum(x["node"], y["node"]), np.maximum(x["node"], y["node"])
-            by = np.lexsort((b, a))
-            a, b, m = a[by], b[by], np.minimum(x["matches"], y["matches"])[by]
-            begins = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-            n = np.diff(np.append(begins, len(a)))
-            return pa.RecordBatch.from_arrays([pa.array(a[begins]), pa.array(b[begins]), pa.array(m[begins].astype(np.int32)), pa.array(n)], names=_PAIRS.names)
-
         for dest in list(held):
             rows = np.frombuffer(b"".join(held.pop(dest)), _ENTRY)
             rows = rows[np.lexsort((rows["node"], rows["size"], rows["token"]))]
-            begins = np.flatnonzero(np.concatenate([[True], rows["token"][1:] != rows["token"][:-1]]))
-            ends = np.append(begins[1:], len(rows))
-            if not across:
-                first = np.repeat(begins, ends - begins)
-                here = np.arange(len(rows))
-                smallest = np.repeat(np.minimum.reduceat(rows["node"], begins), ends - begins)
-                pivot = here[rows["node"] == smallest]
-                pivot = np.repeat(pivot[np.concatenate([[True], np.diff(rows["token"][pivot]) != 0])], ends - begins)
-                left = np.concatenate([pivot, np.maximum(here - 1, first)])
-                right = np.concatenate([here, here])
-                ok = _may_link(rows[left], rows[right], percent)
-                if ok.any():
-                    yield summed(rows[left[ok]], rows[right[ok]])
+            x, y = rows[:-1], rows[1:]
+            # Sizes rise along a list: where two neighbours are too far apart, so are all across them.
+            ok = (x["token"] == y["token"]) & (x["node"] != y["node"]) & (x["size"] >= _need(y["size"].astype(np.int64), percent))
+            links.append(np.unique(np.stack([x["node"][ok], y["node"][ok]], axis=1), axis=0))
+        if not links:
+            return
+        both = np.concatenate(links)
+        names, at = np.unique(both, return_inverse=True)
+        at = at.reshape(both.shape)
+        sets = _Union(len(names))
+        for i, j in at.tolist():
+            sets.join(i, j)
+        root = names[[sets.find(i) for i in range(len(names))]] if len(names) else names
+        yield pa.RecordBatch.from_arrays([pa.array(root[root != names]), pa.array(names[root != names])], names=_MET.names)
+
+    return run
+
+
+#: Sets of one side of a block.
+SIDE = 512
+
+
+def _blocks(nodes: DataFrame, clusters: DataFrame, stars: DataFrame) -> DataFrame:
+    """Rows (block, node, group, size, tokens): every two nodes of a cluster that lie in different components meet in a block."""
+    placed = clusters.join(stars.select("node", F.col("component").alias("group")), "node", "left").select("node", F.col("component").alias("cluster"), F.coalesce("group", "node").alias("group"))
+    groups = placed.groupBy("cluster", "group").agg(F.count("*").alias("n"))
+    sizes = groups.groupBy("cluster").agg(F.sum("n").alias("k"), F.max(F.struct("n", "group")).alias("top"), F.count("*").alias("groups"))
+    sizes = sizes.where("groups > 1").select("cluster", "k", F.col("top.group").alias("top"), F.ceil((F.col("k") - F.col("top.n")) / SIDE).cast("int").alias("s"), F.ceil(F.col("top.n") / SIDE).cast("int").alias("g"))
+    at = placed.join(sizes, "cluster")
+    rest = F.col("group") != F.col("top")
+    mine = F.pmod(F.xxhash64("node"), F.when(rest, F.col("s")).otherwise(F.col("g"))).cast("int")
+    name = lambda i, kind, j: F.struct(F.col("cluster"), i.cast("int").alias("i"), F.lit(kind).alias("kind"), j.cast("int").alias("j"))
+    one = F.array(name(F.lit(0), 0, F.lit(0)))
+    own = F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda j: name(F.least(mine, j), 1, F.greatest(mine, j)))
+    to_top = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda j: name(mine, 2, j))
+    as_top = F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda i: name(i, 2, mine))
+    block = F.when(F.col("k") <= SIDE, one).when(rest, F.concat(own, to_top)).otherwise(as_top)
+    wanted = at.select("node", "group", F.explode(block).alias("block"))
+    return wanted.join(nodes.select("node", "size", "tokens"), "node").select(F.xxhash64("block").alias("block"), F.to_json("block").alias("name"), "node", "group", "size", "tokens")
+
+
+def _meetings(prefixes: list[np.ndarray]) -> np.ndarray:
+    """How many prefix hashes each two sets of a block share."""
+    k = len(prefixes)
+    own = np.repeat(np.arange(k), [len(p) for p in prefixes])
+    flat = np.concatenate(prefixes)
+    by = np.argsort(flat, kind="stable")
+    own, flat = own[by], flat[by]
+    begins = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    runs = np.diff(np.append(begins, len(flat)))
+    met = np.zeros((k, k), np.int32)
+    for n in np.unique(runs[runs > 1]).tolist():
+        lists = own[begins[runs == n][:, None] + np.arange(n)]
+        for part in np.array_split(lists, max(1, len(lists) * n * n >> 22)):
+            np.add.at(met, (part[:, :, None], part[:, None, :]), 1)
+    return met
+
+
+def _block_links(percent: int, counts):
+    """Links of each block that join two components, one for each two that they join."""
+
+    def links(node: np.ndarray, group: np.ndarray, size: np.ndarray, tokens: list[np.ndarray]) -> list[tuple[int, int]]:
+        chosen = [_prefix(int(n), t, counts.value, percent) for n, t in zip(size, tokens, strict=True)]
+        matches = np.array([c[0] for c in chosen])
+        met = _meetings([c[1] for c in chosen])
+        shared = np.array([len(t) for t in tokens])
+        total = size[:, None] + size[None, :]
+        ok = met >= np.minimum(matches[:, None], matches[None, :])
+        ok &= np.minimum(shared[:, None], shared[None, :]) >= (percent * total + 99 + percent) // (100 + percent)
+        ok &= np.minimum(size[:, None], size[None, :]) >= _need(np.maximum(size[:, None], size[None, :]), percent)
+        ok &= group[:, None] != group[None, :]
+        known, place = np.unique(group, return_inverse=True)
+        sets, found = _Union(len(known)), []
+        # Pairs that met most often first: they link most likely, and what is connected needs no more verification.
+        left, right = np.nonzero(np.triu(ok, 1))
+        for q in np.argsort(-met[left, right], kind="stable").tolist():
+            i, j = int(left[q]), int(right[q])
+            if sets.find(place[i]) == sets.find(place[j]):
                 continue
-            lefts, rights, made = [], [], 0
-            for lo, hi in zip(begins.tolist(), ends.tolist(), strict=True):
-                group = rows["group"][lo:hi]
-                if hi - lo < 2 or (group == group[0]).all():
-                    continue
-                for i in range(lo, hi - 1):  # sizes rise: partners end where a size is too large
-                    size = int(rows["size"][i])
-                    to = lo + int(np.searchsorted(rows["size"][lo:hi], size * 100 // percent, side="right"))
-                    other = np.arange(i + 1, to)
-                    other = other[rows["group"][i + 1 : to] != rows["group"][i]]
-                    if len(other):
-                        other = other[_may_link(np.broadcast_to(rows[i], len(other)), rows[other], percent)]
-                    if len(other):
-                        lefts.append(np.full(len(other), i)), rights.append(other)
-                        made += len(other)
-                    if made >= PAIR_CHUNK:
-                        yield summed(rows[np.concatenate(lefts)], rows[np.concatenate(rights)])
-                        lefts, rights, made = [], [], 0
-            if made:
-                yield summed(rows[np.concatenate(lefts)], rows[np.concatenate(rights)])
+            both = len(np.intersect1d(tokens[i], tokens[j], assume_unique=True))
+            if 100 * both >= percent * (int(size[i]) + int(size[j]) - both):
+                sets.join(place[i], place[j])
+                found.append((min(int(node[i]), int(node[j])), max(int(node[i]), int(node[j]))))
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        name = None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if len(held) > 1:
+                node, group, size, blobs = zip(*held, strict=True)
+                got = links(np.array(node), np.array(group), np.array(size), [np.frombuffer(b, "<u8") for b in blobs])
+                if got:
+                    a, b = zip(*got, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=_MET.names)
+
+        for batch in batches:
+            for row in zip(*(batch.column(n).to_pylist() for n in ("name", "node", "group", "size", "tokens")), strict=True):
+                if row[0] != name:
+                    yield from done()
+                    held, name = [], row[0]
+                held.append(row[1:])
+        yield from done()
 
     return run
 
@@ -392,21 +472,14 @@ def _components_of(nodes: DataFrame, scratch: common.Scratch, percent: int) -> D
     """Rows (node, component) for nodes with a link."""
     spark = nodes.sparkSession
     parts = common.shuffle_partitions(spark)
-    ranges = RANGES * parts
-    counts = spark.sparkContext.broadcast(slot_counts(nodes, percent))
-
-    def pairs(of: DataFrame, across: bool) -> DataFrame:
-        posted = of.select("node", "group", "size", "tokens").mapInArrow(_post(percent, ranges, counts), _POSTED)
-        met = posted.repartition(parts, "dest").mapInArrow(_candidates(percent, across), _PAIRS)
-        met = met.groupBy("a", "b").agg(F.min("matches").alias("matches"), F.sum("n").alias("n"))
-        return (met.where("n >= matches") if across else met).select("a", "b")
-
-    first = scratch.write(_verified(pairs(nodes.withColumn("group", F.col("node")), False), nodes, percent), "links")
-    stars = scratch.write(components(first, scratch), "stars")
-    grouped = nodes.join(stars, "node", "left").withColumn("group", F.coalesce("component", "node"))
-    second = _verified(pairs(grouped, True), nodes, percent)
-    bridge = scratch.write(second, "links")
-    if bridge.isEmpty():
+    counts = spark.sparkContext.broadcast(slot_counts(nodes))
+    posted = nodes.select("node", "size", "tokens").mapInArrow(_post(percent, RANGES * parts, counts), _POSTED)
+    met = scratch.write(posted.repartition(parts, "dest").mapInArrow(_chained(percent), _MET).distinct(), "met")
+    clusters = scratch.write(components(met, scratch), "clusters")
+    links = scratch.write(_verified(met, nodes, percent), "links")
+    stars = scratch.write(components(links, scratch), "stars")
+    blocks = _blocks(nodes, clusters, stars).repartition(parts, "block").sortWithinPartitions("block", "name")
+    bridges = scratch.write(blocks.drop("block").mapInArrow(_block_links(percent, counts), _MET), "links")
+    if bridges.isEmpty():
         return stars
-    links = stars.select(F.col("node").alias("a"), F.col("component").alias("b")).union(bridge)
-    return components(links, scratch)
+    return components(stars.select(F.col("node").alias("a"), F.col("component").alias("b")).union(bridges), scratch)
