@@ -26,7 +26,6 @@ UNIT = 1_000_000
 
 _SPACE = " \t\n\x0b\x0c\r"
 _GAP = "[\\x20\\x09-\\x0D]+"
-_END = 2147483647
 
 
 def word_list(text: Column) -> Column:
@@ -54,7 +53,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: s
     """The log ratio of each bucket in millionths; all 0 if no trusted document has a word. BUCKETS rows reach the driver."""
     rows = docs.select(F.col(key).alias("_key"), word_list(F.col(text)).alias("_w")).join(F.broadcast(trusted), F.col("_key") == F.col("_trusted"), "left")
     hashes = rows.select(F.col("_trusted").isNotNull().cast("int").alias("t"), F.transform("_w", lambda w: F.xxhash64(w)).alias("h"))
-    pairs = hashes.select("t", F.explode(F.arrays_zip(F.col("h"), F.slice("h", 2, _END).alias("after"))).alias("p")).select("t", F.col("p.h").alias("x"), F.col("p.after").alias("y"))
+    pairs = hashes.select("t", F.explode(F.arrays_zip(F.col("h"), F.slice(F.col("h"), F.lit(2), F.size("h")).alias("after"))).alias("p")).select("t", F.col("p.h").alias("x"), F.col("p.after").alias("y"))
     grams = pairs.select("t", F.explode(F.array(_bucket(F.col("x")), F.when(F.col("y").isNotNull(), _bucket(F.col("x"), F.col("y"))))).alias("b")).where("b is not null")
     raw, good = [0] * BUCKETS, [0] * BUCKETS
     for b, n, t in grams.groupBy("b").agg(F.count("*"), F.sum("t")).collect():
