@@ -125,7 +125,7 @@ def _split(percent: int, width: int, ranges: int):
             once, who = tokens[begins], np.where(runs > 1, SHARED, own[begins]).astype(np.uint32)
             where = _ranges_of(once, ranges)
             cuts = np.flatnonzero(np.diff(where, prepend=-1))
-            for lo, hi in zip(cuts, np.append(cuts[1:], len(once)), strict=True):
+            for lo, hi in zip(cuts, np.append(cuts[1:], len(once)) if len(once) else cuts, strict=True):
                 few = len(chosen) < 0xFFFF
                 names = np.where(who[lo:hi] == SHARED, 0xFFFF, who[lo:hi]).astype("<u2") if few else who[lo:hi].astype("<u4")
                 rows.append((int(where[lo]), block_id, 1, (b"2" if few else b"4") + len(names).to_bytes(4, "little") + names.tobytes() + _packed(once[lo:hi])))
