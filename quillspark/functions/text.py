@@ -16,7 +16,7 @@ MASKS = (
 )
 #: Token patterns.
 CJK_RUN = "[一-鿿]+"
-ASCII_RUN = r"[A-Za-z0-9_%.\-]+"
+ASCII_WORD = r"[A-Za-z0-9](?:[A-Za-z0-9_%.\-]*[A-Za-z0-9])?"  # a run of word characters without . - _ % at either end
 NUMBER = r"\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+\.\d+|\d+"
 CLAUSE = "第\\s*[0-9一二三四五六七八九十百零]+\\s*条(?:之[一二三四五六七八九十])?"
 DOTTED_CLAUSE = r"\b\d+(?:\.\d+){1,3}\b"
@@ -46,8 +46,7 @@ def normalize_whitespace(text: Column) -> Column:
 
 def ascii_words(normal: Column) -> Column:
     """Lower-case words without . - _ % at either end; repeated words stay repeated."""
-    words = F.transform(F.regexp_extract_all(normal, F.lit(ASCII_RUN), F.lit(0)), lambda w: F.lower(F.btrim(w, F.lit(".-_%"))))
-    return F.filter(words, lambda w: w != "")
+    return F.transform(F.regexp_extract_all(normal, F.lit(ASCII_WORD), F.lit(0)), F.lower)
 
 
 def cjk_grams(normal: Column) -> Column:
@@ -152,6 +151,20 @@ def token_f1(a: Column, b: Column) -> Column:
     return F.when(both == 0, F.lit(0.0)).otherwise(2.0 * both / (F.size(x) + F.size(y)))
 
 
+def exploded(df, keep: list, array: Column, name: str):
+    """Rows of df's columns keep with one element of array each.
+
+    The outer generator keeps the optimizer from adding a filter on the array's size below, which would
+    compute the array twice.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
+def pos_exploded(df, keep: list, array: Column, pos: str, name: str):
+    """exploded() with each element's position, from 0."""
+    return df.select(*keep, F.posexplode_outer(array).alias(pos, name)).where(F.col(name).isNotNull())
+
+
 def digest(text: Column, limit: int = 60) -> Column:
     """A short hash and a preview."""
     flat = F.regexp_replace(F.coalesce(text, F.lit("")), "\\s+", " ")

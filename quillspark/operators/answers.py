@@ -39,7 +39,7 @@ def overlap(sentence: Column, evidence: Column) -> Column:
 
 def sentence_support(answers: DataFrame, key: str, answer: str, evidence: str, threshold: float = SUPPORT) -> DataFrame:
     """Rows (key, n_sentences, n_supported, rate)."""
-    rows = answers.select(key, F.explode(fx.split_sentences(F.col(answer))).alias("s"), fx.tokenize(F.col(evidence)).alias("e")).withColumn("t", fx.tokenize(F.col("s")))
+    rows = fx.exploded(answers, [key, fx.tokenize(F.col(evidence)).alias("e")], fx.split_sentences(F.col(answer)), "s").withColumn("t", fx.tokenize(F.col("s")))
     rows = rows.where(F.size("t") > 0)
     hit = (overlap(F.col("t"), F.col("e")) >= threshold).cast("int")
     return rows.groupBy(key).agg(F.count("*").alias("n_sentences"), F.sum(hit).alias("n_supported")).withColumn("rate", F.round(F.col("n_supported") / F.col("n_sentences"), 6))

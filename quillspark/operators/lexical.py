@@ -23,7 +23,7 @@ def idf(n: Column, df: Column) -> Column:
 
 def build(tokens: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(postings (key, term, tf), terms (term, df, idf), totals (n, avgdl))."""
-    postings = tokens.select(key, F.explode("tokens").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    postings = fx.exploded(tokens, [key], F.col("tokens"), "term").groupBy(key, "term").agg(F.count("*").alias("tf"))
     totals = tokens.agg(F.count("*").cast("double").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
     terms = postings.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(totals), how="cross").select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"))
     return postings, terms, totals
@@ -31,11 +31,11 @@ def build(tokens: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]
 
 def query_terms(queries: DataFrame, query: str, text: str = "text") -> DataFrame:
     """Rows (query, term, qtf)."""
-    return tokens_of(queries, query, text).select(query, F.explode("tokens").alias("term")).groupBy(query, "term").agg(F.count("*").alias("qtf"))
+    return fx.exploded(tokens_of(queries, query, text), [query], F.col("tokens"), "term").groupBy(query, "term").agg(F.count("*").alias("qtf"))
 
 
 def scores(docs: DataFrame, queries: DataFrame, key: str, query: str, text: str = "text") -> DataFrame:
-    """Rows (query, key, score, terms) of every pair with a common term.
+    """Rows (query, key, score) of every pair with a common term.
 
     Only the queries' terms leave a document: the rest is dropped before postings are counted and shuffled.
     Counts and the mean length are those of all documents; one row of totals is broadcast.
@@ -43,16 +43,23 @@ def scores(docs: DataFrame, queries: DataFrame, key: str, query: str, text: str
     wanted = query_terms(queries, query, text)
     tokens = tokens_of(docs, key, text).withColumn("dl", F.size("tokens"))
     totals = tokens.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"))
-    hits = tokens.select(key, "dl", F.explode("tokens").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
+    hits = fx.exploded(tokens, [key, "dl"], F.col("tokens"), "term").join(wanted.select("term").distinct(), "term", "left_semi")
     postings = hits.groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     weighted = wanted.join(df, "term").join(F.broadcast(totals), how="cross").select(query, "term", (idf(F.col("n"), F.col("df")) * (1.0 + F.log(F.col("qtf").cast("double")))).alias("w"), "avgdl")
     tf = F.col("tf").cast("double")
     part = F.col("w") * tf * (K1 + 1.0) / (tf + K1 * (1.0 - B + B * F.col("dl") / F.col("avgdl")))
-    return postings.join(weighted, "term").groupBy(query, key).agg(F.round(F.sum(part), DIGITS).alias("score"), F.array_sort(F.collect_set("term")).alias("terms"))
+    return postings.join(weighted, "term").groupBy(query, key).agg(F.round(F.sum(part), DIGITS).alias("score"))
 
 
 def top(scored: DataFrame, group: str, key: str, k: int, score: str = "score") -> DataFrame:
     """The k best rows of each group with score > 0 and their rank from 1; ties by key."""
     best = Window.partitionBy(group).orderBy(F.desc(score), key)
     return scored.where(F.col(score) > 0).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def with_terms(ranked: DataFrame, docs: DataFrame, queries: DataFrame, key: str, query: str, text: str = "text") -> DataFrame:
+    """ranked with the common terms, distinct and rising, of each of its pairs."""
+    d = tokens_of(docs.join(ranked.select(key).distinct(), key, "left_semi"), key, text).withColumnRenamed("tokens", "_d")
+    q = tokens_of(queries, query, text).withColumnRenamed("tokens", "_q")
+    return ranked.join(q, query).join(d, key).withColumn("terms", F.array_sort(F.array_intersect("_q", "_d"))).drop("_q", "_d")

@@ -55,29 +55,35 @@ metrics AS (
   FROM holdings h JOIN products p ON p.product_id = h.product_id JOIN cash k ON k.client_id = h.client_id GROUP BY h.client_id
 )"""
 _EPS = "CAST(1e-9 AS DOUBLE)"
+#: Rules about one holding at a time: one pass over holdings judges them all.
+_HOLDING_RULES = (
+    ("S-RISK-MATCH", "block", "risk_level > risk_capacity"),
+    ("S-HORIZON", "block", f"horizon > client_horizon + {_EPS}"),
+    ("S-CONC-SINGLE", "block", f"weight > single_cap + {_EPS}"),
+    ("S-ENTRY", "block", f"min_investment > amount + {_EPS} OR weight * amount + {_EPS} < min_investment"),
+    ("S-ELDERLY", "block", f"age >= 65 AND (risk_level >= 4 OR weight > least(single_cap, CAST(0.2 AS DOUBLE)) + {_EPS})"),
+    ("S-EXPERIENCE", "block", "needs_experience AND NOT experienced"),
+    ("S-CURRENCY", "block", "currency <> client_currency"),
+    ("S-QUALIFIED", "block", "qualified_only AND NOT qualified"),
+    ("S-PROHIBITED", "block", "asset_class = prohibited_class"),
+    ("S-DERIVATIVE-BAN", "block", "is_derivative AND prohibited_class = 'derivative'"),
+    ("S-COOLING", "warn", "horizon >= 1 AND liquidity < CAST(0.3 AS DOUBLE)"),
+    ("S-CONCENTRATION-WARNING", "warn", f"weight > single_cap * CAST(0.8 AS DOUBLE) + {_EPS}"),
+)
+_RULE_VALUES = ", ".join(f"('{r}', '{s}')" for r, s, _ in _HOLDING_RULES)
+_RULE_CASE = "CASE r.rule_id " + " ".join(f"WHEN '{r}' THEN {c}" for r, _, c in _HOLDING_RULES) + " END"
 VIOLATIONS = METRICS + f""",
 joined AS (SELECT h.client_id, h.weight, p.*, c.age, c.risk_capacity, c.horizon AS client_horizon, c.single_cap, c.class_cap, c.issuer_cap, c.liquidity_floor, c.amount, c.currency AS client_currency,
     c.prohibited_class, c.qualified, c.experienced, c.dual_recorded, c.fee_budget, c.tax_quota
   FROM holdings h JOIN products p ON p.product_id = h.product_id JOIN clients c ON c.client_id = h.client_id),
 violations AS (
-  SELECT client_id, 'S-RISK-MATCH' AS rule_id, 'block' AS severity, product_id AS subject FROM joined WHERE risk_level > risk_capacity
-  UNION ALL SELECT client_id, 'S-HORIZON', 'block', product_id FROM joined WHERE horizon > client_horizon + {_EPS}
-  UNION ALL SELECT client_id, 'S-CONC-SINGLE', 'block', product_id FROM joined WHERE weight > single_cap + {_EPS}
+  SELECT j.client_id, r.rule_id, r.severity, j.product_id AS subject FROM joined j JOIN (SELECT * FROM (VALUES {_RULE_VALUES}) AS v(rule_id, severity)) r ON {_RULE_CASE}
   UNION ALL SELECT client_id, 'S-CONC-CLASS', 'block', asset_class FROM joined GROUP BY client_id, asset_class HAVING round(sum(weight), 8) > max(class_cap) + {_EPS}
   UNION ALL SELECT client_id, 'S-CONCENTRATION-ISSUER', 'block', issuer FROM joined GROUP BY client_id, issuer HAVING round(sum(weight), 8) > max(issuer_cap) + {_EPS}
   UNION ALL SELECT m.client_id, 'S-LIQUIDITY', 'block', '' FROM metrics m JOIN clients c ON c.client_id = m.client_id WHERE m.liquidity + {_EPS} < c.liquidity_floor
-  UNION ALL SELECT client_id, 'S-ENTRY', 'block', product_id FROM joined WHERE min_investment > amount + {_EPS} OR weight * amount + {_EPS} < min_investment
-  UNION ALL SELECT client_id, 'S-ELDERLY', 'block', product_id FROM joined WHERE age >= 65 AND (risk_level >= 4 OR weight > least(single_cap, CAST(0.2 AS DOUBLE)) + {_EPS})
-  UNION ALL SELECT client_id, 'S-EXPERIENCE', 'block', product_id FROM joined WHERE needs_experience AND NOT experienced
-  UNION ALL SELECT client_id, 'S-CURRENCY', 'block', product_id FROM joined WHERE currency <> client_currency
-  UNION ALL SELECT client_id, 'S-QUALIFIED', 'block', product_id FROM joined WHERE qualified_only AND NOT qualified
-  UNION ALL SELECT client_id, 'S-PROHIBITED', 'block', product_id FROM joined WHERE asset_class = prohibited_class
-  UNION ALL SELECT client_id, 'S-DERIVATIVE-BAN', 'block', product_id FROM joined WHERE is_derivative AND prohibited_class = 'derivative'
   UNION ALL SELECT client_id, 'S-DUAL-RECORD', 'warn', '' FROM joined GROUP BY client_id HAVING max(age) >= 65 OR max(risk_level) >= 4 OR bool_or(is_derivative)
   UNION ALL SELECT m.client_id, 'S-FEE-DISCLOSE', 'warn', '' FROM metrics m JOIN clients c ON c.client_id = m.client_id WHERE m.fee > c.fee_budget + {_EPS}
   UNION ALL SELECT client_id, 'S-TAX', 'warn', '' FROM joined WHERE tax_advantaged GROUP BY client_id HAVING round(sum(weight * amount), 4) > max(tax_quota) + CAST(1e-6 AS DOUBLE)
-  UNION ALL SELECT client_id, 'S-COOLING', 'warn', product_id FROM joined WHERE horizon >= 1 AND liquidity < CAST(0.3 AS DOUBLE)
-  UNION ALL SELECT client_id, 'S-CONCENTRATION-WARNING', 'warn', product_id FROM joined WHERE weight > single_cap * CAST(0.8 AS DOUBLE) + {_EPS}
   UNION ALL SELECT client_id, 'S-CASH-RESERVE', 'warn', '' FROM cash WHERE weight < CAST(0.03 AS DOUBLE) - {_EPS}
   UNION ALL SELECT client_id, 'S-DIVERSIFICATION', 'warn', '' FROM metrics WHERE holding_count <= 2
 )"""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as fx
 from ..functions.filters import compile_filter
 from ..operators import answers, chunking, fusion, lexical, vectors
-from ..session import table
+from ..session import spread_table, table
 
 TOP = 10
 
@@ -36,29 +36,29 @@ def _sentences(c: str) -> str:
 
 
 def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = spread_table(spark, sf_dir, "documents")
     return d.select("doc_id", fx.normalize_text(F.col("text")).alias("normal"))
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(fx.split_sentences(F.col("text"))).alias("pos", "sentence"))
+    return fx.pos_exploded(spread_table(spark, sf_dir, "documents"), ["doc_id"], fx.split_sentences(F.col("text")), "pos", "sentence")
 
 
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = lexical.tokens_of(table(spark, sf_dir, "documents"), "doc_id")
-    return t.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    t = lexical.tokens_of(spread_table(spark, sf_dir, "documents"), "doc_id")
+    return fx.exploded(t, ["doc_id"], F.col("tokens"), "term").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
 def mask_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", fx.mask_sensitive(F.col("text")).alias("masked"))
+    return spread_table(spark, sf_dir, "documents").select("doc_id", fx.mask_sensitive(F.col("text")).alias("masked"))
 
 
 def boilerplate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.boilerplate_lines(table(spark, sf_dir, "documents"), "doc_id")
+    return chunking.boilerplate_lines(spread_table(spark, sf_dir, "documents"), "doc_id")
 
 
 def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = spread_table(spark, sf_dir, "documents")
     lines = chunking.boilerplate_lines(d, "doc_id").groupBy("doc_id").agg(F.sum("n").alias("n"))
     rows = d.join(lines, "doc_id", "left").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
     cost = F.when(F.length("text") == 0, F.lit(1.0)).otherwise(F.least(F.lit(0.25), fx.scan_suspects(F.col("text")) * 0.02) + F.least(F.lit(0.15), F.coalesce("n", F.lit(0)) * 0.01))
@@ -66,7 +66,7 @@ def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.split_documents(table(spark, sf_dir, "documents"), "doc_id")
+    return chunking.split_documents(spread_table(spark, sf_dir, "documents"), "doc_id")
 
 
 def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,12 +74,12 @@ def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, terms, _ = lexical.build(lexical.tokens_of(table(spark, sf_dir, "documents"), "doc_id"), "doc_id")
+    _, terms, _ = lexical.build(lexical.tokens_of(spread_table(spark, sf_dir, "documents"), "doc_id"), "doc_id")
     return terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def _bm25(spark: SparkSession, sf_dir: str, k: int = TOP) -> DataFrame:
-    return lexical.top(lexical.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id"), "item_id", "doc_id", k)
+    return lexical.top(lexical.scores(spread_table(spark, sf_dir, "documents"), spread_table(spark, sf_dir, "benchmark"), "doc_id", "item_id"), "item_id", "doc_id", k)
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,12 +87,13 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matched_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bm25(spark, sf_dir, 3).select("item_id", "doc_id", F.array_join("terms", " ").alias("terms"))
+    top = lexical.with_terms(_bm25(spark, sf_dir, 3), spread_table(spark, sf_dir, "documents"), spread_table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
+    return top.select("item_id", "doc_id", F.array_join("terms", " ").alias("terms"))
 
 
 def _dense(metric: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        v = table(spark, sf_dir, "embeddings")
+        v = spread_table(spark, sf_dir, "embeddings")
         q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
         return vectors.dense_top(q, v, metric, TOP).select("query_id", "vec_id", F.round("score", 5).alias("score"), "rank")
 
@@ -100,7 +101,7 @@ def _dense(metric: str):
 
 
 def _sparse(spark: SparkSession, sf_dir: str, k: int = TOP) -> DataFrame:
-    return lexical.top(vectors.sparse_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id"), "item_id", "doc_id", k)
+    return lexical.top(vectors.sparse_scores(spread_table(spark, sf_dir, "documents"), spread_table(spark, sf_dir, "benchmark"), "doc_id", "item_id"), "item_id", "doc_id", k)
 
 
 def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,8 +117,8 @@ def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _with_texts(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return rows.join(d, "doc_id").join(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question")), "item_id")
+    d = spread_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return rows.join(d, "doc_id").join(spread_table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question")), "item_id")
 
 
 def rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,13 +136,13 @@ def dedup_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ir_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search results held against documents that contain the question verbatim."""
     ranked = _bm25(spark, sf_dir)
-    pairs = table(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("q")), F.contains("text", "q"))
+    pairs = spread_table(spark, sf_dir, "documents").select("doc_id", "text").join(spread_table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("q")), F.contains("text", "q"))
     return answers.ranking_metrics(ranked, pairs.select("item_id", "doc_id"), "item_id", "doc_id")
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each assistant turn with the user turn before it as evidence."""
-    c = table(spark, sf_dir, "conversations")
+    c = spread_table(spark, sf_dir, "conversations")
     a = c.where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("answer"))
     u = c.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("question"))
     return a.join(u, ["conv_id", "turn"]).withColumn("key", F.concat_ws("/", "conv_id", "turn"))
@@ -156,7 +157,7 @@ def answer_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cite_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.concat(F.left("text", F.lit(20)), F.lit(" [1][7] and ["), F.col("turn").cast("string"), F.lit("]")).alias("answer"), F.array(F.lit(1), F.lit(2), F.lit(3)).alias("known"))
+    rows = spread_table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.concat(F.left("text", F.lit(20)), F.lit(" [1][7] and ["), F.col("turn").cast("string"), F.lit("]")).alias("answer"), F.array(F.lit(1), F.lit(2), F.lit(3)).alias("known"))
     out = answers.check_citations(rows, "answer", "known")
     return out.select("conv_id", "turn", *(F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) for c in ("used", "dangling", "unused")), "clean")
 
@@ -176,9 +177,9 @@ def _filter(name: str, expr: str, key: str, cols: list[str]):
 
 def faq_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions against first user turns as a question store, by token coverage and pair likeness."""
-    faq = table(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", fx.tokenize(F.col("text")).alias("d"))
+    faq = spread_table(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", fx.tokenize(F.col("text")).alias("d"))
     faq = faq.withColumn("ds", fx.shingles(F.col("d"), 2))
-    q = table(spark, sf_dir, "benchmark").select("item_id", fx.tokenize(F.col("text")).alias("q"))
+    q = spread_table(spark, sf_dir, "benchmark").select("item_id", fx.tokenize(F.col("text")).alias("q"))
     q = q.withColumn("qs", fx.shingles(F.col("q"), 2)).withColumn("qd", F.array_distinct("q"))
     # Only entries with a common token can score: an equi-join on tokens finds them.
     met = q.select("item_id", F.explode("qd").alias("t")).join(faq.select("conv_id", F.explode(F.array_distinct("d")).alias("t")), "t").groupBy("item_id", "conv_id").agg(F.count("*").alias("common"))
@@ -195,7 +196,7 @@ def route_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword votes; equal best votes or none mean general."""
     score = lambda kind: sum((F.when(F.contains(F.lower("text"), F.lit(w)), F.lit(x)).otherwise(0.0) for k, w, x in ROUTE_WORDS if k == kind), F.lit(0.0))
     kinds = ("clause", "case", "metric")
-    rows = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", *(F.round(score(k), 6).alias(k) for k in kinds))
+    rows = spread_table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", *(F.round(score(k), 6).alias(k) for k in kinds))
     ordered = F.sort_array(F.array(*kinds), asc=False)
     tie = (F.get(ordered, F.lit(0)) <= 0) | (F.abs(F.get(ordered, F.lit(0)) - F.get(ordered, F.lit(1))) < 1e-9)
     best = F.when(F.col("clause") == F.get(ordered, F.lit(0)), "clause").when(F.col("case") == F.get(ordered, F.lit(0)), "case").otherwise("metric")
@@ -206,7 +207,7 @@ def route_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections of a page made of each document's first words."""
-    t = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("# "), F.coalesce(F.get(F.split("text", "\n"), F.lit(0)), F.lit("")), F.lit("\n"), F.col("text")).alias("text"))
+    t = spread_table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("# "), F.coalesce(F.get(F.split("text", "\n"), F.lit(0)), F.lit("")), F.lit("\n"), F.col("text")).alias("text"))
     return chunking.markdown_sections(t, "doc_id").select("doc_id", "section", "title", "level", F.length("body").alias("n_chars"))
 
 

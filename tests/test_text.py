@@ -115,5 +115,5 @@ def test_greedy_duplicates_keep_the_best(spark):
 def test_bm25_prefers_rare_terms(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["common rare", "common word", "common thing", ""])], "id int, text string")
     q = spark.createDataFrame([(1, "common rare")], "q int, text string")
-    top = lexical.top(lexical.scores(docs, q, "id", "q"), "q", "id", 3).orderBy("rank").collect()
+    top = lexical.with_terms(lexical.top(lexical.scores(docs, q, "id", "q"), "q", "id", 3), docs, q, "id", "q").orderBy("rank").collect()
     assert [r["id"] for r in top] == [0, 1, 2] and top[0]["terms"] == ["common", "rare"]
