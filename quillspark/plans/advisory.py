@@ -139,7 +139,7 @@ SHARED = {
       betas AS (SELECT * FROM (VALUES ('cash_fund', 'rate', CAST(-0.2 AS DOUBLE)), ('bond', 'rate', CAST(-4.0 AS DOUBLE)), ('bond', 'credit_spread', CAST(-3.0 AS DOUBLE)), ('mixed', 'rate', CAST(-2.0 AS DOUBLE)), ('mixed', 'equity', CAST(0.5 AS DOUBLE)), ('mixed', 'credit_spread', CAST(-1.0 AS DOUBLE)), ('equity', 'equity', CAST(1.0 AS DOUBLE)), ('derivative', 'equity', CAST(1.5 AS DOUBLE)), ('derivative', 'rate', CAST(-1.0 AS DOUBLE))) AS v(asset_class, factor, beta)),
       shocks AS (SELECT * FROM (VALUES ('rates_up', 'rate', CAST(0.02 AS DOUBLE)), ('rates_up', 'equity', CAST(-0.05 AS DOUBLE)), ('equity_crash', 'equity', CAST(-0.3 AS DOUBLE)), ('equity_crash', 'credit_spread', CAST(0.01 AS DOUBLE)), ('credit', 'credit_spread', CAST(0.03 AS DOUBLE)), ('credit', 'equity', CAST(-0.1 AS DOUBLE))) AS v(scenario, factor, shock)),
       impact AS (SELECT h.client_id, s.scenario, round(sum(h.weight * b.beta * s.shock), 6) AS impact FROM holdings h JOIN products p ON p.product_id = h.product_id JOIN betas b ON b.asset_class = p.asset_class JOIN shocks s ON s.factor = b.factor GROUP BY h.client_id, s.scenario)
-      SELECT client_id, scenario, impact, round(greatest(CAST(0 AS DOUBLE), -impact) * CAST(1.15 AS DOUBLE), 6) AS drawdown, impact = min(impact) OVER (PARTITION BY client_id) AS worst FROM impact""",
+      SELECT client_id, scenario, impact, round(greatest(CAST(0 AS DOUBLE), -impact) * CAST(1.15 AS DOUBLE), 8) AS drawdown, impact = min(impact) OVER (PARTITION BY client_id) AS worst FROM impact""",
     "counterfactual_coverage": f"WITH {VARIANTS} SELECT client_id, variant, count(*) AS n_products, round(sum(weight), 6) AS invested FROM allowed GROUP BY client_id, variant",
     "version_chain": f"WITH {VERSIONS} SELECT client_id, version, lag(version) OVER (PARTITION BY client_id ORDER BY version) AS parent_version, status, value, version + 1 AS next_version FROM versions",
     "version_diff": f"""WITH {VERSIONS} SELECT coalesce(a.client_id, b.client_id) AS client_id, a.version AS version, b.version AS previous, a.status AS status, b.status AS previous_status, round(a.value - b.value, 6) AS delta
