@@ -11,6 +11,8 @@ from ..functions import text as fx
 K1, B = 1.5, 0.75
 #: Scores are rounded before they are ranked, so that the order of summation does not decide ties.
 DIGITS = 9
+#: Rows of question terms that are broadcast at most; beyond it postings and questions meet by a shuffle on terms.
+BROADCAST_TERMS = 1_000_000
 
 
 def tokens_of(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -38,18 +40,21 @@ def scores(docs: DataFrame, queries: DataFrame, key: str, query: str, text: str
     """Rows (query, key, score) of every pair with a common term.
 
     Only the queries' terms leave a document: the rest is dropped before postings are counted and shuffled.
-    Counts and the mean length are those of all documents; one row of totals is broadcast.
+    Counts and the mean length are those of all documents; one row of totals is broadcast. The questions' terms are
+    counted first and broadcast if they are few: postings then stay where they are, and a term of most documents
+    does not gather them in one task.
     """
     wanted = query_terms(queries, query, text)
+    small = F.broadcast if wanted.count() <= BROADCAST_TERMS else (lambda df: df)
     tokens = tokens_of(docs, key, text).withColumn("dl", F.size("tokens"))
     totals = tokens.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"))
-    hits = fx.exploded(tokens, [key, "dl"], F.col("tokens"), "term").join(wanted.select("term").distinct(), "term", "left_semi")
+    hits = fx.exploded(tokens, [key, "dl"], F.col("tokens"), "term").join(small(wanted.select("term").distinct()), "term", "left_semi")
     postings = hits.groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     weighted = wanted.join(df, "term").join(F.broadcast(totals), how="cross").select(query, "term", (idf(F.col("n"), F.col("df")) * (1.0 + F.log(F.col("qtf").cast("double")))).alias("w"), "avgdl")
     tf = F.col("tf").cast("double")
     part = F.col("w") * tf * (K1 + 1.0) / (tf + K1 * (1.0 - B + B * F.col("dl") / F.col("avgdl")))
-    return postings.join(weighted, "term").groupBy(query, key).agg(F.round(F.sum(part), DIGITS).alias("score"))
+    return postings.join(small(weighted), "term").groupBy(query, key).agg(F.round(F.sum(part), DIGITS).alias("score"))
 
 
 def top(scored: DataFrame, group: str, key: str, k: int, score: str = "score") -> DataFrame:
