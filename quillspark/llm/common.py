@@ -87,6 +87,14 @@ def code_points(col: Column) -> Column:
     return F.length(col).cast("long")
 
 
+def unused(name: str, taken: list[str]) -> str:
+    """The name, with as many leading underscores as it takes to differ from all taken ones, whatever their case."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
+
+
 def text_of(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The two columns an operator reads; extra columns, whatever their names, stay behind."""
     return df.select(F.col(key), F.col(text))

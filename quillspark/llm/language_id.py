@@ -149,15 +149,16 @@ def identify(docs: DataFrame, profiles: Profiles, key: str = "doc_id", text: str
 
     Null text or text without a letter: `und`, score 0; so is all text if no language was learned. Repeated rows
     are judged each, alike. An empty table gives no rows. Other columns are not read. With keep, rows are the columns
-    named there, lang_pred and score, so that a filter needs no join; keep must not name those two.
+    named there, lang_pred and score, under common.unused names, so that a filter needs no join.
     """
-    judged = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    added = [common.unused(n, keep or []) for n in ("lang_pred", "score")]
+    judged = [T.StructField(added[0], T.StringType()), T.StructField(added[1], T.DoubleType())]
     if keep is not None:
 
         def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in common.slices_by_bytes(batches, text, BATCH_BYTES):
                 names, scores = zip(*map(profiles.nearest, common.strings(batch.column(text))), strict=True)
-                yield pa.RecordBatch.from_arrays([*batch.select(keep).columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*batch.select(keep).columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, *added])
 
         return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(carry, T.StructType([*(docs.schema[c] for c in keep), *judged]))
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

@@ -16,6 +16,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 #: Hash buckets (a power of two), prior n-grams per bucket, drawn as the raw text has them, and the least mean log ratio.
 BUCKETS = 1 << 14
 PRIOR = 8
@@ -97,7 +99,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     score is the mean log ratio of the document's words and word pairs; kept: not base_failed and score >= threshold.
     Null, empty or blank text: all counts 0, base_failed, score 0. Without trusted documents every score is 0. Repeated
     rows are judged each, alike. An empty table gives no rows. Other columns are not read. With keep, rows are
-    the columns named there and kept, so that a filter needs no join.
+    the columns named there and the verdict, as common.unused("kept", keep), so that a filter needs no join.
     """
     ratios = log_ratios(docs, trusted_keys(labels), key, text)
     carried = [F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep or [])]
@@ -126,7 +128,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     # A generator, so that a filter on the verdict is not moved below and its arrays computed again for each element.
     judged = hashed.select("_key", *names, F.explode(F.array(found)).alias("_f")).select("_key", *names, "_f.*")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    verdict = (~failed & (F.col("score") >= threshold)).alias("kept")
+    verdict = (~failed & (F.col("score") >= threshold)).alias(common.unused("kept", keep or []))
     if keep is not None:
         return judged.select(*(F.col(n).alias(c) for n, c in zip(names, keep, strict=True)), verdict)
     return judged.select(
