@@ -24,14 +24,15 @@ LEAST_LANGUAGE_SCORE = 0.15
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the counting rules and the log-likelihood-ratio threshold."""
-    return quality_rules(docs, common.read(spark, sf_dir, "labels"), keep=docs.columns).where("kept").select(*docs.columns)
+    return quality_rules(docs, common.read(spark, sf_dir, "labels"), keep=docs.columns).where(F.col(common.unused("kept", docs.columns))).select(*docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a letter whose nearest language is near enough."""
     profiles = language_id.learn(docs)
     judged = language_id.identify(docs, profiles, keep=docs.columns)
-    return judged.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    found, score = (F.col(common.unused(n, docs.columns)) for n in ("lang_pred", "score"))
+    return judged.where((found != language_id.UNKNOWN) & (score >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +45,10 @@ def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     left = docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
     if groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         return left
-    same = Window.partitionBy("doc_id", "_hash").orderBy("_hash")
-    once = left.withColumn("_hash", F.xxhash64("text")).withColumn("_nth", F.row_number().over(same))
-    return once.where("_nth = 1 or doc_id is null").select(*docs.columns)
+    code, nth = common.unused("_hash", docs.columns), common.unused("_nth", docs.columns)
+    same = Window.partitionBy("doc_id", code).orderBy(code)
+    once = left.withColumn(code, F.xxhash64("text")).withColumn(nth, F.row_number().over(same))
+    return once.where((F.col(nth) == 1) | F.col("doc_id").isNull()).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
