@@ -6,6 +6,11 @@ n-grams' log ratios divided by their number, and every document with a score und
 rejected, always alike. Only DataFrame functions are used: one pass counts (a few thousand rows per
 task leave it), one pass scores inside each row; no document is shuffled.
 
+With a language column there is a second, balanced score. Its trusted multinomial is put together language
+by language, each with the share it has of all n-grams and with its part of the prior, so that a language whose
+share of the trusted text is smaller than that of all text is not marked down for it. It equals the first if
+the shares are equal, and in a language without trusted text n-grams have the ratio 0, but for shared buckets.
+
 Ratios are rounded to millionths, so a score is a sum of whole numbers and does not depend on any order.
 """
 
@@ -13,6 +18,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +30,8 @@ PRIOR = 8
 THRESHOLD = -0.06
 #: Trusted documents that are used at most: those whose keys have the lowest hashes. It bounds what is broadcast.
 MOST_TRUSTED = 20_000
+#: Languages that are balanced each; rarer ones and rows without one are balanced as one. It bounds what reaches the driver.
+STRATA = 64
 UNIT = 1_000_000
 
 _SPACE = " \t\n\x0b\x0c\r"
@@ -51,15 +59,25 @@ def trusted_keys(labels: DataFrame, key: str = "doc_id", quality: str = "quality
     return good.orderBy(F.xxhash64("_trusted"), "_trusted").limit(MOST_TRUSTED)
 
 
+def _grams(docs: DataFrame, trusted: DataFrame, key: str, text: str, *more: Column) -> DataFrame:
+    """Rows (t, b) and the columns of more: each n-gram's bucket, and 1 if its document is trusted."""
+    names = [f"_more{i}" for i in range(len(more))]
+    carried = [c.alias(n) for c, n in zip(more, names, strict=True)]
+    rows = docs.select(F.col(key).alias("_key"), word_list(F.col(text)).alias("_w"), *carried).join(F.broadcast(trusted), F.col("_key") == F.col("_trusted"), "left")
+    hashes = rows.select(F.col("_trusted").isNotNull().cast("int").alias("t"), F.transform("_w", lambda w: F.xxhash64(w)).alias("h"), *names)
+    pairs = hashes.select("t", F.explode(F.arrays_zip(F.col("h"), F.slice(F.col("h"), F.lit(2), F.size("h")).alias("after"))).alias("p"), *names).select("t", F.col("p.h").alias("x"), F.col("p.after").alias("y"), *names)
+    return pairs.select("t", F.explode(F.array(_bucket(F.col("x")), F.when(F.col("y").isNotNull(), _bucket(F.col("x"), F.col("y"))))).alias("b"), *names).where("b is not null")
+
+
 def log_ratios(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text") -> list[int]:
     """The log ratio of each bucket in millionths; all 0 if no trusted document has a word. BUCKETS rows reach the driver."""
-    rows = docs.select(F.col(key).alias("_key"), word_list(F.col(text)).alias("_w")).join(F.broadcast(trusted), F.col("_key") == F.col("_trusted"), "left")
-    hashes = rows.select(F.col("_trusted").isNotNull().cast("int").alias("t"), F.transform("_w", lambda w: F.xxhash64(w)).alias("h"))
-    pairs = hashes.select("t", F.explode(F.arrays_zip(F.col("h"), F.slice(F.col("h"), F.lit(2), F.size("h")).alias("after"))).alias("p")).select("t", F.col("p.h").alias("x"), F.col("p.after").alias("y"))
-    grams = pairs.select("t", F.explode(F.array(_bucket(F.col("x")), F.when(F.col("y").isNotNull(), _bucket(F.col("x"), F.col("y"))))).alias("b")).where("b is not null")
     raw, good = [0] * BUCKETS, [0] * BUCKETS
-    for b, n, t in grams.groupBy("b").agg(F.count("*"), F.sum("t")).collect():
+    for b, n, t in _grams(docs, trusted, key, text).groupBy("b").agg(F.count("*"), F.sum("t")).collect():
         raw[b], good[b] = n, t
+    return _ratios(raw, good)
+
+
+def _ratios(raw: list[int], good: list[int]) -> list[int]:
     total, trusted_total = sum(raw) + BUCKETS, sum(good)
     if not trusted_total:
         return [0] * BUCKETS
@@ -68,6 +86,26 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: s
     return [round(UNIT * math.log((n + prior * p) / ((trusted_total + prior) * p))) for n, p in zip(good, shares, strict=True)]
 
 
+def balanced_log_ratios(docs: DataFrame, trusted: DataFrame, lang: str, key: str = "doc_id", text: str = "text") -> tuple[list[int], list[int]]:
+    """log_ratios(), and the same with trusted counts balanced by language. (STRATA + 1) * BUCKETS rows at most reach the driver."""
+    frequent = [r[0] for r in docs.where(F.col(lang).isNotNull()).groupBy(F.col(lang).cast("string").alias("_lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_lang").limit(STRATA).collect()]
+    places = F.create_map(*(F.lit(x) for pair in zip(frequent, range(1, STRATA + 1), strict=False) for x in pair)) if frequent else None
+    stratum = F.coalesce(places[F.col(lang).cast("string")], F.lit(0)) if frequent else F.lit(0)
+    raw, good = np.zeros((STRATA + 1, BUCKETS), np.int64), np.zeros((STRATA + 1, BUCKETS), np.int64)
+    found = _grams(docs, trusted, key, text, stratum).groupBy("_more0", "b").agg(F.count("*").alias("n"), F.sum("t").alias("t")).toArrow()
+    s, b = (found.column(c).to_numpy() for c in ("_more0", "b"))
+    raw[s, b], good[s, b] = (found.column(c).to_numpy() for c in ("n", "t"))
+    plain = _ratios(raw.sum(axis=0).tolist(), good.sum(axis=0).tolist())
+    if not good.any():
+        return plain, plain
+    raw, good = raw[raw.any(axis=1)], good[raw.any(axis=1)]
+    share, prior = raw.sum(axis=1) / raw.sum(), PRIOR * BUCKETS
+    # Each language's trusted text and prior, as its raw text is distributed; then all languages by their raw shares.
+    p = (raw + share[:, None]) / (raw.sum() + BUCKETS)
+    ours = share[:, None] * (good + prior * p) / (good.sum(axis=1) + prior * share)[:, None]
+    return plain, [round(UNIT * x) for x in np.log(ours.sum(axis=0) / p.sum(axis=0)).tolist()]
+
+
 def _repeated_words(hashes: Column, n: Column) -> Column:
     """Words in windows of three that occur twice or more."""
     windows = F.when(n >= 3, F.transform(F.slice(hashes, 1, F.greatest(n - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(hashes, i + 1), F.get(hashes, i + 2)))).otherwise(F.array().cast("array<bigint>"))
@@ -84,15 +122,27 @@ def _repeated_words(hashes: Column, n: Column) -> Column:
 
 
 def _score(hashes: Column, n: Column, ratios: list[int]) -> Column:
+    return F.aggregate(_each(hashes, n, ratios), F.lit(0).cast("bigint"), lambda a, x: a + x)
+
+
+def _scores(hashes: Column, n: Column, ratios: list[int], balanced: list[int]) -> Column:
+    """_score() by either table, as a struct (score, balanced_score). Both ratios share one number, so each n-gram is looked up once."""
+    high = lambda x: F.shiftright(x + F.lit(1 << 31), 32)
+    low = lambda x: F.shiftright(F.shiftleft(x, 32), 32)
+    total = lambda e, part: F.aggregate(e, F.lit(0).cast("bigint"), lambda a, x: a + part(x))
+    each = _each(hashes, n, [(a << 32) + b for a, b in zip(ratios, balanced, strict=True)])
+    return _let(each, lambda e: F.struct(total(e, high).alias("score"), total(e, low).alias("balanced_score")))
+
+
+def _each(hashes: Column, n: Column, ratios: list[int]) -> Column:
     table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<bigint>")  # folded to one literal
     mask = F.lit(BUCKETS - 1)
     one = lambda x: F.get(table, F.xxhash64(x).bitwiseAND(mask).cast("int"))
     two = lambda x, i: F.get(table, F.xxhash64(x, F.get(hashes, i + 1)).bitwiseAND(mask).cast("int"))
-    each = F.transform(hashes, lambda x, i: one(x) + F.when(i + 1 < n, two(x, i)).otherwise(F.lit(0)))
-    return F.aggregate(each, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return F.transform(hashes, lambda x, i: one(x) + F.when(i + 1 < n, two(x, i)).otherwise(F.lit(0)))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, keep: list[str] | None = None, lang: str | None = None) -> DataFrame:
     """Rows (key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score) for every row of docs.
 
     labels has the key and quality (1: trusted). base_failed: n_words < 50 or 100 * n_repeat_words > 50 * n_words.
@@ -100,8 +150,16 @@ def quality_rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     Null, empty or blank text: all counts 0, base_failed, score 0. Without trusted documents every score is 0. Repeated
     rows are judged each, alike. An empty table gives no rows. Other columns are not read. With keep, rows are
     the columns named there and the verdict, as common.unused("kept", keep), so that a filter needs no join.
+
+    With lang, the name of a column of docs, rows also have balanced_score, the mean of log ratios balanced by that
+    column, and balanced_kept: not base_failed and balanced_score >= threshold. The verdict with keep is then that one.
     """
-    ratios = log_ratios(docs, trusted_keys(labels), key, text)
+    if lang is None:
+        ratios = log_ratios(docs, trusted_keys(labels), key, text)
+    else:
+        ratios, balanced = balanced_log_ratios(docs, trusted_keys(labels), lang, key, text)
+        if keep is not None:
+            ratios = balanced
     carried = [F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep or [])]
     names = [f"_keep{i}" for i in range(len(carried))]
     source = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"), *carried)
@@ -117,21 +175,25 @@ def quality_rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
         F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"),
     )
     n = F.col("_n")
+    mean = lambda x: F.when(F.col("n_words") > 0, x / (F.lit(float(UNIT)) * (2 * F.col("n_words") - 1))).otherwise(F.lit(0.0))
+    both = lang is not None and keep is None
     found = F.struct(
         n.cast("bigint").alias("n_words"),
         "word_chars",
         "n_symbols",
         "n_dup_lines",
         _repeated_words(F.col("_h"), n).alias("n_repeat_words"),
-        F.when(n > 0, _score(F.col("_h"), n, ratios) / (F.lit(float(UNIT)) * (2 * n - 1))).otherwise(F.lit(0.0)).alias("score"),
+        (_scores(F.col("_h"), n, ratios, balanced) if both else F.struct(_score(F.col("_h"), n, ratios).alias("score"))).alias("sums"),
     )
     # A generator, so that a filter on the verdict is not moved below and its arrays computed again for each element.
     judged = hashed.select("_key", *names, F.explode(F.array(found)).alias("_f")).select("_key", *names, "_f.*")
+    judged = judged.select("*", *(mean(F.col(f"sums.{c}")).alias(c) for c in ("score", "balanced_score")[: 1 + both]))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     verdict = (~failed & (F.col("score") >= threshold)).alias(common.unused("kept", keep or []))
     if keep is not None:
         return judged.select(*(F.col(n).alias(c) for n, c in zip(names, keep, strict=True)), verdict)
+    fair = [F.col("balanced_score"), (~failed & (F.col("balanced_score") >= threshold)).alias("balanced_kept")] if both else []
     return judged.select(
         F.col("_key").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), verdict, "score",
+        failed.alias("base_failed"), verdict, "score", *fair,
     )

@@ -32,7 +32,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality_rules
 
-    return quality_rules(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))
+    return quality_rules(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"), lang="lang")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
