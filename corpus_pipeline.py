@@ -18,7 +18,7 @@ from quillspark.llm.jaccard_join import near_duplicates
 from quillspark.llm.packing import pack_documents
 from quillspark.llm.quality_rules import quality_rules
 
-#: A text whose nearest language is so far away is none of the learned languages.
+#: A text whose nearest language is so far away is none of the learned languages, whatever least_score() learns from the documents.
 LEAST_LANGUAGE_SCORE = 0.15
 
 
@@ -28,11 +28,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a letter whose nearest language is near enough."""
+    """Documents with a letter whose nearest language is near enough, by a score learned from labelled documents."""
     profiles = language_id.learn(docs)
+    least = language_id.least_score(docs, profiles, LEAST_LANGUAGE_SCORE)
     judged = language_id.identify(docs, profiles, keep=docs.columns)
     found, score = (F.col(common.unused(n, docs.columns)) for n in ("lang_pred", "score"))
-    return judged.where((found != language_id.UNKNOWN) & (score >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    return judged.where((found != language_id.UNKNOWN) & (score >= least)).select(*docs.columns)
 
 
 def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

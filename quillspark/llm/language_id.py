@@ -27,6 +27,8 @@ LONGEST = 4
 LEARNED = 1_000
 LANGUAGES = 1_000
 BATCH_BYTES = 1 << 20
+#: Share of held-out documents that least_score() takes for outliers.
+LOW = 0.01
 UNKNOWN = "und"
 PAD = 1
 
@@ -91,6 +93,13 @@ class Profiles:
         for i, name in enumerate(self.languages):
             self.ranks[i, np.searchsorted(self.grams, np.array(ranked[name], np.uint64))] = np.arange(len(ranked[name]))
 
+    def only(self, languages: list[str]) -> Profiles:
+        """The profiles of these languages."""
+        some = object.__new__(Profiles)
+        some.languages, some.size, some.grams = sorted(languages), self.size, self.grams
+        some.ranks = self.ranks[[self.languages.index(n) for n in some.languages]]
+        return some
+
     def nearest(self, text: str) -> tuple[str, float]:
         """The nearest language, the first of equally near ones, and 1 - its distance / the largest possible one."""
         own = profile(text, self.size)
@@ -172,6 +181,37 @@ def identify(docs: DataFrame, profiles: Profiles, key: str = "doc_id", text: str
     return docs.select(F.col(key).alias("_key"), held_out(F.col(key)).alias("_out"), F.col(text).alias("_text")).mapInArrow(run, schema)
 
 
+def least_score(docs: DataFrame, profiles: Profiles, least: float, key: str = "doc_id", text: str = "text", lang: str = "lang") -> float:
+    """The score that parts text in a learned language from other text, `least` at the lowest.
+
+    Every held-out document with a learned label and a letter is scored against its own language and against all others, as if
+    its own had not been learned. The result lies halfway between the LOW quantile of the first and the 1 - LOW quantile
+    of the second (0 if no other language is learned), in thousandths; it is `least` if there is no such document. Two
+    counts for each thousandth reach the driver.
+    """
+    alone = {n: profiles.only([n]) for n in profiles.languages}
+    others = {n: profiles.only([m for m in profiles.languages if m != n]) for n in profiles.languages}
+    rows = docs.where(held_out(F.col(key)) & F.col(lang).isin(profiles.languages)).select(F.col(lang).alias("_lang"), F.col(text).alias("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, 1001), np.int64)
+        for batch in batches:
+            for name, t in zip(batch.column("_lang").to_pylist(), common.strings(batch.column("_text")), strict=True):
+                if alone[name].nearest(t)[0] != UNKNOWN:
+                    for i, p in enumerate((alone[name], others[name])):
+                        total[i, round(1000 * p.nearest(t)[1])] += 1
+        i, at = total.nonzero()
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(at, pa.int64()), pa.array(total[i, at], pa.int64())], names=["i", "at", "n"])
+
+    counts = np.zeros((2, 1001), np.int64)
+    for i, at, n in rows.mapInArrow(run, "i long, at long, n long").groupBy("i", "at").agg(F.sum("n")).collect():
+        counts[i, at] = n
+    if not counts.any():
+        return least
+    own, other = (int(np.searchsorted(c.cumsum(), q * c.sum())) for c, q in zip(counts, (LOW, 1 - LOW), strict=True))
+    return max(least, (own + other) / 2000)
+
+
 def language_id(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """identify() with profiles learned from the same table's labelled documents that are not held out."""
     return identify(docs, learn(docs, key, text, lang), key, text)
