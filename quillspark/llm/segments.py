@@ -14,7 +14,7 @@ from itertools import chain
 
 import numpy as np
 
-from .shingles import word_bounds, word_hashes
+from .shingles import LONG, blocks_of, windows, word_bounds, word_hashes
 
 #: The characters of Unicode's White_Space property, as the library's \s has them.
 WHITE_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -32,10 +32,13 @@ def load(path: str):
 
 
 class LengthMemo:
-    """Token counts of segments, at most `size` of them; a full memo starts anew."""
+    """Token counts of segments of at most LONGEST_KEPT characters; a memo of more than `most_bytes` bytes starts anew."""
 
-    def __init__(self, path: str, size: int = 500_000):
-        self.tokenizer, self.size, self.known = load(path), size, {}
+    #: Bytes of an entry besides its characters, about: its slot, the string's head, a part of a shared number.
+    ENTRY = 150
+
+    def __init__(self, path: str, most_bytes: int = 48 << 20):
+        self.tokenizer, self.most_bytes, self.known, self.held = load(path), most_bytes, {}, 0
 
     def lengths(self, texts: list[str]) -> list[int]:
         parts = [SEGMENT.findall(t) for t in texts]
@@ -46,10 +49,14 @@ class LengthMemo:
             block = missing[lo : lo + 20_000]
             for key, got in zip(block, self.tokenizer.encode_batch_fast(block, add_special_tokens=False), strict=True):
                 extra[key] = len(got)
-        if len(known) + len(extra) > self.size:
+        short = {k: v for k, v in extra.items() if len(k) <= LONGEST_KEPT}
+        cost = sum(self.ENTRY + len(k) for k in short)
+        if self.held + cost > self.most_bytes:
             extra |= {x: known[x] for x in set(chain.from_iterable(parts)) if x not in extra}
             known.clear()
-        known.update((k, v) for k, v in extra.items() if len(k) <= LONGEST_KEPT)
+            self.held = 0
+        known.update(short)
+        self.held += cost
         get = lambda x: extra[x] if x in extra else known[x]
         return [sum(map(get, p)) for p in parts] if extra else [sum(map(known.__getitem__, p)) for p in parts]
 
@@ -59,71 +66,101 @@ class WordPieces:
 
     Texts of plain characters (ASCII and precomposed Latin letters, where lower-casing and NFC are the
     same in Python and in the library) are cut into exactly those pre-tokens here; any other segment
-    goes to the library as it stands. Both ways every id comes from the library. Known words are found by a
-    64-bit hash: among a full memo's million words two agree with a probability of about 3e-8.
+    goes to the library as it stands. Both ways every id comes from the library. Words of up to LONG bytes are
+    looked up by a 64-bit hash and compared byte by byte with the known word of that hash; should two differ, the library
+    encodes the text. Longer words are not kept. The memo holds at most `most_bytes` bytes and then starts anew.
     """
 
     #: Letters that NFC leaves alone and whose lower case is one letter of the same set.
     LETTERS = "a-zß-öø-ÿ"
     PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*\Z")
+    #: Words learned in one go.
+    GO = 20_000
 
-    def __init__(self, path: str, words: int = 1_000_000, pieces: int = 1_200_000):
-        self.tokenizer, self.most_words, self.most_pieces = load(path), words, pieces
-        self.pieces: dict[str, bytes] = {}
+    def __init__(self, path: str, most_bytes: int = 32 << 20):
+        self.tokenizer, self.most_bytes = load(path), most_bytes
         self.cut = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{self.LETTERS}]+|[0-9]|[^\\s{self.LETTERS}0-9]+")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._forget()
 
     def _forget(self) -> None:
-        #: 64-bit hashes of the known words, rising, and their places; ids[begins[place] : begins[place + 1]] are a word's ids.
+        #: 64-bit hashes of the known words, rising, and their places: ids[begins[place] : begins[place + 1]] are a
+        #: word's ids, text[starts[place] : starts[place + 1]] its bytes.
         self.known, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.begins, self.ids, self.used = np.zeros(1, np.int64), np.zeros(1 << 20, "<u4"), 0
+        self.begins, self.ids = np.zeros(1, np.int64), np.zeros(0, "<u4")
+        self.starts, self.text = np.zeros(1, np.int64), np.zeros(0, np.uint8)
+
+    def held(self) -> int:
+        """Bytes of the memo."""
+        return 32 * len(self.known) + self.ids.nbytes + self.text.nbytes
 
     def _library(self, block: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(block, add_special_tokens=False)]
 
-    def _learn(self, words: list[str], hashes: np.ndarray) -> None:
-        """Add lower-cased plain words without white space, in rising order of their hashes."""
+    def _coded(self, words: list[str]) -> list[bytes]:
+        """Ids of lower-cased plain words without white space."""
         cuts = list(map(self.cut.findall, words))
-        missing = list(set(chain.from_iterable(cuts)).difference(self.pieces))
-        if len(self.pieces) + len(missing) > self.most_pieces:
-            self.pieces.clear()
-            missing = list(set(chain.from_iterable(cuts)))
-        for lo in range(0, len(missing), 20_000):
-            block = missing[lo : lo + 20_000]
-            self.pieces.update(zip(block, self._library(block), strict=True))
-        get = self.pieces.__getitem__
-        coded = [b"".join(map(get, c)) for c in cuts]
-        flat = np.frombuffer(b"".join(coded), "<u4")
-        if self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(len(self.ids), len(flat)), "<u4")])
-        self.ids[self.used : self.used + len(flat)] = flat
-        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-        self.begins = np.concatenate([self.begins, self.used + np.cumsum(sizes)])
+        kinds = list(set(chain.from_iterable(cuts)))
+        pieces = dict(zip(kinds, self._library(kinds), strict=True))
+        return [b"".join(map(pieces.__getitem__, c)) for c in cuts]
+
+    def _learn(self, words: list[bytes], hashes: np.ndarray) -> None:
+        """Add words, in rising order of their hashes."""
+        coded = [c for lo in range(0, len(words), self.GO) for c in self._coded([w.decode() for w in words[lo : lo + self.GO]])]
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(coded), "<u4")])
+        self.text = np.concatenate([self.text, np.frombuffer(b"".join(words), np.uint8)])
+        for name, sizes in (("begins", np.fromiter(map(len, coded), np.int64, len(coded)) // 4), ("starts", np.fromiter(map(len, words), np.int64, len(words)))):
+            ends = getattr(self, name)
+            setattr(self, name, np.concatenate([ends, ends[-1] + np.cumsum(sizes)]))
         at = np.searchsorted(self.known, hashes)
         self.places = np.insert(self.places, at, len(self.places) + np.arange(len(words)))
         self.known = np.insert(self.known, at, hashes)
-        self.used += len(flat)
+
+    def _same(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Whether each word of data has the bytes of the known word at its place."""
+        here, at = windows(data), self.starts[place]
+        own = windows(self.text)
+        same = self.starts[place + 1] - at == size
+        left = np.flatnonzero(same)
+        k = 0
+        while len(left):
+            equal = blocks_of(here, begin[left], size[left], k) == blocks_of(own, at[left], size[left], k)
+            same[left[~equal]] = False
+            k += 1
+            left = left[equal & (size[left] > 8 * k)]
+        return same
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         coded = [t.lower().encode() for t in texts]
         raw = b"".join(coded)
         data, offsets = np.frombuffer(raw, np.uint8), np.concatenate([[0], np.cumsum([len(c) for c in coded])])
         begin, end = word_bounds(data, offsets)  # white space of plain texts is ASCII
-        kinds, first, which = np.unique(word_hashes(data, begin, end), return_index=True, return_inverse=True)
+        size = end - begin
+        short = np.flatnonzero(size <= LONG)
+        kinds, first, which = np.unique(word_hashes(data, begin[short], end[short]), return_index=True, return_inverse=True)
+        if self.held() > self.most_bytes:
+            self._forget()
         place = np.searchsorted(self.known, kinds)
         fresh = np.flatnonzero((place == len(self.known)) | (self.known[np.minimum(place, len(self.known) - 1)] != kinds)) if len(self.known) else np.arange(len(kinds))
-        if len(self.known) + len(fresh) > self.most_words:
-            self._forget()
-            fresh = np.arange(len(kinds))
         if len(fresh):
-            self._learn([raw[b:e].decode() for b, e in zip(begin[first[fresh]].tolist(), end[first[fresh]].tolist(), strict=True)], kinds[fresh])
+            self._learn([raw[b:e] for b, e in zip(begin[short[first[fresh]]].tolist(), end[short[first[fresh]]].tolist(), strict=True)], kinds[fresh])
             place = np.searchsorted(self.known, kinds)
         at = self.places[place][which]
+        sound = self._same(data, begin[short], size[short], at)
         begins = self.begins[at]
-        size = self.begins[at + 1] - begins
-        ends = np.cumsum(size)
-        flat = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins - ends + size, size)]
+        n = np.zeros(len(begin), np.int64)
+        n[short] = self.begins[at + 1] - begins
+        odd = np.setdiff1d(np.arange(len(begin)), short[sound])  # long words, and any whose hash is another word's
+        parts = self._coded([raw[b:e].decode() for b, e in zip(begin[odd].tolist(), end[odd].tolist(), strict=True)]) if len(odd) else []
+        n[odd] = [len(p) // 4 for p in parts]
+        ends = np.cumsum(n)
+        flat = np.empty(ends[-1] if len(ends) else 0, "<u4")
+        good = short[sound]
+        source, target, count = begins[sound], ends[good] - n[good], n[good]
+        stretch = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        flat[np.repeat(target, count) + stretch] = self.ids[np.repeat(source, count) + stretch]
+        for i, p in zip(odd.tolist(), parts, strict=True):
+            flat[ends[i] - n[i] : ends[i]] = np.frombuffer(p, "<u4")
         cuts = np.concatenate([[0], ends])[np.searchsorted(begin, offsets)]
         return [flat[lo:hi].tobytes() for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
 

@@ -1,18 +1,22 @@
 """Hashed word shingles of Arrow text columns, computed with numpy over the raw UTF-8 bytes.
 
-Words are runs of bytes other than 0x20 and 0x09-0x0D, ASCII capitals lowered. A word's hash is a
-polynomial over randomised byte values modulo 2**64, finally mixed; a shingle's hash combines the
-hashes of its words. 64-bit hashes stand for shingles: two different shingles of one comparison agree
-with a probability near 2**-64.
+Words are runs of bytes other than 0x20 and 0x09-0x0D, ASCII capitals lowered. A word is hashed eight bytes
+at a time, each block mixed into the state before the next; a word longer than LONG bytes by BLAKE2b. No
+step is linear in the bytes, so words that are built alike (repetitions, complements) do not collide more
+often than others: two different words, or shingles of words, agree with a probability near 2**-64.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
 #: Bytes hashed in one go; a block ends at a separator.
 BLOCK = 1 << 20
+#: Longer words are hashed one by one.
+LONG = 64
 WIDTH = 5
 
 _MASK = (1 << 64) - 1
@@ -28,28 +32,31 @@ def _mixed(x: int) -> int:
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values."""
     x = x + np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
-_BASE = _mixed(11) | 1
-_BYTES = np.array([_mixed(1000 + (b + 32 if 65 <= b <= 90 else b)) for b in range(256)], dtype=np.uint64)
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 _PLACES = [np.uint64(_mixed(77 + i) | 1) for i in range(64)]
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: The low n bytes of a block.
+_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def windows(data: np.ndarray) -> np.ndarray:
+    """For each place of data the eight bytes from there on as one little-endian number; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, at least n of each."""
-    if 0 not in _POWERS or len(_POWERS[0][0]) < n:
-        size = max(n, BLOCK + 1)
-        up = np.full(size, _BASE, np.uint64)
-        down = np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        _POWERS[0] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _POWERS[0]
+def blocks_of(view: np.ndarray, begins: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
+    """The k-th eight bytes of words that have more than 8 * k bytes; bytes beyond a word's end are zero."""
+    return view[begins + 8 * k] & _BYTES[np.minimum(sizes - 8 * k, 8)]
 
 
 def word_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -58,12 +65,20 @@ def word_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.nd
     while lo < len(begins):
         base = begins[lo]
         hi = max(lo + 1, int(np.searchsorted(ends, base + BLOCK, side="right")))
-        part = data[base : ends[hi - 1]]
-        up, down = _powers(len(part) + 1)
-        total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(_BYTES[part] * up[: len(part)], out=total[1:])
-        b, e = begins[lo:hi] - base, ends[lo:hi] - base
-        out[lo:hi] = mix((total[e] - total[b]) * down[b] + (e - b).astype(np.uint64))
+        part = _LOWER[data[base : ends[hi - 1]]]
+        view, b = windows(part), begins[lo:hi] - base
+        size = ends[lo:hi] - begins[lo:hi]
+        state = mix(size.astype(np.uint64))
+        state = mix(state ^ blocks_of(view, b, size, 0))
+        here = np.flatnonzero((size > 8) & (size <= LONG))
+        k = 1
+        while len(here):
+            state[here] = mix(state[here] ^ blocks_of(view, b[here], size[here], k))
+            k += 1
+            here = here[size[here] > 8 * k]
+        for i in np.flatnonzero(size > LONG).tolist():
+            state[i] = int.from_bytes(hashlib.blake2b(part[b[i] : b[i] + size[i]].tobytes(), digest_size=8).digest(), "little")
+        out[lo:hi] = state
         lo = hi
     return out
 
@@ -101,11 +116,10 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple
     """Distinct shingle hashes of each text, rising, and offsets; fewer words than `width` make one shingle of them all."""
     own, at = words(data, offsets)
     counts = np.diff(at)
-    if len(own) >= width:
-        runs = sum((own[i : len(own) - width + 1 + i] * _PLACES[i] for i in range(width)), np.zeros(len(own) - width + 1, np.uint64))
-        runs = mix(runs)
-    else:
-        runs = np.zeros(0, np.uint64)
+    runs = np.zeros(max(0, len(own) - width + 1), np.uint64)
+    for i in range(width if len(runs) else 0):
+        runs ^= own[i : len(runs) + i] * _PLACES[i]
+    runs = mix(runs)
     sets, sizes = [], np.zeros(len(counts), np.int64)
     for i, n in enumerate(counts.tolist()):
         if n >= width:
@@ -113,7 +127,10 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple
             if len(got) > 1:
                 got = got[np.concatenate([[True], got[1:] != got[:-1]])]
         elif n:
-            got = mix(np.array([sum((int(w) * int(_PLACES[k]) for k, w in enumerate(own[at[i] : at[i] + n])), n << 32) & _MASK], np.uint64))
+            code = _mixed(n)
+            for k, w in enumerate(own[at[i] : at[i] + n].tolist()):
+                code ^= w * int(_PLACES[k]) & _MASK
+            got = mix(np.array([code], np.uint64))
         else:
             continue
         sets.append(got)

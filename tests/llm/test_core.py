@@ -43,6 +43,33 @@ def test_shingles_do_not_depend_on_blocks(monkeypatch):
     assert shingles.shingles(*shingles.text_bytes(pa.array(texts)))[0].tolist() == whole
 
 
+def thue_morse(n):
+    """The word of 2**n letters and its complement, which polynomial hashes modulo a power of two do not tell apart."""
+    word = "a"
+    for _ in range(n):
+        word += word.translate({97: "b", 98: "a"})
+    return word, word.translate({97: "b", 98: "a"})
+
+
+@pytest.mark.parametrize("n", [3, 5, 6, 7, 10, 11, 12])
+def test_words_built_alike_have_different_hashes(n):
+    a, b = thue_morse(n)
+    texts = [a, b, f"one two {a} three four five", f"one two {b} three four five", f"{a} {b}", f"{b} {a}"]
+    flat, at = shingles.shingles(*shingles.text_bytes(pa.array(texts)))
+    assert len({tuple(flat[lo:hi].tolist()) for lo, hi in zip(at, at[1:])}) == len(texts)
+    assert not fingerprints.likeness(*fingerprints.sketches(pa.array([a, b])))
+    words = segments.WordPieces(queries.tokenizer_path("word_bpe_49k.json"))
+    for t, got in zip(texts, words.encode(texts)):
+        assert np.frombuffer(got, "<u4").tolist() == words.tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(segments, "word_hashes", lambda data, begins, ends: (ends - begins).astype(np.uint64) % np.uint64(3))
+    words = segments.WordPieces(queries.tokenizer_path("word_bpe_49k.json"))
+    for t in ("one two six ten twelve nineteen", "six one " + "x" * 70 + " twelve", "eleven1 a-b 12"):
+        assert np.frombuffer(words.encode([t])[0], "<u4").tolist() == words.tokenizer.encode(t, add_special_tokens=False).ids
+
+
 @pytest.fixture(scope="module")
 def coders():
     return segments.WordPieces(queries.tokenizer_path("word_bpe_49k.json")), segments.LengthMemo(queries.tokenizer_path("byte_bpe_50k.json"))
@@ -64,8 +91,8 @@ def test_special_texts(coders, text):
 
 
 def test_memos_may_overflow():
-    words = segments.WordPieces(queries.tokenizer_path("word_bpe_49k.json"), words=5, pieces=4)
-    memo = segments.LengthMemo(queries.tokenizer_path("byte_bpe_50k.json"), size=4)
+    words = segments.WordPieces(queries.tokenizer_path("word_bpe_49k.json"), most_bytes=100)
+    memo = segments.LengthMemo(queries.tokenizer_path("byte_bpe_50k.json"), most_bytes=700)
     for t in ("one two three four", "five six seven, eight nine", "one six"):
         assert np.frombuffer(words.encode([t])[0], "<u4").tolist() == words.tokenizer.encode(t, add_special_tokens=False).ids
         assert memo.lengths([t]) == [len(memo.tokenizer.encode(t, add_special_tokens=False))]
