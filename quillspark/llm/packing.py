@@ -6,7 +6,9 @@ packed from the longest down: a document opens a window of its tier, the window'
 largest rests of shorter tiers that fit, and what is still open takes the head of one more rest, cut
 there. When only unfilled windows are left, their rests are joined and cut into windows once more, and
 the last partial window is laid out as sequences of descending powers of two, so nothing is padded.
-Step groups take sequences of one context in turn until they hold `step_tokens` tokens.
+Step groups hold sequences of one context, at most STEP_TOKENS tokens. A context's sequences are dealt over the
+least number of groups in serpentine order of their attention cost (the sum of the squared lengths of
+their pieces), so groups differ by one sequence at most and cost about the same.
 
 Work is done for one bounded block of ids at a time, inside the scan's partitions: no shuffle, no
 global order, and no state beyond a block. A recomputed partition gives the same rows.
@@ -17,7 +19,9 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -29,9 +33,10 @@ from .segments import WordPieces, kept
 
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
-#: Ids packed together, and tokens of a step group.
-BLOCK_TOKENS = 4_000_000
+#: Ids packed together, tokens of a step group, and bytes of text encoded in one go.
+BLOCK_TOKENS = 500_000
 STEP_TOKENS = 65_536
+BATCH_BYTES = 1 << 20
 #: Sequence numbers of one partition.
 SEQUENCES = 1 << 36
 
@@ -107,6 +112,26 @@ def recut(pieces: list[tuple[int, int, int]], tiers: tuple[int, ...]) -> list[tu
     return done
 
 
+def _offsets(window: list[tuple[int, int, int]]) -> list[int]:
+    return [0, *accumulate(n for _, _, n in window)][: len(window)]
+
+
+def step_groups(sequences: list[tuple[int, list[tuple[int, int, int]]]], most: int = STEP_TOKENS) -> list[int]:
+    """A group number for each sequence, from 0 on, the groups of the shortest context first."""
+    of, first = [0] * len(sequences), 0
+    by_context: dict[int, list[tuple[int, int]]] = {}
+    for i, (context, window) in enumerate(sequences):
+        by_context.setdefault(context, []).append((-sum(n * n for _, _, n in window), i))
+    for context in sorted(by_context):
+        own = sorted(by_context[context])
+        groups = -(-len(own) // max(1, most // context))
+        for place, (_, i) in enumerate(own):
+            turn, at = divmod(place, groups)
+            of[i] = first + (groups - 1 - at if turn % 2 else at)
+        first += groups
+    return of
+
+
 def pack_documents(
     docs: DataFrame,
     tokenizer: str,
@@ -119,7 +144,8 @@ def pack_documents(
     """Rows (key, start, length, ids_crc32, doc_tokens, sequence_id, offset, context, step_group[, ids]), one per piece.
 
     tokenizer: path of the word-level BPE file. Null or empty text: the end id alone. Repeated rows are
-    packed each. An empty table gives no rows. Other columns are not read.
+    packed each. An empty table gives no rows. Other columns are not read. A very long text is encoded whole and
+    cut into windows; it is the only thing that makes a block larger than BLOCK_TOKENS ids.
     """
     if list(tiers) != sorted(set(tiers)) or any(t & (t - 1) for t in tiers):
         raise ValueError("tiers must be rising powers of two")
@@ -136,31 +162,23 @@ def pack_documents(
 
         def flush(keys: list[pa.Array], ids: list[bytes]) -> Iterator[pa.RecordBatch]:
             nonlocal number, step
-            columns: list[list] = [[] for _ in names]
-            filled: dict[int, int] = {}
-            group: dict[int, int] = {}
             lengths = [len(x) // 4 for x in ids]
-            for context, window in pack(lengths, tiers):
-                if context not in group or filled[context] + context > STEP_TOKENS:
-                    group[context], filled[context], step = step, 0, step + 1
-                filled[context] += context
-                offset = 0
-                for doc, start, length in window:
-                    own = ids[doc][4 * start : 4 * (start + length)]
-                    row = (doc, start, length, zlib.crc32(own), lengths[doc], first + number, offset, context, first + group[context])
-                    for column, value in zip(columns, row + (own,) * with_ids, strict=True):
-                        column.append(value)
-                    offset += length
-                number += 1
+            sequences = pack(lengths, tiers)
+            groups = step_groups(sequences)
+            pieces = np.array([(doc, start, length, number + i, at) for i, (_, window) in enumerate(sequences) for (doc, start, length), at in zip(window, _offsets(window), strict=True)], np.int64)
+            doc, start, length, sequence, offset = pieces.T
+            own = [ids[d][4 * b : 4 * (b + n)] for d, b, n in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
+            context = np.array([c for c, _ in sequences])[sequence - number]
+            group = np.array(groups)[sequence - number] + step
+            number, step = number + len(sequences), step + max(groups) + 1
             key_of = pa.chunked_array(keys).combine_chunks() if len(keys) > 1 else keys[0]
-            columns[0] = key_of.take(pa.array(columns[0], pa.int64()))
-            arrays = [columns[0], *(pa.array(c, pa.int64()) for c in columns[1 : 9])] + [pa.array(c, pa.binary()) for c in columns[9:]]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+            arrays = [start, length, np.fromiter(map(zlib.crc32, own), np.int64, len(own)), np.array(lengths)[doc], first + sequence, offset, context, first + group]
+            yield pa.RecordBatch.from_arrays([key_of.take(pa.array(doc)), *map(pa.array, arrays)] + [pa.array(own, pa.binary())] * with_ids, names=names)
 
         keys: list[pa.Array] = []
         ids: list[bytes] = []
         held = 0
-        for batch in common.slices_by_bytes(batches, "_text", 4 << 20):
+        for batch in common.slices_by_bytes(batches, "_text", BATCH_BYTES):
             got = [x + end for x in coder.encode(common.strings(batch.column("_text")))]
             keys.append(batch.column("_key"))
             ids += got

@@ -129,6 +129,23 @@ def test_packing_prefers_long_windows():
     assert sum(c < 256 for c, _ in out) <= 11  # the tail only
 
 
+def test_step_groups_are_balanced():
+    rng = random.Random(4)
+    sequences = packing.pack([int(rng.paretovariate(0.8) * 60) for _ in range(6000)])
+    groups = packing.step_groups(sequences)
+    for context in packing.TIERS:
+        cost, count = {}, {}
+        for (c, window), g in zip(sequences, groups):
+            if c == context:
+                count[g] = count.get(g, 0) + 1
+                cost[g] = cost.get(g, 0) + sum(n * n for _, _, n in window)
+        assert max(count.values()) - min(count.values()) <= 1 and max(count.values()) * context <= packing.STEP_TOKENS
+        least = -(-sum(count.values()) // (packing.STEP_TOKENS // context))
+        assert len(count) == least
+        assert max(cost.values()) <= 1.25 * min(cost.values()) or len(count) == 1
+    assert packing.step_groups([]) == []
+
+
 @settings(max_examples=60, deadline=None)
 @given(TEXT)
 def test_piece_spans_cover_the_text(text):
