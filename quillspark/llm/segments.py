@@ -68,19 +68,22 @@ class WordPieces:
     same in Python and in the library) are cut into exactly those pre-tokens here; any other segment
     goes to the library as it stands. Both ways every id comes from the library. Words of up to LONG bytes are
     looked up by a 64-bit hash and compared byte by byte with the known word of that hash; should two differ, the library
-    encodes the text. Longer words are not kept. The memo holds at most `most_bytes` bytes and then starts anew.
+    encodes the word. Longer words are not kept. Words and the pieces that they are cut into have a memo each, which holds
+    about `most_bytes` bytes at most and then starts anew.
     """
 
     #: Letters that NFC leaves alone and whose lower case is one letter of the same set.
     LETTERS = "a-zß-öø-ÿ"
     PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*\Z")
-    #: Words learned in one go.
+    #: Words learned in one go, and bytes of a known piece besides its characters and ids, about.
     GO = 20_000
+    ENTRY = 150
 
-    def __init__(self, path: str, most_bytes: int = 32 << 20):
+    def __init__(self, path: str, most_bytes: int = 56 << 20):
         self.tokenizer, self.most_bytes = load(path), most_bytes
         self.cut = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{self.LETTERS}]+|[0-9]|[^\\s{self.LETTERS}0-9]+")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.pieces: dict[str, bytes] = {}
         self._forget()
 
     def _forget(self) -> None:
@@ -100,9 +103,15 @@ class WordPieces:
     def _coded(self, words: list[str]) -> list[bytes]:
         """Ids of lower-cased plain words without white space."""
         cuts = list(map(self.cut.findall, words))
-        kinds = list(set(chain.from_iterable(cuts)))
-        pieces = dict(zip(kinds, self._library(kinds), strict=True))
-        return [b"".join(map(pieces.__getitem__, c)) for c in cuts]
+        if self.ENTRY * len(self.pieces) > self.most_bytes:
+            self.pieces.clear()
+        missing = list(set(chain.from_iterable(cuts)).difference(self.pieces))
+        self.pieces.update(zip(missing, self._library(missing), strict=True))
+        coded = [b"".join(map(self.pieces.__getitem__, c)) for c in cuts]
+        for piece in missing:
+            if len(piece) > LONG:
+                del self.pieces[piece]
+        return coded
 
     def _learn(self, words: list[bytes], hashes: np.ndarray) -> None:
         """Add words, in rising order of their hashes."""
@@ -150,7 +159,9 @@ class WordPieces:
         begins = self.begins[at]
         n = np.zeros(len(begin), np.int64)
         n[short] = self.begins[at + 1] - begins
-        odd = np.setdiff1d(np.arange(len(begin)), short[sound])  # long words, and any whose hash is another word's
+        plain = np.zeros(len(begin), bool)
+        plain[short] = sound
+        odd = np.flatnonzero(~plain)  # long words, and any whose hash is another word's
         parts = self._coded([raw[b:e].decode() for b, e in zip(begin[odd].tolist(), end[odd].tolist(), strict=True)]) if len(odd) else []
         n[odd] = [len(p) // 4 for p in parts]
         ends = np.cumsum(n)
