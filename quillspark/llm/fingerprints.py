@@ -1,9 +1,9 @@
 """Threshold-scaled sketches: every shingle hash below a fixed fraction of the hash range is kept.
 
-A sketch of fraction 1/s estimates Jaccard likeness and containment without a size limit, so a short
-document can be compared with a very long one, and the union of two sketches is the sketch of the
-union. Sets of at most WHOLE shingles are kept whole (s = 1); a comparison first cuts both sides down
-to the larger s.
+A sketch of fraction 1 / s estimates Jaccard likeness and containment without a size limit, so a short
+document can be compared with a very long one, and the union of two sketches is the sketch of the union,
+whatever their sizes. The upper 32 bits of each kept hash are stored. Beside them stands the smallest
+hash of the whole set, kept or not, which tells small sets without a kept hash apart and merges as a minimum.
 """
 
 from __future__ import annotations
@@ -11,70 +11,69 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
 from .shingles import shingles, text_bytes
 
-#: 1 / fraction of the hashes that are kept, and the largest set kept whole.
-SCALE = 4
-WHOLE = 128
-BATCH_BYTES = 2 << 20
+#: 1 / fraction of the hashes that are kept: one for all sets.
+SCALE = 2
+BATCH_BYTES = 1 << 20
 
 
-def below(hashes: np.ndarray, scale: int) -> np.ndarray:
-    """Those of rising hashes that are under 2**64 / scale."""
-    return hashes if scale == 1 else hashes[: np.searchsorted(hashes, np.uint64((1 << 64) // scale))]
+@dataclass(frozen=True, slots=True)
+class Sketch:
+    """Upper halves of the kept hashes, rising, and the set's smallest hash (none: an empty set)."""
 
+    kept: np.ndarray
+    least: int | None
 
-def sketches(column: pa.Array, scale: int = SCALE) -> list[tuple[int, np.ndarray]]:
-    """(s, kept hashes, rising) of each text."""
+
+def sketches(column: pa.Array, scale: int = SCALE) -> list[Sketch]:
+    """The sketch of each text; null counts as empty."""
     flat, at = shingles(*text_bytes(column))
     out = []
     for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-        s = 1 if hi - lo <= WHOLE else scale
-        out.append((s, below(flat[lo:hi], s)))
+        own = flat[lo:hi]  # rising
+        high = (own[: np.searchsorted(own, np.uint64((1 << 64) // scale))] if scale > 1 else own) >> np.uint64(32)
+        out.append(Sketch(np.unique(high.astype(np.uint32)), int(own[0]) if hi > lo else None))
     return out
 
 
-def written(sketch: tuple[int, np.ndarray]) -> str:
-    """The sketch as text: s, a colon, and base64 of little-endian 64-bit hashes."""
-    return f"{sketch[0]}:{base64.b64encode(sketch[1].astype('<u8').tobytes()).decode()}"
-
-
-def parsed(text: str) -> tuple[int, np.ndarray]:
-    s, _, body = text.partition(":")
-    return int(s), np.frombuffer(base64.b64decode(body), "<u8")
+def written(sketch: Sketch) -> str:
+    """The sketch as text: the smallest hash in hex, a colon, and base64 of little-endian 32-bit numbers."""
+    return f"{'' if sketch.least is None else format(sketch.least, '016x')}:{base64.b64encode(sketch.kept.astype('<u4').tobytes()).decode()}"
 
 
-def common_scale(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    s = max(a[0], b[0])
-    return below(a[1], s), below(b[1], s)
+def parsed(text: str) -> Sketch:
+    least, _, body = text.partition(":")
+    return Sketch(np.frombuffer(base64.b64decode(body), "<u4"), int(least, 16) if least else None)
 
 
-def likeness(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> float:
-    """Estimated Jaccard likeness; without any kept hash, 1 for equal sketches and else 0."""
-    x, y = common_scale(a, b)
-    if not len(x) and not len(y):
-        return float(a[0] == b[0] and np.array_equal(a[1], b[1]))
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / (len(x) + len(y) - both)
+def likeness(a: Sketch, b: Sketch) -> float:
+    """Estimated Jaccard likeness; if neither has a kept hash, 1 for the same smallest hash and else 0."""
+    if not len(a.kept) and not len(b.kept):
+        return float(a.least == b.least)
+    both = len(np.intersect1d(a.kept, b.kept, assume_unique=True))
+    return both / (len(a.kept) + len(b.kept) - both)
 
 
-def containment(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> float:
-    """Estimated share of a's shingles that b has; 0 if nothing of a is kept."""
-    x, y = common_scale(a, b)
-    return len(np.intersect1d(x, y, assume_unique=True)) / len(x) if len(x) else 0.0
+def containment(a: Sketch, b: Sketch) -> float:
+    """Estimated share of a's shingles that b has; if nothing of a is kept, 1 for the same smallest hash and else 0."""
+    if not len(a.kept):
+        return float(a.least is not None and a.least == b.least)
+    return len(np.intersect1d(a.kept, b.kept, assume_unique=True)) / len(a.kept)
 
 
-def merged(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> tuple[int, np.ndarray]:
+def merged(a: Sketch, b: Sketch) -> Sketch:
     """The sketch of the union of both sets."""
-    return max(a[0], b[0]), np.union1d(*common_scale(a, b))
+    return Sketch(np.union1d(a.kept, b.kept), min((x for x in (a.least, b.least) if x is not None), default=None))
 
 
 def fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text", scale: int = SCALE) -> DataFrame:
@@ -106,52 +105,80 @@ def compare(pairs: DataFrame, left: str, right: str) -> DataFrame:
     return pairs.withColumn("_c", run(F.col(left), F.col(right))).select("*", "_c.likeness", "_c.containment").drop("_c")
 
 
-def successor_parts(docs: DataFrame, key: str, parts: int) -> Column:
-    """An array of (part, is_head) for each row: its own range of keys, and for the first key of a range also
-    the range before (for the first of all: the last range), where it only serves as the successor.
+#: Keys are compared as whole numbers; a null one counts as the smallest.
+LEAST_KEY = -(1 << 63)
+
+
+def _range_of(cuts: np.ndarray):
+    """A column function: the number of cuts below each key, found by bisection in Arrow batches of the keys."""
+
+    @F.arrow_udf(T.IntegerType())
+    def run(keys: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(cuts, keys.to_numpy(zero_copy_only=False)).astype(np.int32))
+
+    return run
+
+
+def _ranges_of(firsts: np.ndarray, parts: np.ndarray):
+    """A column function: the ranges that a key belongs to, its own and, if it is the first of one, the range before.
+
+    firsts and parts: the smallest key and the number of each range that has rows, rising.
+    """
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def run(keys: pa.Array) -> pa.Array:
+        key = keys.to_numpy(zero_copy_only=False)
+        at = np.searchsorted(firsts, key, side="right") - 1
+        head = firsts[at] == key
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(1 + head)]), pa.int32()), pa.array(_woven(parts[at], parts[at - 1], head), pa.int32()))
+
+    return run
+
+
+def _woven(own: np.ndarray, before: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """Each own number, followed by the one before it where head is set."""
+    both = np.stack([own, before], axis=1)
+    return both[np.stack([np.ones(len(head), bool), head], axis=1)]
+
+
+def by_ranges(docs: DataFrame, key: str, parts: int) -> DataFrame:
+    """docs with the columns _part, _head: every row in its own range of keys, and the first key's rows of a range also in
+    the range before (those of the first range in the last), where they only serve as the successor.
 
-    The driver holds at most `parts` range bounds and range minima.
+    The driver holds at most `parts` bounds and as many smallest keys; tasks find a key's range by bisection.
     """
-    marks = [i / parts for i in range(1, parts)]
-    cuts = docs.select(F.percentile_approx(key, F.array(*map(F.lit, marks)) if marks else F.array(F.lit(0.5)), 10_000)).first()[0] or []
-    cuts = sorted(set(cuts)) if marks else []
-    bounds = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.expr("cast(array() as array<bigint>)")
-    # Keys up to a bound lie in its range; null keys come first.
-    at = F.coalesce(F.aggregate(bounds, F.lit(0), lambda n, c: n + (F.col(key) > c).cast("int")), F.lit(0))
-    minima = sorted((r[0], r[1], r[2]) for r in docs.select(at.alias("p"), F.col(key).alias("k")).groupBy("p").agg(F.min("k"), F.max(F.col("k").isNull())).collect())
-    if not minima:
-        return F.array(F.struct(at.alias("part"), F.lit(False).alias("is_head")))
-    heads = [(p, None if null else k) for p, k, null in minima]
-    before = {p: heads[i - 1][0] for i, (p, _) in enumerate(heads)}
-    as_head = F.lit(None).cast("int")
-    for p, k in heads:
-        first = F.col(key).isNull() if k is None else F.col(key) == F.lit(k)
-        as_head = F.when((at == p) & first, F.lit(before[p])).otherwise(as_head)
-    own = F.struct(at.cast("int").alias("part"), F.lit(False).alias("is_head"))
-    head = F.struct(as_head.alias("part"), F.lit(True).alias("is_head"))
-    return F.filter(F.array(own, head), lambda x: x.part.isNotNull())
-
-
-def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", scale: int = SCALE) -> DataFrame:
+    slot = F.coalesce(F.col(key), F.lit(LEAST_KEY))
+    cuts = np.zeros(0, np.int64)
+    if parts > 1:
+        found = docs.select(F.percentile_approx(key, F.array(*(F.lit(i / parts) for i in range(1, parts))), max(10_000, 20 * parts))).first()[0]
+        cuts = np.unique(np.array(found or [], np.int64))
+    firsts = docs.select(_range_of(cuts)(slot).alias("p"), slot.alias("k")).groupBy("p").agg(F.min("k").alias("k")).orderBy("k").collect()
+    if not firsts:
+        return docs.select("*", F.lit(0).alias("_part"), F.lit(False).alias("_head"))
+    ranges = _ranges_of(np.array([r["k"] for r in firsts], np.int64), np.array([r["p"] for r in firsts], np.int32))
+    return docs.withColumn("_ranges", ranges(slot)).select(*docs.columns, F.posexplode("_ranges").alias("_nth", "_part")).select(*docs.columns, "_part", (F.col("_nth") == 1).alias("_head"))
+
+
+def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", scale: int = SCALE, parts: int | None = None) -> DataFrame:
     """Rows (key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for every row.
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many of the next
     document in rising key order, the first after the last; equal keys are ordered by text, a null key comes
     first, null text is empty. A single row is its own successor. An empty table gives no rows. The key is a
-    whole number. Texts move once, by ranges of keys; long documents do not weigh on others of their range.
+    whole number. Other columns are not read. Texts move once, by ranges of keys (`parts`, else as many as shuffle
+    partitions); a very long text is read whole and does not weigh on others of its range.
     """
-    parts = common.shuffle_partitions(docs.sparkSession)
+    parts = parts or common.shuffle_partitions(docs.sparkSession)
     source = docs.select(F.col(key).cast("long").alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    placed = source.withColumn("_to", F.explode(successor_parts(source, "_key", parts))).select("_key", "_text", "_to.part", "_to.is_head")
-    ordered = placed.repartition(parts, "part").sortWithinPartitions("part", "is_head", F.col("_key").asc_nulls_first(), "_text")
+    ordered = by_ranges(source, "_key", parts).repartitionById(parts, "_part").sortWithinPartitions("_part", "_head", F.col("_key").asc_nulls_first(), "_text")
     names = [key, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
     schema = T.StructType([T.StructField(n, t) for n, t in zip(names, [T.LongType(), T.LongType(), *[T.StringType()] * 3, *[T.DoubleType()] * 2], strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carried = None  # (key, part, is_head, text, sketch) of the last row so far
+        carried = None  # (key, part, head, text, sketch) of the last row so far
         for b in common.slices_by_bytes(batches, "_text", BATCH_BYTES):
-            rows = list(zip(b.column("_key").to_pylist(), b.column("part").to_pylist(), b.column("is_head").to_pylist(), common.strings(b.column("_text")), sketches(b.column("_text"), scale), strict=True))
+            rows = list(zip(b.column("_key").to_pylist(), b.column("_part").to_pylist(), b.column("_head").to_pylist(), common.strings(b.column("_text")), sketches(b.column("_text"), scale), strict=True))
             if carried is not None:
                 rows.insert(0, carried)
             carried = rows[-1]

@@ -202,12 +202,25 @@ def test_sketches_estimate_and_merge():
     x, y = shingle_set(long), shingle_set(part)
     assert abs(fingerprints.likeness(a, b) - len(x & y) / len(x | y)) < 0.06
     assert fingerprints.containment(b, a) == 1.0
-    assert np.array_equal(fingerprints.merged(a, b)[1], a[1])
-    assert fingerprints.parsed(fingerprints.written(a))[1].tolist() == a[1].tolist()
+    assert np.array_equal(fingerprints.merged(a, b).kept, a.kept)
+    assert fingerprints.parsed(fingerprints.written(a)).kept.tolist() == a.kept.tolist()
     empty, short = fingerprints.sketches(pa.array(["", "two words"]))
     assert fingerprints.likeness(empty, empty) == 1.0 and fingerprints.likeness(short, short) == 1.0 and fingerprints.likeness(empty, short) == 0.0
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text(alphabet="abc ", max_size=400), min_size=2, max_size=6))
+def test_a_union_of_sketches_is_the_sketch_of_the_union(texts):
+    sets = [shingles.shingles(*shingles.text_bytes(pa.array([t])))[0] for t in texts]
+    union = np.unique(np.concatenate(sets))
+    total = fingerprints.sketches(pa.array([texts[0]]))[0]
+    for t in texts[1:]:
+        total = fingerprints.merged(total, fingerprints.sketches(pa.array([t]))[0])
+    assert total.kept.tolist() == np.unique(union[union < np.uint64(1 << 63)] >> np.uint64(32)).tolist()
+    assert total.least == (int(union[0]) if len(union) else None)
+    assert fingerprints.written(fingerprints.parsed(fingerprints.written(total))) == fingerprints.written(total)
+
+
 def test_language_profiles():
     grams, counts = language_id.ngrams("ab, AB!")
     assert dict(zip(grams.tolist(), counts.tolist()))[ord("a")] == 2
