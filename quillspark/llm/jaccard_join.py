@@ -6,23 +6,28 @@
    shingle, however common, brings a range more than one entry per block.
 2. A partner shares at least ceil(t * size) of a set's hashes. Sets that have fewer shared hashes than
    that can link with nothing and leave here. The others, one for each class of equal sets, are the nodes.
-3. Order a node's hashes with the unshared ones first. If two sets reach the threshold, their prefixes
-   of length size - ceil(t * size) + l have at least l hashes in common. Each node picks the l whose
-   prefix has the lowest estimated cost, from counts of hashes in a fixed number of slots.
-4. Nodes of a hash's list whose sizes allow a link are chained; chains give clusters outside of which no
-   link is possible. One pair for each chained node is verified exactly, which already makes one component
-   of almost every group of near copies.
-5. Clusters are then compared completely, but only across components: blocks of at most 2 * SIDE sets meet
-   in a task, pairs that share min(l) prefix hashes and lie in different components are verified until the
-   block knows them connected. In a cluster of more than SIDE nodes the largest component is never
-   compared with itself, so a large group of near copies costs its stragglers times its size, not its square.
-   No row is made for a pair: tasks return the links that joined something.
+3. Hashes that lie in the same nodes (the hashes of a passage that documents repeat, say) become one token, with
+   their number as its weight; a second exchange between blocks and ranges finds them by adding up node digests.
+4. A node's tokens are ordered from rare to frequent. If two nodes reach the threshold, then their prefixes
+   for l have at least l tokens in common, where the prefix for l ends when the weight behind it and the l - 1
+   heaviest tokens inside it fall short of the needed overlap. Each node picks the l with the lowest estimated
+   cost of candidates: a longer prefix, but only nodes that share l of its tokens at once are looked at.
+   Every l tokens of a prefix make a key; a node with l also gives its keys for less, for partners that chose less.
+5. Nodes of a key and of a band of sizes, one of which chose that key's l, meet its smallest node (no pairs are made), and
+   meetings give clusters outside of which no link is possible. One meeting of each node, that of the most
+   keys, is verified exactly, which already makes one component of almost every group of near copies.
+6. Clusters are then compared completely, but only across components: blocks of at most 2 * SIDE nodes meet
+   in a task, which adds up the weights of common tokens. In a cluster of more than SIDE nodes the largest component
+   is never compared with itself, so a large group of near copies costs its stragglers times its size, not its
+   square. No row is made for a pair: tasks return the links that joined something.
 """
 
 from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -33,17 +38,20 @@ from pyspark.sql import types as T
 
 from . import common
 from .components import components
-from .shingles import WIDTH, set_digests, shingles, text_bytes
+from .shingles import WIDTH, mix, set_digests, shingles, text_bytes
 
 #: Bytes of text in a block, and in one go of the hashing inside it.
 BLOCK_BYTES = 8 << 20
 HASH_BYTES = 1 << 20
 #: Ranges of the hash space for each shuffle partition.
 RANGES = 4
-#: Slots of the hash counts behind the cost estimate, the largest l, and the cost of a verification in list entries.
-SLOTS = 1 << 20
-MOST_MATCHES = 8
-VERIFY_COST = 50.0
+#: Bytes of shared hashes in a block of nodes.
+NODE_BYTES = 8 << 20
+#: The largest l, and the cost of a candidate in keys.
+MOST_MATCHES = 3
+CANDIDATE_COST = 20.0
+#: Parts that a cluster's rows are dealt to when its sizes are joined to them.
+SALTS = 64
 #: Hashes are compared by their upper 48 bits.
 DROPPED = np.uint64(16)
 SHARED = 0xFFFFFFFF
@@ -141,18 +149,30 @@ def _entries(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.where(names == 0xFFFF, SHARED, names).astype(np.uint32) if wide == 2 else names, _unpacked(payload[5 + n * wide :])
 
 
+def _by(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[int, list[tuple[int, int, bytes]]]]:
+    """(value, rows (block, kind, payload)) of each run of equal values; one run is held at a time."""
+    held: list[tuple[int, int, bytes]] = []
+    now = None
+    for batch in batches:
+        for dest, block, kind, payload in zip(batch.column(column).to_pylist(), *(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            if dest != now:
+                if held:
+                    yield now, held
+                held, now = [], dest
+            held.append((block, kind, payload))
+    if held:
+        yield now, held
+
+
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Which hashes of a block another block has: per range, back to the block."""
-    held: dict[int, list[tuple[int, bytes]]] = {}
-    for batch in batches:
-        for dest, block, kind, payload in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            if kind == 0:
-                yield _rows([(block, block, 0, payload)], _MOVED)
-            else:
-                held.setdefault(dest, []).append((block, payload))
-    for dest in list(held):
-        blocks, payloads = zip(*held.pop(dest), strict=True)
-        parts = [_entries(p) for p in payloads]
+    for _, rows in _by(batches, "dest"):
+        for block, _, payload in (r for r in rows if r[1] == 0):
+            yield _rows([(block, block, 0, payload)], _MOVED)
+        blocks = [r[0] for r in rows if r[1]]
+        parts = [_entries(r[2]) for r in rows if r[1]]
+        if not parts:
+            continue
         names, tokens = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
         at = np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])])
         by = np.argsort(tokens, kind="stable")
@@ -163,13 +183,10 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = np.zeros(len(by), bool)
         shared[by] = np.repeat(common_run, runs)
         shared &= names != SHARED  # those their block knows about
-        rows = []
         for i, block in enumerate(blocks):
             picked = np.flatnonzero(shared[at[i] : at[i + 1]]) + at[i]
             if len(picked):
-                rows.append((block, block, 1, pickle.dumps((_narrow(names[picked]), _packed(tokens[picked])), 5)))
-        if rows:
-            yield _rows(rows, _MOVED)
+                yield _rows([(block, block, 1, pickle.dumps((_narrow(names[picked]), _packed(tokens[picked])), 5))], _MOVED)
 
 
 _SETS = T.StructType([T.StructField(n, T.LongType()) for n in ("key", "size", "d1", "d2")] + [T.StructField("tokens", T.BinaryType())])
@@ -179,14 +196,9 @@ def _regroup(percent: int):
     """Back in one place, a block's documents with the shared hashes of those that can have a partner."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks: dict[int, list[tuple[int, bytes]]] = {}
-        for batch in batches:
-            for _, block, kind, payload in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                blocks.setdefault(block, []).append((kind, payload))
-        for block in list(blocks):
-            parts = blocks.pop(block)
-            key, null, size, d1, d2, chosen, tokens, own = pickle.loads(next(p for k, p in parts if k == 0))
-            back = [pickle.loads(p) for k, p in parts if k == 1]
+        for _, parts in _by(batches, "block"):
+            key, null, size, d1, d2, chosen, tokens, own = pickle.loads(next(p for _, k, p in parts if k == 0))
+            back = [pickle.loads(p) for _, k, p in parts if k == 1]
             tokens = np.concatenate([tokens, *(_unpacked(p) for _, p in back)])
             own = np.concatenate([own, *(n.astype(np.uint32) for n, _ in back)])
             by = np.lexsort((tokens, own))
@@ -202,87 +214,185 @@ def _regroup(percent: int):
     return run
 
 
+def _exchanged(moved: DataFrame, match, regroup, schema: T.StructType, parts: int) -> DataFrame:
+    """Rows of blocks to their ranges, matched there, and back to their blocks; one range or block is held at a time."""
+    matched = moved.repartition(parts, "dest").sortWithinPartitions("dest").mapInArrow(match, _MOVED)
+    return matched.repartition(parts, "block").sortWithinPartitions("block", "kind").mapInArrow(regroup, schema)
+
+
 def shared_sets(docs: DataFrame, scratch: common.Scratch, key: str, text: str, percent: int, width: int) -> DataFrame:
     """Rows (key, size, d1, d2, tokens): set sizes and digests of all rows; tokens, the shared hashes, for possible nodes."""
     parts = common.shuffle_partitions(docs.sparkSession)
-    ranges = RANGES * parts
     source = docs.select(F.col(key).cast("long").alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    moved = source.mapInArrow(_split(percent, width, ranges), _MOVED).repartition(parts, "dest").mapInArrow(_match, _MOVED)
-    sets = moved.repartition(parts, "block").mapInArrow(_regroup(percent), _SETS)
-    return scratch.write(sets, "sets")
+    return scratch.write(_exchanged(source.mapInArrow(_split(percent, width, RANGES * parts), _MOVED), _match, _regroup(percent), _SETS, parts), "sets")
 
 
-def _slots(tokens: np.ndarray) -> np.ndarray:
-    return (tokens * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+def _counted(ranges: int):
+    """Blocks of nodes tell each range how many of their nodes have a hash, and the sum of those nodes' digests."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, number = TaskContext.get().partitionId() << 32, 0
+        for part in common.slices_by_bytes(batches, "tokens", NODE_BYTES):
+            block = first + number
+            number += 1
+            blobs = part.column("tokens").to_pylist()
+            tokens = np.concatenate([np.frombuffer(b, "<u8") for b in blobs])
+            counts = np.array([len(b) // 8 for b in blobs])
+            node, size, d1, d2 = (part.column(n).to_numpy() for n in ("node", "size", "d1", "d2"))
+            digest = np.repeat(mix(d1.view(np.uint64) ^ mix(d2.view(np.uint64))), counts)
+            known, which = np.unique(tokens, return_inverse=True)
+            by = np.argsort(which, kind="stable")
+            begins = np.searchsorted(which[by], np.arange(len(known)))
+            sums = np.add.reduceat(digest[by], begins)
+            often = np.diff(np.append(begins, len(tokens)))
+            yield _rows([(block % ranges, block, 0, pickle.dumps((node, size, counts, which.astype(np.uint32)), 5))], _MOVED)
+            where = _ranges_of(known, ranges)
+            cuts = np.flatnonzero(np.diff(where, prepend=-1))
+            for lo, hi in zip(cuts, np.append(cuts[1:], len(known)), strict=True):
+                yield _rows([(int(where[lo]), block, 1, pickle.dumps((known[lo:hi], sums[lo:hi], often[lo:hi].astype(np.uint32)), 5))], _MOVED)
 
-def _posted(size: int, shared: int, matches: int, percent: int) -> int:
-    """How many shared hashes the prefix for `matches` (at most the needed overlap) takes, after the unshared ones."""
-    return max(0, shared - _need(size, percent) + matches)
+    return run
 
 
-def _most_matches(size: int, percent: int) -> int:
-    return min(MOST_MATCHES, _need(size, percent))
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums over all blocks, per range, back to each block in the order of its hashes."""
+    for dest, rows in _by(batches, "dest"):
+        for block, _, payload in (r for r in rows if r[1] == 0):
+            yield _rows([(block, block, 0, payload)], _MOVED)
+        blocks = [r[0] for r in rows if r[1]]
+        parts = [pickle.loads(r[2]) for r in rows if r[1]]
+        if not parts:
+            continue
+        tokens, sums, often = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        _, which = np.unique(tokens, return_inverse=True)
+        total, n = np.zeros(which.max() + 1, np.uint64), np.zeros(which.max() + 1, np.int64)
+        np.add.at(total, which, sums)
+        np.add.at(n, which, often)
+        ends = np.cumsum([len(p[0]) for p in parts])
+        for block, own in zip(blocks, np.split(which, ends[:-1]), strict=True):
+            # The kind keeps the order of ranges, which is that of hashes.
+            yield _rows([(block, block, 1 + dest, pickle.dumps((total[own], n[own].astype(np.uint32)), 5))], _MOVED)
 
 
-def slot_counts(nodes: DataFrame) -> np.ndarray:
-    """How often the nodes have hashes of each slot. SLOTS numbers at most reach the driver."""
-    schema = "slot int, n long"
+_NODES = T.StructType([T.StructField(n, T.LongType()) for n in ("node", "size")] + [T.StructField("tokens", T.BinaryType())])
+#: A token: the sum of the digests of the nodes that have it, its weight, and their number.
+_TOKEN = np.dtype([("often", "<u4"), ("weight", "<u4"), ("name", "<u8")])
 
-    def run(batches):
-        total = np.zeros(SLOTS, np.int64)
-        for batch in batches:
-            for blob in batch.column("tokens").to_pylist():
-                np.add.at(total, _slots(np.frombuffer(blob, "<u8")), 1)
-        slots = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array(total[slots])], names=["slot", "n"])
-
-    got = nodes.select("tokens").mapInArrow(run, schema).groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(SLOTS, np.int32)
-    out[got.column("slot").to_numpy()] = np.minimum(got.column("n").to_numpy(), 2**31 - 1)
+
+def _weighed(percent: int):
+    """Nodes with their tokens, from rare to frequent; those whose tokens cannot reach the needed overlap leave."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, parts in _by(batches, "block"):
+            node, size, counts, which = pickle.loads(parts[0][2])
+            back = [pickle.loads(p) for _, k, p in parts if k]
+            total, often = (np.concatenate([b[i] for b in back]) for i in range(2))
+            ends = np.cumsum(counts)
+            rows = []
+            for k, s, lo, hi in zip(node.tolist(), size.tolist(), ends - counts, ends, strict=True):
+                own = which[lo:hi]
+                own = own[often[own] > 1]
+                if len(own) < _need(s, percent):
+                    continue
+                names, at, weight = np.unique(total[own], return_index=True, return_counts=True)
+                tokens = np.empty(len(names), _TOKEN)
+                tokens["often"], tokens["weight"], tokens["name"] = often[own][at], weight, names
+                rows.append((k, s, tokens[np.lexsort((names, tokens["often"]))].tobytes()))
+            if rows:
+                yield _rows(rows, _NODES)
+
+    return run
+
+
+def weighed_nodes(sets: DataFrame, scratch: common.Scratch, percent: int) -> DataFrame:
+    """Rows (node, size, tokens) from rows (node, size, d1, d2, tokens), one for each different set."""
+    parts = common.shuffle_partitions(sets.sparkSession)
+    return scratch.write(_exchanged(sets.mapInArrow(_counted(RANGES * parts), _MOVED), _summed, _weighed(percent), _NODES, parts), "nodes")
+
+
+def _expected(often: np.ndarray, matches: int, nodes: int) -> float:
+    """Nodes that have some `matches` of these tokens, were tokens spread over the nodes independently."""
+    one, two, three = (float((often.astype(float) ** k).sum()) for k in (1, 2, 3))
+    sums = (one, (one * one - two) / 2, (one**3 - 3 * one * two + 2 * three) / 6)
+    return sums[matches - 1] / nodes ** (matches - 1)
+
+
+def prefixes(size: int, tokens: np.ndarray, percent: int) -> list[int]:
+    """The length of the prefix for each l = 1, 2, .. that there is one for; tokens run from rare to frequent."""
+    weight = tokens["weight"].astype(np.int64)
+    slack = _need(size, percent) - (weight.sum() - np.cumsum(weight))  # needed overlap less the weight behind
+    first = np.maximum.accumulate(weight)
+    second = np.maximum.accumulate(np.minimum(weight, np.concatenate([[0], first[:-1]])))
+    out = []
+    for heaviest in (0, first, first + second)[:MOST_MATCHES]:
+        enough = slack > heaviest
+        if not enough.any():
+            break
+        out.append(int(enough.argmax()) + 1)
     return out
 
 
-def _prefix(size: int, tokens: np.ndarray, counts: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
-    """(l, the shared hashes of the prefix for l common ones), for the l of the lowest cost.
+def chosen_matches(lengths: list[int], tokens: np.ndarray, nodes: int) -> int:
+    """The l of the lowest estimated cost: keys given, for l and for less, and candidates read."""
+    keys, best = 0, (float("inf"), 1)
+    for matches, n in enumerate(lengths, 1):
+        keys += comb(n, matches)
+        best = min(best, (keys + CANDIDATE_COST * _expected(tokens["often"][:n], matches, nodes), matches))
+    return best[1]
+
+
+def _names(tokens: np.ndarray, matches: int) -> np.ndarray:
+    """A key for each `matches` of the tokens."""
+    names = mix(tokens["name"] + np.uint64(matches))
+    if matches == 1:
+        return names
+    out = np.zeros(comb(len(names), matches), np.uint64)
+    for place in np.array(list(combinations(range(len(names)), matches))).T:
+        out = mix(out ^ names[place])
+    return out
 
-    The order, the same for all nodes, is by the slots' counts and then by hash. Cost: reading the lists, and
-    verifying at most (entries read) / l candidates.
-    """
-    often = counts[_slots(tokens)]
-    posted = [_posted(size, len(tokens), m, percent) for m in range(1, _most_matches(size, percent) + 1)]
-    ordered = np.lexsort((tokens, often))[: posted[-1]]
-    read = np.cumsum(often[ordered], dtype=np.int64)
-    cost = [int(read[k - 1]) * (1 + VERIFY_COST / m) for m, k in enumerate(posted, 1)]
-    best = min(range(len(cost)), key=cost.__getitem__)
-    return best + 1, tokens[ordered[: posted[best]]]
 
+_KEYS = T.StructType([T.StructField("key", T.LongType()), T.StructField("band", T.IntegerType()), T.StructField("node", T.LongType()), T.StructField("wanted", T.BooleanType())])
 
-_POSTED = T.StructType([T.StructField("dest", T.LongType()), T.StructField("payload", T.BinaryType())])
-_ENTRY = np.dtype([("token", "<u8"), ("node", "<i8"), ("size", "<i4")])
 
+def _keys(percent: int, nodes: int):
+    """Rows (key, band, node, wanted): the keys of each node; wanted: it is one of the l that the node chose."""
+    step = 1.0001 * np.log(100 / percent) if percent < 100 else 1e-9  # sizes that may link lie in one band or in two that adjoin
 
-def _post(percent: int, ranges: int, counts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for node, size, blob in zip(*(batch.column(n).to_pylist() for n in ("node", "size", "tokens")), strict=True):
-                _, prefix = _prefix(size, np.frombuffer(blob, "<u8"), counts.value, percent)
-                rows = np.empty(len(prefix), _ENTRY)
-                rows["token"], rows["node"], rows["size"] = prefix, node, size
-                found.append(rows)
-            if not found:
-                continue
-            rows = np.concatenate(found)
-            where = _ranges_of(rows["token"], ranges)
-            by = np.argsort(where, kind="stable")
-            rows, where = rows[by], where[by]
-            cuts = np.flatnonzero(np.diff(where, prepend=-1))
-            yield _rows([(int(where[lo]), rows[lo:hi].tobytes()) for lo, hi in zip(cuts, np.append(cuts[1:], len(rows)), strict=True)], _POSTED)
+            keys, counts, wanted = [], [], []
+            nodes_of, sizes = batch.column("node").to_numpy(), batch.column("size").to_numpy()
+            for size, blob in zip(sizes.tolist(), batch.column("tokens").to_pylist(), strict=True):
+                tokens = np.frombuffer(blob, _TOKEN)
+                lengths = prefixes(size, tokens, percent)
+                matches = chosen_matches(lengths, tokens, nodes)
+                own = [_names(tokens[: lengths[m - 1]], m) for m in range(1, matches + 1)]
+                keys += own
+                wanted += [np.full(len(k), m == matches) for m, k in enumerate(own, 1)]
+                counts.append(sum(map(len, own)))
+            if keys:
+                bands = (np.log(sizes) / step).astype(np.int64) if percent < 100 else sizes
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(bands, counts).astype(np.int32)), pa.array(np.repeat(nodes_of, counts)), pa.array(np.concatenate(wanted))], names=_KEYS.names
+                )
 
     return run
 
 
+def _meetings(keys: DataFrame) -> DataFrame:
+    """Rows (a, b, n): nodes b that meet a, the smallest node of a key and band, over n keys; bands that adjoin meet through theirs.
+
+    Only keys that one of their nodes chose count. Counts and minima are taken before rows are shuffled.
+    """
+    bands = keys.groupBy("key", "band").agg(F.min("node").alias("a"), F.max("wanted").alias("wanted"), F.count("*").alias("n"))
+    live = bands.groupBy("key").agg(F.max("wanted").alias("wanted"), F.sum("n").alias("n")).where("wanted and n > 1").select("key")
+    bands = bands.join(live, "key").select("key", "band", "a")
+    own = keys.join(bands, ["key", "band"]).select("a", F.col("node").alias("b"))
+    across = bands.join(bands.select("key", (F.col("band") - 1).alias("band"), F.col("a").alias("b")), ["key", "band"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return own.unionByName(across).where("a != b").groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
 _MET = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
@@ -307,36 +417,6 @@ class _Union:
         return True
 
 
-def _chained(percent: int):
-    """(a, b) for each node b that shares a list with others of this partition, a the smallest node chained to it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
-        links = []
-        for batch in batches:
-            for dest, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.setdefault(dest, []).append(payload)
-        for dest in list(held):
-            rows = np.frombuffer(b"".join(held.pop(dest)), _ENTRY)
-            rows = rows[np.lexsort((rows["node"], rows["size"], rows["token"]))]
-            x, y = rows[:-1], rows[1:]
-            # Sizes rise along a list: where two neighbours are too far apart, so are all across them.
-            ok = (x["token"] == y["token"]) & (x["node"] != y["node"]) & (x["size"] >= _need(y["size"].astype(np.int64), percent))
-            links.append(np.unique(np.stack([x["node"][ok], y["node"][ok]], axis=1), axis=0))
-        if not links:
-            return
-        both = np.concatenate(links)
-        names, at = np.unique(both, return_inverse=True)
-        at = at.reshape(both.shape)
-        sets = _Union(len(names))
-        for i, j in at.tolist():
-            sets.join(i, j)
-        root = names[[sets.find(i) for i in range(len(names))]] if len(names) else names
-        yield pa.RecordBatch.from_arrays([pa.array(root[root != names]), pa.array(names[root != names])], names=_MET.names)
-
-    return run
-
-
 #: Sets of one side of a block.
 SIDE = 512
 
@@ -347,7 +427,9 @@ def _blocks(nodes: DataFrame, clusters: DataFrame, stars: DataFrame) -> DataFram
     groups = placed.groupBy("cluster", "group").agg(F.count("*").alias("n"))
     sizes = groups.groupBy("cluster").agg(F.sum("n").alias("k"), F.max(F.struct("n", "group")).alias("top"), F.count("*").alias("groups"))
     sizes = sizes.where("groups > 1").select("cluster", "k", F.col("top.group").alias("top"), F.ceil((F.col("k") - F.col("top.n")) / SIDE).cast("int").alias("s"), F.ceil(F.col("top.n") / SIDE).cast("int").alias("g"))
-    at = placed.join(sizes, "cluster")
+    # A cluster may hold a large share of the nodes: its sizes are laid out under SALTS keys.
+    salts = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    at = placed.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salts, ["cluster", "salt"])
     rest = F.col("group") != F.col("top")
     mine = F.pmod(F.xxhash64("node"), F.when(rest, F.col("s")).otherwise(F.col("g"))).cast("int")
     name = lambda i, kind, j: F.struct(F.col("cluster"), i.cast("int").alias("i"), F.lit(kind).alias("kind"), j.cast("int").alias("j"))
@@ -360,48 +442,46 @@ def _blocks(nodes: DataFrame, clusters: DataFrame, stars: DataFrame) -> DataFram
     return wanted.join(nodes.select("node", "size", "tokens"), "node").select(F.xxhash64("block").alias("block"), F.to_json("block").alias("name"), "node", "group", "size", "tokens")
 
 
-def _meetings(prefixes: list[np.ndarray]) -> np.ndarray:
-    """How many prefix hashes each two sets of a block share."""
-    k = len(prefixes)
-    own = np.repeat(np.arange(k), [len(p) for p in prefixes])
-    flat = np.concatenate(prefixes)
-    by = np.argsort(flat, kind="stable")
-    own, flat = own[by], flat[by]
-    begins = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-    runs = np.diff(np.append(begins, len(flat)))
-    met = np.zeros((k, k), np.int32)
-    for n in np.unique(runs[runs > 1]).tolist():
-        lists = own[begins[runs == n][:, None] + np.arange(n)]
-        for part in np.array_split(lists, max(1, len(lists) * n * n >> 22)):
-            np.add.at(met, (part[:, :, None], part[:, None, :]), 1)
-    return met
-
-
-def _block_links(percent: int, counts):
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """The weight of the common tokens of each two of these token arrays."""
+    k = len(sets)
+    own = np.repeat(np.arange(k), [len(t) for t in sets])
+    flat = np.concatenate(sets)
+    by = np.argsort(flat["name"], kind="stable")
+    own, names, weight = own[by], flat["name"][by], flat["weight"][by].astype(float)
+    begins = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+    runs = np.diff(np.append(begins, len(names)))
+    out = np.zeros((k, k))
+    few = runs <= 16
+    for n in np.unique(runs[few & (runs > 1)]).tolist():
+        at = begins[runs == n]
+        lists = own[at[:, None] + np.arange(n)]
+        np.add.at(out, (lists[:, :, None], lists[:, None, :]), weight[at][:, None, None])
+    many = np.flatnonzero(~few)
+    for part in np.array_split(many, -(-len(many) // 256)) if len(many) else []:
+        column = np.repeat(np.arange(len(part)), runs[part])
+        place = np.concatenate([np.arange(b, b + n) for b, n in zip(begins[part], runs[part], strict=True)])
+        there = np.zeros((k, len(part)))
+        there[own[place], column] = 1
+        out += (there * weight[begins[part]]) @ there.T
+    return out
+
+
+def _block_links(percent: int):
     """Links of each block that join two components, one for each two that they join."""
 
     def links(node: np.ndarray, group: np.ndarray, size: np.ndarray, tokens: list[np.ndarray]) -> list[tuple[int, int]]:
-        chosen = [_prefix(int(n), t, counts.value, percent) for n, t in zip(size, tokens, strict=True)]
-        matches = np.array([c[0] for c in chosen])
-        met = _meetings([c[1] for c in chosen])
-        shared = np.array([len(t) for t in tokens])
-        total = size[:, None] + size[None, :]
-        ok = met >= np.minimum(matches[:, None], matches[None, :])
-        ok &= np.minimum(shared[:, None], shared[None, :]) >= (percent * total + 99 + percent) // (100 + percent)
-        ok &= np.minimum(size[:, None], size[None, :]) >= _need(np.maximum(size[:, None], size[None, :]), percent)
+        both = overlaps(tokens)
+        ok = 100 * both >= percent * (size[:, None] + size[None, :] - both)
         ok &= group[:, None] != group[None, :]
         known, place = np.unique(group, return_inverse=True)
-        sets, found = _Union(len(known)), []
-        # Pairs that met most often first: they link most likely, and what is connected needs no more verification.
         left, right = np.nonzero(np.triu(ok, 1))
-        for q in np.argsort(-met[left, right], kind="stable").tolist():
-            i, j = int(left[q]), int(right[q])
-            if sets.find(place[i]) == sets.find(place[j]):
-                continue
-            both = len(np.intersect1d(tokens[i], tokens[j], assume_unique=True))
-            if 100 * both >= percent * (int(size[i]) + int(size[j]) - both):
-                sets.join(place[i], place[j])
-                found.append((min(int(node[i]), int(node[j])), max(int(node[i]), int(node[j]))))
+        pairs, at = np.unique(np.sort(np.stack([place[left], place[right]]), axis=0), axis=1, return_index=True)
+        sets, found = _Union(len(known)), []
+        for x, y, i in zip(*pairs.tolist(), at.tolist(), strict=True):
+            if sets.join(x, y):
+                ends = int(node[left[i]]), int(node[right[i]])
+                found.append((min(ends), max(ends)))
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -411,10 +491,9 @@ def _block_links(percent: int, counts):
         def done() -> Iterator[pa.RecordBatch]:
             if len(held) > 1:
                 node, group, size, blobs = zip(*held, strict=True)
-                got = links(np.array(node), np.array(group), np.array(size), [np.frombuffer(b, "<u8") for b in blobs])
+                got = links(np.array(node), np.array(group), np.array(size), [np.frombuffer(b, _TOKEN) for b in blobs])
                 if got:
-                    a, b = zip(*got, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=_MET.names)
+                    yield _rows(got, _MET)
 
         for batch in batches:
             for row in zip(*(batch.column(n).to_pylist() for n in ("name", "node", "group", "size", "tokens")), strict=True):
@@ -428,14 +507,16 @@ def _block_links(percent: int, counts):
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose sets reach the threshold, by exact intersection of their shared hashes."""
+    """Those pairs (a, b) whose sets reach the threshold, by the exact weight of their common tokens."""
     side = lambda n, s: nodes.select(F.col("node").alias(n), F.col("size").alias(f"size_{s}"), F.col("tokens").alias(f"tokens_{s}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for na, ta, nb, tb in zip(*(batch.column(n).to_pylist() for n in ("size_a", "tokens_a", "size_b", "tokens_b")), strict=True):
-                both = len(np.intersect1d(np.frombuffer(ta, "<u8"), np.frombuffer(tb, "<u8"), assume_unique=True))
+                x, y = np.frombuffer(ta, _TOKEN), np.frombuffer(tb, _TOKEN)
+                _, i, _ = np.intersect1d(x["name"], y["name"], assume_unique=True, return_indices=True)
+                both = int(x["weight"][i].sum())
                 keep.append(100 * both >= percent * (na + nb - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -459,7 +540,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     classes = scratch.write(classes, "classes")
     nodes = sets.where("tokens is not null").join(classes.select("d1", "d2", F.col("node").alias("key")), ["d1", "d2", "key"], "left_semi")
     # A key that repeats with equal texts is one node.
-    nodes = scratch.write(nodes.select(F.col("key").alias("node"), "d1", "d2", "size", "tokens").dropDuplicates(["node", "d1", "d2"]), "nodes")
+    nodes = weighed_nodes(nodes.select(F.col("key").alias("node"), "d1", "d2", "size", "tokens").dropDuplicates(["node", "d1", "d2"]), scratch, percent)
     labels = _components_of(nodes, scratch, percent)
     known = classes.join(labels, "node", "left").select("d1", "d2", "size", F.coalesce("component", "node").alias("component"))
     alone = F.col("size").eqNullSafe(0) | F.col("key").isNull()
@@ -470,16 +551,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 
 def _components_of(nodes: DataFrame, scratch: common.Scratch, percent: int) -> DataFrame:
     """Rows (node, component) for nodes with a link."""
-    spark = nodes.sparkSession
-    parts = common.shuffle_partitions(spark)
-    counts = spark.sparkContext.broadcast(slot_counts(nodes))
-    posted = nodes.select("node", "size", "tokens").mapInArrow(_post(percent, RANGES * parts, counts), _POSTED)
-    met = scratch.write(posted.repartition(parts, "dest").mapInArrow(_chained(percent), _MET).distinct(), "met")
+    parts = common.shuffle_partitions(nodes.sparkSession)
+    keys = scratch.write(nodes.mapInArrow(_keys(percent, max(1, nodes.count())), _KEYS), "keys")
+    met = scratch.write(_meetings(keys), "met")
     clusters = scratch.write(components(met, scratch), "clusters")
-    links = scratch.write(_verified(met, nodes, percent), "links")
+    nearest = met.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
+    links = scratch.write(_verified(nearest, nodes, percent), "links")
     stars = scratch.write(components(links, scratch), "stars")
     blocks = _blocks(nodes, clusters, stars).repartition(parts, "block").sortWithinPartitions("block", "name")
-    bridges = scratch.write(blocks.drop("block").mapInArrow(_block_links(percent, counts), _MET), "links")
+    bridges = scratch.write(blocks.drop("block").mapInArrow(_block_links(percent), _MET), "links")
+    for table in (keys, met, clusters, links):
+        scratch.drop(table)
     if bridges.isEmpty():
         return stars
     return components(stars.select(F.col("node").alias("a"), F.col("component").alias("b")).union(bridges), scratch)

@@ -12,7 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quillspark.llm import fingerprints, html_extraction, language_id, packing, piece_encoding, queries, segments, shingles, token_counts, warc
+from quillspark.llm import fingerprints, html_extraction, jaccard_join, language_id, packing, piece_encoding, queries, segments, shingles, token_counts, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TEXT = st.text(alphabet=" \n\taBbé日.,'s0<|  ́", max_size=60)
@@ -221,6 +221,27 @@ def test_a_union_of_sketches_is_the_sketch_of_the_union(texts):
     assert fingerprints.written(fingerprints.parsed(fingerprints.written(total))) == fingerprints.written(total)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.data())
+def test_linked_nodes_share_the_prefixes(data):
+    """Two sets over the threshold have l tokens in common in their prefixes for l, for every l that both have one for."""
+    names = data.draw(st.lists(st.integers(1, 9), min_size=1, max_size=12))
+    often = data.draw(st.lists(st.integers(2, 5), min_size=len(names), max_size=len(names)))
+    nodes = []
+    for _ in range(2):
+        own = data.draw(st.sets(st.integers(0, len(names) - 1), min_size=1))
+        lone = data.draw(st.integers(0, 6))
+        rows = sorted((often[i], i) for i in own)
+        nodes.append((sum(names[i] for i in own) + lone, np.array([(o, names[i], i) for o, i in rows], jaccard_join._TOKEN)))
+    (na, x), (nb, y) = nodes
+    both = sum(names[i] for i in set(x["name"].tolist()) & set(y["name"].tolist()))
+    if 100 * both >= 75 * (na + nb - both):
+        for m, (p, q) in enumerate(zip(jaccard_join.prefixes(na, x, 75), jaccard_join.prefixes(nb, y, 75)), 1):
+            assert len(set(x["name"][:p].tolist()) & set(y["name"][:q].tolist())) >= m
+        assert jaccard_join.prefixes(na, x, 75) and jaccard_join.prefixes(nb, y, 75)
+    assert jaccard_join.overlaps([x, y])[0, 1] == both
+
+
 def test_language_profiles():
     grams, counts = language_id.ngrams("ab, AB!")
     assert dict(zip(grams.tolist(), counts.tolist()))[ord("a")] == 2

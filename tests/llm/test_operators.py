@@ -190,10 +190,43 @@ def test_jaccard_join(spark, edge, empty, monkeypatch):
     assert groups(df) == brute_groups(rows)
     # Small blocks: clusters larger than a side meet piecewise.
     monkeypatch.setattr(jaccard_join, "SIDE", 4)
+    monkeypatch.setattr(jaccard_join, "NODE_BYTES", 2_000)
     monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", 2_000)
     assert groups(df) == brute_groups(rows)
 
 
+def test_jaccard_join_with_every_number_of_matches(spark, monkeypatch):
+    rows = near_copies(8)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    want = brute_groups(rows)
+    for lowest in (1, 2, 3):  # the more matches, the cheaper
+        monkeypatch.setattr(jaccard_join, "chosen_matches", lambda lengths, tokens, nodes, lowest=lowest: min(lowest, len(lengths)))
+        assert groups(df) == want
+
+
+def test_templates_do_not_meet(spark, monkeypatch):
+    """Documents of 4 of 120 passages: links are found, and blocks compare few of the documents, each of them once."""
+    import random
+
+    compared = []
+    blocks = jaccard_join._blocks
+
+    def counting(*args):
+        out = blocks(*args)
+        compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "_blocks", counting)
+    rng = random.Random(6)
+    passages = [" ".join(f"p{i}w{rng.randrange(900)}" for _ in range(60)) for i in range(120)]
+    rows = [(i, "\n".join(rng.sample(passages, 4))) for i in range(1600)]
+    rows += [(5000 + i, rows[i][1] + " tail") for i in range(40)]
+    for n in (800, 1640):
+        part = rows[:n] if n == 800 else rows
+        assert groups(spark.createDataFrame(part, SCHEMA).repartition(3)) == brute_groups(part)
+    assert compared[0] < 800 / 2 and compared[1] < 1640 / 2
+
+
 def test_jaccard_join_on_documents(spark):
     docs = texts(spark)
     got = sorted((tuple(r) for r in queries.op5_jaccard_join(spark, oracle.SMALL).collect()), key=repr)
