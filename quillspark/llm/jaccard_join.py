@@ -47,9 +47,11 @@ HASH_BYTES = 1 << 20
 RANGES = 4
 #: Bytes of shared hashes in a block of nodes.
 NODE_BYTES = 8 << 20
-#: The largest l, and the cost of a candidate in keys.
+#: The largest l, the cost of a candidate in keys, and the keys of a node for which an l over 1 is still chosen. Every l finds all
+#: links: with more keys than that a node takes the next smaller one, at last l = 1 with a key for each token of its prefix.
 MOST_MATCHES = 3
 CANDIDATE_COST = 20.0
+MOST_KEYS = 128
 #: Parts that a cluster's rows are dealt to when its sizes are joined to them.
 SALTS = 64
 #: Hashes are compared by their upper 48 bits.
@@ -337,6 +339,8 @@ def chosen_matches(lengths: list[int], tokens: np.ndarray, nodes: int) -> int:
     keys, best = 0, (float("inf"), 1)
     for matches, n in enumerate(lengths, 1):
         keys += comb(n, matches)
+        if matches > 1 and keys > MOST_KEYS:
+            break
         best = min(best, (keys + CANDIDATE_COST * _expected(tokens["often"][:n], matches, nodes), matches))
     return best[1]
 
