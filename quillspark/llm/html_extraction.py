@@ -1,19 +1,17 @@
 """Main text of web pages: a linear-chain conditional random field over DOM leaf blocks.
 
 A page becomes the sequence of its leaf blocks (runs of text without a block-level boundary), each with
-features of its ancestors' tags, classes and ids and of its text. Two labels, article and rest; feature
-weights and label transitions are fitted by gradient ascent of the likelihood on labelled pages, and a
-page is decoded by Viterbi. Labelled pages come from labelled_pages(), layouts of common kinds with
-known parts; callers may bring their own.
+features of its ancestors' tags, classes and ids, of its own text (length, links, sentence marks, short words,
+digits), of its neighbours' and of its place. Two labels, article and rest; feature weights and label
+transitions are fitted by gradient ascent of the likelihood on labelled pages, and a page is decoded by Viterbi.
+Labelled pages come from labelled_pages(), generated layouts of many kinds with known parts (semantic elements,
+telling class names, meaningless ones, tables, no container at all); callers may bring their own.
 """
 
 from __future__ import annotations
 
-import html as entities
 import random
-import re
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -23,150 +21,50 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-
-BATCH_BYTES = 2 << 20
-#: Labelled pages that the default model is fitted on, passes over them, step size and penalty.
-TRAINING_PAGES = 600
-PASSES = 120
-STEP = 0.5
-PENALTY = 1e-3
-
-#: Fixed values of HTML: elements that bound blocks, have no content, hold no text of the page, and close an open one of the same kind.
-BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html iframe legend li main menu nav noscript ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead tr ul".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style template noscript iframe title textarea noembed noframes xmp".split())
-SKIPPED = frozenset("head select svg math object audio video canvas".split())
-CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"thead", "tbody", "tfoot"}, "tbody": {"thead", "tbody", "tfoot"}}
-#: Elements inside which an implied end stops looking further out.
-FENCES = frozenset("ul ol dl table article section div main aside nav body html blockquote form".split())
-#: Block-level elements whose start ends an open paragraph.
-ENDS_P = BLOCKS - frozenset("button iframe option select optgroup caption body html noscript tbody td tfoot th thead tr textarea".split())
-
-_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|![^>]*>?|\?[^>]*>?|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.DOTALL)
-_MARK = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+))?", re.IGNORECASE)
-_WORD = re.compile(r"[a-z]+")
-
-
-@dataclass(slots=True)
-class Block:
-    text: str
-    tag: str
-    tags: tuple[str, ...]
-    marks: tuple[str, ...]
-    linked: int
-
-
-def _marks(attributes: str) -> tuple[tuple[str, ...], bool]:
-    """Words of class, id and role, and whether the element is hidden."""
-    words: list[str] = []
-    hidden = False
-    for name, value in _MARK.findall(attributes):
-        name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            hidden = True
-        elif name != "aria-hidden":
-            words += _WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower())
-    return tuple(words), hidden
-
-
-def leaf_blocks(html: str) -> list[Block]:
-    """Blocks of visible text in page order: references decoded, white space single, ends trimmed, no empty ones."""
-    out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...], bool]] = []
-    parts: list[str] = []
-    linked = depth = 0
-    at = 0
-
-    def flush() -> None:
-        nonlocal parts, linked
-        if parts:
-            text = " ".join(entities.unescape("".join(parts)).split())
-            if text:
-                tag = next((t for t, _, _ in reversed(stack) if t in BLOCKS), "body")
-                marks = tuple(w for _, m, _ in stack for w in m)
-                out.append(Block(text, tag, tuple(dict.fromkeys(t for t, _, _ in stack)), marks, linked))
-            parts, linked = [], 0
-
-    def close(to: int) -> None:
-        nonlocal depth
-        if any(t in BLOCKS for t, _, _ in stack[to:]):
-            flush()
-        depth -= sum(h for _, _, h in stack[to:])
-        del stack[to:]
-
-    def take(text: str) -> None:
-        nonlocal linked
-        if text and not depth:
-            parts.append(text)
-            if any(t == "a" for t, _, _ in stack):
-                linked += len(text)
-
-    n = len(html)
-    while at < n:
-        m = _TAG.search(html, at)
-        if m is None:
-            take(html[at:])
-            break
-        if m.start() > at:
-            take(html[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            if tag == "br":
-                take(" ")
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
-            continue
-        if tag in HIDDEN:
-            if tag in BLOCKS:
-                flush()
-            end = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.IGNORECASE).search(html, at)
-            at = end.end() if end else n
-            continue
-        if tag in VOID:
-            if tag == "br":
-                take(" ")
-            elif tag in BLOCKS:
-                flush()
-            continue
-        if tag in BLOCKS:
-            flush()
-        closing = CLOSES.get(tag)
-        if closing or tag in ENDS_P:
-            for i in range(len(stack) - 1, -1, -1):
-                open_tag = stack[i][0]
-                if closing and open_tag in closing or open_tag == "p" and tag in ENDS_P:
-                    close(i)
-                    break
-                if open_tag in FENCES:
-                    break
-        if not m[3].endswith("/"):
-            marks, hidden = _marks(m[3]) if m[3] else ((), False)
-            hidden = hidden or tag in SKIPPED
-            stack.append((tag, marks, hidden))
-            depth += hidden
-    flush()
-    return out
-
-
-def features(block: Block) -> list[str]:
-    """Names of a block's features."""
-    text, n = block.text, len(block.text)
-    dense = block.linked / n if n else 0
-    nearest = next((t for t in reversed(block.tags) if t in ("nav", "article", "main", "aside", "footer", "header", "form", "section", "table")), "none")
-    out = ["bias", f"tag={block.tag}", f"near={nearest}", f"length={min(7, n.bit_length())}", f"linked={0 if dense < 0.05 else 1 if dense < 0.5 else 2 if dense < 0.9 else 3}"]
-    out += [f"in={t}" for t in block.tags]
-    out += [f"mark={w}" for w in dict.fromkeys(block.marks)]
-    if text[-1:] in ".!?;:\"”»…":
-        out.append("ends")
-    if "©" in text or "(c)" in text.lower():
-        out.append("rights")
-    if block.marks:
-        out.append("marked")
+from .html_blocks import Block, leaf_blocks
+
+BATCH_BYTES = 1 << 20
+#: Labelled pages that the default model is fitted on, passes over them, step size, penalty, and the transitions' share of the step.
+TRAINING_PAGES = 2000
+PASSES = 150
+STEP = 1.0
+PENALTY = 5e-5
+SLOW = 0.1
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+
+
+def _step(x: float, *bounds: float) -> int:
+    """How many bounds x reaches."""
+    return sum(x >= b for b in bounds)
+
+
+def _dense(block: Block) -> int:
+    return _step(block.linked / len(block.text), 0.05, 0.5, 0.9)
+
+
+def features(blocks: list[Block]) -> list[tuple[frozenset[str], list[str]]]:
+    """For each block the names of its ancestors' features, shared among blocks, and of its own."""
+    n, out = len(blocks), []
+    sizes = [min(7, _step(len(b.text), 12, 25, 50, 100, 200, 400, 800)) for b in blocks]
+    dense = [_dense(b) for b in blocks]
+    for i, b in enumerate(blocks):
+        text, words = b.text, b.text.split(" ")
+        few = [w for w in words if len(w) < 4]
+        own = [
+            "bias", f"tag={b.tag}", f"near={b.part}", f"length={sizes[i]}", f"linked={dense[i]}", f"length={sizes[i]} linked={dense[i]}",
+            f"near={b.part} length={sizes[i]}", f"marks={_step(sum(map(text.count, '.!?;:,')), 1, 2, 4, 8)}", f"short={_step(len(few) / len(words), 0.01, 0.2, 0.5)}",
+            f"digits={_step(sum(map(str.isdigit, text)) / len(text), 0.01, 0.1, 0.4)}", f"depth={_step(b.depth, 1, 2, 3, 5, 8, 13)}",
+            f"place={_step(i / n, 0.1, 0.25, 0.5, 0.75, 0.9)}", f"before={(sizes[i - 1], dense[i - 1] > 1) if i else 'none'}", f"after={(sizes[i + 1], dense[i + 1] > 1) if i + 1 < n else 'none'}",
+        ]
+        if b.tag in HEADINGS:
+            own.append(f"heads={(sizes[i + 1] > 2, dense[i + 1] > 1) if i + 1 < n else 'none'}")
+        if text[-1] in ".!?;:\"”»…":
+            own.append("ends")
+        if text[:1].isupper():
+            own.append("capital")
+        if "©" in text or "(c)" in text.lower():
+            own.append("rights")
+        out.append((b.context, own))
     return out
 
 
@@ -175,20 +73,26 @@ class Field:
 
     def __init__(self, names: dict[str, int], weights: np.ndarray, moves: np.ndarray, start: np.ndarray):
         self.lean = {k: float(weights[i, 1] - weights[i, 0]) for k, i in names.items()}
+        self.known = frozenset(k for k in names if k.startswith(("mark=", "last=", "in=")))
         self.moves, self.start = moves.tolist(), start.tolist()
 
+    def leanings(self, blocks: list[Block]) -> list[float]:
+        """How far each block's features alone speak for the article."""
+        lean, shared, out = self.lean, {}, []
+        for context, own in features(blocks):
+            if context not in shared:
+                shared[context] = sum(lean.get(f, 0.0) for f in sorted(context))
+            out.append(shared[context] + sum(lean.get(f, 0.0) for f in own))
+        return out
+
     def decode(self, blocks: list[Block]) -> list[bool]:
         """The most likely labels by Viterbi; of equally likely ones, rest before article."""
         if not blocks:
             return []
         (m00, m01), (m10, m11) = self.moves
-        lean = self.lean
         back: list[tuple[int, int]] = []
         zero, one = self.start
-        for i, b in enumerate(blocks):
-            e = 0.0
-            for f in features(b):
-                e += lean.get(f, 0.0)
+        for i, e in enumerate(self.leanings(blocks)):
             if i == 0:
                 one += e
                 continue
@@ -206,7 +110,7 @@ class Field:
 
 def fit(pages: Iterable[tuple[str, list[bool]]], passes: int = PASSES, step: float = STEP, penalty: float = PENALTY) -> Field:
     """A field fitted to pages (html, a label for each leaf block) by gradient ascent of the mean log-likelihood."""
-    sequences = [(list(map(features, leaf_blocks(h))), labels) for h, labels in pages]
+    sequences = [([[*sorted(context), *own] for context, own in features(leaf_blocks(h))], labels) for h, labels in pages]
     sequences = [(f, y) for f, y in sequences if f]
     names: dict[str, int] = {}
     for f, y in sequences:
@@ -215,22 +119,23 @@ def fit(pages: Iterable[tuple[str, list[bool]]], passes: int = PASSES, step: flo
         for own in f:
             for name in own:
                 names.setdefault(name, len(names))
-    n, longest, widest = len(sequences), max(len(f) for f, _ in sequences), max(len(own) for f, _ in sequences for own in f)
-    ids = np.full((n, longest, widest), len(names))
-    gold = np.zeros((n, longest), int)
-    there = np.zeros((n, longest), bool)
+    n, longest = len(sequences), max(len(f) for f, _ in sequences)
+    gold, there = np.zeros((n, longest), int), np.zeros((n, longest), bool)
     for i, (f, y) in enumerate(sequences):
         there[i, : len(f)] = True
         gold[i, : len(f)] = y
-        for t, own in enumerate(f):
-            ids[i, t, : len(own)] = [names[x] for x in own]
-    w, moves, start = np.zeros((len(names) + 1, 2)), np.zeros((2, 2)), np.zeros(2)
+    # The features of all blocks, page after page, and where each block's begin.
+    ids = np.array([names[x] for f, _ in sequences for own in f for x in own])
+    sizes = np.array([len(own) for f, _ in sequences for own in f])
+    begins = np.cumsum(sizes) - sizes
+    w, moves, start = np.zeros((len(names), 2)), np.zeros((2, 2)), np.zeros(2)
     speeds = [np.full_like(x, 1e-8) for x in (w, moves, start)]
     hot = np.eye(2)[gold] * there[:, :, None]
     pair_there = there[:, 1:] & there[:, :-1]
     gold_moves = np.einsum("nta,ntb,nt->ab", hot[:, :-1], hot[:, 1:], pair_there)
     for _ in range(passes):
-        e = w[ids].sum(axis=2)
+        e = np.zeros((n, longest, 2))
+        e[there] = np.add.reduceat(w[ids], begins)
         forward, backward = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
         forward[:, 0] = e[:, 0] + start
         for t in range(1, longest):
@@ -243,108 +148,175 @@ def fit(pages: Iterable[tuple[str, list[bool]]], passes: int = PASSES, step: flo
         single = np.exp(forward + backward - total[:, None, None]) * there[:, :, None]
         double = np.exp(forward[:, :-1, :, None] + moves[None, None] + (e[:, 1:] + backward[:, 1:])[:, :, None, :] - total[:, None, None, None]) * pair_there[:, :, None, None]
         gap = hot - single
-        gw = np.zeros_like(w)
-        np.add.at(gw, ids.reshape(-1), np.repeat(gap.reshape(-1, 2), widest, axis=0))
-        gw[-1] = 0
+        each = np.repeat(gap[there], sizes, axis=0)
+        gw = np.stack([np.bincount(ids, each[:, y], len(names)) for y in (0, 1)], axis=1)
         grads = [gw / n - penalty * w, (gold_moves - double.sum(axis=(0, 1))) / n - penalty * moves, gap[:, 0].sum(axis=0) / n - penalty * start]
-        for x, g, s in zip((w, moves, start), grads, speeds, strict=True):
+        # Transitions learn slowly, so that features explain what they can: a single foreign block inside an article must not be smoothed over.
+        for x, g, s, rate in zip((w, moves, start), grads, speeds, (step, SLOW * step, SLOW * step), strict=True):
             s += g * g
-            x += step * g / np.sqrt(s)
+            x += rate * g / np.sqrt(s)
     return Field(names, w, moves, start)
 
 
-def labelled_pages(count: int = TRAINING_PAGES, seed: int = 7) -> Iterator[tuple[str, list[bool]]]:
-    """Pages of common layouts with invented words, and whether each leaf block belongs to the article."""
-    rng = random.Random(seed)
-    parts = ["la", "re", "mi", "to", "ne", "sa", "ku", "vi", "do", "pe", "sch", "ion", "ent", "ing", "ó", "é", "ü"]
-
-    def words(lo: int, hi: int) -> str:
-        w = ["".join(rng.choices(parts, k=rng.randint(1, 4))) for _ in range(rng.randint(lo, hi))]
-        return " ".join(w).capitalize()
-
-    def sentence(lo: int = 1, hi: int = 40) -> str:
-        return words(lo, hi) + rng.choice([".", ".", ".", "!", "?", "", " ###", "&amp;"])
-
-    def mark(*names: str) -> str:
-        kind = rng.choice(["class", "class", "id"])
-        name = rng.choice(names)
-        extra = rng.choice(["", "", "-box", "-wrapper", "_area", " widget", " block", " clearfix"])
-        return f' {kind}="{name}{extra if kind == "class" else ""}"'
-
-    def links(n: int) -> str:
-        body = "".join(f'<li><a href="/{i}">{words(1, 3)}</a></li>' for i in range(n))
-        return f"<ul>{body}</ul>"
-
-    def container(tag: str, marks: tuple[str, ...], body: str) -> str:
-        return f"<{tag}>{body}</{tag}>" if rng.random() < 0.5 and tag != "div" else f"<div{mark(*marks)}>{body}</div>"
-
-    def around(kind: str) -> str:
+#: Stands before each stretch of article text while a page is generated: blocks that have it are labelled article.
+_TRUE = "\ue000"
+
+
+class _Layouts:
+    """Generates pages with invented words."""
+
+    PARTS = ("la", "re", "mi", "to", "ne", "sa", "ku", "vi", "do", "pe", "sch", "ion", "ent", "ing", "ó", "é", "ü", "th", "er", "an")
+    MARKS = {
+        "nav": "nav menu navbar navigation breadcrumb breadcrumbs pagination topnav main-menu toc links toolbar skip",
+        "header": "header masthead site-header branding topbar logo site-title top tagline",
+        "ad": "ad ads advert advertisement sponsored promo promotion sponsor adsbygoogle banner-ad banner adbox partner commercial",
+        "aside": "sidebar side aside related recent popular tags share social trending more recommended author-bio widget rail teaser see-also",
+        "notice": "notice cookie cookies consent gdpr alert newsletter subscribe popup modal warning disclaimer paywall announcement message overlay",
+        "form": "search login contact signup form register poll survey",
+        "comments": "comments comment-list discussion responses respond disqus replies feedback reader-comments thread",
+        "footer": "footer site-footer copyright legal bottom colophon foot credits",
+        "article": "content article post entry story main-content article-body post-content text body page-content main hentry prose",
+    }
+
+    def __init__(self, rng: random.Random):
+        self.rng = rng
+
+    def word(self) -> str:
+        return "".join(self.rng.choices(self.PARTS, k=self.rng.choice((1, 1, 2, 2, 3, 4))))
+
+    def words(self, lo: int, hi: int) -> str:
+        return " ".join(self.word() for _ in range(self.rng.randint(lo, hi))).capitalize()
+
+    def sentence(self, lo: int = 1, hi: int = 40) -> str:
+        """A text of some sentences, once in a while with odd ends or characters."""
+        rng, out = self.rng, []
+        if rng.random() < 0.12:  # junk: a word over and over, or words and signs without sentences
+            return " ".join(rng.choice((self.word(), "#", "|", "$$", "&lt;&lt;")) for _ in range(rng.randint(lo, hi))) if rng.random() < 0.5 else " ".join([self.words(1, 1)] * rng.randint(lo, 3 * hi))
+        left = rng.randint(lo, hi)
+        while left > 0:
+            n = min(left, rng.randint(3, 18))
+            out.append(self.words(n, n) + rng.choice((".", ".", ".", ".", "!", "?", ",", ":", "")))
+            left -= n
+        return " ".join(out) + rng.choice(("",) * 8 + (" ###", " &amp;", " $$", " 2024", " &lt;x&gt;"))
+
+    def mark(self, kind: str) -> str:
+        """An attribute whose words tell the kind."""
+        name = self.rng.choice(self.MARKS[kind].split())
+        if self.rng.random() < 0.3:
+            return f' id="{name}"'
+        return f' class="{name}{self.rng.choice(("", "", "-box", "-wrapper", "_area", " widget", " block", " clearfix", "Container"))}"'
+
+    def odd(self) -> str:
+        """An attribute that tells nothing, or none."""
+        return self.rng.choice(("", "", f' class="{self.word()}"', f' id="{self.word()}{self.rng.randint(1, 99)}"', f' class="{self.word()} {self.word()}"'))
+
+    def links(self, n: int) -> str:
+        rng = self.rng
+        one = [f'<a href="/{i}">{self.words(1, 3)}</a>' for i in range(n)]
+        return rng.choice(("<ul>" + "".join(f"<li>{x}</li>" for x in one) + "</ul>", rng.choice((" | ", " ", " &middot; ")).join(one), "".join(f"<div>{x}</div>" for x in one)))
+
+    def around(self, kind: str, style: str) -> str:
+        rng = self.rng
         if kind == "nav":
-            return container("nav", ("nav", "menu", "navbar", "navigation", "breadcrumb", "breadcrumbs", "pagination", "topnav", "main-menu"), links(rng.randint(2, 8)))
-        if kind == "header":
-            return container("header", ("header", "masthead", "site-header", "banner", "branding", "topbar"), rng.choice([f"<h1>{words(1, 4)}</h1><p>{sentence(2, 9)}</p>", f"<div>{words(1, 4)}</div>", f'<a href="/">{words(1, 3)}</a>{links(3)}']))
-        if kind == "ad":
-            return f"<div{mark('ad', 'ads', 'advert', 'advertisement', 'sponsored', 'promo', 'promotion', 'sponsor', 'adsbygoogle', 'banner-ad')}>{rng.choice(['', '<p>'])}{sentence(2, 30)}</div>"
-        if kind == "aside":
-            return container("aside", ("sidebar", "side", "aside", "related", "recent", "popular", "tags", "share", "social", "trending", "more", "recommended", "author-bio"), rng.choice([f"<h3>{words(1, 4)}</h3>{links(rng.randint(2, 6))}", f"<h2>{words(1, 3)}</h2><p>{sentence(3, 40)}</p>", f"<p>{sentence(3, 25)}</p>"]))
-        if kind == "notice":
-            return f"<{(t := rng.choice(['div', 'section', 'div']))}{mark('notice', 'cookie', 'cookies', 'consent', 'gdpr', 'alert', 'newsletter', 'subscribe', 'popup', 'modal', 'warning', 'disclaimer', 'paywall', 'announcement')}>{rng.choice(['<p>', ''])}{sentence(3, 35)}{rng.choice(['', '<button>' + words(1, 2) + '</button>'])}</{t}>"
-        if kind == "form":
-            return f"<form{rng.choice(['', mark('search', 'login', 'contact', 'signup', 'form')])}><label>{words(1, 4)}</label><input name=q>{rng.choice(['', '<p>' + sentence(2, 15) + '</p>'])}<button>{words(1, 2)}</button></form>"
-        if kind == "comments":
-            rows = "".join(f"<{(t := rng.choice(['div', 'li']))}{mark('comment', 'reply', 'comment-body', 'response')}><b>{words(1, 2)}</b><p>{sentence(2, 60)}</p></{t}>" for _ in range(rng.randint(1, 5)))
-            return f"<{(t := rng.choice(['section', 'div', 'ol']))}{mark('comments', 'comment-list', 'discussion', 'responses', 'respond', 'disqus')}>{rng.choice(['', '<h3>' + words(1, 3) + '</h3>'])}{rows}</{t}>"
-        return container("footer", ("footer", "site-footer", "copyright", "legal", "bottom", "colophon"), rng.choice([f"&copy; {words(1, 3)} &middot; {sentence(2, 20)}", f"<p>&copy; {words(1, 4)}</p>{links(3)}", f"<p>{sentence(2, 25)}</p>"]))
-
-    def article() -> str:
-        body = []
-        for _ in range(rng.randint(1, 14)):
-            r = rng.random()
-            if r < 0.7:
-                body.append(f"<p>{sentence(1, 90)}{rng.choice(['</p>', '</p>', ''])}")
-            elif r < 0.78:
-                body.append(f"<h{(h := rng.randint(2, 4))}>{words(1, 9)}</h{h}>")
-            elif r < 0.84:
-                body.append("<ul>" + "".join(f"<li>{sentence(1, 20)}</li>" for _ in range(rng.randint(2, 5))) + "</ul>")
-            elif r < 0.88:
-                body.append(f"<blockquote>{sentence(4, 40)}</blockquote>")
-            elif r < 0.91:
-                body.append(f"<figure><img src=x><figcaption>{sentence(2, 15)}</figcaption></figure>")
-            elif r < 0.94:
-                body.append(f"<table><tr><td>{words(1, 4)}</td><td>{words(1, 4)}</td></tr></table>")
-            elif r < 0.96:
-                body.append(f"<pre>{words(2, 12)}</pre>")
-            else:
-                body.append(f'<p><a href="/x">{words(1, 6)}</a> {sentence(3, 30)}</p>' if rng.random() < 0.6 else f"<p><b>{sentence(2, 20)}<br>")
-        title = rng.choice([f"<h1>{words(1, 12)}</h1>", f"<h1>{words(1, 12)}</h1>", f"<h2>{words(1, 12)}</h2>", ""])
-        text = title + "".join(body)
+            body = self.links(rng.randint(2, 8))
+        elif kind == "header":
+            body = rng.choice((f"<h1>{self.words(1, 4)}</h1><p>{self.sentence(2, 9)}</p>", f"<div>{self.words(1, 4)}</div>", f'<a href="/">{self.words(1, 3)}</a>{self.links(3)}'))
+        elif kind == "ad":
+            body = f"{rng.choice(('', '<p>'))}{self.sentence(2, 40)}"
+        elif kind == "aside":
+            body = rng.choice((f"<h3>{self.words(1, 4)}</h3>{self.links(rng.randint(2, 6))}", f"<h2>{self.words(1, 3)}</h2><p>{self.sentence(3, 50)}</p>", f"<p>{self.sentence(3, 30)}</p>"))
+        elif kind == "notice":
+            body = f"{rng.choice(('<p>', ''))}{self.sentence(3, 40)}{rng.choice(('', '<button>' + self.words(1, 2) + '</button>'))}"
+        elif kind == "form":
+            return f"<form{rng.choice(('', self.mark('form')))}><label>{self.words(1, 4)}</label><input name=q>{rng.choice(('', '<p>' + self.sentence(2, 20) + '</p>'))}<button>{self.words(1, 2)}</button></form>"
+        elif kind == "comments":
+            t = rng.choice(("div", "li", "div", "p", "article"))
+            own = rng.choice((self.mark("comments"), " class=comment", " class=reply", *("",) * (3 if t != "article" else 0)))
+            rows = "".join(f"<{t}{own}>{rng.choice(('', '<b>' + self.words(1, 2) + '</b>'))}{rng.choice(('<p>', ''))}{self.sentence(2, 60)}</{t}>" for _ in range(rng.randint(1, 5)))
+            body = f"{rng.choice(('', '<h3>' + self.words(1, 3) + '</h3>'))}{rows}"
+        else:
+            body = rng.choice((f"&copy; {self.words(1, 3)} &middot; {self.sentence(2, 20)}", f"<p>&copy; {self.words(1, 4)}</p>{self.links(3)}", f"<p>{self.sentence(2, 25)}</p>"))
+        tag = {"nav": "nav", "header": "header", "aside": "aside", "footer": "footer"}.get(kind)
+        if style == "unnamed" and kind in ("nav", "footer", "header"):
+            if kind == "footer" and "&copy;" not in body:
+                body = f"&copy; {body}"
+            return f"<div{self.odd()}>{body}</div>"
+        if tag and rng.random() < (0.6 if style == "semantic" else 0.15):
+            return f"<{tag}{rng.choice(('', self.odd(), self.mark(kind)))}>{body}</{tag}>"
+        tag = rng.choice(("div", "div", "section", "ul" if body.startswith("<li") else "div"))
+        return f"<{tag}{self.mark(kind)}>{body}</{tag}>"
+
+    def paragraph(self) -> str:
+        rng, t = self.rng, _TRUE
         r = rng.random()
-        if r < 0.45:
-            return f"<article{rng.choice(['', mark('post', 'article', 'entry')])}>{text}</article>"
-        if r < 0.6:
-            return f"<main>{rng.choice(['', '<div>'])}{text}</main>"
-        return f"<div{mark('content', 'article', 'post', 'entry', 'story', 'main-content', 'article-body', 'post-content', 'text', 'body', 'page-content')}>{text}</div>"
+        if r < 0.05:  # many short ones in a row
+            again = f"<p>{t}{self.words(1, 4)}{rng.choice(('.', '.', ',', ''))}</p>"
+            return "".join(again if rng.random() < 0.8 else f"<p>{t}{self.sentence(1, 12)}</p>" for _ in range(rng.randint(3, 12)))
+        if r < 0.68:
+            return f"<p{rng.choice(('', '', self.odd()))}>{t}{self.sentence(1, 110)}{rng.choice(('</p>', '</p>', ''))}"
+        if r < 0.76:
+            return f"<h{(h := rng.randint(2, 4))}>{t}{self.words(1, 9)}</h{h}>"
+        if r < 0.82:
+            return "<ul>" + "".join(f"<li>{t}{self.sentence(1, 20)}</li>" for _ in range(rng.randint(2, 5))) + "</ul>"
+        if r < 0.86:
+            return f"<blockquote>{rng.choice(('', '<p>'))}{t}{self.sentence(4, 40)}</blockquote>"
+        if r < 0.89:
+            return f"<figure><img src=x><figcaption>{t}{self.sentence(2, 15)}</figcaption></figure>"
+        if r < 0.92:
+            return "<table>" + "".join(f"<tr><td>{t}{self.words(1, 4)}</td><td>{t}{self.words(1, 4)}</td></tr>" for _ in range(rng.randint(1, 3))) + "</table>"
+        if r < 0.94:
+            return f"<pre>{t}{self.words(2, 12)}</pre>"
+        if r < 0.97:
+            return f'<p><a href="/x">{t}{self.words(1, 6)}</a> {self.sentence(3, 30)}</p>'
+        return f"<p>{t}{self.sentence(2, 20)}<br>{self.sentence(2, 20)}"
+
+    def article(self, style: str) -> str:
+        rng = self.rng
+        body = [self.paragraph() for _ in range(rng.randint(2 if style in ("unnamed", "table", "bare") else 1, 14))]
+        if style in ("unnamed", "table", "bare"):  # only the text can tell
+            body.insert(0, f"<p>{_TRUE}{self.sentence(20, 110)}</p>")
+        head = rng.choice((f"<h1>{_TRUE}{self.words(1, 12)}</h1>", f"<h1>{_TRUE}{self.words(1, 12)}</h1>", f"<h2>{_TRUE}{self.words(1, 12)}</h2>", f"<header><h1>{_TRUE}{self.words(1, 12)}</h1></header>", ""))
+        for _ in range(rng.choice((0, 0, 0, 1, 2, 3))):  # something foreign inside the article's own element
+            kind = rng.choice(("ad", "aside", "notice", "comments", "form"))
+            at = len(body) if kind == "comments" else rng.randint(0, len(body))
+            body.insert(at, "</p>" + self.around(kind, "classes"))
+        if rng.random() < 0.3:  # a division inside
+            body = [f"<{(d := rng.choice(('div', 'section')))}{self.odd()}>", *body, f"</{d}>"]
+        text = head + "".join(body)
+        if style == "bare":
+            return text
+        if style == "table":
+            return f"<table><tr><td>{self.links(rng.randint(2, 6))}</td><td{self.odd()}>{text}</td></tr></table>"
+        if style == "unnamed":
+            tag = rng.choice(("div", "section", "div"))
+            depth = rng.randint(1, 3)
+            return "".join(f"<{tag}{self.odd()}>" for _ in range(depth)) + text + f"</{tag}>" * depth
+        r = rng.random()
+        if style == "semantic" and r < 0.7:
+            return f"<article{rng.choice(('', self.odd(), self.mark('article')))}>{text}</article>"
+        if style == "semantic":
+            return f"<main>{rng.choice(('', '<div>'))}{text}</main>"
+        return f"<div{self.mark('article')}>{text}</div>"
+
+    def page(self) -> str:
+        rng = self.rng
+        style = rng.choice(("semantic", "semantic", "semantic", "classes", "classes", "unnamed", "table", "bare"))
+        share = rng.choice((0.05, 0.4, 0.4, 0.6))
+        before = [k for k in ("notice", "header", "nav", "ad", "form", "aside") if rng.random() < share]
+        after = [k for k in ("ad", "aside", "comments", "notice", "form", "nav", "footer") if rng.random() < share]
+        body = "".join([*(self.around(k, style) for k in before), self.article(style), *(self.around(k, style) for k in after)])
+        if rng.random() < 0.3:
+            body = f"<div{self.odd()}>{body}</div>"
+        head = f"<title>{self.words(1, 6)}</title><style>p{{}}</style>"
+        return f"<!DOCTYPE html><html><head>{head}{rng.choice(('</head>', '</head>', ''))}{rng.choice(('<body>', '<body>', ''))}{body}{rng.choice(('</body></html>', ''))}"
+
 
+def labelled_pages(count: int = TRAINING_PAGES, seed: int = 7) -> Iterator[tuple[str, list[bool]]]:
+    """Pages of many layouts with invented words, and whether each leaf block belongs to the article."""
+    layouts = _Layouts(random.Random(seed))
     for _ in range(count):
-        before = [k for k in ("notice", "header", "nav", "ad", "form", "aside") if rng.random() < 0.45]
-        after = [k for k in ("ad", "aside", "comments", "notice", "form", "nav", "footer") if rng.random() < 0.45]
-        pieces: list[tuple[str, bool]] = [(around(k), False) for k in before] + [(article(), True)] + [(around(k), False) for k in after]
-        labels: list[bool] = []
-        if pieces and rng.random() < 0.2:  # an advert or related links inside the article's own element
-            i = len(before)
-            whole, inner = pieces[i][0], around(rng.choice(["ad", "aside", "notice"]))
-            cut = whole.rfind("</")
-            head, tail = whole[:cut] + "</p>" * ("<p>" in whole), whole[cut:]
-            n, k = len(leaf_blocks(head)), len(leaf_blocks(inner))
-            pieces[i] = (head + inner + tail, True)
-            own = [True] * n + [False] * k
-        else:
-            own = [True] * len(leaf_blocks(pieces[len(before)][0]))
-        for piece, inside in pieces:
-            labels += own if inside else [False] * len(leaf_blocks(piece))
-        page = f"<!DOCTYPE html><html><head><title>{words(1, 6)}</title><style>p{{}}</style></head><body>{''.join(p for p, _ in pieces)}{rng.choice(['</body></html>', ''])}"
-        if len(leaf_blocks(page)) == len(labels):
-            yield page, labels
+        page = layouts.page()
+        yield page.replace(_TRUE, ""), [_TRUE in b.text for b in leaf_blocks(page)]
 
 
 @cache
@@ -354,7 +326,7 @@ def default_field() -> Field:
 
 def main_text(html: str | None, field: Field) -> tuple[str, int, int]:
     """(text, blocks kept, blocks of the page)."""
-    blocks = leaf_blocks(html or "")
+    blocks = leaf_blocks(html or "", field.known)
     kept = [b.text for b, y in zip(blocks, field.decode(blocks), strict=True) if y]
     return "\n".join(kept), len(kept), len(blocks)
 
@@ -363,7 +335,8 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     """Rows (key, url, text, n_chars, n_blocks, n_kept), one for each row of pages; text is empty if nothing is article.
 
     Null html counts as empty, a null url stays null. Repeated rows are read each, alike. An empty table gives no rows.
-    Other columns are not read. A page is read whole, however long.
+    Other columns are not read. A page is read whole, however long and deep, in time linear in it. Of labels equally likely,
+    rest comes before article.
     """
     field = field or default_field()
     schema = T.StructType(

@@ -84,6 +84,11 @@ def _narrow(values: np.ndarray) -> np.ndarray:
     return values.astype("<u2") if not len(values) or int(values.max()) < 1 << 16 else values.astype("<u4")
 
 
+def _home(block: int, ranges: int) -> int:
+    """The range that a block's own row travels by."""
+    return int(mix(np.array([block], np.uint64))[0]) % ranges
+
+
 def _ranges_of(tokens: np.ndarray, ranges: int) -> np.ndarray:
     return (tokens // np.uint64((1 << 48) // ranges + 1)).astype(np.int64)
 
@@ -131,7 +136,7 @@ def _split(percent: int, width: int, ranges: int):
             info = (key, null, size, d1, d2, chosen, tokens[several], own[several].astype(np.uint32))
             block_id = first + number
             number += 1
-            rows = [(block_id % ranges, block_id, 0, pickle.dumps(info, 5))]
+            rows = [(_home(block_id, ranges), block_id, 0, pickle.dumps(info, 5))]
             once, who = tokens[begins], np.where(runs > 1, SHARED, own[begins]).astype(np.uint32)
             where = _ranges_of(once, ranges)
             cuts = np.flatnonzero(np.diff(where, prepend=-1))
@@ -247,7 +252,7 @@ def _counted(ranges: int):
             begins = np.searchsorted(which[by], np.arange(len(known)))
             sums = np.add.reduceat(digest[by], begins)
             often = np.diff(np.append(begins, len(tokens)))
-            yield _rows([(block % ranges, block, 0, pickle.dumps((node, size, counts, which.astype(np.uint32)), 5))], _MOVED)
+            yield _rows([(_home(block, ranges), block, 0, pickle.dumps((node, size, counts, which.astype(np.uint32)), 5))], _MOVED)
             where = _ranges_of(known, ranges)
             cuts = np.flatnonzero(np.diff(where, prepend=-1))
             for lo, hi in zip(cuts, np.append(cuts[1:], len(known)), strict=True):

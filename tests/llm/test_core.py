@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import gzip
+import html as entities
 import random
 import re
+import time
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -262,6 +265,10 @@ def test_language_profiles():
         ("a &lt;b&gt; &#233;\n\n c<!-- no --><script>var x='</p>'</script><style>p{}</style>", ["a <b> é c"]),
         ("<div hidden>no</div><span>in</span>line", ["inline"]),
         ("", []), ("<", ["<"]), ("<p", ["<p"]), ("<script>never closed", []),
+        ("<head><title>t</title><meta x><p>a", ["a"]), ("<head>text", ["text"]), ("<body>a</body></html>b", ["ab"]),
+        ("<select><option>a<p>after", ["after"]), ("<select><option>a<option>b</select>c", ["c"]), ("&am<b></b>p;", ["&am p;".replace(" ", "")]),
+        ("<li><p>a<li>b", ["a", "b"]), ("<dl><dt>a<dd>b<dt>c</dl>", ["a", "b", "c"]), ("</p>a</x>b", ["ab"]),
+        ("<a title='x>y'>z</a>", ["z"]), ("<a title='x>y", ["y"]), ("<!-->a<!--b-->c<!d>e<?f>g", ["aceg"]), ("<p style='display: none'>x</p>y", ["y"]),
     ],
 )
 def test_leaf_blocks(page, texts):
@@ -272,12 +279,51 @@ def brute_decode(field, blocks):
     from itertools import product
 
     def score(ys):
-        total = sum(sum(field.lean.get(f, 0.0) for f in html_extraction.features(b)) for b, y in zip(blocks, ys) if y)
+        total = sum(sum(field.lean.get(f, 0.0) for f in [*context, *own]) for (context, own), y in zip(html_extraction.features(blocks), ys) if y)
         return total + field.start[ys[0]] + sum(field.moves[a][b] for a, b in zip(ys, ys[1:]))
 
     return max(product((0, 1), repeat=len(blocks)), key=score)
 
 
+PROSE = "This is a fairly long paragraph of ordinary prose, with several words in it, and it ends as sentences do. It even has a second sentence."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<html><head><title>t</title><body><nav><a href=x>Home</a></nav><article><h1>T</h1><p>P</p></article>", "T\nP"),
+        ('<body><div class="zzq"><div class="kk"><a href=/>Home</a> <a href=/b>News</a></div><div class="x1"><div class="qp"><h1>Title here</h1><p>P</p><p>P</p></div></div></div>', "Title here\nP\nP"),
+        ("<body><section><h2>Heading</h2><p>P</p><p>P</p></section>", "Heading\nP\nP"),
+        ("<body><header><a href=/>Site</a></header><article><header><h1>My title</h1></header><p>P</p></article>", "My title\nP"),
+        ("<body><article><h1>T</h1><p>P</p><div id=comments><p>reader says things</p></div></article>", "T\nP"),
+        ("<body><table><tr><td><a href=/>Home</a><br><a href=/n>News</a></td><td><h1>Old page</h1><p>P</p><p>P</p></td></tr></table>", "Old page\nP\nP"),
+        ("<article><select><option>a<p>P</article>", "P"),
+        ('<main><h1>T</h1><p>P</p><div class="newsletter"><p>Sign up now.</p></div><p>P</p></main><div class="cookie-consent"><p>We use cookies.</p></div>', "T\nP\nP"),
+    ],
+)
+def test_layouts_the_field_was_not_fitted_on(page, text):
+    assert html_extraction.main_text(page.replace("P</", f"{PROSE}</"), html_extraction.default_field())[0] == text.replace("P", PROSE)
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<p>word word word. </p>" * 400_000, "<div class=a>" * 100_000 + "x", "".join(f"<div class=c{i}q>" for i in range(50_000)) + "x", "<a title=\"x>" * 100_000, "<b>" * 50_000 + "<p>a" * 50_000, "<div>" * 50_000 + "</x></p>" * 100_000, "<!--" * 200_000],
+    ids=["long", "deep", "marks", "quotes", "inline", "ends", "comments"],
+)
+def test_time_is_linear_in_the_page(page):
+    begin = time.process_time()
+    html_extraction.main_text(page, html_extraction.default_field())
+    assert time.process_time() - begin < 40
+
+
+def test_pages_have_the_text_of_their_article_elements():
+    """Every page of the driver's table against its article element, cut out by another way."""
+    for (page,) in duckdb.sql("select html from '/root/testdata/sf0.01/pages.parquet'").fetchall():
+        inner = re.search("<article>(.*?)</article>", page, re.DOTALL)[1]
+        parts = [" ".join(entities.unescape(re.sub("<[^>]*>", "", x)).split()) for x in re.split("</?(?:p|h1)>", inner.replace("<br>", " "))]
+        assert html_extraction.main_text(page, html_extraction.default_field())[0] == "\n".join(filter(None, parts))
+
+
 def test_field_learns_and_decodes_the_best_sequence():
     field = html_extraction.default_field()
     right = every = 0
