@@ -152,7 +152,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     the columns named there and the verdict, as common.unused("kept", keep), so that a filter needs no join.
 
     With lang, the name of a column of docs, rows also have balanced_score, the mean of log ratios balanced by that
-    column, and balanced_kept: not base_failed and balanced_score >= threshold. The verdict with keep is then that one.
+    column, and plain_kept, the verdict by score; kept, also with keep, is then the verdict by balanced_score.
     """
     if lang is None:
         ratios = log_ratios(docs, trusted_keys(labels), key, text)
@@ -189,11 +189,11 @@ def quality_rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     judged = hashed.select("_key", *names, F.explode(F.array(found)).alias("_f")).select("_key", *names, "_f.*")
     judged = judged.select("*", *(mean(F.col(f"sums.{c}")).alias(c) for c in ("score", "balanced_score")[: 1 + both]))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    verdict = (~failed & (F.col("score") >= threshold)).alias(common.unused("kept", keep or []))
+    verdict = (~failed & (F.col("balanced_score" if both else "score") >= threshold)).alias(common.unused("kept", keep or []))
     if keep is not None:
         return judged.select(*(F.col(n).alias(c) for n, c in zip(names, keep, strict=True)), verdict)
-    fair = [F.col("balanced_score"), (~failed & (F.col("balanced_score") >= threshold)).alias("balanced_kept")] if both else []
+    plain = [F.col("balanced_score"), (~failed & (F.col("score") >= threshold)).alias("plain_kept")] if both else []
     return judged.select(
         F.col("_key").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), verdict, "score", *fair,
+        failed.alias("base_failed"), verdict, "score", *plain,
     )

@@ -20,8 +20,8 @@ def test_language_with_fewer_trusted_documents_is_kept(spark):
         trusted = [(i, 1) for i in range(600) if i < 500 and (i % 2 == 0 or i < 2 * most)]
         labels = spark.createDataFrame(trusted, "doc_id long, quality int")
         rows = quality_rules.quality_rules(docs, labels, lang="lang").collect()
-        assert not any(r["kept"] for r in rows if r["doc_id"] % 2)
-        assert len(rows) == 600 and all(r["balanced_kept"] for r in rows)
+        assert not any(r["plain_kept"] for r in rows if r["doc_id"] % 2)
+        assert len(rows) == 600 and all(r["kept"] for r in rows)
         # Without trusted text only buckets that another language shares count.
         assert most or all(abs(r["balanced_score"]) < 0.02 for r in rows if r["doc_id"] % 2)
         kept = quality_rules.quality_rules(docs, labels, keep=["doc_id", "lang"], lang="lang")

@@ -38,6 +38,10 @@ def texts(spark):
     return {r["doc_id"]: r["text"] for r in common.read(spark, oracle.SMALL, "documents").collect()}
 
 
+def langs(spark):
+    return {r["doc_id"]: r["lang"] for r in common.read(spark, oracle.SMALL, "documents").collect()}
+
+
 def test_token_counts(spark, edge, empty):
     path = queries.tokenizer_path("byte_bpe_50k.json")
     from quillspark.llm.segments import load
@@ -241,8 +245,8 @@ def test_components(spark):
     assert components(df.limit(0), common.Scratch(spark, "test")).count() == 0
 
 
-def brute_quality(docs, good):
-    """Counting rules and scores in Python, with Spark's xxhash64."""
+def brute_quality(docs, good, lang):
+    """Counting rules and scores in Python, with Spark's xxhash64; lang: each document's language, by which the verdict is balanced."""
     gap = re.compile(r"[^\x20\x09-\x0D]+")
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     word = {}
@@ -263,13 +267,23 @@ def brute_quality(docs, good):
         return [longs(x) & (quality_rules.BUCKETS - 1) for x in hs] + [longs(x, y) & (quality_rules.BUCKETS - 1) for x, y in zip(hs, hs[1:])]
 
     own = {k: buckets(gap.findall(t or "")) for k, t in docs}
-    raw, target = Counter(), Counter()
+    raw, target = defaultdict(Counter), defaultdict(Counter)
     for k, b in own.items():
-        raw.update(b)
+        raw[lang[k]].update(b)
         if k in good:
-            target.update(b)
-    total, mass, prior = sum(raw.values()) + quality_rules.BUCKETS, sum(target.values()), quality_rules.PRIOR * quality_rules.BUCKETS
-    ratio = lambda b: round(quality_rules.UNIT * math.log((target[b] + prior * (p := (raw[b] + 1) / total)) / ((mass + prior) * p))) if mass else 0
+            target[lang[k]].update(b)
+    every, trusted = sum(raw.values(), Counter()), sum(target.values(), Counter())
+    total, mass, prior = sum(every.values()), sum(trusted.values()), quality_rules.PRIOR * quality_rules.BUCKETS
+    plain = lambda b: round(quality_rules.UNIT * math.log((trusted[b] + prior * (p := (every[b] + 1) / (total + quality_rules.BUCKETS))) / ((mass + prior) * p)))
+
+    def fair(b):
+        ours = 0.0
+        for x, n in raw.items():
+            share = sum(n.values()) / total
+            ours += share * (target[x][b] + prior * (n[b] + share) / (total + quality_rules.BUCKETS)) / (sum(target[x].values()) + prior * share)
+        return round(quality_rules.UNIT * math.log(ours / ((every[b] + 1) / (total + quality_rules.BUCKETS))))
+
+    known = {f: {b: f(b) if mass else 0 for b in every} for f in (plain, fair)}
     out = {}
     for k, t in docs:
         t = t or ""
@@ -278,8 +292,8 @@ def brute_quality(docs, good):
         c = Counter(zip(w, w[1:], w[2:]))
         inside = {j for i in range(len(w) - 2) if c[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
         failed = len(w) < 50 or 100 * len(inside) > 50 * len(w)
-        score = sum(map(ratio, own[k])) / (quality_rules.UNIT * (2 * len(w) - 1)) if w else 0.0
-        out[k] = (len(w), sum(map(len, w)), sum(x in "#*$%&|<>" for x in t), len(lines) - len(set(lines)), len(inside), failed, not failed and score >= quality_rules.THRESHOLD, round(score, 9))
+        score, balanced = (sum(map(known[f].__getitem__, own[k])) / (quality_rules.UNIT * (2 * len(w) - 1)) if w else 0.0 for f in (plain, fair))
+        out[k] = (len(w), sum(map(len, w)), sum(x in "#*$%&|<>" for x in t), len(lines) - len(set(lines)), len(inside), failed, not failed and balanced >= quality_rules.THRESHOLD, round(score, 9))
     return out
 
 
@@ -287,7 +301,7 @@ def test_quality_rules(spark, edge, empty):
     docs = texts(spark)
     labels = common.read(spark, oracle.SMALL, "labels")
     good = {r["doc_id"] for r in labels.where("quality = 1").collect()}
-    want = brute_quality(sorted(docs.items()), good)
+    want = brute_quality(sorted(docs.items()), good, langs(spark))
     for r in queries.op3_quality_rules(spark, oracle.SMALL).collect():
         assert (*r[1:8], round(r["score"], 9)) == want[r["doc_id"]]
     none = labels.limit(0)

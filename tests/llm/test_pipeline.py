@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import oracle
-from test_operators import LONG, brute_groups, brute_quality, check_pieces, texts
+from test_operators import LONG, brute_groups, brute_quality, check_pieces, langs, texts
 
 import corpus_pipeline
-from quillspark.llm import common, queries
+from quillspark.llm import common, language_id, queries
 from quillspark.llm.segments import load
 
 
 def test_stages_against_brute_force(spark):
     docs = texts(spark)
     good = {r["doc_id"] for r in common.read(spark, oracle.SMALL, "labels").where("quality = 1").collect()}
-    kept = {k: docs[k] for k, v in brute_quality(sorted(docs.items()), good).items() if v[6]}
+    kept = {k: docs[k] for k, v in brute_quality(sorted(docs.items()), good, langs(spark)).items() if v[6]}
     single = {k: kept[k] for k, _, component in brute_groups(sorted(kept.items())) if k == component}
     coder = load(queries.tokenizer_path("word_bpe_49k.json"))
     ids = {k: coder.encode(t, add_special_tokens=False).ids + [1] for k, t in single.items()}
@@ -21,15 +21,33 @@ def test_stages_against_brute_force(spark):
     assert check_pieces(corpus_pipeline.run(spark, oracle.SMALL).collect(), ids) == 0
 
 
+def test_near_duplicates_by_text(spark):
+    """Rows that share a doc_id, or have none, are judged by their texts; one of each group stays, repeated rows once."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(7, a), (7, a), (7, b), (3, a + " more"), (None, b), (None, c), (None, c), (None, c + " more"), (9, None), (9, None), (8, "")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, _row string")
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicate_removal(spark, docs, oracle.SMALL).collect()), key=repr)
+    # Near copies of c share the null doc_id: either may stay. Texts without words are linked with nothing.
+    assert [k for k, _ in got] == [3, 7, 8, 9, None] and {t for k, t in got if k in (3, 7)} == {a + " more", b}
+
+
 def test_stages_on_edge_rows(spark):
+    labels = {r["doc_id"]: r["quality"] for r in common.read(spark, oracle.SMALL, "labels").collect()}
+    good = [k for k, q in sorted(labels.items()) if q == 1 and not language_id.is_held_out(k)]
+    free = [k for k in range(max(labels) + 1, max(labels) + 9)]
     prose = "the quick brown fox jumps over the lazy dog while seven wise owls watch " * 2 + " ".join(f"unlike{i}" for i in range(60))
-    rows = [(1, prose, "en"), (1, prose, "en"), (2, prose, None), (3, None, "en"), (4, "", None), (None, prose + " end", "en"), (5, LONG, "en"), (6, "1 2 3 " * 30, None)]
+    rows = [(good[1], prose, "en"), (good[1], prose, "en"), (good[0], prose + " end", None), (None, prose + " end", "en"), (free[0], None, "en"), (free[1], "", None), (free[2], LONG, "en"), (free[3], "1 2 3 " * 30, None)]
     docs = spark.createDataFrame([(*r, "x", 0) for r in rows], "doc_id long, text string, lang string, kept string, score long")
+    left = []
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, oracle.SMALL)
         assert docs.columns == ["doc_id", "text", "lang", "kept", "score"]
-    left = sorted((r["doc_id"] or 0) for r in docs.collect())
-    assert left in ([0, 1], []) and 2 not in left
+        left.append(sorted((r["doc_id"] or 0) for r in docs.collect()))
+    # Null, empty, long repetitive and letterless texts fail the counting rules; of the near copies the smallest doc_id stays.
+    near = [0, good[0], good[1], good[1]]
+    assert left == [near, near, [good[0]]]
+    pieces = corpus_pipeline.packing(spark, docs, oracle.SMALL).collect()
+    assert {r["doc_id"] for r in pieces} == {good[0]} and sum(r["length"] for r in pieces) == pieces[0]["doc_tokens"]
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, oracle.SMALL)
