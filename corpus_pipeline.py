@@ -11,7 +11,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillspark.llm import common, language_id, queries
 from quillspark.llm.jaccard_join import near_duplicates
@@ -23,8 +22,9 @@ LEAST_LANGUAGE_SCORE = 0.15
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the counting rules and the log-likelihood-ratio threshold."""
-    return quality_rules(docs, common.read(spark, sf_dir, "labels"), keep=docs.columns).where(F.col(common.unused("kept", docs.columns))).select(*docs.columns)
+    """Documents that pass the counting rules and the log-likelihood-ratio threshold, which is balanced by language."""
+    judged = quality_rules(docs, common.read(spark, sf_dir, "labels"), keep=docs.columns, lang="lang")
+    return judged.where(F.col(common.unused("kept", docs.columns))).select(*docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,19 +37,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates; one row of a doc_id that repeats.
+    """One document of each group of near duplicates, the one with the smallest doc_id (a null one comes last).
 
-    A doc_id that repeats with different texts goes if any of its texts does. Rows without a doc_id stay.
+    Rows are told apart by a hash of doc_id and text, so rows that repeat a doc_id, or have none, are judged by their
+    texts. Of rows alike in both, one stays.
     """
-    groups = near_duplicates(docs)
-    lost = groups.where("component_id < doc_id").select("doc_id").distinct()
-    left = docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
-    if groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return left
-    code, nth = common.unused("_hash", docs.columns), common.unused("_nth", docs.columns)
-    same = Window.partitionBy("doc_id", code).orderBy(code)
-    once = left.withColumn(code, F.xxhash64("text")).withColumn(nth, F.row_number().over(same))
-    return once.where((F.col(nth) == 1) | F.col("doc_id").isNull()).select(*docs.columns)
+    row, group, late = (common.unused(n, docs.columns) for n in ("_row", "_group", "_late"))
+    marked = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    found = near_duplicates(marked.select(row, "text"), key=row).groupBy(row).agg(F.min("component_id").alias(group))
+    keys = marked.groupBy(row).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    keys = common.Scratch(spark, "near").write(keys.join(found, row), "groups")
+    first = keys.groupBy(group).agg(F.min(F.struct(F.col("doc_id").isNull().alias(late), "doc_id", row)).alias("first")).select(F.col(f"first.{row}").alias(row))
+    left = marked.join(first, row, "left_semi")
+    return (left if keys.where("n > 1").isEmpty() else left.dropDuplicates([row])).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
