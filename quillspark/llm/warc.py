@@ -2,9 +2,10 @@
 
 Writing: each task writes its records as gzip members to one archive in a shared folder and returns
 where they lie. Payload digests decide which record is the response of equal payloads and which ones
-revisit it. Index: capture keys (reversed host, then path) are range-partitioned and sorted, written as
-compressed blocks, and a sparse directory keeps each block's first key. Reading: a look-up finds its
-block in the directory by bisection, scans the block, and reads the record's byte range only.
+revisit it. Index: capture keys (reversed host, then path) are range-partitioned and sorted; each task writes
+its stretch as a file of compressed blocks, and beside it a directory with each block's keys and byte range. A root
+with one row for each such file says which directory to open. Reading: wanted keys are sorted too; a task bisects
+the root and a directory, reads the byte ranges of the blocks found, and then those of the records in them.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import json
 import re
 import uuid
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,9 +37,12 @@ DATE = "1970-01-01T00:00:00Z"
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system and path of a URI; a bare path is local."""
+    """The file system and path of a URI, by Hadoop's names of schemes too; a bare path is local."""
     if "://" not in uri and uri.startswith("file:"):
         uri = "file://" + uri[5:]
+    if uri.startswith("dbfs:/"):  # mounted on every machine of the clusters that have it
+        uri = "/dbfs/" + uri[6:].lstrip("/")
+    uri = re.sub("^s3[an]://", "s3://", uri)
     return pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), uri)
 
 
@@ -88,8 +92,16 @@ def members(data: bytes) -> Iterator[tuple[int, int, bytes]]:
         at += length
 
 
-def record_id(page: object) -> str:
-    return f"urn:page:{page}"
+def record_id(page: object, digest: str) -> str:
+    """The same for rows alike in id and payload only."""
+    return f"urn:page:{page}:{digest}"
+
+
+def archive_info(name: str) -> bytes:
+    """The record that opens an archive."""
+    block = b"software: quillspark\r\nformat: WARC File Format 1.1\r\n"
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:archive:{name}>", f"WARC-Date: {DATE}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return gzip.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", 6, mtime=0)
 
 
 def _digested(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
@@ -128,8 +140,11 @@ def _writer(folder: str):
                     if out is None:
                         system.create_dir(path, recursive=True)
                         out = system.open_output_stream(f"{path}/{name}", compression=None)
+                        info = archive_info(name)
+                        out.write(info)
+                        at = len(info)
                     digest = base64.b32encode(bytes.fromhex(sha)).decode()
-                    data = gzip.compress(record("response" if first is None else "revisit", url, html, digest, record_id(page), None if first is None else record_id(first)), 6, mtime=0)
+                    data = gzip.compress(record("response" if first is None else "revisit", url, html, digest, record_id(page, digest), None if first is None else record_id(first, digest)), 6, mtime=0)
                     out.write(data)
                     rows.append((page, url_key(url), name, at, len(data)))
                     at += len(data)
@@ -160,7 +175,6 @@ def read_ranges(captures: DataFrame, folder: str, with_payload: bool = False) ->
             wanted: dict[str, list[tuple[int, int]]] = {}
             for name, at, n in zip(*(batch.column(c).to_pylist() for c in ("archive", "offset", "length")), strict=True):
                 wanted.setdefault(name, []).append((at, n))
-            rows = []
             for name, ranges in wanted.items():
                 ranges.sort()
                 with system.open_input_file(f"{path}/{name}") as f:
@@ -171,102 +185,165 @@ def read_ranges(captures: DataFrame, folder: str, with_payload: bool = False) ->
                             j += 1
                             end = max(end, sum(ranges[j]))
                         data = f.read_at(end - begin, begin)
-                        for at, n in ranges[i : j + 1]:
-                            headers, block = parse(gzip.decompress(data[at - begin : at - begin + n]))
-                            digest = headers["warc-payload-digest"].removeprefix("sha1:")
-                            kind = headers["warc-type"]
-                            if kind == "response" and base32_sha1(block) != digest:
-                                raise ValueError(f"digest of {headers['warc-record-id']} does not match")
-                            refers = headers.get("warc-refers-to")
-                            rows.append((_page(headers["warc-record-id"]), int(headers["x-payload-length"]) if kind == "revisit" else len(block), digest, kind, _page(refers) if refers else None, block if with_payload else None))
+                        # One batch for each stretch that is read: payloads of no more than that are held.
+                        yield _rows([_read(data[at - begin : at - begin + n], with_payload) for at, n in ranges[i : j + 1]], _READ)
                         i = j + 1
-            if rows:
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=_READ.names)
 
     return captures.select("archive", "offset", "length").mapInArrow(run, _READ)
 
 
+def _read(member: bytes, with_payload: bool) -> tuple:
+    headers, block = parse(gzip.decompress(member))
+    digest = headers["warc-payload-digest"].removeprefix("sha1:")
+    kind = headers["warc-type"]
+    if kind == "response" and base32_sha1(block) != digest:
+        raise ValueError(f"digest of {headers['warc-record-id']} does not match")
+    refers = headers.get("warc-refers-to")
+    return _page(headers["warc-record-id"]), int(headers["x-payload-length"]) if kind == "revisit" else len(block), digest, kind, _page(refers) if refers else None, block if with_payload else None
+
+
+_ARROW = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.StringType(): pa.string(), T.BinaryType(): pa.binary()}
+
+
+def _rows(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
+    return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[f.dataType]) for c, f in zip(columns, schema, strict=True)], names=schema.names)
+
+
 def _page(uri: str) -> int | None:
-    text = uri.strip("<>").rpartition(":")[2]
+    text = uri.strip("<>").split(":")[2]
     return None if text == "None" else int(text)
 
 
-_BLOCKS = T.StructType([T.StructField("first_key", T.StringType()), T.StructField("last_key", T.StringType()), T.StructField("lines", T.IntegerType()), T.StructField("block", T.BinaryType())])
+_ROOT = T.StructType([T.StructField("first_key", T.StringType()), T.StructField("last_key", T.StringType()), T.StructField("file", T.StringType()), T.StructField("blocks", T.IntegerType())])
+_LINES = T.StructType([T.StructField("url_key", T.StringType()), T.StructField("id", T.LongType()), T.StructField("archive", T.StringType()), T.StructField("offset", T.LongType()), T.StructField("length", T.LongType())])
 
 
 def build_index(captures: DataFrame, path: str, block_lines: int = BLOCK_LINES) -> None:
-    """Write captures, sorted by key, as compressed blocks (rows first_key, last_key, lines, block) under path/blocks,
-    and the sparse directory (first_key, file, row) as path/directory. No block holds more than block_lines lines."""
+    """Write captures, sorted by key, under path: for each range of keys a file of compressed blocks, and its directory
+    (lines of first key, last key, byte offset, byte length), and as path/root rows (first_key, last_key, file, blocks), one for each
+    such file. No block holds more than block_lines lines; a key's lines may go on in the next block or file."""
     spark = captures.sparkSession
     ordered = captures.repartitionByRange(common.shuffle_partitions(spark), "url_key", "archive", "offset").sortWithinPartitions("url_key", "archive", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        system, folder = filesystem(path)
+        name, at = uuid.uuid4().hex, 0
+        out, held, directory = None, [], []
+        try:
+            for batch in (*batches, None):
+                if batch is not None:
+                    held += zip(*(batch.column(n).to_pylist() for n in _LINES.names), strict=True)
+                while len(held) >= block_lines or batch is None and held:
+                    lines, held = held[:block_lines], held[block_lines:]
+                    if out is None:
+                        system.create_dir(folder, recursive=True)
+                        out = system.open_output_stream(f"{folder}/{name}.blocks", compression=None)
+                    block = gzip.compress("".join(json.dumps(x) + "\n" for x in lines).encode(), 6, mtime=0)
+                    out.write(block)
+                    directory.append((lines[0][0], lines[-1][0], at, len(block)))
+                    at += len(block)
+        finally:
+            if out is not None:
+                out.close()
+        if directory:
+            with system.open_output_stream(f"{folder}/{name}.directory", compression=None) as f:
+                f.write("".join(json.dumps(x) + "\n" for x in directory).encode())
+            yield _rows([(directory[0][0], directory[-1][1], name, len(directory))], _ROOT)
 
-        def block() -> pa.RecordBatch:
-            body = "".join(json.dumps([k, *rest]) + "\n" for k, *rest in held)
-            return pa.RecordBatch.from_arrays([pa.array([held[0][0]]), pa.array([held[-1][0]]), pa.array([len(held)], pa.int32()), pa.array([gzip.compress(body.encode(), 6, mtime=0)], pa.binary())], names=_BLOCKS.names)
+    ordered.mapInArrow(run, _ROOT).write.parquet(f"{path}/root")
 
-        for batch in batches:
-            for row in zip(*(batch.column(n).to_pylist() for n in ("url_key", "id", "archive", "offset", "length")), strict=True):
-                held.append(row)
-                if len(held) >= block_lines:
-                    yield block()
-                    held = []
-        if held:
-            yield block()
 
-    ordered.mapInArrow(run, _BLOCKS).write.parquet(f"{path}/blocks")
-    blocks = spark.read.schema(_BLOCKS).parquet(f"{path}/blocks")
-    blocks.select("first_key", "last_key", "lines", F.xxhash64("block").alias("block_id")).write.parquet(f"{path}/directory")
+def _overlapping(ranges: list[tuple], lasts: list[str], key: str) -> Iterator[tuple]:
+    """Those of sorted ranges (first key, last key, ..) that may hold the key, found by bisection."""
+    i = bisect_left(lasts, key)
+    while i < len(ranges) and ranges[i][0] <= key:
+        yield ranges[i]
+        i += 1
 
 
 class CaptureIndex:
-    """Look-ups in an index: the sparse directory is held, blocks are read when a key falls into them."""
+    """Look-ups in an index. The root is held: a row for each task that built the index, however many captures there are."""
 
     def __init__(self, spark, path: str):
         self.spark, self.path = spark, path
-        self.directory = sorted((r[0], r[1], r[2]) for r in spark.read.parquet(f"{path}/directory").select("first_key", "last_key", "block_id").collect())
-        self.firsts = [d[0] for d in self.directory]
-
-    def blocks_for(self, key: str) -> list[int]:
-        """Blocks that may hold the key: the last whose first key is under it, and those that begin with it."""
-        i = bisect_right(self.firsts, key) - 1
-        found = []
-        while i >= 0 and self.directory[i][1] >= key:
-            found.append(self.directory[i][2])
-            i -= 1
-        return found
-
-    def lookup(self, urls: list[str]) -> DataFrame:
-        """Captures (url_key, id, archive, offset, length) of some URLs; only blocks that may hold them are decompressed."""
-        keys = sorted({url_key(u) for u in urls})
-        wanted = sorted({b for k in keys for b in self.blocks_for(k)})
-        rows = self.spark.read.schema(_BLOCKS).parquet(f"{self.path}/blocks").where(F.xxhash64("block").isin(wanted))
-        return lines_of(rows).where(F.col("url_key").isin(keys))
+        self.root = sorted((r["first_key"], r["last_key"], r["file"]) for r in spark.read.schema(_ROOT).parquet(f"{path}/root").collect())
 
+    def blocks_of(self, keys: DataFrame) -> DataFrame:
+        """Rows (url_key, file, offset, length): the blocks that may hold each of keys (distinct url_key), by the root and the directories.
 
-def lines_of(blocks: DataFrame) -> DataFrame:
-    """Captures of compressed blocks."""
+        Keys are sorted, so a task opens a directory once and holds one at a time.
+        """
+        path, root = self.path, self.root
+        lasts = [r[1] for r in root]
+        schema = "url_key string, file string, offset long, length long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for blob in batch.column("block").to_pylist():
-                rows = [json.loads(x) for x in gzip.decompress(blob).decode().splitlines()]
-                columns = zip(*rows, strict=True)
-                kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["url_key", "id", "archive", "offset", "length"])
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            system, folder = filesystem(path)
+            now, directory, ends = None, [], []
+            for batch in batches:
+                rows = []
+                for key in batch.column("url_key").to_pylist():
+                    for _, _, file in _overlapping(root, lasts, key):
+                        if file != now:
+                            with system.open_input_stream(f"{folder}/{file}.directory", compression=None) as f:
+                                directory = [json.loads(x) for x in f.read().decode().splitlines()]
+                            now, ends = file, [d[1] for d in directory]
+                        rows += [(key, file, at, n) for _, _, at, n in _overlapping(directory, ends, key)]
+                columns = zip(*rows, strict=True) if rows else ([],) * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["url_key", "file", "offset", "length"])
+
+        parts = common.shuffle_partitions(self.spark)
+        return keys.select("url_key").repartitionByRange(parts, "url_key").sortWithinPartitions("url_key").mapInArrow(run, schema)
+
+    def captures(self, keys: DataFrame) -> DataFrame:
+        """Captures (url_key, id, archive, offset, length) of keys (distinct url_key); only blocks that may hold one are read.
+
+        Blocks are dealt out evenly, so the captures of one frequent key are not read by one task.
+        """
+        path = self.path
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            system, folder = filesystem(path)
+            name, source, place, keys, lines = None, None, None, set(), []
+
+            def found() -> Iterator[pa.RecordBatch]:
+                if rows := [x for x in lines if x[0] in keys]:
+                    yield _rows(rows, _LINES)
+
+            try:
+                for batch in batches:
+                    for key, file, at, n in zip(*(batch.column(c).to_pylist() for c in ("url_key", "file", "offset", "length")), strict=True):
+                        if (file, at) != place:
+                            yield from found()
+                            if file != name:
+                                if source is not None:
+                                    source.close()
+                                name, source = file, system.open_input_file(f"{folder}/{file}.blocks")
+                            place, keys = (file, at), set()
+                            lines = [tuple(json.loads(x)) for x in gzip.decompress(source.read_at(n, at)).decode().splitlines()]
+                        keys.add(key)
+                yield from found()
+            finally:
+                if source is not None:
+                    source.close()
+
+        parts = common.shuffle_partitions(self.spark)
+        return self.blocks_of(keys).repartition(parts, "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(run, _LINES)
 
-    return blocks.select("block").mapInArrow(run, "url_key string, id long, archive string, offset long, length long")
+    def lookup(self, urls: list[str]) -> DataFrame:
+        """captures() of some URLs."""
+        keys = sorted({url_key(u) for u in urls})
+        return self.captures(self.spark.createDataFrame([(k,) for k in keys], "url_key string"))
 
 
 def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Rows (key, payload_bytes, payload_digest, record_type, refers_to) of every page, as read back from archives through the index.
+    """Rows (key, payload_bytes, payload_digest, record_type, refers_to) of every page, as read back from archives by looking
+    up each different url key in the index.
 
     Null html is an empty payload, null url an empty one. Rows with equal ids are written each; of equal payloads those
     with the smallest id are responses. A null id is written and read back as null, and never revisits. An empty table
-    gives no rows. Other columns are not read. Ids are whole numbers.
+    gives no rows. Other columns are not read. Ids are whole numbers. A very long payload is one record, read alone.
     """
     spark = pages.sparkSession
     scratch = common.Scratch(spark, "warc")
@@ -274,7 +351,7 @@ def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
     captures = scratch.write(write_archives(pages, archives, key, url, html), "captures")
     index = scratch.path("index")
     build_index(captures, index)
-    found = lines_of(spark.read.schema(_BLOCKS).parquet(f"{index}/blocks"))
+    found = CaptureIndex(spark, index).captures(captures.select("url_key").distinct())
     read = read_ranges(_by_archive(found), archives)
     return read.select(F.col("id").alias(key), "payload_bytes", "payload_digest", "record_type", "refers_to")
 

@@ -13,6 +13,7 @@ import numpy as np
 import oracle
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from test_core import shingle_set
 
 from quillspark.llm import chat_format, common, fingerprints, html_extraction, jaccard_join, language_id, packing, piece_encoding, quality_rules, queries, token_counts, warc
@@ -361,13 +362,44 @@ def test_capture_index(spark):
     captures = scratch.write(warc.write_archives(pages, folder), "captures")
     warc.build_index(captures, at, block_lines=4)
     index = warc.CaptureIndex(spark, at)
-    assert len(index.directory) >= 25 and index.firsts == sorted(index.firsts)
+    assert sum(r["blocks"] for r in spark.read.parquet(f"{at}/root").collect()) >= 25 and len(index.root) <= common.shuffle_partitions(spark)
+    wanted = spark.createDataFrame([(warc.url_key("http://h3.org/p5"),), (warc.url_key("http://none.org/"),)], "url_key string")
+    assert 1 <= index.blocks_of(wanted).count() <= 3  # of 25 and more
     found = index.lookup(["http://www.h3.org/p5", "http://none.org/"])
     assert {r["id"] for r in found.collect()} == {i for i in range(100) if i % 7 == 3 and i // 2 == 5}
     read = warc.read_ranges(found, folder, with_payload=True).collect()
     assert {bytes(r["payload"]).decode() for r in read} == {f"page {r['id']}" for r in read}
 
 
+def test_capture_index_opens_only_blocks_that_it_needs(spark, tmp_path):
+    """With all other bytes of the block files spoilt, a look-up still gives its captures; a frequent key spans files."""
+    urls = ["http://a.org/hot"] * 300 + [f"http://b{i:03}.org/" for i in range(100)]
+    captures = spark.createDataFrame([(i, warc.url_key(u), "x", i, 1) for i, u in enumerate(urls)], "id long, url_key string, archive string, offset long, length long").repartition(3)
+    at = str(tmp_path / "index")
+    warc.build_index(captures, at, block_lines=8)
+    index = warc.CaptureIndex(spark, at)
+    keys = spark.createDataFrame([(warc.url_key(u),) for u in ("http://b007.org/", "http://b050.org", "http://a.org/zzz")], "url_key string")
+    good = {(r["file"], r["offset"]): r["length"] for r in index.blocks_of(keys).collect()}
+    for path in (tmp_path / "index").glob("*.blocks"):
+        data = bytearray(path.read_bytes())
+        keep = {j for (f, o), n in good.items() if f == path.stem for j in range(o, o + n)}
+        path.write_bytes(bytes(x if j in keep else 0 for j, x in enumerate(data)))
+    for crc in (tmp_path / "index").glob(".*.crc"):
+        crc.unlink()
+    assert {r["id"] for r in index.captures(keys).collect()} == {307, 350}
+    warc.build_index(captures, str(tmp_path / "again"), block_lines=8)
+    hot = warc.CaptureIndex(spark, str(tmp_path / "again")).lookup(["http://a.org/hot"])
+    assert sorted(r["id"] for r in hot.collect()) == list(range(300))
+
+
+def test_warc_with_long_payloads_and_clashing_names(spark):
+    body = "é<p>" * 700_000
+    pages = [(1, "u", body, "x"), (2, "u", body, "y"), (3, "v", body + ".", "z")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, payload_digest string").withColumn("_sha", F.lit(1)).withColumn("offset", F.lit("o"))
+    rows = {r["page_id"]: r for r in warc.round_trip(df).collect()}
+    assert rows[1]["payload_bytes"] == len(body.encode()) and rows[2]["refers_to"] == 1 and rows[3]["record_type"] == "response"
+
+
 def test_chats(spark):
     turns = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "a"), (3, 0, "user", "a"), (3, 1, "assistant", "b"), (3, 1, "assistant", "b"), (4, 0, "user", "x"), (5, 0, None, None), (None, 0, "user", "lost"), (6, 0, "user", "a"), (6, 1, "assistant", "c")]
     df = spark.createDataFrame([(*t, "z") for t in turns], "conv_id long, turn long, role string, text string, n_turns string").repartition(3)
