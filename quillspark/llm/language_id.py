@@ -8,6 +8,7 @@ profile lacks count as PROFILE places. The nearest language wins.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -21,7 +22,8 @@ from pyspark.sql.window import Window
 
 from . import common
 
-#: n-grams of a profile, characters of the longest n-gram, labelled documents of each language that are learned from, and languages.
+#: n-grams of a profile, characters of the longest n-gram, labelled documents of each language that are learned from, and
+#: languages; the last two are parameters of learn() and bound what is learned from labelled rows.
 PROFILE = 400
 LONGEST = 4
 LEARNED = 1_000
@@ -35,8 +37,8 @@ PAD = 1
 
 @cache
 def _letters() -> np.ndarray:
-    """For each code point of the basic plane, itself if it is a letter, else the pad."""
-    return np.array([c if not 0xD800 <= c < 0xE000 and chr(c).isalpha() else PAD for c in range(1 << 16)], np.uint32)
+    """For each code point of the basic plane, itself if it is a letter or a mark on one, else the pad."""
+    return np.array([c if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c))[0] in "LM" else PAD for c in range(1 << 16)], np.uint32)
 
 
 def _codes(text: str) -> np.ndarray:
@@ -57,7 +59,7 @@ def _codes(text: str) -> np.ndarray:
 def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams of the text as 64-bit numbers, and their counts. Without a letter there are none."""
     c = _codes(text)
-    if len(c) < 3:
+    if len(c) < 3 or not any(map(str.isalpha, text)):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     found, grams = [c[c != PAD]], c
     for n in range(2, LONGEST + 1):
@@ -118,16 +120,16 @@ def held_out(key: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
 
 
-def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", learned: int = LEARNED) -> Profiles:
+def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", learned: int = LEARNED, languages: int = LANGUAGES) -> Profiles:
     """Profiles from labelled documents that are not held out: of each language about `learned`, by the lowest hashes of the key.
 
     A language with n documents takes those whose hash lies in the lowest learned / n of the range, so choosing needs
-    no sort and no join. The LANGUAGES most frequent labels are learned; as many counts, and PROFILE rows for each,
+    no sort and no join. The `languages` most frequent labels are learned; as many counts, and PROFILE rows for each,
     reach the driver.
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key)))
     rows = rows.select(F.xxhash64(F.col(key)).alias("_hash"), F.col(lang).alias("_lang"), F.col(text).alias("_text"))
-    counts = rows.groupBy("_lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_lang").limit(LANGUAGES).collect()
+    counts = rows.groupBy("_lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_lang").limit(languages).collect()
     if not counts:
         return Profiles({})
     highest = {r["_lang"]: min(2**63 - 1, -(2**63) + (learned << 64) // r["n"]) for r in counts}

@@ -67,7 +67,8 @@ class PieceModel:
         self.map = CharsMap(n.precompiled_charsmap) if n.precompiled_charsmap else None
         self.prefix, self.fold, self.escape = n.add_dummy_prefix, n.remove_extra_whitespaces, n.escape_whitespaces
         self.suffix = proto.trainer_spec.treat_whitespace_as_suffix
-        self.own = [p.piece.encode() for p in proto.pieces if p.type == 4]
+        #: User-defined pieces, the longest first.
+        self.own = sorted((p.piece.encode() for p in proto.pieces if p.type == 4), key=len, reverse=True)
         kinds = np.array([p.type for p in proto.pieces])
         #: Bytes that a piece takes of the normalised text: one for a byte piece, none for a control piece.
         self.widths = np.where(kinds == 6, 1, np.where(kinds == 3, 0, [len(p.piece.encode()) for p in proto.pieces]))
@@ -89,7 +90,7 @@ class PieceModel:
         units: list[tuple[bytes, int]] = []
         k = 0
         while k < len(data):
-            own = next((p for p in sorted(self.own, key=len, reverse=True) if data.startswith(p, k)), None)
+            own = next((p for p in self.own if data.startswith(p, k)), None)
             hit = (len(own), own) if own else self.map.longest(data, k) if self.map else None
             if hit is None:
                 width = 1 if data[k] < 0x80 else 2 if data[k] < 0xE0 else 3 if data[k] < 0xF0 else 4
@@ -154,16 +155,17 @@ def model(path: str) -> PieceModel:
 
 
 def encode_pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", digests: bool = False) -> DataFrame:
-    """Rows (key, ids, begins, ends, decoded), or with digests (key, n_tokens, ids_sha256, decoded_sha256, n_spans_bytes).
+    """Rows (key, ids, begins, ends, decoded), or with digests (key, n_tokens, ids_sha256, decoded_sha256, n_spans_bytes, spans_sha256).
 
     Ids are the library's for the whole text with an end id, no sampling; begins and ends are byte offsets
     into the UTF-8 text; decoded is decode(ids). n_spans_bytes is the number of source bytes that the spans
-    cover. Null or empty text: the end id alone, decoded "". Repeated rows are encoded each; an empty table
+    cover, spans_sha256 the digest of all begins and ends, id by id, as little-endian 64-bit numbers. A very long text is
+    encoded whole. Null or empty text: the end id alone, decoded "". Repeated rows are encoded each; an empty table
     gives no rows; other columns are not read.
     """
     kind = docs.schema[key].dataType
     full = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("begins", T.ArrayType(T.LongType())), T.StructField("ends", T.ArrayType(T.LongType())), T.StructField("decoded", T.StringType())]
-    short = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), T.StructField("n_spans_bytes", T.LongType())]
+    short = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), T.StructField("n_spans_bytes", T.LongType()), T.StructField("spans_sha256", T.StringType())]
     schema = T.StructType([T.StructField(key, kind), *(short if digests else full)])
     names = schema.names
 
@@ -173,16 +175,16 @@ def encode_pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
             texts = common.strings(batch.column("_text"))
             coded = [x + [m.end] for x in m.processor.encode(texts, num_threads=1)]
             plain = m.processor.decode(coded, num_threads=1)
-            columns: list[list] = [[], [], [], []]
+            columns: list[list] = [[] for _ in names[1:]]
             for t, ids, d in zip(texts, coded, plain, strict=True):
                 span = m.spans(t.encode(), np.array(ids))
                 if digests:
-                    row = (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(d.encode()).hexdigest(), int((span[:, 1] - span[:, 0]).sum()))
+                    row = (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(d.encode()).hexdigest(), int((span[:, 1] - span[:, 0]).sum()), hashlib.sha256(span.astype("<i8").tobytes()).hexdigest())
                 else:
                     row = (ids, span[:, 0], span[:, 1], d)
                 for c, v in zip(columns, row, strict=True):
                     c.append(v)
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64()] if digests else [pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string()]
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()] if digests else [pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column("_key"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=names)
 
     return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(run, schema)

@@ -100,7 +100,14 @@ def test_pieces(spark, edge, empty):
     p = piece_encoding.model(path).processor
     rows = piece_encoding.encode_pieces(edge, path, digests=True).collect()
     want = sorted((k or -1, len(i := p.encode(x or "") + [p.eos_id()]), hashlib.sha256(" ".join(map(str, i)).encode()).hexdigest(), hashlib.sha256(p.decode(i).encode()).hexdigest(), len((x or "").encode())) for k, x in EDGE)
-    assert sorted((r["doc_id"] or -1, *r[1:]) for r in rows) == want
+    assert sorted((r["doc_id"] or -1, *r[1:5]) for r in rows) == want
+    # Spans by the library's own byte offsets, for texts without characters that it takes apart.
+    for k, x in EDGE:
+        pieces = p.encode(x or "", return_type="proto").pieces
+        if all(not q.piece.startswith("<0x") for q in pieces):
+            end = len((x or "").encode())
+            span = np.array([*((q.begin, q.end) for q in pieces), (end, end)], "<i8")
+            assert hashlib.sha256(span.tobytes()).hexdigest() in {r["spans_sha256"] for r in rows if r["doc_id"] == k}
     full = piece_encoding.encode_pieces(edge, path)
     back = {r["doc_id"]: r["text"] for r in piece_encoding.decode_pieces(full, path).collect()}
     assert back[6] == EDGE[6][1] and back[2] == ""
@@ -329,6 +336,44 @@ def test_language_id(spark, edge, empty):
     assert language_id.identify(edge, profiles, keep=["text", "length"]).columns == ["text", "length", "lang_pred", "score"]
 
 
+def brute_profile(text, size):
+    """Ranks by Counter: n-grams of letter runs padded with one mark, most frequent first, then by packed code points."""
+    counts = Counter()
+    for word in "".join(c if c.isalpha() else " " for c in text.lower()).split():
+        padded = chr(language_id.PAD) + word + chr(language_id.PAD)
+        counts.update(word)
+        for n in range(2, language_id.LONGEST + 1):
+            counts.update(padded[i : i + n] for i in range(len(padded) - n + 1))
+    number = lambda g: sum(ord(c) << 16 * (len(g) - 1 - i) for i, c in enumerate(g))
+    return counts, [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], number(x[0])))][:size]
+
+
+def test_language_id_against_brute_force(spark):
+    docs = common.read(spark, oracle.SMALL, "documents").collect()
+    total = defaultdict(Counter)
+    for r in docs:
+        if r["lang"] is not None and r["text"] is not None and not language_id.is_held_out(r["doc_id"]):
+            total[r["lang"]].update(brute_profile(r["text"], 0)[0])
+    number = lambda g: sum(ord(c) << 16 * (len(g) - 1 - i) for i, c in enumerate(g))
+    size = language_id.PROFILE
+    ranks = {lang: {g: i for i, (g, _) in enumerate(sorted(c.items(), key=lambda x: (-x[1], number(x[0])))[:size])} for lang, c in total.items()}
+    got = {r["doc_id"]: r for r in queries.op4_language_id(spark, oracle.SMALL).collect()}
+    for r in docs:
+        own = brute_profile(r["text"] or "", size)[1]
+        away = {lang: sum(abs(at[g] - i) if g in at else size for i, g in enumerate(own)) for lang, at in ranks.items()}
+        want = min(sorted(away), key=away.__getitem__) if own else "und"
+        assert got[r["doc_id"]]["lang_pred"] == want
+        assert abs(got[r["doc_id"]]["score"] - (1 - away[want] / (size * len(own)) if own else 0)) < 1e-12
+
+
+def test_equally_near_languages_and_marks():
+    """Of equally near languages the first by name wins; marks belong to their letters, and alone are no text."""
+    same = language_id.profile("one and the same text").tolist()
+    assert language_id.Profiles({"b": same, "a": same}).nearest("the same")[0] == "a"
+    hindi = language_id.ngrams("\u0939\u093f\u0928\u094d\u0926\u0940")[0]
+    assert len(language_id.ngrams("\u0939 \u0928 \u0926")[0]) != len(hindi) and not len(language_id.ngrams("\u093f \u094d")[0])
+
+
 def test_html(spark):
     pages = [(1, "u", "<nav><a href=x>Menu</a></nav><article><h1>Title</h1><p>Some  text &amp; more.</p></article><footer>&copy; me</footer>"), (2, None, None), (2, None, None), (3, "v", "")]
     df = spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, text int")
