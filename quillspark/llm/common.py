@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -59,6 +60,32 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(kind, path: str, **options):
+    """One object, such as a tokenizer with its memo, for each worker process, until release()."""
+    key = (kind, path, *sorted(options.items()))
+    if key not in _KEPT:
+        _KEPT[key] = kind(path, **options)
+    return _KEPT[key]
+
+
+def release() -> None:
+    """Give a worker's memory back before other work: what is kept, Arrow's unused buffers, and what malloc holds free."""
+    _KEPT.clear()
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the machine; workers live on and would hold it beside the next task's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library than glibc
+
+
 def strings(array: pa.Array) -> list[str]:
     """Python strings; null becomes empty, invalid UTF-8 is replaced."""
     try:

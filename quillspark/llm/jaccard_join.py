@@ -41,12 +41,12 @@ from .components import components
 from .shingles import WIDTH, mix, set_digests, shingles, text_bytes
 
 #: Bytes of text in a block, and in one go of the hashing inside it.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 HASH_BYTES = 1 << 20
 #: Ranges of the hash space for each shuffle partition.
 RANGES = 4
 #: Bytes of shared hashes in a block of nodes.
-NODE_BYTES = 8 << 20
+NODE_BYTES = 4 << 20
 #: The largest l, the cost of a candidate in keys, and the keys of a node for which an l over 1 is still chosen. Every l finds all
 #: links: with more keys than that a node takes the next smaller one, at last l = 1 with a key for each token of its prefix.
 MOST_MATCHES = 3
@@ -104,6 +104,7 @@ def _rows(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
 
 def _split(percent: int, width: int, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
         first, number = TaskContext.get().partitionId() << 32, 0
         for block in common.slices_by_bytes(batches, "_text", BLOCK_BYTES):
             flats, sizes, one, two = [], [], [], []
@@ -169,6 +170,8 @@ def _by(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[int, l
             held.append((block, kind, payload))
     if held:
         yield now, held
+    del held
+    common.trim()
 
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,6 +241,7 @@ def _counted(ranges: int):
     """Blocks of nodes tell each range how many of their nodes have a hash, and the sum of those nodes' digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
         first, number = TaskContext.get().partitionId() << 32, 0
         for part in common.slices_by_bytes(batches, "tokens", NODE_BYTES):
             block = first + number

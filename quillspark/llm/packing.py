@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .segments import WordPieces, kept
+from .segments import WordPieces
 
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
@@ -156,7 +156,7 @@ def pack_documents(
     end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = kept(WordPieces, tokenizer)
+        coder = common.kept(WordPieces, tokenizer)
         first = TaskContext.get().partitionId() * SEQUENCES
         number = step = 0
 
@@ -188,5 +188,6 @@ def pack_documents(
                 keys, ids, held = [], [], 0
         if ids:
             yield from flush(keys, ids)
+        common.trim()
 
     return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(run, T.StructType(fields))

@@ -79,7 +79,7 @@ class WordPieces:
     GO = 20_000
     ENTRY = 150
 
-    def __init__(self, path: str, most_bytes: int = 56 << 20):
+    def __init__(self, path: str, most_bytes: int = 40 << 20):
         self.tokenizer, self.most_bytes = load(path), most_bytes
         self.cut = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{self.LETTERS}]+|[0-9]|[^\\s{self.LETTERS}0-9]+")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -189,14 +189,3 @@ class WordPieces:
             known = dict(zip(kinds, self._library(kinds), strict=True))
             out.append(b"".join(map(known.__getitem__, parts)))
         return out
-
-
-_KEPT: dict[tuple, object] = {}
-
-
-def kept(kind, path: str, **options):
-    """One memo for each worker process."""
-    key = (kind, path, *sorted(options.items()))
-    if key not in _KEPT:
-        _KEPT[key] = kind(path, **options)
-    return _KEPT[key]

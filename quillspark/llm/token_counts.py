@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .segments import SEGMENT, LengthMemo, kept
+from .segments import SEGMENT, LengthMemo
 
 #: Bytes of text encoded in one go, and code points beyond which a text is split.
 BATCH_BYTES = 4 << 20
@@ -45,7 +45,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("n_bytes", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = kept(LengthMemo, tokenizer)
+        memo = common.kept(LengthMemo, tokenizer)
         for batch in common.slices_by_bytes(batches, "_text", BATCH_BYTES):
             texts = common.strings(batch.column("_text"))
             parts, owner = [], []
