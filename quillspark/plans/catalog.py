@@ -5,6 +5,6 @@ from __future__ import annotations
 from . import advisory, facts, logs, retrieval, solver
 from .shared import plain, spark_query
 
-_SHARED = facts.SHARED | advisory.SHARED
-QUERIES = retrieval.QUERIES | {name: spark_query(sql) for name, sql in _SHARED.items()} | solver.QUERIES | logs.QUERIES
-ORACLE_SQL = retrieval.ORACLE_SQL | {name: plain(sql) for name, sql in _SHARED.items()} | solver.ORACLE_SQL | logs.ORACLE_SQL
+_SHARED = advisory.SHARED
+QUERIES = retrieval.QUERIES | facts.QUERIES | {name: spark_query(sql) for name, sql in _SHARED.items()} | solver.QUERIES | logs.QUERIES
+ORACLE_SQL = retrieval.ORACLE_SQL | facts.ORACLE_SQL | {name: plain(sql) for name, sql in _SHARED.items()} | solver.ORACLE_SQL | logs.ORACLE_SQL
