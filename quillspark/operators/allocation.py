@@ -101,21 +101,38 @@ class Book:
             cash += self.top_up(spare) - spare
         return cash
 
+    def broken(self, cash: float) -> bool:
+        """Whether some limit is still broken."""
+        held = self.w > TOL
+        sums = [(self.kind, self.c.class_cap), (self.issuer, self.c.issuer_cap)]
+        return bool(
+            (self.w > self.c.single_cap + 1e-6).any() or (held & (self.w + 1e-6 < self.entry)).any() or cash + (self.w * self.liquid).sum() + 1e-6 < self.c.liquidity_floor
+            or any(self.w[names == n].sum() > cap + 1e-6 for names, cap in sums for n in np.unique(names[held]))
+        )
+
     def solve(self) -> float:
         self.start()
         self.top_up(max(0.0, 1 - self.w.sum() - RESERVE))
         self.w[(self.w > 0) & (self.w * self.c.amount < self.p.min_investment.to_numpy())] = 0.0
         self.top_up(max(0.0, 1 - self.w.sum() - RESERVE))
-        return self.repair()
+        cash = self.repair()
+        if self.broken(cash):  # no way to keep the limits was found: all cash
+            self.w[:], cash = 0.0, 1.0
+        return cash
+
 
+def allocate(candidates: DataFrame, keys: tuple[str, ...] = ("client_id",)) -> DataFrame:
+    """Rows (*keys, product_id, weight), cash as product 'cash', from rows of clients with one admissible product each.
 
-def allocate(candidates: DataFrame) -> DataFrame:
-    """Rows (client_id, product_id, weight), cash as product 'cash', from rows of clients with one admissible product each."""
+    A group is one portfolio, as long as the catalogue of products at most.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         book = Book(rows.iloc[0], rows)
         cash = book.solve()
         held = book.w > TOL
-        return pd.DataFrame({"client_id": rows.client_id.iloc[0], "product_id": [*book.p.product_id[held], "cash"], "weight": [*np.round(book.w[held], 9), round(max(0.0, cash), 9)]})
+        own = {k: rows[k].iloc[0] for k in keys}
+        return pd.DataFrame(own | {"product_id": [*book.p.product_id[held], "cash"], "weight": [*np.round(book.w[held], 9), round(max(0.0, cash), 9)]})
 
-    return candidates.groupBy("client_id").applyInPandas(run, "client_id long, product_id string, weight double")
+    fields = ", ".join(f"{k} {candidates.schema[k].dataType.simpleString()}" for k in keys)
+    return candidates.groupBy(*keys).applyInPandas(run, f"{fields}, product_id string, weight double")

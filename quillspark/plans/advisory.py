@@ -1,7 +1,17 @@
-"""Clients, products, screening, portfolios, suitability, stress, versions: plans over the relational tables."""
+"""Clients, products, screening, portfolios, suitability, stress, versions: plans over the relational tables.
+
+Queries are DataFrame plans of operators.advice and operators.versions; the SQL is written on its own, for DuckDB.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import advice, versions
+from ..session import table
+from .shared import plain
+
 CLIENTS = """
 clients AS (
   SELECT c_custkey AS client_id, CAST(20 + c_custkey % 60 AS INT) AS age, CAST(1 + c_custkey % 5 AS INT) AS risk_capacity,
@@ -116,7 +126,10 @@ varied AS (
     greatest(CAST(0.01 AS DOUBLE), c.single_cap * v.cap_factor) AS single_cap, least(CAST(1 AS DOUBLE), c.liquidity_floor + v.liquidity_step) AS liquidity_floor
   FROM clients c JOIN (SELECT * FROM {_VARIANTS}) v ON TRUE),
 allowed AS (SELECT v.client_id, v.variant, h.product_id, round(least(h.weight, v.single_cap), 9) AS weight
-  FROM varied v JOIN holdings h ON h.client_id = v.client_id JOIN products p ON p.product_id = h.product_id WHERE p.risk_level <= v.risk_capacity AND p.horizon <= v.horizon + {_EPS})"""
+  FROM varied v JOIN holdings h ON h.client_id = v.client_id JOIN products p ON p.product_id = h.product_id WHERE p.risk_level <= v.risk_capacity AND p.horizon <= v.horizon + {_EPS}),
+with_cash AS (SELECT * FROM allowed UNION ALL
+  SELECT v.client_id, v.variant, 'cash', round(1 - coalesce(a.invested, 0), 9) FROM varied v JOIN (SELECT DISTINCT client_id FROM holdings) h USING (client_id)
+    LEFT JOIN (SELECT client_id, variant, sum(weight) AS invested FROM allowed GROUP BY ALL) a USING (client_id, variant))"""
 VERSIONS = """
 versions AS (
   SELECT user_id AS client_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS version, event_id, event_type AS status, value
@@ -146,8 +159,151 @@ SHARED = {
       FROM versions a JOIN versions b ON b.client_id = a.client_id AND b.version = a.version - 1 WHERE abs(a.value - b.value) > {_EPS} OR a.status <> b.status""",
     "trace_summary": "SELECT event_type AS step, count(*) AS n, round(sum(value), 4) AS total_ms, round(avg(value), 4) AS mean_ms, max(value) AS worst_ms, count(DISTINCT user_id) AS runs FROM {events} GROUP BY event_type",
 }
-SHARED["counterfactual_diff"] = f"""WITH {VARIANTS}, base AS (SELECT * FROM allowed WHERE variant = 'base')
-      SELECT b.client_id, v.variant, b.product_id, round(coalesce(a.weight, CAST(0 AS DOUBLE)) - b.weight, 9) AS delta
-      FROM base b JOIN (SELECT variant FROM {_VARIANTS} WHERE variant <> 'base') v ON TRUE
-      LEFT JOIN allowed a ON a.client_id = b.client_id AND a.product_id = b.product_id AND a.variant = v.variant
-      WHERE abs(coalesce(a.weight, CAST(0 AS DOUBLE)) - b.weight) > {_EPS}"""
+SHARED["counterfactual_diff"] = f"""WITH {VARIANTS}
+      SELECT client_id, variant, product_id, round(coalesce(v.weight, 0) - coalesce(b.weight, 0), 9) AS delta
+      FROM (SELECT * FROM with_cash WHERE variant <> 'base') v
+      FULL JOIN (SELECT b.client_id, n.variant, b.product_id, b.weight FROM with_cash b CROSS JOIN (SELECT variant FROM {_VARIANTS} WHERE variant <> 'base') n WHERE b.variant = 'base') b USING (client_id, variant, product_id)
+      WHERE abs(coalesce(v.weight, 0) - coalesce(b.weight, 0)) > {_EPS}"""
+ORACLE_SQL = {name: plain(sql) for name, sql in SHARED.items()}
+
+
+def clients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, balance = F.col("c_custkey"), F.abs("c_acctbal")
+    tenth = lambda least, steps: (least + key % steps).cast("double") / 10
+    return table(spark, sf_dir, "customer").select(
+        key.alias("client_id"), (20 + key % 60).cast("int").alias("age"), (1 + key % 5).cast("int").alias("risk_capacity"), ((key % 10).cast("double") + 0.5).alias("horizon"),
+        tenth(F.lit(0), 4).alias("liquidity_floor"), tenth(F.lit(2), 3).alias("single_cap"), tenth(F.lit(5), 3).alias("class_cap"), tenth(F.lit(3), 3).alias("issuer_cap"),
+        (10000.0 + balance * 20).alias("amount"), F.when(key % 7 == 0, "USD").otherwise("CNY").alias("currency"),
+        F.when(key % 6 == 0, "equity").when(key % 11 == 0, "derivative").otherwise("none").alias("prohibited_class"), (key % 4 == 0).alias("qualified"), (key % 3 == 0).alias("experienced"),
+        (key % 2 == 0).alias("dual_recorded"), ((key % 5).cast("double") / 500).alias("fee_budget"), balance.cast("double").alias("tax_quota"),
+    )
+
+
+def _class_of(size):
+    return F.element_at(F.array(*map(F.lit, ("derivative", *advice.CLASSES[:4]))), (size % 5 + 1).cast("int"))
+
+
+def _product_of():
+    return F.concat_ws("/", "p_brand", _class_of(F.col("p_size")))
+
+
+def products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One product for each brand and class: 125 rows at most, whatever the scale."""
+    low, high = F.min("p_size"), F.max("p_size")
+    kind = F.col("asset_class")
+    rows = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("issuer"), _class_of(F.col("p_size")).alias("asset_class")).agg(
+        low.alias("low"), high.alias("high"), F.avg("p_size").alias("size"), F.avg("p_retailprice").alias("price")
+    )
+    low, high = F.col("low"), F.col("high")
+    return rows.select(
+        F.concat_ws("/", "issuer", kind).alias("product_id"), "asset_class", "issuer", F.array_position(F.array(*map(F.lit, advice.CLASSES)), kind).cast("int").alias("risk_level"),
+        (low.cast("double") / 5).alias("horizon"), (low * 1000).cast("double").alias("min_investment"), advice.steady(0.02 + F.col("size") / 1000, 6).alias("expected_return"),
+        advice.steady(F.col("price") / 10000, 6).alias("volatility"), ((low % 10).cast("double") / 10).alias("liquidity"), ((high % 7).cast("double") / 500).alias("fee"),
+        F.when(low % 7 == 0, "USD").otherwise("CNY").alias("currency"), (kind == "derivative").alias("is_derivative"), (kind == "derivative").alias("needs_experience"),
+        (low % 9 == 0).alias("qualified_only"), (high % 2 == 0).alias("tax_advantaged"),
+    )
+
+
+def books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Portfolios of order lines by issuer and class: one scan of each table, the large joins once."""
+    lines, orders, part = (table(spark, sf_dir, n) for n in ("lineitem", "orders", "part"))
+    parts = part.select("p_partkey", _product_of().alias("product_id"))
+    held = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).join(parts, lines["l_partkey"] == parts["p_partkey"])
+    values = held.groupBy(F.col("o_custkey").alias("client_id"), "product_id").agg(F.sum("l_extendedprice").alias("value"))
+    return advice.portfolios(clients(spark, sf_dir), products(spark, sf_dir), values)
+
+
+def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return advice.violations(advice.portfolio_metrics(books(spark, sf_dir)))
+
+
+def screened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return advice.screen(clients(spark, sf_dir), products(spark, sf_dir))
+
+
+def screen_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = F.concat_ws("", F.transform("codes", lambda c: F.concat(c, F.lit(";"))))
+    return screened(spark, sf_dir).select("client_id", "p.product_id", codes.alias("reasons"), (F.size("codes") == 0).alias("included"))
+
+
+def screen_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = screened(spark, sf_dir).groupBy("client_id").agg(F.count("*").alias("n_products"), F.count_if(F.size("codes") == 0).alias("n_included"))
+    return counts.select("*", advice.steady(F.col("n_included").cast("double") / F.col("n_products"), 6).alias("included_ratio"))
+
+
+#: Least and greatest score, level, label.
+BANDS = ((0, 19, 1, "conservative"), (20, 39, 2, "steady"), (40, 59, 3, "balanced"), (60, 79, 4, "growth"), (80, 100, 5, "bold"))
+
+
+def score_to_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("client_id"), F.floor((F.col("c_acctbal") + 1000) / 11000 * 100).cast("int").alias("score"), (1 + F.col("c_custkey") % 5).cast("int").alias("archived"))
+    rows = rows.withColumn("b", advice.score_band(F.col("score"), BANDS))
+    return rows.select("client_id", "score", "b.level", "b.label", F.least("archived", "b.level").alias("effective_level"))
+
+
+def class_issuer_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = books(spark, sf_dir).select("client_id", F.explode(F.concat(
+        F.transform(advice.class_weights(F.col("held")), lambda s: F.struct(s["name"].alias("asset_class"), F.lit(None).cast("string").alias("issuer"), s["weight"].alias("weight"))),
+        F.transform(advice.issuer_weights(F.col("held")), lambda s: F.struct(F.lit(None).cast("string").alias("asset_class"), s["name"].alias("issuer"), s["weight"].alias("weight"))),
+    )).alias("s"))
+    return both.select("client_id", "s.asset_class", "s.issuer", advice.steady(F.col("s.weight"), 4).alias("weight"))
+
+
+def portfolio_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return advice.portfolio_metrics(books(spark, sf_dir)).select("client_id", "holding_count", "expected_return", "volatility", "fee", "liquidity", "max_single", "weighted_risk", "cash_weight")
+
+
+def suitability_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(spark, sf_dir).select("client_id", F.inline("violations")).select("client_id", "rule_id", "severity", "subject")
+
+
+def suitability_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feasible = screen_summary(spark, sf_dir).select("client_id", F.col("n_included").alias("n"))
+    return advice.gate(judged(spark, sf_dir), feasible)
+
+
+#: Fixed values of the stress tables: class betas by factor, shocks by scenario.
+BETAS = {"cash_fund": {"rate": -0.2}, "bond": {"rate": -4.0, "credit_spread": -3.0}, "mixed": {"rate": -2.0, "equity": 0.5, "credit_spread": -1.0}, "equity": {"equity": 1.0}, "derivative": {"equity": 1.5, "rate": -1.0}}
+SHOCKS = {"rates_up": {"rate": 0.02, "equity": -0.05}, "equity_crash": {"equity": -0.3, "credit_spread": 0.01}, "credit": {"credit_spread": 0.03, "equity": -0.1}}
+
+
+def counterfactual_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = advice.clipped(books(spark, sf_dir)).where(F.size("kept") > 0)
+    return rows.select("client_id", "variant", F.size("kept").cast("long").alias("n_products"), advice.steady(advice.total(F.col("kept"), lambda x: x["weight"]), 6).alias("invested"))
+
+
+def counterfactual_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a variant changes about the base, among present holdings and cash."""
+    rows = advice.clipped(books(spark, sf_dir))
+    cash = F.struct(F.lit("cash").alias("product_id"), advice.steady(1 - advice.total(F.col("kept"), lambda x: x["weight"]), 9).alias("weight"))
+    return advice.weight_changes(rows.select("client_id", "variant", F.inline(F.array_append("kept", cash))))
+
+
+def tighten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return advice.tighten(judged(spark, sf_dir)).drop("excluded")
+
+
+def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return versions.numbered(table(spark, sf_dir, "events").select(F.col("user_id").alias("client_id"), "ts", "event_id", F.col("event_type").alias("status"), "value"), "client_id", "ts", "event_id")
+
+
+def version_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return versions.chain(chain(spark, sf_dir), "client_id").select("client_id", "version", "parent_version", "status", "value", "next_version")
+
+
+def version_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return versions.changes(chain(spark, sf_dir), "client_id", "status", "value")
+
+
+def trace_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("step")).agg(
+        F.count("*").alias("n"), advice.steady(F.sum("value"), 4).alias("total_ms"), advice.steady(F.avg("value"), 4).alias("mean_ms"), F.max("value").alias("worst_ms"), F.count_distinct("user_id").alias("runs")
+    )
+
+
+QUERIES = {
+    "screen_products": screen_products, "screen_summary": screen_summary, "score_to_band": score_to_band, "class_issuer_concentration": class_issuer_concentration,
+    "portfolio_metrics": portfolio_metrics, "suitability_rules": suitability_rules, "suitability_gate": suitability_gate, "tighten": tighten,
+    "stress_test": lambda spark, sf_dir: advice.stress(books(spark, sf_dir), BETAS, SHOCKS), "counterfactual_coverage": counterfactual_coverage,
+    "counterfactual_diff": counterfactual_diff, "version_chain": version_chain, "version_diff": version_diff, "trace_summary": trace_summary,
+}

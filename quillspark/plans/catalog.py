@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 from . import advisory, facts, logs, retrieval, solver
-from .shared import plain, spark_query
 
-_SHARED = advisory.SHARED
-QUERIES = retrieval.QUERIES | facts.QUERIES | {name: spark_query(sql) for name, sql in _SHARED.items()} | solver.QUERIES | logs.QUERIES
-ORACLE_SQL = retrieval.ORACLE_SQL | facts.ORACLE_SQL | {name: plain(sql) for name, sql in _SHARED.items()} | solver.ORACLE_SQL | logs.ORACLE_SQL
+_MODULES = (retrieval, facts, advisory, solver, logs)
+QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}

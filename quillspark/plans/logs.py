@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..operators import versions
+from ..session import scratch_path, table
 from ..streaming import traces
 
 
 def snapshot_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hash of each logged snapshot's canonical text, and whether recomputing it gives the same."""
-    payload = F.concat_ws("|", F.col("event_id").cast("string"), F.col("user_id").cast("string"), "event_type", "props")
-    rows = table(spark, sf_dir, "events").select("event_id", F.left(F.sha2(payload, 256), F.lit(32)).alias("hash"), payload.alias("payload"))
-    return rows.select("event_id", "hash", (F.left(F.sha2("payload", 256), F.lit(32)) == F.col("hash")).alias("verified"))
+    """Hash of each logged snapshot as stored, and whether the snapshot as found later still has it: every tenth was altered."""
+    names = ["event_id", "event_type", "props", "user_id"]
+    stored = table(spark, sf_dir, "events").select(*names).withColumn("hash", versions.snapshot(versions.canonical(names, [F.col(n) for n in names])))
+    found = stored.withColumn("props", F.when(F.col("event_id") % 10 == 0, F.concat(F.coalesce("props", F.lit("")), F.lit("!"))).otherwise(F.col("props")))
+    return found.select("event_id", "hash", (versions.snapshot(versions.canonical(names, [F.col(n) for n in names])) == F.col("hash")).alias("verified"))
 
 
 def trace_days(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,13 +23,14 @@ def trace_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trace_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traces.stream_summary(spark, f"{sf_dir}/events.parquet")
+    return traces.stream_summary(spark, f"{sf_dir}/events.parquet", scratch_path(spark, "trace"))
 
 
 _DAYS = "SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type AS step, count(*) AS n, round(sum(value), 4) AS total_ms FROM events GROUP BY ALL"
 QUERIES = {"snapshot_hash": snapshot_hash, "trace_days": trace_days, "trace_stream": trace_stream}
 ORACLE_SQL = {
-    "snapshot_hash": "SELECT event_id, left(sha256(concat_ws('|', event_id::VARCHAR, user_id::VARCHAR, event_type, props)), 32) AS hash, TRUE AS verified FROM events",
+    "snapshot_hash": """SELECT event_id, left(sha256('{"event_id":' || event_id || ',"event_type":' || coalesce(to_json(event_type)::VARCHAR, 'null') || ',"props":' || coalesce(to_json(props)::VARCHAR, 'null') || ',"user_id":' || coalesce(user_id::VARCHAR, 'null') || '}'), 32) AS hash,
+      event_id % 10 <> 0 AS verified FROM events""",
     "trace_days": _DAYS,
     "trace_stream": _DAYS,
 }

@@ -1,34 +1,58 @@
-"""Allocation over the admissible products of every client, and the check that no limit is broken."""
+"""Allocation over the admissible products of every client, what-if variants of it, and the check that no limit is broken."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import advice
 from ..operators.allocation import allocate
-from .advisory import SCREENED
-from .shared import spark_query
+from .advisory import clients, products, screened
 
-_CANDIDATES = spark_query(
-    f"""WITH {SCREENED} SELECT c.client_id, c.risk_capacity, c.qualified, c.experienced, c.single_cap, c.class_cap, c.issuer_cap, c.liquidity_floor, c.amount, p.product_id, p.asset_class, p.issuer,
-      p.expected_return, p.volatility, p.fee, p.liquidity, p.min_investment FROM screened s JOIN clients c ON c.client_id = s.client_id JOIN products p ON p.product_id = s.product_id WHERE s.reasons = ''"""
-)
+_CLIENT = ("risk_capacity", "qualified", "experienced", "single_cap", "class_cap", "issuer_cap", "liquidity_floor", "amount")
+_PRODUCT = ("product_id", "asset_class", "issuer", "expected_return", "volatility", "fee", "liquidity", "min_investment")
 
 
-def solve_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return allocate(_CANDIDATES(spark, sf_dir))
+def _open(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.where(F.size("codes") == 0).select(*keys, *_CLIENT, *(f"p.{c}" for c in _PRODUCT))
 
 
-def solve_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Broken limits of solved portfolios: there are none."""
-    c = _CANDIDATES(spark, sf_dir)
-    w = allocate(c).join(c, ["client_id", "product_id"], "left")
-    sums = w.groupBy("client_id").agg(F.sum("weight").alias("total"), F.max(F.when(F.col("weight") > F.col("single_cap") + 1e-6, 1).otherwise(0)).alias("single"), F.min("weight").alias("least"))
-    kinds = w.where("asset_class is not null").groupBy("client_id", "asset_class").agg(F.sum("weight").alias("s"), F.max("class_cap").alias("cap")).where("s > cap + 1e-6").select("client_id", F.lit("C-CONC-CLASS").alias("code"))
-    issuers = w.where("issuer is not null").groupBy("client_id", "issuer").agg(F.sum("weight").alias("s"), F.max("issuer_cap").alias("cap")).where("s > cap + 1e-6").select("client_id", F.lit("C-CONC-ISSUER").alias("code"))
-    others = sums.where("abs(total - 1) > 1e-6 or single = 1 or least < 0").select("client_id", F.lit("C-WEIGHT").alias("code"))
-    return kinds.union(issuers).union(others)
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _open(screened(spark, sf_dir), "client_id")
+
+
+def solve_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return allocate(_candidates(spark, sf_dir))
 
 
-QUERIES = {"solve_weights": solve_weights, "solve_violations": solve_violations}
+def solve_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broken limits of solved portfolios, admissibility, entry amounts and liquidity among them: there are none."""
+    c = _candidates(spark, sf_dir)
+    keys = ["client_id", "product_id"]
+    w = allocate(c).join(c, keys, "left")
+    cash = F.col("product_id") == "cash"
+    rows = w.select("client_id", F.explode(F.array_compact(F.array(
+        F.when(~cash & F.col("asset_class").isNull(), F.lit("C-CLOSED")), F.when(F.col("weight") > F.col("single_cap") + 1e-6, F.lit("C-SINGLE")), F.when(F.col("weight") < 0, F.lit("C-NEGATIVE")),
+        F.when((F.col("weight") + 1e-6) * F.col("amount") < F.col("min_investment"), F.lit("C-ENTRY")),
+    ))).alias("code"))
+    sums = w.groupBy("client_id").agg(F.sum("weight").alias("total"), F.sum(F.col("weight") * F.when(cash, 1.0).otherwise(F.col("liquidity"))).alias("liquid"), F.max("liquidity_floor").alias("floor"))
+    whole = sums.select("client_id", F.explode(F.array_compact(F.array(F.when(F.abs(F.col("total") - 1) > 1e-6, F.lit("C-TOTAL")), F.when(F.col("liquid") + 1e-6 < F.col("floor"), F.lit("C-LIQUIDITY"))))).alias("code"))
+    grouped = [w.where(f"{name} is not null").groupBy("client_id", name).agg(F.sum("weight").alias("s"), F.max(cap).alias("cap")).where("s > cap + 1e-6").select("client_id", F.lit(code).alias("code")) for name, cap, code in (("asset_class", "class_cap", "C-CLASS"), ("issuer", "issuer_cap", "C-ISSUER"))]
+    return rows.unionByName(whole).unionByName(grouped[0]).unionByName(grouped[1])
+
+
+def variant_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Portfolios of every client and variant, screened and solved anew; without an open product all is cash."""
+    people = advice.varied(clients(spark, sf_dir))
+    solved = allocate(_open(advice.screen(people, products(spark, sf_dir)), "client_id", "variant"), ("client_id", "variant"))
+    bare = people.select("client_id", "variant").join(solved.select("client_id", "variant").distinct(), ["client_id", "variant"], "left_anti")
+    return solved.unionByName(bare.select("client_id", "variant", F.lit("cash").alias("product_id"), F.lit(1.0).alias("weight")))
+
+
+def counterfactual_solved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each variant changes when clients are screened and solved again: products that enter or leave, and cash."""
+    return advice.weight_changes(variant_weights(spark, sf_dir))
+
+
+QUERIES = {"solve_weights": solve_weights, "solve_violations": solve_violations, "counterfactual_solved": counterfactual_solved}
 ORACLE_SQL = {"solve_violations": "SELECT c_custkey AS client_id, 'x' AS code FROM customer WHERE FALSE"}

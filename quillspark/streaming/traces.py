@@ -15,14 +15,19 @@ def summarize(rows: DataFrame, window: str = "1 day") -> DataFrame:
     )
 
 
-def stream_summary(spark: SparkSession, path: str, lateness: str = "1 day") -> DataFrame:
-    """The same over files as a stream, run until what is there has been read; results land in a memory table."""
+def stream_summary(spark: SparkSession, path: str, out: str, lateness: str = "1 day") -> DataFrame:
+    """The same over files as a stream, run until what is there has been read.
+
+    Windows leave the state when the watermark has passed them and are appended to Parquet files under `out`, a shared folder, with the
+    query's checkpoint beside them; the windows still open at the end are added from the rows that the stream could not close yet.
+    """
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rpartition("/")
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder) if name.endswith(".parquet") else spark.readStream.schema(schema).parquet(path)
-    table = f"trace_{uuid.uuid4().hex}"
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder) if name.endswith(".parquet") else spark.readStream.schema(schema).parquet(path)
     # Watermarks want a time-zone timestamp; the result goes back to the log's own type.
-    stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
-    query = summarize(stream.withWatermark("ts", lateness)).writeStream.format("memory").queryName(table).outputMode("complete").trigger(availableNow=True).start()
+    rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    query = summarize(rows.withWatermark("ts", lateness)).writeStream.format("parquet").option("path", f"{out}/closed").option("checkpointLocation", f"{out}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(table).withColumn("day", F.col("day").cast(schema["ts"].dataType))
+    closed = spark.read.schema("day timestamp, step string, n long, total_ms double").parquet(f"{out}/closed").withColumn("day", F.col("day").cast(schema["ts"].dataType))
+    left = summarize(spark.read.parquet(path)).join(F.broadcast(closed.agg(F.max("day").alias("_last"))), F.col("_last").isNull() | (F.col("day") > F.col("_last"))).drop("_last")
+    return closed.unionByName(left)
