@@ -365,11 +365,11 @@ def _names(tokens: np.ndarray, matches: int) -> np.ndarray:
     return out
 
 
-_KEYS = T.StructType([T.StructField("key", T.LongType()), T.StructField("band", T.IntegerType()), T.StructField("node", T.LongType()), T.StructField("wanted", T.BooleanType())])
+_KEYS = T.StructType([T.StructField("key", T.LongType()), T.StructField("band", T.IntegerType()), T.StructField("nodes", T.ArrayType(T.LongType())), T.StructField("wanted", T.BooleanType())])
 
 
 def _keys(percent: int, nodes: int):
-    """Rows (key, band, node, wanted): the keys of each node; wanted: it is one of the l that the node chose."""
+    """Rows (key, band, nodes, wanted), one for each key and band of a batch of nodes; wanted: one of them chose that key's l."""
     step = 1.0001 * np.log(100 / percent) if percent < 100 else 1e-9  # sizes that may link lie in one band or in two that adjoin
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,11 +384,14 @@ def _keys(percent: int, nodes: int):
                 keys += own
                 wanted += [np.full(len(k), m == matches) for m, k in enumerate(own, 1)]
                 counts.append(sum(map(len, own)))
-            if keys:
-                bands = (np.log(sizes) / step).astype(np.int64) if percent < 100 else sizes
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(bands, counts).astype(np.int32)), pa.array(np.repeat(nodes_of, counts)), pa.array(np.concatenate(wanted))], names=_KEYS.names
-                )
+            if not keys:
+                continue
+            key, band = np.concatenate(keys).view(np.int64), np.repeat((np.log(sizes) / step).astype(np.int64) if percent < 100 else sizes, counts).astype(np.int32)
+            by = np.lexsort((band, key))
+            key, band = key[by], band[by]
+            begins = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (band[1:] != band[:-1])]))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(begins, len(key)), pa.int32()), pa.array(np.repeat(nodes_of, counts)[by]))
+            yield pa.RecordBatch.from_arrays([pa.array(key[begins]), pa.array(band[begins]), lists, pa.array(np.logical_or.reduceat(np.concatenate(wanted)[by], begins))], names=_KEYS.names)
 
     return run
 
@@ -398,10 +401,10 @@ def _meetings(keys: DataFrame) -> DataFrame:
 
     Only keys that one of their nodes chose count. Counts and minima are taken before rows are shuffled.
     """
-    bands = keys.groupBy("key", "band").agg(F.min("node").alias("a"), F.max("wanted").alias("wanted"), F.count("*").alias("n"))
+    bands = keys.groupBy("key", "band").agg(F.min(F.array_min("nodes")).alias("a"), F.max("wanted").alias("wanted"), F.sum(F.size("nodes")).alias("n"))
     live = bands.groupBy("key").agg(F.max("wanted").alias("wanted"), F.sum("n").alias("n")).where("wanted and n > 1").select("key")
     bands = bands.join(live, "key").select("key", "band", "a")
-    own = keys.join(bands, ["key", "band"]).select("a", F.col("node").alias("b"))
+    own = keys.join(bands, ["key", "band"]).select("a", F.explode("nodes").alias("b"))
     across = bands.join(bands.select("key", (F.col("band") - 1).alias("band"), F.col("a").alias("b")), ["key", "band"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return own.unionByName(across).where("a != b").groupBy("a", "b").agg(F.count("*").alias("n"))
 
