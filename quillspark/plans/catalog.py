@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import advisory, facts, logs, retrieval, solver
+from . import advisory, facts, ingest, logs, retrieval, solver
 
-_MODULES = (retrieval, facts, advisory, solver, logs)
+_MODULES = (retrieval, facts, advisory, solver, logs, ingest)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
