@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -57,6 +57,51 @@ def scores(docs: DataFrame, queries: DataFrame, key: str, query: str, text: str
     return postings.join(small(weighted), "term").groupBy(query, key).agg(F.round(F.sum(part), DIGITS).alias("score"))
 
 
+def write_index(docs: DataFrame, key: str, path: str, text: str = "text") -> None:
+    """Write the postings of docs as rows (key, dl, term, tf, head), from one reading of the texts; `head` marks one row of each document.
+
+    A document without tokens has one row without a term, so counts and mean length are those of all documents.
+    """
+    tokens = tokens_of(docs, key, text)
+    rows = tokens.select(key, F.size("tokens").alias("dl"), F.posexplode_outer("tokens").alias("at", "term"))
+    counted = rows.groupBy(key, "dl", "term").agg(F.count("term").alias("tf"), F.min("at").alias("at"))
+    counted.select(key, "dl", "term", "tf", (F.coalesce("at", F.lit(0)) == 0).alias("head")).write.parquet(path)
+
+
+class Index:
+    """A written index: its postings serve BM25 and sparse search, and any number of question sets."""
+
+    def __init__(self, spark: SparkSession, path: str, key: str):
+        self.rows, self.key = spark.read.parquet(path), key
+
+    def totals(self) -> DataFrame:
+        return self.rows.agg(F.count_if("head").cast("double").alias("n"), F.avg(F.when(F.col("head"), F.col("dl"))).alias("avgdl"))
+
+    def hits(self, wanted: DataFrame) -> tuple[DataFrame, bool]:
+        """(postings of the questions' terms, whether the terms are few enough to broadcast: they are counted first)."""
+        few = wanted.count() <= BROADCAST_TERMS
+        terms = wanted.select("term").distinct()
+        return self.rows.where("term is not null").join(F.broadcast(terms) if few else terms, "term", "left_semi"), few
+
+    def bm25(self, queries: DataFrame, query: str, text: str = "text") -> DataFrame:
+        """Rows (query, key, score) of every pair with a common term."""
+        wanted = query_terms(queries, query, text)
+        hits, few = self.hits(wanted)
+        df = hits.groupBy("term").agg(F.count("*").alias("df"))
+        weighted = wanted.join(df, "term").join(F.broadcast(self.totals()), how="cross").select(query, "term", (idf(F.col("n"), F.col("df")) * (1.0 + F.log(F.col("qtf").cast("double")))).alias("w"), "avgdl")
+        tf = F.col("tf").cast("double")
+        part = F.col("w") * tf * (K1 + 1.0) / (tf + K1 * (1.0 - B + B * F.col("dl") / F.col("avgdl")))
+        return hits.join(F.broadcast(weighted) if few else weighted, "term").groupBy(query, self.key).agg(F.round(F.sum(part), DIGITS).alias("score"))
+
+    def sparse(self, queries: DataFrame, query: str, text: str = "text") -> DataFrame:
+        """Rows (query, key, score): 1 + ln tf weights, the dot product over the query's length."""
+        q = query_terms(queries, query, text).withColumn("qw", 1.0 + F.log(F.col("qtf").cast("double")))
+        hits, few = self.hits(q)
+        q = q.select(query, "term", "qw", F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(Window.partitionBy(query))).alias("qn"))
+        raw = hits.join(F.broadcast(q) if few else q, "term").groupBy(query, self.key, "qn").agg(F.sum((1.0 + F.log(F.col("tf").cast("double"))) * F.col("qw")).alias("raw"))
+        return raw.select(query, self.key, F.round(F.col("raw") / F.when(F.col("qn") == 0, 1.0).otherwise(F.col("qn")), DIGITS).alias("score"))
+
+
 def top(scored: DataFrame, group: str, key: str, k: int, score: str = "score") -> DataFrame:
     """The k best rows of each group with score > 0 and their rank from 1; ties by key."""
     best = Window.partitionBy(group).orderBy(F.desc(score), key)

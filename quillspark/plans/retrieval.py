@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
-from ..functions.filters import compile_filter
+from ..functions import filters
 from ..operators import answers, chunking, fusion, lexical, vectors
-from ..session import spread_table, table
+from ..session import scratch_path, spread_table, table
 
 TOP = 10
 
@@ -78,8 +78,21 @@ def bm25_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str) -> lexical.Index:
+    """The session's index of a directory's documents, written when it is first asked for."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _INDEXES:
+        path = scratch_path(spark, "index")
+        lexical.write_index(spread_table(spark, sf_dir, "documents"), "doc_id", path)
+        _INDEXES[at] = path
+    return lexical.Index(spark, _INDEXES[at], "doc_id")
+
+
 def _bm25(spark: SparkSession, sf_dir: str, k: int = TOP) -> DataFrame:
-    return lexical.top(lexical.scores(spread_table(spark, sf_dir, "documents"), spread_table(spark, sf_dir, "benchmark"), "doc_id", "item_id"), "item_id", "doc_id", k)
+    return lexical.top(_index(spark, sf_dir).bm25(table(spark, sf_dir, "benchmark"), "item_id"), "item_id", "doc_id", k)
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +114,7 @@ def _dense(metric: str):
 
 
 def _sparse(spark: SparkSession, sf_dir: str, k: int = TOP) -> DataFrame:
-    return lexical.top(vectors.sparse_scores(spread_table(spark, sf_dir, "documents"), spread_table(spark, sf_dir, "benchmark"), "doc_id", "item_id"), "item_id", "doc_id", k)
+    return lexical.top(_index(spark, sf_dir).sparse(table(spark, sf_dir, "benchmark"), "item_id"), "item_id", "doc_id", k)
 
 
 def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +149,7 @@ def dedup_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ir_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search results held against documents that contain the question verbatim."""
     ranked = _bm25(spark, sf_dir)
-    pairs = spread_table(spark, sf_dir, "documents").select("doc_id", "text").join(spread_table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("q")), F.contains("text", "q"))
+    pairs = answers.verbatim(spread_table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("q")), "text", "q")
     return answers.ranking_metrics(ranked, pairs.select("item_id", "doc_id"), "item_id", "doc_id")
 
 
@@ -157,7 +170,7 @@ def answer_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cite_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spread_table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.concat(F.left("text", F.lit(20)), F.lit(" [1][7] and ["), F.col("turn").cast("string"), F.lit("]")).alias("answer"), F.array(F.lit(1), F.lit(2), F.lit(3)).alias("known"))
+    rows = spread_table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.concat("text", F.lit(" [1][7] and ["), F.col("turn").cast("string"), F.lit("]")).alias("answer"), F.array(F.lit(1), F.lit(2), F.lit(3)).alias("known"))
     out = answers.check_citations(rows, "answer", "known")
     return out.select("conv_id", "turn", *(F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) for c in ("used", "dangling", "unused")), "clean")
 
@@ -167,10 +180,12 @@ def number_faithfulness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", F.array_join(answers.number_check(F.col("answer"), F.col("evidence")), ",").alias("unsupported"))
 
 
-def _filter(name: str, expr: str, key: str, cols: list[str]):
+def _filter(name: str, predicate, key: str, cols: list[str]):
+    """The rows of a table for which predicate(schema) holds."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         t = table(spark, sf_dir, name)
-        return t.where(compile_filter(expr, t.schema)).select(key, *cols)
+        return t.where(predicate(filters.Fields(t.schema))).select(key, *cols)
 
     return run
 
@@ -223,12 +238,12 @@ QUERIES = {
     "chunk_docs": chunk_docs, "chunk_stats": chunk_stats, "markdown_sections": markdown_sections, "table_chunks": table_chunks,
     "bm25_build": bm25_build, "bm25_topk": bm25_topk, "matched_terms": matched_terms, "sparse_topk": sparse_topk, "rrf_hybrid": rrf_hybrid, "rerank": rerank, "dedup_near": dedup_near, "ir_metrics": ir_metrics,
     "dense_topk_cosine": _dense("COSINE"), "dense_topk_ip": _dense("IP"), "dense_topk_l2": _dense("L2"),
-    "filter_eq": _filter("documents", "lang = 'en' and n_chars >= 1000", "doc_id", ["lang"]),
-    "filter_in": _filter("documents", "lang in ['de', 'fr'] or source = \"src3\"", "doc_id", ["lang"]),
-    "filter_not_in_missing": _filter("documents", "absent not in ['x'] and not (lang = 'en')", "doc_id", ["lang"]),
-    "filter_ne_missing": _filter("documents", "absent != 'x' or lang != 'en'", "doc_id", ["lang"]),
-    "filter_contains": _filter("documents", "text contains 'Apache' and not lang in [es]", "doc_id", ["lang"]),
-    "filter_str_num": _filter("orders", "o_totalprice > 100000 and o_orderpriority >= '3'", "o_orderkey", ["o_orderpriority"]),
+    "filter_eq": _filter("documents", lambda f: f.eq("lang", "en") & f.ge("n_chars", 1000), "doc_id", ["lang"]),
+    "filter_in": _filter("documents", lambda f: f.among("lang", ["de", "fr"]) | f.eq("source", "src3"), "doc_id", ["lang"]),
+    "filter_not_in_missing": _filter("documents", lambda f: ~f.among("absent", ["x"]) & ~f.eq("lang", "en"), "doc_id", ["lang"]),
+    "filter_ne_missing": _filter("documents", lambda f: f.ne("absent", "x") | f.ne("lang", "en"), "doc_id", ["lang"]),
+    "filter_contains": _filter("documents", lambda f: f.contains("text", "Apache") & ~f.among("lang", ["es"]), "doc_id", ["lang"]),
+    "filter_str_num": _filter("orders", lambda f: f.gt("o_totalprice", 100000) & f.ge("o_orderpriority", "3"), "o_orderkey", ["o_orderpriority"]),
     "faq_match": faq_match, "route_classify": route_classify, "cite_validate": cite_validate, "number_faithfulness": number_faithfulness, "sentence_support": sentence_support, "answer_f1": answer_f1,
 }
 
@@ -297,9 +312,9 @@ ORACLE_SQL = {
     "sentence_support": f"""WITH {_PAIR}, s AS (SELECT key, unnest({_sentences('answer')}) AS s, list_distinct({_tokens('question')}) AS e FROM a), t AS (SELECT key, list_distinct({_tokens('s')}) AS t, e FROM s)
       SELECT key, count(*) AS n_sentences, sum((len(list_intersect(t, e))::DOUBLE / len(t) >= 0.1::DOUBLE)::INT)::BIGINT AS n_supported, round(sum((len(list_intersect(t, e))::DOUBLE / len(t) >= 0.1::DOUBLE)::INT)::DOUBLE / count(*), 6) AS rate FROM t WHERE len(t) > 0 GROUP BY key""",
     "number_faithfulness": "SELECT o_orderkey, CASE WHEN length(o_orderkey::VARCHAR) < 3 OR regexp_full_match(o_orderkey::VARCHAR, '(19|20)\\d{2}') OR contains((o_orderkey * 7)::VARCHAR, o_orderkey::VARCHAR) THEN '' ELSE o_orderkey::VARCHAR END AS unsupported FROM orders",
-    "cite_validate": """WITH c AS (SELECT conv_id, turn, text[1:20] || ' [1][7] and [' || turn || ']' AS answer, list_sort(list_distinct(list_transform(regexp_extract_all(text[1:20] || ' [1][7] and [' || turn || ']', '\\[(\\d{1,2})\\]', 1), lambda x: x::INT))) AS u FROM conversations WHERE role = 'assistant')
+    "cite_validate": """WITH c AS (SELECT conv_id, turn, text || ' [1][7] and [' || turn || ']' AS answer, list_sort(list_distinct(list_transform(regexp_extract_all(text || ' [1][7] and [' || turn || ']', '\\[(\\d{1,2})\\]', 1), lambda x: x::INT))) AS u FROM conversations WHERE role = 'assistant')
       SELECT conv_id, turn, array_to_string(list_filter(u, lambda x: x IN (1, 2, 3)), ',') AS used, array_to_string(list_filter(u, lambda x: x NOT IN (1, 2, 3)), ',') AS dangling, array_to_string(list_filter([1, 2, 3], lambda x: NOT list_contains(u, x)), ',') AS unused,
-        replace(CASE WHEN turn IN (1, 2, 3) THEN answer ELSE replace(answer, '[' || turn || ']', '') END, '[7]', '') AS clean FROM c""",
+        regexp_replace(answer, '\\[(0|00|0?[4-9]|[1-9]\\d)\\]', '', 'g') AS clean FROM c""",
     "quality_score": f"""WITH b AS (SELECT doc_id, sum(n) AS n FROM (SELECT doc_id, line, count(*) AS n FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents) WHERE line <> '' GROUP BY ALL) WHERE n >= 3 AND length(line) <= 40 GROUP BY doc_id)
       SELECT doc_id, quality, round(greatest(0, 1 - CASE WHEN length(text) = 0 THEN 1.0::DOUBLE ELSE least(0.25::DOUBLE, ({_SUSPECT}) * 0.02::DOUBLE) + least(0.15::DOUBLE, coalesce(n, 0)::DOUBLE * 0.01::DOUBLE) END), 6) AS score FROM documents LEFT JOIN b USING (doc_id) LEFT JOIN (SELECT doc_id, quality FROM labels) USING (doc_id)""",
     "faq_match": f"""WITH f AS (SELECT conv_id, {_tokens('text')} AS d FROM conversations WHERE turn = 0), q AS (SELECT item_id, {_tokens('text')} AS q FROM benchmark),
