@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions import text as fx
 from . import lexical
 
 
@@ -35,18 +44,78 @@ def similarity(a: Column, b: Column, metric: str) -> Column:
     raise ValueError(f"unknown metric {metric}")
 
 
+#: Bytes of query vectors that go to every task at most; beyond it vectors and queries meet by Spark's join.
+BROADCAST_BYTES = 64 << 20
+
+
 def dense_top(queries: DataFrame, vectors: DataFrame, metric: str, k: int, query: str = "query_id", key: str = "vec_id") -> DataFrame:
-    """The k nearest vectors of each query: (query, key, score, rank). No cut at 0.
+    """The k nearest vectors of each query: (query, key, score, rank). No cut at 0; ties by key.
 
-    A stated query set against all vectors, in the blocks of the larger side; Spark broadcasts the queries if
-    they are small enough for spark.sql.autoBroadcastJoinThreshold and nests loops over blocks otherwise.
+    A stated query set against all vectors. Query vectors are counted first: if they are few, each batch of vectors is one matrix product and
+    leaves its own k best of each query, so rows are never those of all pairs; else Spark joins both in blocks.
     """
-    pairs = vectors.select(F.col(key), F.col("embedding").alias("v")).join(queries.select(F.col(query), F.col("embedding").alias("q")), how="cross")
-    scored = pairs.select(query, key, F.round(similarity(F.col("q"), F.col("v"), metric), lexical.DIGITS).alias("score"))
+    n, size = queries.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
     best = Window.partitionBy(query).orderBy(F.desc("score"), key)
+    if 8 * n * size > BROADCAST_BYTES:
+        pairs = vectors.select(F.col(key), F.col("embedding").alias("v")).join(queries.select(F.col(query), F.col("embedding").alias("q")), how="cross")
+        scored = pairs.select(query, key, F.round(similarity(F.col("q"), F.col("v"), metric), lexical.DIGITS).alias("score"))
+    else:
+        found = queries.select(query, F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null").toArrow()
+        names = found.column(query).combine_chunks()
+        left = np.array(found.column("embedding").to_pylist(), float).reshape(len(names), -1)
+        schema = T.StructType([queries.schema[query], vectors.schema[key], T.StructField("score", T.DoubleType())])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not len(names) or not batch.num_rows:
+                    continue
+                right = np.array(batch.column("v").to_pylist(), float)
+                scores = np.round(_similarities(left, right, metric), lexical.DIGITS)
+                # The k best of each query, ties by key: keys in order, then a stable sort of falling scores.
+                by = np.argsort(batch.column(key).to_numpy(zero_copy_only=False), kind="stable")
+                top = by[np.argsort(-scores[:, by], axis=1, kind="stable")[:, :k]]
+                rows = np.repeat(np.arange(len(names)), top.shape[1])
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(rows)), batch.column(key).take(pa.array(top.ravel())), pa.array(np.take_along_axis(scores, top, axis=1).ravel())], names=[query, key, "score"])
+
+        scored = vectors.where("embedding is not null").select(key, F.col("embedding").cast("array<double>").alias("v")).mapInArrow(run, schema)
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def _similarities(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """similarity() of each row of a with each row of b."""
+    dots = a @ b.T
+    if metric == "IP":
+        return dots
+    x, y = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    if metric == "L2":
+        return -np.stack([np.sqrt(((b - row) ** 2).sum(axis=1)) for row in a])
+    if metric == "COSINE":
+        norms = np.sqrt(x)[:, None] * np.sqrt(y)[None, :]
+        return np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0)
+    raise ValueError(f"unknown metric {metric}")
+
+
+def hash_embeddings(docs: DataFrame, key: str, text: str = "text", dimension: int = 512) -> DataFrame:
+    """Rows (key, embedding): each distinct token adds plus or minus 1 + ln tf at a place, both from its BLAKE2b hash; vectors of length 1.
+
+    Null texts and texts without tokens have a zero vector.
+    """
+    schema = T.StructType([docs.schema[key], T.StructField("embedding", T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.zeros((batch.num_rows, dimension))
+            for row, tokens in zip(out, batch.column("_tokens").to_pylist(), strict=True):
+                for token, n in Counter(tokens or ()).items():
+                    raw = hashlib.blake2b(token.encode(), digest_size=16).digest()
+                    row[int.from_bytes(raw[:8], "big") % dimension] += (1.0 if raw[8] & 1 else -1.0) * (1.0 + math.log(n))
+            length = np.sqrt((out * out).sum(axis=1, keepdims=True))
+            out = np.divide(out, length, out=out, where=length > 0)
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(list(out), pa.list_(pa.float64()))], names=[key, "embedding"])
+
+    return docs.select(key, fx.tokenize(F.col(text)).alias("_tokens")).mapInArrow(run, schema)
+
+
 def sparse_weights(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Rows (key, term, w): 1 + ln tf."""
     counted = lexical.query_terms(docs, key, text)

@@ -9,6 +9,7 @@ from ..functions import text as fx
 from ..functions import filters
 from ..operators import answers, chunking, fusion, lexical, vectors
 from ..session import scratch_path, spread_table, table
+from ..sources import documents
 
 TOP = 10
 
@@ -129,6 +130,35 @@ def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hybrid(spark, sf_dir).select("item_id", "doc_id", "bm25_rank", "sparse_rank", F.round("rrf", 8).alias("rrf"), "n_routes")
 
 
+def dense_text_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions against documents by hash embeddings of their tokens."""
+    docs = vectors.hash_embeddings(spread_table(spark, sf_dir, "documents"), "doc_id")
+    asked = vectors.hash_embeddings(table(spark, sf_dir, "benchmark"), "item_id")
+    return vectors.dense_top(asked, docs, "COSINE", TOP, "item_id", "doc_id").select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+def weighted_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 hits with the share of matched terms, the vector route and a language match, weighted."""
+    hits = _index(spark, sf_dir).bm25(table(spark, sf_dir, "benchmark"), "item_id").withColumnRenamed("score", "bm25")
+    sparse = _index(spark, sf_dir).sparse(table(spark, sf_dir, "benchmark"), "item_id").withColumnRenamed("score", "cosine")
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("lang") == "en").cast("double").alias("metadata"))
+    rows = hits.join(sparse, ["item_id", "doc_id"]).join(docs, "doc_id").withColumn("hit_ratio", F.least(F.lit(1.0), F.col("cosine")))
+    return fusion.weighted(rows.na.fill(0.0, ["metadata"]), "item_id", "doc_id", TOP).select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+def route_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.route_counts(_hybrid(spark, sf_dir), "item_id", ["bm25", "sparse"])
+
+
+def parent_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parents and children of every document: how many of each, and the longest."""
+    blocks = documents.sections(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body")))
+    packed = chunking.parents(blocks)
+    parts = chunking.children(packed)
+    per = parts.groupBy("doc_id").agg(F.count("*").alias("n_children"), F.max(F.length("text")).alias("longest_child"))
+    return packed.groupBy("doc_id").agg(F.count("*").alias("n_parents"), F.sum(F.length("text")).alias("n_chars")).join(per, "doc_id", "left")
+
+
 def _with_texts(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spread_table(spark, sf_dir, "documents").select("doc_id", "text")
     return rows.join(d, "doc_id").join(spread_table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question")), "item_id")
@@ -236,7 +266,7 @@ def table_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "text_normalize": text_normalize, "sentences": sentences, "token_counts": token_counts, "mask_pii": mask_pii, "boilerplate_lines": boilerplate_lines, "quality_score": quality_score,
     "chunk_docs": chunk_docs, "chunk_stats": chunk_stats, "markdown_sections": markdown_sections, "table_chunks": table_chunks,
-    "bm25_build": bm25_build, "bm25_topk": bm25_topk, "matched_terms": matched_terms, "sparse_topk": sparse_topk, "rrf_hybrid": rrf_hybrid, "rerank": rerank, "dedup_near": dedup_near, "ir_metrics": ir_metrics,
+    "bm25_build": bm25_build, "bm25_topk": bm25_topk, "matched_terms": matched_terms, "sparse_topk": sparse_topk, "rrf_hybrid": rrf_hybrid, "dense_text_topk": dense_text_topk, "weighted_fusion": weighted_fusion, "route_counts": route_counts, "parent_chunks": parent_chunks, "rerank": rerank, "dedup_near": dedup_near, "ir_metrics": ir_metrics,
     "dense_topk_cosine": _dense("COSINE"), "dense_topk_ip": _dense("IP"), "dense_topk_l2": _dense("L2"),
     "filter_eq": _filter("documents", lambda f: f.eq("lang", "en") & f.ge("n_chars", 1000), "doc_id", ["lang"]),
     "filter_in": _filter("documents", lambda f: f.among("lang", ["de", "fr"]) | f.eq("source", "src3"), "doc_id", ["lang"]),
@@ -294,6 +324,7 @@ ORACLE_SQL = {
     "bm25_topk": f"WITH {_BM25} SELECT item_id, doc_id, round(score, 6) AS score, rank FROM b WHERE rank <= {TOP}",
     "matched_terms": f"WITH {_BM25} SELECT item_id, doc_id, array_to_string(terms, ' ') AS terms FROM b WHERE rank <= 3",
     "sparse_topk": f"WITH {_BM25}, {_SPARSE} SELECT item_id, doc_id, round(score, 6) AS score, rank FROM s WHERE rank <= {TOP}",
+    "route_counts": f"WITH {_RRF} SELECT item_id, count(bm25_rank) AS bm25, count(sparse_rank) AS sparse, count(*) FILTER (WHERE n_routes = 2) AS all_routes FROM hy GROUP BY item_id",
     "rrf_hybrid": f"WITH {_RRF} SELECT item_id, doc_id, bm25_rank, sparse_rank, round(rrf, 8) AS rrf, n_routes FROM hy",
     "ir_metrics": f"""WITH {_BM25}, truth AS (SELECT item_id, doc_id FROM documents d JOIN benchmark q ON contains(d.text, q.text)), f AS (SELECT t.item_id, min(b.rank) AS first FROM truth t LEFT JOIN (SELECT * FROM b WHERE rank <= {TOP}) b USING (item_id, doc_id) GROUP BY 1)
       SELECT count(*) AS queries, round(avg((first IS NOT NULL)::INT), 6) AS hit_rate, round(avg(coalesce((first = 1)::INT, 0)), 6) AS recall_at_1, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr FROM f""",
