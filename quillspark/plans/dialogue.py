@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import assembly, questions
+from ..operators import advice, assembly, questions, reviews
 from ..session import table
+from . import advisory, facts, ingest
 
 QUESTIONS = (
     (1, "请问私募基金合格投资者的准入条件是什么？"), (2, "有没有类似的处罚案例"), (3, "前五大客户集中度怎么算，比例是多少？"), (4, "第 三 条怎么理解"), (5, "产品 ABX-2024-01 的费率"),
@@ -92,12 +93,54 @@ def client_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assembly.narrative(c, "c_custkey", sections)
 
 
+FAQS = (
+    ("合格投资者门槛是多少", "合格投资者的门槛", 0.8, 0.5, 0.7), ("产品A12的费率", "产品A13的费率", 0.9, 0.8, 0.95), ("产品A12的费率", "产品A12费率是多少", 0.9, 0.6, 0.9), ("天气", "合格投资者的门槛", 0.0, 0.0, -0.3),
+)
+
+
+def faq_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame(list(FAQS), "asked string, stored string, coverage double, likeness double, cosine double")
+    return questions.faq_answers(questions.faq_scores(rows), "asked", "stored").select("asked", "stored", "score", "rank")
+
+
+def ingest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reviews.corpus_stats(*ingest.parsed(spark)).withColumn("formats", F.concat_ws(",", "formats"))
+
+
+def metric_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest value of each metric that rules read, as text."""
+    return facts.values(spark, sf_dir).groupBy("metric").agg(F.max("value").alias("v")).select("metric", reviews.shown(F.col("metric"), F.col("v")).alias("shown"))
+
+
+def variant_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reviews.variant_coverage(advisory.counterfactual_diff(spark, sf_dir), "client_id", len(advice.VARIANTS) - 1)
+
+
+def stress_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reviews.stress_coverage(advice.stress(advisory.books(spark, sf_dir), advisory.BETAS, advisory.SHOCKS), "client_id")
+
+
+def review_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why a client's case goes to a human: a veto, blocks, or more than three warnings."""
+    rows = advisory.suitability_gate(spark, sf_dir)
+    out = reviews.review_reasons(rows, "client_id", {"veto": F.col("veto"), "blocks": F.col("blocks") > 0, "warnings": F.col("warns") > 3})
+    return out.withColumn("reasons", F.concat_ws(",", "reasons"))
+
+
 QUERIES = {
+    "faq_hits": faq_hits, "ingest_stats": ingest_stats, "metric_texts": metric_texts, "variant_coverage": variant_coverage, "stress_coverage": stress_coverage, "review_reasons": review_reasons,
     "question_plan": question_plan, "named_filters": named_filters, "company_names": company_names, "extracted_answers": extracted_answers, "answer_sentences": answer_sentences, "answer_report": answer_report,
     "evidence_merge": evidence_merge, "sources_by_use": sources_by_use, "evaluation_summary": evaluation_summary, "client_reports": client_reports,
 }
 _FALSE = "NULL::INT, NULL::INT, NULL::INT, FALSE, NULL::INT"
 ORACLE_SQL = {
+    "faq_hits": "SELECT * FROM (VALUES ('合格投资者门槛是多少', '合格投资者的门槛', 0.755::DOUBLE, 1), ('产品A12的费率', '产品A12费率是多少', 0.9::DOUBLE, 1)) v(asked, stored, score, rank)",
+    "ingest_stats": "SELECT 7 AS n_documents, 2 AS n_issues, 'csv,json,markdown,text' AS formats, 11 AS n_blocks, 3 AS n_tables",
+    "metric_texts": f"""WITH m AS (SELECT metric, max(value) AS v FROM ({facts.ORACLE_SQL['risk_values']}) GROUP BY metric)
+        SELECT metric, CASE WHEN metric IN ({', '.join(f"'{m}'" for m in reviews.AS_PERCENT)}) THEN printf('%.2f%%', v * 100) ELSE printf('%.2f', v) END AS shown FROM m""",
+    "variant_coverage": f"SELECT client_id, round(count(DISTINCT variant) / 4, 6) AS coverage FROM ({advisory.ORACLE_SQL['counterfactual_diff']}) GROUP BY client_id",
+    "stress_coverage": f"SELECT client_id, least(1, count(*) / 3) AS coverage FROM ({advisory.ORACLE_SQL['stress_test']}) GROUP BY client_id",
+    "review_reasons": f"""SELECT client_id, concat_ws(',', CASE WHEN veto THEN 'veto' END, CASE WHEN blocks > 0 THEN 'blocks' END, CASE WHEN warns > 3 THEN 'warnings' END) AS reasons, veto OR blocks > 0 OR warns > 3 AS needed FROM ({advisory.ORACLE_SQL['suitability_gate']})""",
     "question_plan": f"""SELECT * FROM (VALUES
         (1, 'clause', '请问私募基金合格投资者的准入条件是什么？|私募基金合格投资者的准入条件', 0.55::DOUBLE, 0.20::DOUBLE, 0.25::DOUBLE, {_FALSE}), (2, 'case', '有没有类似的处罚案例', 0.20, 0.55, 0.25, {_FALSE}),
         (3, 'metric', '前五大客户集中度怎么算，比例是多少？|前五大客户集中度怎么算，比例是多少', 0.35, 0.30, 0.35, {_FALSE}), (4, 'clause', '第 三 条怎么理解|第三条', 0.55, 0.20, 0.25, {_FALSE}),

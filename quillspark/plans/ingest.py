@@ -26,6 +26,10 @@ def _files(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(FILES), "path string, raw string")
 
 
+def parsed(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    return documents.documents(_files(spark))
+
+
 def ingest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, _ = documents.documents(_files(spark))
     meta = F.concat_ws(";", F.array_sort(F.transform(F.map_entries("meta"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))))
