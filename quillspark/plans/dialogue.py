@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import advice, assembly, questions, reviews
 from ..session import table
 from . import advisory, facts, ingest
+from .retrieval import _PAIR, _sentences, _tokens
 
 QUESTIONS = (
     (1, "请问私募基金合格投资者的准入条件是什么？"), (2, "有没有类似的处罚案例"), (3, "前五大客户集中度怎么算，比例是多少？"), (4, "第 三 条怎么理解"), (5, "产品 ABX-2024-01 的费率"),
@@ -134,6 +135,8 @@ QUERIES = {
 }
 _FALSE = "NULL::INT, NULL::INT, NULL::INT, FALSE, NULL::INT"
 ORACLE_SQL = {
+    "answer_sentences": f"""WITH {_PAIR}, s AS (SELECT DISTINCT key, unnest({_sentences('answer')}) AS s, {_tokens('question')} AS q FROM a), t AS (SELECT key, s, len(list_intersect(list_distinct(q), list_distinct({_tokens('s')}))) AS n FROM s WHERE length(s) >= 10)
+        SELECT key AS query, 1::BIGINT AS n, length(s) AS n_chars FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n DESC, length(s), s) AS i FROM t WHERE n > 0) WHERE i = 1""",
     "faq_hits": "SELECT * FROM (VALUES ('合格投资者门槛是多少', '合格投资者的门槛', 0.755::DOUBLE, 1), ('产品A12的费率', '产品A12费率是多少', 0.9::DOUBLE, 1)) v(asked, stored, score, rank)",
     "ingest_stats": "SELECT 7 AS n_documents, 2 AS n_issues, 'csv,json,markdown,text' AS formats, 11 AS n_blocks, 3 AS n_tables",
     "metric_texts": f"""WITH m AS (SELECT metric, max(value) AS v FROM ({facts.ORACLE_SQL['risk_values']}) GROUP BY metric)

@@ -324,6 +324,10 @@ ORACLE_SQL = {
     "bm25_topk": f"WITH {_BM25} SELECT item_id, doc_id, round(score, 6) AS score, rank FROM b WHERE rank <= {TOP}",
     "matched_terms": f"WITH {_BM25} SELECT item_id, doc_id, array_to_string(terms, ' ') AS terms FROM b WHERE rank <= 3",
     "sparse_topk": f"WITH {_BM25}, {_SPARSE} SELECT item_id, doc_id, round(score, 6) AS score, rank FROM s WHERE rank <= {TOP}",
+    "weighted_fusion": f"""WITH {_BM25}, {_SPARSE}, both_ AS (SELECT item_id, doc_id, bs.score AS k, ss.score AS c, coalesce((lang = 'en')::INT, 0) AS m FROM bs JOIN ss USING (item_id, doc_id) JOIN documents USING (doc_id)),
+      e AS (SELECT item_id, min(k) AS k0, max(k) AS k1, min(c) AS c0, max(c) AS c1 FROM both_ GROUP BY item_id),
+      w AS (SELECT item_id, doc_id, round(0.45::DOUBLE * (0.7::DOUBLE * CASE WHEN k1 - k0 < 1e-12 THEN 0 ELSE (k - k0) / (k1 - k0) END + 0.3::DOUBLE * least(1, c)) + 0.40::DOUBLE * CASE WHEN c1 - c0 < 1e-12 THEN 0 ELSE (c - c0) / (c1 - c0) END + 0.15::DOUBLE * m, 9) AS s FROM both_ JOIN e USING (item_id))
+      SELECT item_id, doc_id, round(s, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id) AS rank FROM w) WHERE rank <= {TOP}""",
     "route_counts": f"WITH {_RRF} SELECT item_id, count(bm25_rank) AS bm25, count(sparse_rank) AS sparse, count(*) FILTER (WHERE n_routes = 2) AS all_routes FROM hy GROUP BY item_id",
     "rrf_hybrid": f"WITH {_RRF} SELECT item_id, doc_id, bm25_rank, sparse_rank, round(rrf, 8) AS rrf, n_routes FROM hy",
     "ir_metrics": f"""WITH {_BM25}, truth AS (SELECT item_id, doc_id FROM documents d JOIN benchmark q ON contains(d.text, q.text)), f AS (SELECT t.item_id, min(b.rank) AS first FROM truth t LEFT JOIN (SELECT * FROM b WHERE rank <= {TOP}) b USING (item_id, doc_id) GROUP BY 1)
