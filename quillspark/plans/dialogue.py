@@ -136,9 +136,9 @@ QUERIES = {
 _FALSE = "NULL::INT, NULL::INT, NULL::INT, FALSE, NULL::INT"
 ORACLE_SQL = {
     "answer_sentences": f"""WITH {_PAIR}, s AS (SELECT DISTINCT key, unnest({_sentences('answer')}) AS s, {_tokens('question')} AS q FROM a), t AS (SELECT key, s, len(list_intersect(list_distinct(q), list_distinct({_tokens('s')}))) AS n FROM s WHERE length(s) >= 10)
-        SELECT key AS query, 1::BIGINT AS n, length(s) AS n_chars FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n DESC, length(s), s) AS i FROM t WHERE n > 0) WHERE i = 1""",
+        SELECT key AS query, 1::BIGINT AS n, length(s)::INT AS n_chars FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n DESC, length(s), s) AS i FROM t WHERE n > 0) WHERE i = 1""",
     "faq_hits": "SELECT * FROM (VALUES ('合格投资者门槛是多少', '合格投资者的门槛', 0.755::DOUBLE, 1), ('产品A12的费率', '产品A12费率是多少', 0.9::DOUBLE, 1)) v(asked, stored, score, rank)",
-    "ingest_stats": "SELECT 7 AS n_documents, 2 AS n_issues, 'csv,json,markdown,text' AS formats, 11 AS n_blocks, 3 AS n_tables",
+    "ingest_stats": "SELECT 7::BIGINT AS n_documents, 2::BIGINT AS n_issues, 'csv,json,markdown,text' AS formats, 11::BIGINT AS n_blocks, 3::BIGINT AS n_tables",
     "metric_texts": f"""WITH m AS (SELECT metric, max(value) AS v FROM ({facts.ORACLE_SQL['risk_values']}) GROUP BY metric)
         SELECT metric, CASE WHEN metric IN ({', '.join(f"'{m}'" for m in reviews.AS_PERCENT)}) THEN printf('%.2f%%', v * 100) ELSE printf('%.2f', v) END AS shown FROM m""",
     "variant_coverage": f"SELECT client_id, round(count(DISTINCT variant) / 4, 6) AS coverage FROM ({advisory.ORACLE_SQL['counterfactual_diff']}) GROUP BY client_id",
@@ -161,7 +161,7 @@ ORACLE_SQL = {
     "evidence_merge": """WITH l AS (SELECT o_custkey AS query, o_orderkey AS parent, l_orderkey || '-' || format('{:02d}', l_linenumber) AS child, l_quantity AS score FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
         b AS (SELECT *, row_number() OVER (PARTITION BY query, parent ORDER BY score DESC, child) AS i FROM l), t AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, child) AS n FROM b WHERE i = 1)
         SELECT query, parent, child, score, 'E' || n AS evidence_no FROM t WHERE n <= 8""",
-    "sources_by_use": """SELECT query, source, uses, row_number() OVER (PARTITION BY query ORDER BY uses DESC, first, source) AS source_no FROM (SELECT l_orderkey AS query, l_returnflag AS source, count(*) AS uses, min(l_linenumber) AS first FROM lineitem GROUP BY ALL)""",
+    "sources_by_use": """SELECT query, source, uses, row_number() OVER (PARTITION BY query ORDER BY uses DESC, first, source)::INT AS source_no FROM (SELECT l_orderkey AS query, l_returnflag AS source, count(*) AS uses, min(l_linenumber) AS first FROM lineitem GROUP BY ALL)""",
     "evaluation_summary": """SELECT count(*) AS n_cases, round(avg((value > 50)::INT), 4) AS mean, round(avg((value > 80)::INT), 4) AS baseline, CASE WHEN avg((value > 80)::INT) <> 0 THEN round((avg((value > 50)::INT) - avg((value > 80)::INT)) / avg((value > 80)::INT), 4) END AS lift,
         min(round(value, 4)) AS least_ms, round(avg(round(value, 4)), 4) AS mean_ms, max(round(value, 4)) AS worst_ms FROM events""",
     "client_reports": """SELECT c_custkey, '## 客户' || chr(10) || c_name || CASE WHEN c_custkey % 3 <> 0 THEN chr(10) || chr(10) || '## 市场' || chr(10) || c_mktsegment ELSE '' END || CASE WHEN c_acctbal >= 0 THEN chr(10) || chr(10) || '## 余额' || chr(10) || 'key ' || c_custkey ELSE '' END AS report,

@@ -97,7 +97,7 @@ ORACLE_SQL = {
     "ingest_faq": "SELECT * FROM (VALUES ('FAQ-001', '问?', '答', '', '', ''), ('F-7', 'q', 'a', 'c', '', ''), ('FAQ-004', '三', '3', '', '', '')) v(faq_id, question, answer, category, updated_at, source_id)",
     # Texts without headings and tables: paragraphs are what blank lines part.
     "page_sections": r"""WITH paras AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\n([ \t\r]*\n)+')) AS p FROM documents)
-        SELECT doc_id, count(*) AS n_blocks, sum(length(trim(p, ' ' || chr(9) || chr(10) || chr(13)))) AS n_chars FROM paras WHERE trim(p, ' ' || chr(9) || chr(10) || chr(13)) <> '' GROUP BY doc_id""",
+        SELECT doc_id, count(*) AS n_blocks, sum(length(trim(p, ' ' || chr(9) || chr(10) || chr(13))))::BIGINT AS n_chars FROM paras WHERE trim(p, ' ' || chr(9) || chr(10) || chr(13)) <> '' GROUP BY doc_id""",
     "vector_upsert": "SELECT vec_id, label + CASE WHEN vec_id % 10 = 0 THEN 100 ELSE 0 END AS label FROM embeddings UNION ALL SELECT -vec_id - 1, label FROM embeddings WHERE vec_id % 10 = 0",
     "vector_delete": "SELECT vec_id, label FROM embeddings WHERE label % 2 <> 0 AND vec_id >= 10",
     "trace_runs": """SELECT format('run-{:04d}', user_id) AS run_id, count(*) AS steps, count(*) FILTER (WHERE value > 50) AS errors, round(sum(round(value, 4)), 4) AS total_ms, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_ts
