@@ -53,7 +53,7 @@ def format_chats(conversations: DataFrame, conv: str = "conv_id", turn: str = "t
 
     n_copies counts equal conversations; n_reply_chars the characters of assistant turns. Null role or text count as
     empty; rows with a null conversation id belong to none and are left out. An empty table gives no rows. Other
-    columns are not read. A conversation becomes one row, as long as its turns.
+    columns are not read. A conversation becomes one row, as long as its turns, however many and long they are.
     """
     turns = rolled(conversations, conv, turn, role, text)
     kept = turns.join(maximal(turns).withColumnRenamed("_conv", "_kept"), F.col("_conv") == F.col("_kept"))

@@ -95,6 +95,24 @@ def test_packing(spark, edge, empty):
     assert bytes(with_ids["ids"]) == (1).to_bytes(4, "little")
 
 
+def test_packing_of_repeated_keys(spark):
+    """Each of several rows with one key is packed whole: pieces chain up to the rows' own lengths."""
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    texts_of = ["same key " * 900, "same key " * 900, "another text " * 700, None, "short"]
+    rows = packing.pack_documents(spark.createDataFrame([(7, t) for t in texts_of], SCHEMA).repartition(2), path).collect()
+    t = packing.WordPieces(path).tokenizer
+    want = Counter(len(t.encode(x or "", add_special_tokens=False).ids) + 1 for x in texts_of)
+    assert sum(r["length"] for r in rows) == sum(n * c for n, c in want.items())
+    for n, copies in want.items():
+        own = [r for r in rows if r["doc_tokens"] == n]
+        assert sum(r["length"] for r in own) == n * copies and sum(r["start"] == 0 for r in own) == copies
+    by_sequence = defaultdict(list)
+    for r in rows:
+        by_sequence[r["sequence_id"]].append((r["offset"], r["length"]))
+    for own in by_sequence.values():
+        assert [o for o, _ in sorted(own)] == [sum(n for _, n in sorted(own)[:i]) for i in range(len(own))]
+
+
 def test_pieces(spark, edge, empty):
     path = queries.tokenizer_path("piece_bpe_32k.model")
     p = piece_encoding.model(path).processor
@@ -455,6 +473,13 @@ def test_chats(spark):
     assert chat_format.format_chats(df.limit(0)).count() == 0
 
 
+def test_very_long_conversations(spark):
+    """Thousands of turns and a very long one: the longer of two that begin alike stays."""
+    turns = [(c, i, "user" if i % 2 == 0 else "assistant", LONG if i == 1 else f"t{i}") for c, n in ((1, 3000), (2, 2999), (3, 1)) for i in range(n)]
+    rows = {r["conv_id"]: r for r in chat_format.format_chats(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(4)).collect()}
+    assert set(rows) == {1} and rows[1]["n_turns"] == 3000 and rows[1]["text"].count("<|im_start|>") == 3000 and LONG in rows[1]["text"]
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_agrees_with_sql(spark, name):
     assert oracle.differences(queries.QUERIES[name](spark, oracle.SMALL), oracle.database(), queries.ORACLE_SQL[name]) == ""
