@@ -43,7 +43,8 @@ def test_sentences_and_paragraphs(spark):
         ("id 11010519491231002X end", "id [ID:****002X] end"),
         ("call 13812345678.", "call [PHONE:****5678]."),
         ("card 6222021234567890123", "card [BANK:****0123]"),
-        ("mail a.b@x-y.com now", "mail [EMAIL:****.com] now"),
+        ("mail a.b@x-y.com now", "mail [EMAIL:****.com] now"), ("a@b.io, c@d.museum.", "[EMAIL:****b.io], [EMAIL:****seum]."), ("no@.com x@y.c", "no@.com x@y.c"), ("u@a.com.cn-", "[EMAIL:****m.cn]-"),
+        ("\x01 call 13812345678\x01", "\x01 call [PHONE:****5678]\x01"),
         (None, ""),
     ],
 )
