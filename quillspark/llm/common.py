@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -23,7 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if given:
         return given.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     own = f"file:/tmp/quillspark-shared/{spark.sparkContext.applicationId}"
     spark.sparkContext.setCheckpointDir(own)
