@@ -137,6 +137,7 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     source = rows.where(F.col("_hash") <= limit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
         total: dict[str, dict[int, int]] = {}
         for batch in batches:
             for name, t in zip(batch.column("_lang").to_pylist(), common.strings(batch.column("_text")), strict=True):
@@ -167,6 +168,7 @@ def identify(docs: DataFrame, profiles: Profiles, key: str = "doc_id", text: str
     if keep is not None:
 
         def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            common.release()
             for batch in common.slices_by_bytes(batches, text, BATCH_BYTES):
                 names, scores = zip(*map(profiles.nearest, common.strings(batch.column(text))), strict=True)
                 yield pa.RecordBatch.from_arrays([*batch.select(keep).columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, *added])
@@ -196,6 +198,7 @@ def least_score(docs: DataFrame, profiles: Profiles, least: float, key: str = "d
     rows = docs.where(held_out(F.col(key)) & F.col(lang).isin(profiles.languages)).select(F.col(lang).alias("_lang"), F.col(text).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
         total = np.zeros((2, 1001), np.int64)
         for batch in batches:
             for name, t in zip(batch.column("_lang").to_pylist(), common.strings(batch.column("_text")), strict=True):
