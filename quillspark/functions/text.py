@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Punctuation that counts as a space when tokens are made.
 CJK_PUNCTUATION = "，。、；：？！（）《》“”‘’【】—…·　"
@@ -192,3 +196,41 @@ def scan_suspects(text: Column) -> Column:
     for pattern, _ in SCAN_DIGITS:
         total = total + F.regexp_count(F.coalesce(text, F.lit("")), F.lit(f"(?<=\\d){pattern}(?=\\d)"))
     return total
+
+
+def stable_hash(text: Column, size: int = 8) -> Column:
+    """The BLAKE2b hash of `size` bytes in hex; null counts as empty. Spark has no such function: Arrow batches of the column alone."""
+
+    @F.arrow_udf(T.StringType())
+    def run(values: pa.Array) -> pa.Array:
+        return pa.array([hashlib.blake2b((v or "").encode(), digest_size=size).hexdigest() for v in values.to_pylist()], pa.string())
+
+    return run(text)
+
+
+def preview(value: Column, most: int = 240) -> Column:
+    """A value as JSON text with single spaces, cut to `most` characters."""
+    return F.left(F.regexp_replace(F.to_json(F.struct(value.alias("v"))), r"\s+", " "), F.lit(most))
+
+
+def json_object(text: Column) -> Column:
+    """The JSON object between the first and the last brace of a text, such as a model's reply; null if there is none that parses."""
+    found = F.regexp_extract(F.coalesce(text, F.lit("")), r"(?s)\{.*\}", 0)
+    return F.when(F.try_parse_json(found).isNotNull() & (found != ""), found)
+
+
+def looks_like_header(line: Column) -> Column:
+    """Whether a short line is a page number, or has no mark that ends or parts a sentence."""
+    bare = F.btrim(line)
+    return bare.rlike(r"^第?\s*\d+\s*(页|/\s*\d+)?$") | ~bare.rlike("[。！？；，.!?;,]")
+
+
+def strip_boilerplate(text: Column, least: int = 3, longest: int = 40) -> Column:
+    """The text without lines of at most `longest` characters that it repeats `least` times or more and that look like headers.
+
+    Lines are grouped by sorting them once, so a long text costs its lines times their logarithm.
+    """
+    lines = F.split(F.coalesce(text, F.lit("")), "\n")
+    ordered = F.array_sort(F.filter(F.transform(lines, lambda x: F.btrim(x)), lambda x: (x != "") & (F.length(x) <= longest)))
+    repeated = let(ordered, lambda o: F.array_distinct(F.filter(o, lambda x, i: F.get(o, i + (least - 1)) == x)))
+    return let(F.filter(repeated, lambda x: looks_like_header(x)), lambda r: F.array_join(F.filter(lines, lambda x: ~F.array_contains(r, F.btrim(x))), "\n"))

@@ -113,3 +113,16 @@ def test_bm25_prefers_rare_terms(spark):
     q = spark.createDataFrame([(1, "common rare")], "q int, text string")
     top = lexical.with_terms(lexical.top(lexical.scores(docs, q, "id", "q"), "q", "id", 3), docs, q, "id", "q").orderBy("rank").collect()
     assert [r["id"] for r in top] == [0, 1, 2] and top[0]["terms"] == ["common", "rare"]
+
+
+def test_small_text_functions(spark):
+    import hashlib
+
+    assert one(spark, "aé", lambda c: fx.stable_hash(c, 4)) == hashlib.blake2b("aé".encode(), digest_size=4).hexdigest()
+    assert one(spark, None, fx.stable_hash) == hashlib.blake2b(b"", digest_size=8).hexdigest()
+    assert one(spark, 'so: {"a": {"b": 1}} done', fx.json_object) == '{"a": {"b": 1}}'
+    assert one(spark, "{broken", fx.json_object) is None and one(spark, "{a: }", fx.json_object) is None and one(spark, None, fx.json_object) is None
+    assert one(spark, "a  b\n" + "c" * 300, lambda c: fx.preview(c, 10)) == '{"v":"a b\\'
+    assert one(spark, " 第 3 页 ", fx.looks_like_header) and one(spark, "Annual report", fx.looks_like_header) and not one(spark, "It ends.", fx.looks_like_header)
+    page = "Report\nfirst.\n Report \nsecond.\nReport\nsame.\nsame.\nsame.\n" + "L" * 50 + "\nx\nx"
+    assert one(spark, page, fx.strip_boilerplate) == "first.\nsecond.\nsame.\nsame.\nsame.\n" + "L" * 50 + "\nx\nx"
