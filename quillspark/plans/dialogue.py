@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as fx
 from ..operators import advice, assembly, questions, reviews
 from ..session import table
 from . import advisory, facts, ingest
@@ -128,13 +129,28 @@ def review_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("reasons", F.concat_ws(",", "reasons"))
 
 
+def boilerplate_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", fx.strip_boilerplate(F.col("text")).alias("stripped"))
+
+
+def reply_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies that wrap a JSON object, made from the event log: every third is broken."""
+    body = F.concat(F.lit('Here: {"id": '), F.col("event_id"), F.when(F.col("event_id") % 3 == 0, F.lit(", }")).otherwise("}"), F.lit(" end"))
+    return table(spark, sf_dir, "events").select("event_id", fx.json_object(body).alias("object"))
+
+
 QUERIES = {
+    "boilerplate_stripped": boilerplate_stripped, "reply_objects": reply_objects,
     "faq_hits": faq_hits, "ingest_stats": ingest_stats, "metric_texts": metric_texts, "variant_coverage": variant_coverage, "stress_coverage": stress_coverage, "review_reasons": review_reasons,
     "question_plan": question_plan, "named_filters": named_filters, "company_names": company_names, "extracted_answers": extracted_answers, "answer_sentences": answer_sentences, "answer_report": answer_report,
     "evidence_merge": evidence_merge, "sources_by_use": sources_by_use, "evaluation_summary": evaluation_summary, "client_reports": client_reports,
 }
 _FALSE = "NULL::INT, NULL::INT, NULL::INT, FALSE, NULL::INT"
 ORACLE_SQL = {
+    "boilerplate_stripped": """WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), t AS (SELECT doc_id, trim(unnest(ls)) AS t FROM l),
+        c AS (SELECT doc_id, t FROM t WHERE t <> '' AND length(t) <= 40 AND (NOT regexp_matches(t, '[。！？；，.!?;,]') OR regexp_matches(t, '^第?\\s*\\d+\\s*(页|/\\s*\\d+)?$')) GROUP BY doc_id, t HAVING count(*) >= 3), r AS (SELECT doc_id, list(t) AS r FROM c GROUP BY doc_id)
+        SELECT doc_id, array_to_string(list_filter(ls, lambda x: NOT list_contains(coalesce(r, []), trim(x))), chr(10)) AS stripped FROM l LEFT JOIN r USING (doc_id)""",
+    "reply_objects": """SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN '{"id": ' || event_id || '}' END AS object FROM events""",
     "answer_sentences": f"""WITH {_PAIR}, s AS (SELECT DISTINCT key, unnest({_sentences('answer')}) AS s, {_tokens('question')} AS q FROM a), t AS (SELECT key, s, len(list_intersect(list_distinct(q), list_distinct({_tokens('s')}))) AS n FROM s WHERE length(s) >= 10)
         SELECT key AS query, 1::BIGINT AS n, length(s)::INT AS n_chars FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n DESC, length(s), s) AS i FROM t WHERE n > 0) WHERE i = 1""",
     "faq_hits": "SELECT * FROM (VALUES ('合格投资者门槛是多少', '合格投资者的门槛', 0.755::DOUBLE, 1), ('产品A12的费率', '产品A12费率是多少', 0.9::DOUBLE, 1)) v(asked, stored, score, rank)",
