@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, common
+from . import centroids, chat_format, common, decontamination
 
 
 def tokenizer_path(name: str) -> str:
@@ -77,6 +77,20 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(common.read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), digests=True)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import spelling_variants
+
+    return spelling_variants(common.read(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(common.read(spark, sf_dir, "embeddings"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.digests(decontamination.contamination(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_warc": op2_warc,
@@ -88,6 +102,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_fingerprints": op9_fingerprints,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_decontamination": op13_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_chat_formatting": chat_format.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op8_chat_formatting": chat_format.ORACLE_SQL,
+    "op12_centroid_clustering": centroids.oracle_sql(),
+    "op13_decontamination": decontamination.ORACLE_SQL,
+}
