@@ -25,13 +25,19 @@ NUMBER = r"\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+\.\d+|\d+"
 CLAUSE = "第\\s*[0-9一二三四五六七八九十百零]+\\s*条(?:之[一二三四五六七八九十])?"
 DOTTED_CLAUSE = r"\b\d+(?:\.\d+){1,3}\b"
 CODE = r"\b[A-Z]{2,}[A-Z0-9]*(?:-\d{2,})+\b"
+#: CODE for Java: what a run has taken it does not give back, as a hyphen must follow.
+_CODE = r"\b[A-Z]{2,}+[A-Z0-9]*+(?:-\d{2,})+\b"
 #: Line ends of the white-space rules.
 BLANKS = "[ \\t\\r\\f\\x0b]+"
 STRIPPED = " \t\n\r\x0b\x0c"
 
 
+#: BLANKS but for single spaces, which would be replaced by themselves.
+_BLANKS_TO_CHANGE = " [ \\t\\r\\f\\x0b]+|[\\t\\r\\f\\x0b][ \\t\\r\\f\\x0b]*"
+
+
 def _tidied(text: Column) -> Column:
-    return F.btrim(F.regexp_replace(F.regexp_replace(text, BLANKS, " "), "\\n{3,}", "\n\n"), F.lit(STRIPPED))
+    return F.btrim(F.regexp_replace(F.regexp_replace(text, _BLANKS_TO_CHANGE, " "), "\\n{3,}", "\n\n"), F.lit(STRIPPED))
 
 
 def _base(text: Column) -> Column:
@@ -89,7 +95,7 @@ def tokenize(text: Column, clauses: bool = True) -> Column:
         extra = F.concat(
             F.transform(F.regexp_extract_all(n, F.lit(CLAUSE), F.lit(0)), lambda x: F.replace(x, F.lit(" "), F.lit(""))),
             F.regexp_extract_all(n, F.lit(DOTTED_CLAUSE), F.lit(0)),
-            F.transform(F.regexp_extract_all(F.upper(n), F.lit(CODE), F.lit(0)), F.lower),
+            F.transform(F.regexp_extract_all(F.upper(n), F.lit(_CODE), F.lit(0)), F.lower),
         )
         return _absent(base, extra)
 
@@ -142,8 +148,13 @@ def amount_tokens(text: Column) -> Column:
 
 def shingles(tokens: Column, n: int = 2) -> Column:
     """Distinct joins of n neighbouring tokens; of fewer tokens, the tokens themselves."""
-    joined = F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), ""))
-    return F.array_distinct(F.when(F.size(tokens) >= n, joined).otherwise(tokens))
+
+    def of(t: Column) -> Column:
+        # Neighbours by their places: a slice for each would copy the array every time.
+        joined = F.transform(F.sequence(F.lit(0), F.size(t) - n), lambda i: F.concat(*(F.get(t, i + k) for k in range(n))))
+        return F.array_distinct(F.when(F.size(t) >= n, joined).otherwise(t))
+
+    return let(tokens, of)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -159,6 +170,11 @@ def token_f1(a: Column, b: Column) -> Column:
     return F.when(both == 0, F.lit(0.0)).otherwise(2.0 * both / (F.size(x) + F.size(y)))
 
 
+def settled(df):
+    """df behind a generator: columns are computed once, where the optimizer would compute them again for each element of a lambda that reads them."""
+    return df.select(F.explode(F.array(F.struct("*"))).alias("_settled")).select("_settled.*")
+
+
 def exploded(df, keep: list, array: Column, name: str):
     """Rows of df's columns keep with one element of array each.
 

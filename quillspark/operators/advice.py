@@ -18,6 +18,8 @@ CLASSES = ("cash_fund", "bond", "mixed", "equity", "derivative")
 RESERVE, ELDERLY, ELDERLY_CAP, WARNING, COOLING, CASH_RETURN = 0.03, 65, 0.2, 0.8, (1.0, 0.3), 0.015
 #: A portfolio's drawdown is its loss times this.
 AMPLIFICATION = 1.15
+#: Fixed value: how far weights and cash may be from 1 together.
+WHOLE = 1e-6
 
 
 def steady(x: Column, digits: int) -> Column:
@@ -98,8 +100,8 @@ def portfolio_metrics(books: DataFrame) -> DataFrame:
 
 
 def _hit(rule: str, severity: str, hit: Column, subject: Column | None = None, product: Column | None = None) -> Column:
-    level, horizon = (F.lit(None).cast("int"), F.lit(None).cast("double")) if product is None else (product["risk_level"].cast("int"), product["horizon"])
-    return F.when(hit, F.struct(F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), (F.lit("") if subject is None else subject).alias("subject"), level.alias("risk_level"), horizon.alias("horizon")))
+    level, horizon, kind = (F.lit(None).cast(t) for t in ("int", "double", "string")) if product is None else (product["risk_level"].cast("int"), product["horizon"], product["asset_class"])
+    return F.when(hit, F.struct(F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), (F.lit("") if subject is None else subject).alias("subject"), level.alias("risk_level"), horizon.alias("horizon"), kind.alias("asset_class")))
 
 
 def _holding_rules(x: Column) -> Column:
@@ -124,11 +126,12 @@ def _holding_rules(x: Column) -> Column:
 
 
 def violations(measured: DataFrame) -> DataFrame:
-    """portfolio_metrics() with `violations`, an array of (rule_id, severity, subject, risk_level, horizon): the last two of the product meant."""
+    """portfolio_metrics() with `violations`, an array of (rule_id, severity, subject, risk_level, horizon, asset_class): the last three of the product meant."""
     c, held = F.col, F.col("held")
     any_of = lambda test: F.exists(held, test)
     taxed = F.filter(held, lambda x: x["tax_advantaged"])
     single = F.array_compact(F.array(
+        _hit("S-WEIGHT", "block", (F.abs(total(held, lambda x: x["weight"]) + c("cash") - 1) > WHOLE) | (c("cash") < -EPS) | any_of(lambda x: x["weight"] < -EPS)),
         _hit("S-LIQUIDITY", "block", c("liquidity") + EPS < c("liquidity_floor")),
         _hit("S-DUAL-RECORD", "warn", (c("age") >= ELDERLY) | any_of(lambda x: (x["risk_level"] >= 4) | x["is_derivative"])),
         _hit("S-FEE-DISCLOSE", "warn", over(c("fee"), c("fee_budget"))),
@@ -159,31 +162,38 @@ EXCLUDES = ("S-ENTRY", "S-EXPERIENCE", "S-CURRENCY", "S-QUALIFIED", "S-PROHIBITE
 
 
 def tighten(judged: DataFrame) -> DataFrame:
-    """What each client with blocks has to tighten: caps as minima, floors as maxima, excluded products as a set and its size."""
+    """What each client with blocks has to tighten: caps as minima, floors as maxima, excluded products as a set and its size, classes of banned derivatives."""
     blocks = F.filter("violations", lambda v: v["severity"] == "block")
     of = lambda *rules: F.filter("_b", lambda v: v["rule_id"].isin(*rules))
     when = lambda rule, value: F.when(F.size(of(rule)) > 0, value)
     cut = lambda cap: steady(F.greatest(F.lit(0.01), F.col(cap) * 0.8), 9)
     excluded = F.array_sort(F.array_distinct(F.transform(of(*EXCLUDES), lambda v: v["subject"])))
+    banned = F.array_sort(F.array_distinct(F.transform(of("S-DERIVATIVE-BAN"), lambda v: v["asset_class"])))
     return judged.withColumn("_b", blocks).where(F.size("_b") > 0).select(
         "client_id",
         F.least(F.array_min(F.transform(of("S-RISK-MATCH"), lambda v: F.greatest(F.lit(1), v["risk_level"] - 1))), when("S-ELDERLY", F.lit(3))).alias("risk_cap"),
         F.array_min(F.transform(of("S-HORIZON"), lambda v: F.greatest(F.lit(0.1), v["horizon"] * 0.5))).alias("horizon_cap"),
         F.least(when("S-CONC-SINGLE", cut("single_cap")), when("S-ELDERLY", F.lit(ELDERLY_CAP))).alias("single_cap"),
         when("S-CONC-CLASS", cut("class_cap")).alias("class_cap"), when("S-CONCENTRATION-ISSUER", cut("issuer_cap")).alias("issuer_cap"),
-        when("S-LIQUIDITY", steady(F.col("liquidity_floor") + 0.05, 9)).alias("liquidity_floor"), F.size(excluded).cast("long").alias("n_excluded"), excluded.alias("excluded"),
+        when("S-LIQUIDITY", steady(F.col("liquidity_floor") + 0.05, 9)).alias("liquidity_floor"), F.size(excluded).cast("long").alias("n_excluded"), excluded.alias("excluded"), banned.alias("excluded_classes"),
     )
 
 
 def tightened_clients(clients: DataFrame, specs: DataFrame) -> DataFrame:
-    """clients with the specs of tighten() applied: caps can only fall, floors only rise; `excluded` is the set of closed products."""
-    t = specs.select("client_id", *(F.col(c).alias(f"_{c}") for c in ("risk_cap", "horizon_cap", "single_cap", "class_cap", "issuer_cap", "liquidity_floor", "excluded")))
+    """clients with the specs of tighten() applied: caps can only fall, floors only rise to 1, closed products and classes only grow.
+
+    `excluded` and `excluded_classes` are sorted sets; clients may have them from a round before.
+    """
+    numbers, sets = ("risk_cap", "horizon_cap", "single_cap", "class_cap", "issuer_cap", "liquidity_floor"), ("excluded", "excluded_classes")
+    t = specs.select("client_id", *(F.col(c).alias(f"_{c}") for c in numbers + sets))
     both = clients.join(t, "client_id", "left")
     changed = {
         "risk_capacity": F.least("risk_capacity", "_risk_cap"), "horizon": F.least("horizon", "_horizon_cap"), "single_cap": F.least("single_cap", "_single_cap"), "class_cap": F.least("class_cap", "_class_cap"),
-        "issuer_cap": F.least("issuer_cap", "_issuer_cap"), "liquidity_floor": F.greatest("liquidity_floor", "_liquidity_floor"),
+        "issuer_cap": F.least("issuer_cap", "_issuer_cap"), "liquidity_floor": F.greatest("liquidity_floor", F.least(F.lit(1.0), F.col("_liquidity_floor"))),
     }
-    return both.select(*(changed.get(c, F.col(c)).alias(c) for c in clients.columns), F.coalesce("_excluded", F.array().cast("array<string>")).alias("excluded"))
+    none = F.array().cast("array<string>")
+    grown = [F.array_sort(F.array_union(F.col(c) if c in clients.columns else none, F.coalesce(F.col(f"_{c}"), none))).alias(c) for c in sets]
+    return both.select(*(changed.get(c, F.col(c)).alias(c) for c in clients.columns if c not in sets), *grown)
 
 
 # Stress and variants.
@@ -220,9 +230,9 @@ def varied(clients: DataFrame) -> DataFrame:
 
 
 def clipped(books: DataFrame) -> DataFrame:
-    """varied() portfolios with `kept`: present holdings that a variant still admits, clipped to its single cap."""
+    """varied() portfolios with `kept`: present holdings that a variant still admits, with all their fields, the weight clipped to its single cap."""
     open_ = F.filter("held", lambda x: (x["risk_level"] <= F.col("risk_capacity")) & ~over(x["horizon"], F.col("horizon")))
-    return varied(books).withColumn("kept", F.transform(open_, lambda x: F.struct(x["product_id"].alias("product_id"), F.round(F.least(x["weight"], F.col("single_cap")), 9).alias("weight"))))
+    return varied(books).withColumn("kept", F.transform(open_, lambda x: x.withField("weight", F.round(F.least(x["weight"], F.col("single_cap")), 9))))
 
 
 def weight_changes(weights: DataFrame, key: str = "client_id", base: str = "base") -> DataFrame:

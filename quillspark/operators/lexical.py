@@ -13,6 +13,8 @@ K1, B = 1.5, 0.75
 DIGITS = 9
 #: Rows of question terms that are broadcast at most; beyond it postings and questions meet by a shuffle on terms.
 BROADCAST_TERMS = 1_000_000
+#: Folders that an index deals its terms over.
+BUCKETS = 32
 
 
 def tokens_of(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -36,70 +38,92 @@ def query_terms(queries: DataFrame, query: str, text: str = "text") -> DataFrame
     return fx.exploded(tokens_of(queries, query, text), [query], F.col("tokens"), "term").groupBy(query, "term").agg(F.count("*").alias("qtf"))
 
 
-def scores(docs: DataFrame, queries: DataFrame, key: str, query: str, text: str = "text") -> DataFrame:
-    """Rows (query, key, score) of every pair with a common term.
+def bucket_of(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
-    Only the queries' terms leave a document: the rest is dropped before postings are counted and shuffled.
-    Counts and the mean length are those of all documents; one row of totals is broadcast. The questions' terms are
-    counted first and broadcast if they are few: postings then stay where they are, and a term of most documents
-    does not gather them in one task.
-    """
-    wanted = query_terms(queries, query, text)
-    small = F.broadcast if wanted.count() <= BROADCAST_TERMS else (lambda df: df)
-    tokens = tokens_of(docs, key, text).withColumn("dl", F.size("tokens"))
-    totals = tokens.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"))
-    hits = fx.exploded(tokens, [key, "dl"], F.col("tokens"), "term").join(small(wanted.select("term").distinct()), "term", "left_semi")
-    postings = hits.groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = wanted.join(df, "term").join(F.broadcast(totals), how="cross").select(query, "term", (idf(F.col("n"), F.col("df")) * (1.0 + F.log(F.col("qtf").cast("double")))).alias("w"), "avgdl")
-    tf = F.col("tf").cast("double")
-    part = F.col("w") * tf * (K1 + 1.0) / (tf + K1 * (1.0 - B + B * F.col("dl") / F.col("avgdl")))
-    return postings.join(small(weighted), "term").groupBy(query, key).agg(F.round(F.sum(part), DIGITS).alias("score"))
-
-
-def write_index(docs: DataFrame, key: str, path: str, text: str = "text") -> None:
-    """Write the postings of docs as rows (key, dl, term, tf, head), from one reading of the texts; `head` marks one row of each document.
-
-    A document without tokens has one row without a term, so counts and mean length are those of all documents.
-    """
-    tokens = tokens_of(docs, key, text)
-    rows = tokens.select(key, F.size("tokens").alias("dl"), F.posexplode_outer("tokens").alias("at", "term"))
-    counted = rows.groupBy(key, "dl", "term").agg(F.count("term").alias("tf"), F.min("at").alias("at"))
-    counted.select(key, "dl", "term", "tf", (F.coalesce("at", F.lit(0)) == 0).alias("head")).write.parquet(path)
 
+def write_index(docs: DataFrame, key: str, path: str, text: str = "text", metadata: tuple[str, ...] = (), prune: tuple[str, ...] = (), buckets: int = BUCKETS, splits: int = 1) -> None:
+    """Write the postings of docs, from one reading of the texts, and the terms with their document counts.
 
-class Index:
-    """A written index: its postings serve BM25 and sparse search, and any number of question sets."""
+    postings: (key, dl, *metadata, *prune, bucket, term, tf), in folders of the columns `prune` and of a term's bucket, sorted by term:
+    the terms of a question and a condition on the document leave out folders, and row groups within them. A row without a term, in
+    bucket -1, stands for each document, so that counts and the mean length are those of all documents, whether they have tokens or not.
+    A term's documents are dealt over `splits` tasks: as many as a term of all documents needs.
+    """
+    kept = [key, *(c for c in (*metadata, *prune) if c != key)]
+    tokens = docs.select(*kept, F.explode(F.array(F.struct(fx.tokenize(F.col(text)).alias("t")))).alias("_x"))
+    rows = tokens.select(*kept, F.size("_x.t").alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), F.col("_x.t"))).alias("term"))
+    dealt = rows.withColumns({"bucket": F.when(F.col("term").isNull(), -1).otherwise(bucket_of(F.col("term"), buckets)), "_split": F.pmod(F.xxhash64(key), F.lit(splits)).cast("int")})
+    # Without a term, all of a document's one row; its key spreads these rows as a split does.
+    dealt = dealt.withColumn("_split", F.when(F.col("term").isNull(), F.pmod(F.xxhash64(key), F.lit(max(buckets, splits))).cast("int")).otherwise(F.col("_split")))
+    counted = dealt.repartition("bucket", "_split").groupBy("bucket", "_split", "term", *kept, "dl").agg(F.count("term").alias("tf")).drop("_split")
+    folders = [*prune, "bucket"]
+    counted.sortWithinPartitions(*folders, "term").write.partitionBy(*folders).parquet(f"{path}/postings")
+    order = [*(c for c in counted.columns if c not in folders), *folders]
+    postings = docs.sparkSession.read.schema(counted.select(order).schema).parquet(f"{path}/postings")
+    # Each key and term is one row.
+    terms = postings.where("bucket >= 0").groupBy("bucket", "term").agg(F.count("*").alias("df"))
+    terms.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
+    postings.where("bucket = -1").agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"), F.lit(buckets).alias("buckets")).coalesce(1).write.parquet(f"{path}/totals")
 
-    def __init__(self, spark: SparkSession, path: str, key: str):
-        self.rows, self.key = spark.read.parquet(path), key
 
-    def totals(self) -> DataFrame:
-        return self.rows.agg(F.count_if("head").cast("double").alias("n"), F.avg(F.when(F.col("head"), F.col("dl"))).alias("avgdl"))
+class Index:
+    """A written index: its postings serve BM25 and sparse search, masks on metadata, and any number of question sets.
 
-    def hits(self, wanted: DataFrame) -> tuple[DataFrame, bool]:
-        """(postings of the questions' terms, whether the terms are few enough to broadcast: they are counted first)."""
-        few = wanted.count() <= BROADCAST_TERMS
-        terms = wanted.select("term").distinct()
-        return self.rows.where("term is not null").join(F.broadcast(terms) if few else terms, "term", "left_semi"), few
+    Document counts and the mean length are those of all documents, whatever the mask.
+    """
 
-    def bm25(self, queries: DataFrame, query: str, text: str = "text") -> DataFrame:
-        """Rows (query, key, score) of every pair with a common term."""
-        wanted = query_terms(queries, query, text)
-        hits, few = self.hits(wanted)
-        df = hits.groupBy("term").agg(F.count("*").alias("df"))
-        weighted = wanted.join(df, "term").join(F.broadcast(self.totals()), how="cross").select(query, "term", (idf(F.col("n"), F.col("df")) * (1.0 + F.log(F.col("qtf").cast("double")))).alias("w"), "avgdl")
+    def __init__(self, spark: SparkSession, path: str, key: str):
+        self.key = key
+        self.rows, self.terms, self.totals = (spark.read.parquet(f"{path}/{n}") for n in ("postings", "terms", "totals"))
+        self.buckets = self.totals.first()["buckets"]
+
+    def documents(self) -> DataFrame:
+        """One row for each document with its metadata and length."""
+        return self.rows.where("bucket = -1").drop("term", "tf", "bucket")
+
+    def scores(self, queries: DataFrame, query: str, text: str = "text", mask: Column | None = None, same: dict[str, str] | None = None) -> DataFrame:
+        """Rows (query, key, bm25, sparse) of every pair with a common term, both scores from one reading of the postings.
+
+        bm25 sums idf times 1 + ln of the question's term count times the saturated term count; sparse is the dot product of 1 + ln tf weights over the question's length. mask: a condition on the documents'
+        metadata. same: a column of the documents for each column of queries that must equal it; a null there means any.
+        The questions' terms are counted first: their buckets, at most as many as the index has, become folders to read, and if the terms are
+        few they are broadcast, so a term of most documents does not gather them in one task.
+        """
+        wants = list((same or {}).keys())
+        q = query_terms(queries, query, text).withColumn("bucket", bucket_of(F.col("term"), self.buckets))
+        n, used = q.agg(F.count("*"), F.collect_set("bucket")).first()
+        near = F.col("bucket").isin(*used) if used else F.lit(False)
+        small = F.broadcast if n <= BROADCAST_TERMS else (lambda df: df)
+        qn = Window.partitionBy(query)
+        q = q.withColumn("qw", 1.0 + F.log(F.col("qtf").cast("double"))).withColumn("qn", F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(qn)))
+        if wants:
+            q = q.join(queries.select(query, *(F.col(c).alias(f"_want_{c}") for c in wants)), query)
+        q = q.join(self.terms.where(near), ["bucket", "term"]).join(F.broadcast(self.totals.select("n", "avgdl")), how="cross")
+        q = q.select(query, "bucket", "term", "qw", "qn", "avgdl", (idf(F.col("n"), F.col("df")) * F.col("qw")).alias("w"), *(f"_want_{c}" for c in wants))
+        hits = self.rows.where(near & (F.lit(True) if mask is None else mask)).join(small(q), ["bucket", "term"])
+        for column, field in (same or {}).items():
+            hits = hits.where(F.col(f"_want_{column}").isNull() | (F.col(f"_want_{column}") == F.col(field)))
         tf = F.col("tf").cast("double")
         part = F.col("w") * tf * (K1 + 1.0) / (tf + K1 * (1.0 - B + B * F.col("dl") / F.col("avgdl")))
-        return hits.join(F.broadcast(weighted) if few else weighted, "term").groupBy(query, self.key).agg(F.round(F.sum(part), DIGITS).alias("score"))
+        dot = (1.0 + F.log(tf)) * F.col("qw")
+        sums = hits.groupBy(query, self.key, "qn").agg(F.sum(part).alias("bm25"), F.sum(dot).alias("raw"))
+        return sums.select(query, self.key, F.round("bm25", DIGITS).alias("bm25"), F.round(F.col("raw") / F.when(F.col("qn") == 0, 1.0).otherwise(F.col("qn")), DIGITS).alias("sparse"))
+
+    def bm25(self, queries: DataFrame, query: str, text: str = "text", **options) -> DataFrame:
+        """Rows (query, key, score) of every pair with a common term."""
+        return self.scores(queries, query, text, **options).select(query, self.key, F.col("bm25").alias("score"))
 
-    def sparse(self, queries: DataFrame, query: str, text: str = "text") -> DataFrame:
+    def sparse(self, queries: DataFrame, query: str, text: str = "text", **options) -> DataFrame:
         """Rows (query, key, score): 1 + ln tf weights, the dot product over the query's length."""
-        q = query_terms(queries, query, text).withColumn("qw", 1.0 + F.log(F.col("qtf").cast("double")))
-        hits, few = self.hits(q)
-        q = q.select(query, "term", "qw", F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(Window.partitionBy(query))).alias("qn"))
-        raw = hits.join(F.broadcast(q) if few else q, "term").groupBy(query, self.key, "qn").agg(F.sum((1.0 + F.log(F.col("tf").cast("double"))) * F.col("qw")).alias("raw"))
-        return raw.select(query, self.key, F.round(F.col("raw") / F.when(F.col("qn") == 0, 1.0).otherwise(F.col("qn")), DIGITS).alias("score"))
+        return self.scores(queries, query, text, **options).select(query, self.key, F.col("sparse").alias("score"))
+
+
+def routes_of(scored: DataFrame, query: str, key: str, k: int, routes: tuple[str, ...] = ("bm25", "sparse")) -> DataFrame:
+    """Rows (query, key, route, score, rank): the k best of each route with a score above 0, from one scored table; ties by key."""
+    listed = scored.select(query, key, F.explode(F.array(*(F.struct(F.lit(r).alias("route"), F.col(r).alias("score")) for r in routes))).alias("_r")).select(query, key, "_r.route", "_r.score")
+    best = Window.partitionBy(query, "route").orderBy(F.desc("score"), key)
+    return listed.where("score > 0").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def top(scored: DataFrame, group: str, key: str, k: int, score: str = "score") -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import advice, versions
-from ..session import table
+from ..session import scratch_path, table
+from ..sources import stores
 from .shared import plain
 
 CLIENTS = """
@@ -90,6 +91,7 @@ violations AS (
   SELECT j.client_id, r.rule_id, r.severity, j.product_id AS subject FROM joined j JOIN (SELECT * FROM (VALUES {_RULE_VALUES}) AS v(rule_id, severity)) r ON {_RULE_CASE}
   UNION ALL SELECT client_id, 'S-CONC-CLASS', 'block', asset_class FROM joined GROUP BY client_id, asset_class HAVING round(sum(weight), 8) > max(class_cap) + {_EPS}
   UNION ALL SELECT client_id, 'S-CONCENTRATION-ISSUER', 'block', issuer FROM joined GROUP BY client_id, issuer HAVING round(sum(weight), 8) > max(issuer_cap) + {_EPS}
+  UNION ALL SELECT h.client_id, 'S-WEIGHT', 'block', '' FROM holdings h JOIN cash k ON k.client_id = h.client_id GROUP BY h.client_id HAVING abs(sum(h.weight) + max(k.weight) - 1) > CAST(1e-6 AS DOUBLE) OR max(k.weight) < -{_EPS} OR min(h.weight) < -{_EPS}
   UNION ALL SELECT m.client_id, 'S-LIQUIDITY', 'block', '' FROM metrics m JOIN clients c ON c.client_id = m.client_id WHERE m.liquidity + {_EPS} < c.liquidity_floor
   UNION ALL SELECT client_id, 'S-DUAL-RECORD', 'warn', '' FROM joined GROUP BY client_id HAVING max(age) >= 65 OR max(risk_level) >= 4 OR bool_or(is_derivative)
   UNION ALL SELECT m.client_id, 'S-FEE-DISCLOSE', 'warn', '' FROM metrics m JOIN clients c ON c.client_id = m.client_id WHERE m.fee > c.fee_budget + {_EPS}
@@ -159,11 +161,26 @@ SHARED = {
       FROM versions a JOIN versions b ON b.client_id = a.client_id AND b.version = a.version - 1 WHERE abs(a.value - b.value) > {_EPS} OR a.status <> b.status""",
     "trace_summary": "SELECT event_type AS step, count(*) AS n, round(sum(value), 4) AS total_ms, round(avg(value), 4) AS mean_ms, max(value) AS worst_ms, count(DISTINCT user_id) AS runs FROM {events} GROUP BY event_type",
 }
-SHARED["counterfactual_diff"] = f"""WITH {VARIANTS}
-      SELECT client_id, variant, product_id, round(coalesce(v.weight, 0) - coalesce(b.weight, 0), 9) AS delta
-      FROM (SELECT * FROM with_cash WHERE variant <> 'base') v
-      FULL JOIN (SELECT b.client_id, n.variant, b.product_id, b.weight FROM with_cash b CROSS JOIN (SELECT variant FROM {_VARIANTS} WHERE variant <> 'base') n WHERE b.variant = 'base') b USING (client_id, variant, product_id)
-      WHERE abs(coalesce(v.weight, 0) - coalesce(b.weight, 0)) > {_EPS}"""
+#: A variant's weights count plus, the base's minus, once for each other variant.
+SHARED["counterfactual_diff"] = f"""WITH {VARIANTS.replace("held AS (", "held AS MATERIALIZED (").replace("allowed AS (", "allowed AS MATERIALIZED (").replace("with_cash AS (", "with_cash AS MATERIALIZED (")},
+      signed AS (SELECT client_id, variant, product_id, weight FROM with_cash WHERE variant <> 'base'
+        UNION ALL SELECT b.client_id, n.variant, b.product_id, -b.weight FROM with_cash b JOIN (SELECT variant FROM {_VARIANTS} WHERE variant <> 'base') n ON TRUE WHERE b.variant = 'base')
+      SELECT client_id, variant, product_id, round(sum(weight), 9) AS delta FROM signed GROUP BY client_id, variant, product_id HAVING abs(round(sum(weight), 9)) > {_EPS}"""
+_MADE = VARIANTS.replace("held AS (", "held AS MATERIALIZED (").replace("allowed AS (", "allowed AS MATERIALIZED (").replace("with_cash AS (", "with_cash AS MATERIALIZED (")
+SHARED["snapshot_diff"] = f"""WITH {_MADE},
+      own AS MATERIALIZED (SELECT v.* FROM varied v JOIN (SELECT DISTINCT client_id FROM holdings) h USING (client_id)),
+      sums AS MATERIALIZED (SELECT o.client_id, o.variant, count(a.product_id) AS n, coalesce(sum(a.weight), 0) AS invested, coalesce(sum(a.weight * p.expected_return), 0) AS er, coalesce(sum(a.weight * p.fee), 0) AS fee, coalesce(max(a.weight), 0) AS top
+        FROM own o LEFT JOIN allowed a USING (client_id, variant) LEFT JOIN products p USING (product_id) GROUP BY ALL),
+      facts AS (SELECT client_id, variant, 'weights' AS part, product_id AS name, weight AS value FROM with_cash
+        UNION ALL SELECT client_id, variant, 'metrics', unnest(['n_products', 'invested', 'expected_return', 'fee', 'max_single']),
+          unnest([CAST(n AS DOUBLE), round(invested, 6), round(er + round(1 - invested, 9) * CAST(0.015 AS DOUBLE), 6), round(fee, 6), round(top, 6)]) FROM sums
+        UNION ALL SELECT client_id, variant, 'constraints', unnest(['risk_capacity', 'horizon', 'single_cap', 'liquidity_floor']), unnest([CAST(risk_capacity AS DOUBLE), horizon, single_cap, liquidity_floor]) FROM own
+        UNION ALL SELECT client_id, variant, 'rules', 'S-CASH-RESERVE', 1 FROM sums WHERE round(1 - invested, 9) < CAST(0.03 AS DOUBLE) - {_EPS}
+        UNION ALL SELECT client_id, variant, 'rules', 'S-DIVERSIFICATION', 1 FROM sums WHERE n <= 2),
+      numbered AS (SELECT f.*, list_position(['base', 'risk_down', 'horizon_half', 'cap_down', 'liquidity_up'], variant) AS version FROM facts f),
+      sides AS (SELECT client_id, version, part, name, NULL AS before, value AS after FROM numbered WHERE version > 1 UNION ALL SELECT client_id, version + 1, part, name, value, NULL FROM numbered WHERE version < 5),
+      both_ AS (SELECT client_id, version, part, name, max(before) AS before, max(after) AS after FROM sides GROUP BY ALL)
+      SELECT client_id, CAST(version AS INT) AS version, CAST(version - 1 AS INT) AS previous, part, name, round(before, 9) AS before, round(after, 9) AS after FROM both_ WHERE before IS NULL OR after IS NULL OR abs(before - after) > {_EPS}"""
 ORACLE_SQL = {name: plain(sql) for name, sql in SHARED.items()}
 
 
@@ -276,11 +293,45 @@ def counterfactual_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a variant changes about the base, among present holdings and cash."""
     rows = advice.clipped(books(spark, sf_dir))
     cash = F.struct(F.lit("cash").alias("product_id"), advice.steady(1 - advice.total(F.col("kept"), lambda x: x["weight"]), 9).alias("weight"))
-    return advice.weight_changes(rows.select("client_id", "variant", F.inline(F.array_append("kept", cash))))
+    weights = F.transform("kept", lambda x: F.struct(x["product_id"].alias("product_id"), x["weight"].alias("weight")))
+    return advice.weight_changes(rows.select("client_id", "variant", F.inline(F.array_append(weights, cash))))
+
+
+#: Numbers of a variant's snapshot in a client's chain.
+ORDER = {v[0]: i for i, v in enumerate(advice.VARIANTS, 1)}
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows (client_id, version, status, weights, metrics, constraints, rules): each variant's portfolio as a snapshot of maps."""
+    rows, kept = advice.clipped(books(spark, sf_dir)), F.col("kept")
+    total = lambda part: advice.total(kept, part)
+    cash = advice.steady(1 - total(lambda x: x["weight"]), 9)
+    named = lambda pairs: F.map_from_entries(F.array(*(F.struct(F.lit(n).alias("key"), c.cast("double").alias("value")) for n, c in pairs.items())))
+    weights = F.map_from_entries(F.array_append(F.transform(kept, lambda x: F.struct(x["product_id"].alias("key"), x["weight"].alias("value"))), F.struct(F.lit("cash").alias("key"), cash.alias("value"))))
+    metrics = {"n_products": F.size(kept), "invested": advice.steady(total(lambda x: x["weight"]), 6), "expected_return": advice.steady(total(lambda x: x["weight"] * x["expected_return"]) + cash * advice.CASH_RETURN, 6), "fee": advice.steady(total(lambda x: x["weight"] * x["fee"]), 6), "max_single": advice.steady(F.coalesce(F.array_max(F.transform(kept, lambda x: x["weight"])), F.lit(0.0)), 6)}
+    limits = {c: F.col(c) for c in ("risk_capacity", "horizon", "single_cap", "liquidity_floor")}
+    rules = F.array_compact(F.array(F.when(cash < advice.RESERVE - advice.EPS, F.lit("S-CASH-RESERVE")), F.when(F.size(kept) <= 2, F.lit("S-DIVERSIFICATION"))))
+    version = F.create_map(*(F.lit(x) for pair in ORDER.items() for x in pair))[F.col("variant")]
+    return rows.select("client_id", version.alias("version"), F.col("variant").alias("status"), weights.alias("weights"), named(metrics).alias("metrics"), named(limits).alias("constraints"), rules.alias("rules"))
+
+
+def saved_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The snapshots appended to a log in the shared folder, with the hash of their payload, and read back."""
+    rows = snapshots(spark, sf_dir)
+    path = scratch_path(spark, "snapshots")
+    payload = ("weights", "metrics", "constraints", "rules")
+    stores.append_lines(rows.withColumn("hash", versions.snapshot(versions.canonical(list(payload), [F.col(c) for c in payload]))), path)
+    return stores.parsed_lines(spark.read.text(path), "client_id long, version int, status string, weights map<string,double>, metrics map<string,double>, constraints map<string,double>, rules array<string>, hash string")
+
+
+def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each saved snapshot changed against the one before it: weights, metrics, constraints and rules."""
+    changed = versions.map_changes(saved_snapshots(spark, sf_dir), "client_id", ["weights", "metrics", "constraints"], ("rules",))
+    return changed.select("client_id", "version", "previous", "part", "name", F.round("before", 9).alias("before"), F.round("after", 9).alias("after"))
 
 
 def tighten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return advice.tighten(judged(spark, sf_dir)).drop("excluded")
+    return advice.tighten(judged(spark, sf_dir)).drop("excluded", "excluded_classes")
 
 
 def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,5 +356,5 @@ QUERIES = {
     "screen_products": screen_products, "screen_summary": screen_summary, "score_to_band": score_to_band, "class_issuer_concentration": class_issuer_concentration,
     "portfolio_metrics": portfolio_metrics, "suitability_rules": suitability_rules, "suitability_gate": suitability_gate, "tighten": tighten,
     "stress_test": lambda spark, sf_dir: advice.stress(books(spark, sf_dir), BETAS, SHOCKS), "counterfactual_coverage": counterfactual_coverage,
-    "counterfactual_diff": counterfactual_diff, "version_chain": version_chain, "version_diff": version_diff, "trace_summary": trace_summary,
+    "counterfactual_diff": counterfactual_diff, "snapshot_diff": snapshot_diff, "version_chain": version_chain, "version_diff": version_diff, "trace_summary": trace_summary,
 }

@@ -11,32 +11,6 @@ from ..session import table
 from . import advisory, facts, ingest
 from .retrieval import _PAIR, _sentences, _tokens
 
-QUESTIONS = (
-    (1, "请问私募基金合格投资者的准入条件是什么？"), (2, "有没有类似的处罚案例"), (3, "前五大客户集中度怎么算，比例是多少？"), (4, "第 三 条怎么理解"), (5, "产品 ABX-2024-01 的费率"),
-    (6, "你好"), (7, "2023年的适当性管理办法有哪些要求"), (8, "示例集团2024年之后的收益"), (9, "2022 年之前处罚过谁"), (10, None), (11, "规定 多少"),
-)
-EVIDENCE = (
-    (1, "合格投资者 门槛 是多少", "E1", "text", "合格投资者的门槛为净资产三百万元。短句。与此无关的另一段文字没有共同内容XYZ。"),
-    (1, "合格投资者 门槛 是多少", "E2", "text", "合格投资者的门槛为净资产三百万元。合格投资者应当具备两年以上投资经历。"),
-    (1, "合格投资者 门槛 是多少", "E3", "table", "投资者: 合格投资者；门槛: 300万元。"),
-    (2, "nothing in common", "E9", "text", "完全不相干的一句话在这里。"),
-)
-SOURCES = (("E1", "甲 · 办法", "S-1", "2024-01-01", "V2"), ("E2", "乙 · 细则", "S-2", "2023-05-01", ""), ("E3", "丙 · 表", "S-3", "2022-01-01", None))
-ANSWERS = (
-    (1, "【结论】\n合格投资者的门槛为净资产 300 万元 [1]\n【出处与时效】\n[1] 2020 年 9999", "合格投资者 门槛", ["合格投资者的门槛为净资产300万元。"], ["合格投资者", "门槛", "缺失"]),
-    (2, "销售额增长到 4567 万元。", "销售额", ["销售额没有披露。"], []),
-    (3, "", "x", None, None),
-)
-
-
-def _questions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(QUESTIONS), "id int, question string")
-
-
-def question_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = questions.plan(_questions(spark), "id", "question")
-    return rows.select("id", "route", F.concat_ws("|", "queries").alias("queries"), "bm25", "dense", "sparse", "years.year_gte", "years.year_lte", "years.year", "years.promotable", questions.promoted_year(F.col("years"), [2023]).alias("hard_year"))
-
 
 def named_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first nation named in each user turn, of all nations in order."""
@@ -45,18 +19,6 @@ def named_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions.first_named(turns, names, "key", "text", "name")
 
 
-def company_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = F.array(*map(F.lit, ("甲乙科技股份有限公司", "示例银行", "丙集团有限公司")))
-    rows = spark.createDataFrame([("甲乙科技",), ("甲乙科技有限公司",), ("示例银行股份有限公司",), ("丙公司",), ("不存在公司",), ("",)], "asked string")
-    return rows.select("asked", questions.core_name(F.col("asked")).alias("core"), questions.resolved_company(F.col("asked"), known).alias("resolved"), F.concat_ws(",", questions.unknown_names(F.array("asked"), known)).alias("unknown"))
-
-
-def extracted_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    evidence = spark.createDataFrame(list(EVIDENCE), "query int, question string, evidence_id string, kind string, text string")
-    sources = spark.createDataFrame(list(SOURCES), "evidence_id string, label string, source_id string, updated_at string, version string")
-    return assembly.extracted_answers(assembly.citations(assembly.chosen_sentences(evidence, "query"), "query"), sources, "query")
-
-
 def answer_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each assistant turn as evidence for the user turn before it: the sentence that answers best, if one does."""
     c = table(spark, sf_dir, "conversations")
@@ -66,12 +28,6 @@ def answer_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assembly.chosen_sentences(rows, "query").where("place = 0").groupBy("query").agg(F.count("*").alias("n"), F.min(F.length("sentence")).alias("n_chars"))
 
 
-def answer_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(ANSWERS), "id int, answer string, question string, evidence array<string>, phrases array<string>")
-    out = assembly.faithfulness(rows, "answer", "question", "evidence")
-    return out.select("id", F.concat_ws(",", "unsupported_numbers").alias("unsupported"), "support_rate", "faithful", F.round(assembly.keyphrase_coverage(F.col("answer"), F.col("phrases")), 6).alias("coverage"))
-
-
 def evidence_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as scored children of orders, customers as queries: the best line of each order, the eight best orders."""
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("query"), F.col("o_orderkey").alias("parent"), F.concat_ws("-", "l_orderkey", F.format_string("%02d", "l_linenumber")).alias("child"), F.col("l_quantity").alias("score"))
@@ -95,20 +51,6 @@ def client_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assembly.narrative(c, "c_custkey", sections)
 
 
-FAQS = (
-    ("合格投资者门槛是多少", "合格投资者的门槛", 0.8, 0.5, 0.7), ("产品A12的费率", "产品A13的费率", 0.9, 0.8, 0.95), ("产品A12的费率", "产品A12费率是多少", 0.9, 0.6, 0.9), ("天气", "合格投资者的门槛", 0.0, 0.0, -0.3),
-)
-
-
-def faq_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(FAQS), "asked string, stored string, coverage double, likeness double, cosine double")
-    return questions.faq_answers(questions.faq_scores(rows), "asked", "stored").select("asked", "stored", "score", "rank")
-
-
-def ingest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reviews.corpus_stats(*ingest.parsed(spark)).withColumn("formats", F.concat_ws(",", "formats"))
-
-
 def metric_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The largest value of each metric that rules read, as text."""
     return facts.values(spark, sf_dir).groupBy("metric").agg(F.max("value").alias("v")).select("metric", reviews.shown(F.col("metric"), F.col("v")).alias("shown"))
@@ -141,11 +83,10 @@ def reply_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "boilerplate_stripped": boilerplate_stripped, "reply_objects": reply_objects,
-    "faq_hits": faq_hits, "ingest_stats": ingest_stats, "metric_texts": metric_texts, "variant_coverage": variant_coverage, "stress_coverage": stress_coverage, "review_reasons": review_reasons,
-    "question_plan": question_plan, "named_filters": named_filters, "company_names": company_names, "extracted_answers": extracted_answers, "answer_sentences": answer_sentences, "answer_report": answer_report,
+    "metric_texts": metric_texts, "variant_coverage": variant_coverage, "stress_coverage": stress_coverage, "review_reasons": review_reasons,
+    "named_filters": named_filters, "answer_sentences": answer_sentences, 
     "evidence_merge": evidence_merge, "sources_by_use": sources_by_use, "evaluation_summary": evaluation_summary, "client_reports": client_reports,
 }
-_FALSE = "NULL::INT, NULL::INT, NULL::INT, FALSE, NULL::INT"
 ORACLE_SQL = {
     "boilerplate_stripped": """WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), t AS (SELECT doc_id, trim(unnest(ls)) AS t FROM l),
         c AS (SELECT doc_id, t FROM t WHERE t <> '' AND length(t) <= 40 AND (NOT regexp_matches(t, '[。！？；，.!?;,]') OR regexp_matches(t, '^第?\\s*\\d+\\s*(页|/\\s*\\d+)?$')) GROUP BY doc_id, t HAVING count(*) >= 3), r AS (SELECT doc_id, list(t) AS r FROM c GROUP BY doc_id)
@@ -153,27 +94,13 @@ ORACLE_SQL = {
     "reply_objects": """SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN '{"id": ' || event_id || '}' END AS object FROM events""",
     "answer_sentences": f"""WITH {_PAIR}, s AS (SELECT DISTINCT key, unnest({_sentences('answer')}) AS s, {_tokens('question')} AS q FROM a), t AS (SELECT key, s, len(list_intersect(list_distinct(q), list_distinct({_tokens('s')}))) AS n FROM s WHERE length(s) >= 10)
         SELECT key AS query, 1::BIGINT AS n, length(s)::INT AS n_chars FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n DESC, length(s), s) AS i FROM t WHERE n > 0) WHERE i = 1""",
-    "faq_hits": "SELECT * FROM (VALUES ('合格投资者门槛是多少', '合格投资者的门槛', 0.755::DOUBLE, 1), ('产品A12的费率', '产品A12费率是多少', 0.9::DOUBLE, 1)) v(asked, stored, score, rank)",
-    "ingest_stats": "SELECT 7::BIGINT AS n_documents, 2::BIGINT AS n_issues, 'csv,json,markdown,text' AS formats, 11::BIGINT AS n_blocks, 3::BIGINT AS n_tables",
     "metric_texts": f"""WITH m AS (SELECT metric, max(value) AS v FROM ({facts.ORACLE_SQL['risk_values']}) GROUP BY metric)
         SELECT metric, CASE WHEN metric IN ({', '.join(f"'{m}'" for m in reviews.AS_PERCENT)}) THEN printf('%.2f%%', v * 100) ELSE printf('%.2f', v) END AS shown FROM m""",
     "variant_coverage": f"SELECT client_id, round(count(DISTINCT variant) / 4, 6) AS coverage FROM ({advisory.ORACLE_SQL['counterfactual_diff']}) GROUP BY client_id",
     "stress_coverage": f"SELECT client_id, least(1, count(*) / 3) AS coverage FROM ({advisory.ORACLE_SQL['stress_test']}) GROUP BY client_id",
     "review_reasons": f"""SELECT client_id, concat_ws(',', CASE WHEN veto THEN 'veto' END, CASE WHEN blocks > 0 THEN 'blocks' END, CASE WHEN warns > 3 THEN 'warnings' END) AS reasons, veto OR blocks > 0 OR warns > 3 AS needed FROM ({advisory.ORACLE_SQL['suitability_gate']})""",
-    "question_plan": f"""SELECT * FROM (VALUES
-        (1, 'clause', '请问私募基金合格投资者的准入条件是什么？|私募基金合格投资者的准入条件', 0.55::DOUBLE, 0.20::DOUBLE, 0.25::DOUBLE, {_FALSE}), (2, 'case', '有没有类似的处罚案例', 0.20, 0.55, 0.25, {_FALSE}),
-        (3, 'metric', '前五大客户集中度怎么算，比例是多少？|前五大客户集中度怎么算，比例是多少', 0.35, 0.30, 0.35, {_FALSE}), (4, 'clause', '第 三 条怎么理解|第三条', 0.55, 0.20, 0.25, {_FALSE}),
-        (5, 'clause', '产品 ABX-2024-01 的费率|ABX-2024-01', 0.55, 0.20, 0.25, NULL, NULL, 2024, FALSE, NULL), (6, 'general', '你好', 0.34, 0.33, 0.33, {_FALSE}),
-        (7, 'clause', '2023年的适当性管理办法有哪些要求|2023年的适当性管理办法要求', 0.55, 0.20, 0.25, NULL, NULL, 2023, TRUE, 2023), (8, 'metric', '示例集团2024年之后的收益', 0.35, 0.30, 0.35, 2024, NULL, NULL, FALSE, NULL),
-        (9, 'case', '2022 年之前处罚过谁', 0.20, 0.55, 0.25, NULL, 2022, NULL, FALSE, NULL), (10, 'general', '', 0.34, 0.33, 0.33, {_FALSE}), (11, 'clause', '规定 多少', 0.55, 0.20, 0.25, {_FALSE})
-        ) v(id, route, queries, bm25, dense, sparse, year_gte, year_lte, year, promotable, hard_year)""",
     "named_filters": """WITH n AS (SELECT DISTINCT left(n_name, 3) AS name FROM nation), t AS (SELECT conv_id || '/' || turn AS key, upper(text) AS text FROM conversations WHERE role = 'user')
         SELECT key, min(name) AS name FROM t LEFT JOIN n ON contains(text, name) GROUP BY key""",
-    "company_names": """SELECT * FROM (VALUES ('甲乙科技', '甲乙科技', '甲乙科技股份有限公司', ''), ('甲乙科技有限公司', '甲乙科技', '甲乙科技股份有限公司', ''), ('示例银行股份有限公司', '示例银行', '示例银行', ''),
-        ('丙公司', '丙', '丙集团有限公司', '丙公司'), ('不存在公司', '不存在', NULL, '不存在公司'), ('', '', NULL, '')) v(asked, core, resolved, unknown)""",
-    "extracted_answers": """SELECT 1 AS query, '【结论】' || chr(10) || '合格投资者的门槛为净资产三百万元。 [1]' || chr(10) || chr(10) || '【依据】' || chr(10) || '- （条款/表格｜丙 · 表）投资者: 合格投资者；门槛: 300万元。 [2]' || chr(10) || '- （原文｜乙 · 细则）合格投资者应当具备两年以上投资经历。 [3]'
-        || chr(10) || chr(10) || '【出处与时效】' || chr(10) || '[1] 甲 · 办法（资料编号 S-1，更新/生效日期 2024-01-01，版本 V2）' || chr(10) || '[2] 丙 · 表（资料编号 S-3，更新/生效日期 2022-01-01）' || chr(10) || '[3] 乙 · 细则（资料编号 S-2，更新/生效日期 2023-05-01）' AS answer, 3 AS n_citations""",
-    "answer_report": "SELECT * FROM (VALUES (1, '', 1.0::DOUBLE, TRUE, round(2.0::DOUBLE / 3, 6)), (2, '4567', 0.0, FALSE, 1.0), (3, '', 1.0, TRUE, 1.0)) v(id, unsupported, support_rate, faithful, coverage)",
     "evidence_merge": """WITH l AS (SELECT o_custkey AS query, o_orderkey AS parent, l_orderkey || '-' || format('{:02d}', l_linenumber) AS child, l_quantity AS score FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
         b AS (SELECT *, row_number() OVER (PARTITION BY query, parent ORDER BY score DESC, child) AS i FROM l), t AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, child) AS n FROM b WHERE i = 1)
         SELECT query, parent, child, score, 'E' || n AS evidence_no FROM t WHERE n <= 8""",

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as fx
 from ..operators import facts as ops
 from ..session import table
 
@@ -82,21 +83,29 @@ def evidence_gap_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gaps(spark, sf_dir).groupBy("gap", "target").agg(F.count("*").alias("n"))
 
 
-#: Reports as text: heads with other year columns, a unit column or none, placeholders, short rows, aliases, a bar in prose.
-FILINGS = (
-    ("D1", "甲公司", "A-2024", "# 年报\n## 主要指标\n| 指标 | 2024年 | 2023年 | 单位 |\n| --- | :--: | --- | --- |\n| 营收 | 1,200.5 | 1,000 | 万元 |\n| 净利 | -30 | — | 万元 |\n| --- | --- | --- | --- |\n| 不良率 | 1.42% | 1.5％ | % |\n| 商誉 | 5\n正文 A | B\n| 序号 | 数值 |\n| - | - |\n| 1 | 2 |"),
-    ("D2", "乙公司", "B-2024", "| 指标 | 2024年前三季度 | 备注 |\n|---|---|---|\n| 总资产 | 99 | x |\n|  | 7 | y |\n# 附录\n| 非表头 | 2020年 |\n| 指标 | 2022 年 | 2021年 |\n| -- | -- | -- |\n| 毛利 | 3e2 | N/A |\n| 应收 | 12a | +4.5 |"),
-    ("D3", "丙公司", "C-2024", None),
-    ("D4", "丁公司", "D-2024", ""),
-)
+def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each company's facts as a report (doc_id, company, source_id, raw): a markdown table, a row for each metric and a column for each year."""
+    rows = long(spark, sf_dir).groupBy("company", "metric").agg(F.sort_array(F.collect_list(F.struct("year", "value"))).alias("e"))
+    own = rows.groupBy("company").agg(F.sort_array(F.collect_list(F.struct("metric", "e"))).alias("m"))
+    own = own.withColumn("m", F.transform("m", lambda x: F.struct(x["metric"].alias("metric"), F.map_from_entries(x["e"]).alias("v"))))
+    # Bounded by the metrics and the years of one company.
+    own = fx.settled(own).withColumn("years", F.array_sort(F.array_distinct(F.flatten(F.transform("m", lambda x: F.map_keys(x["v"]))))))
+    cells = lambda x: F.transform("years", lambda y: F.coalesce(F.format_string("%,.4f", F.try_element_at(x["v"], y)), F.lit("—")))
+    line = lambda cs: F.concat(F.lit("| "), F.array_join(cs, " | "), F.lit(" |"))
+    head = line(F.concat(F.array(F.lit("指标")), F.transform("years", lambda y: F.concat(y.cast("string"), F.lit("年"))), F.array(F.lit("单位"))))
+    rule = line(F.transform(F.sequence(F.lit(0), F.size("years") + 1), lambda _: F.lit("---")))
+    body = F.array_join(F.transform("m", lambda x: line(F.concat(F.array(x["metric"]), cells(x), F.array(F.lit("元"))))), "\n")
+    raw = F.concat_ws("\n", F.lit("# 年度报告"), F.lit("## 主要指标"), head, rule, body, F.lit("以上数据未经审计。"))
+    return own.select(F.concat(F.lit("R-"), "company").alias("doc_id"), F.concat(F.lit("S"), "company").alias("company"), F.concat(F.lit("F-"), "company").alias("source_id"), raw.alias("raw"))
 
 
 def table_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.createDataFrame([(d, c, s, t) for d, c, s, t in FILINGS], "doc_id string, company string, source_id string, raw string")
-    return ops.table_facts(docs)
+    """The facts read back from the reports' tables."""
+    return ops.table_facts(filings(spark, sf_dir)).select("doc_id", "company", "source_id", "section_title", "metric", "year", "period", "period_suffix", "unit", "value")
 
 
 QUERIES = {
+    "table_facts": table_facts,
     "facts_unpivot": long,
     "fact_lookup_latest": lambda spark, sf_dir: ops.latest_facts(long(spark, sf_dir)),
     "fact_catalog": fact_catalog,
@@ -108,7 +117,7 @@ QUERIES = {
     "outlier_rules": lambda spark, sf_dir: ops.outliers(values(spark, sf_dir)),
     "evidence_gaps": evidence_gap_counts,
     "reflection_gate": reflection_gate,
-    "table_facts": table_facts,
+    
 }
 
 # The SQL, for DuckDB.
@@ -176,6 +185,7 @@ gaps AS (
 )"""
 
 ORACLE_SQL = {
+    "table_facts": f"""WITH {_WIDE} SELECT 'R-' || company AS doc_id, 'S' || company AS company, 'F-' || company AS source_id, '主要指标' AS section_title, metric, year, year || '年' AS period, '' AS period_suffix, '元' AS unit, value FROM facts""",
     "facts_unpivot": f"WITH {_WIDE} SELECT company, year, metric, value FROM facts",
     "fact_lookup_latest": f"WITH {_WIDE} SELECT company, metric, max(year) AS year, arg_max(value, year) AS value FROM facts GROUP BY ALL",
     "fact_catalog": f"WITH {_WIDE} SELECT metric, count(DISTINCT company) AS companies, min(year) AS first_year, max(year) AS last_year FROM facts GROUP BY ALL",
@@ -189,10 +199,4 @@ ORACLE_SQL = {
     "reflection_gate": f"""WITH {_RISK} SELECT s.company, s.year, r.revision_round, coalesce(g.n, 0) AS n_gaps,
         CASE WHEN coalesce(g.n, 0) > 0 AND r.revision_round < 2 THEN 'revise' WHEN coalesce(g.n, 0) > 0 OR p.overall = 'high' THEN 'escalate' ELSE 'pass' END AS verdict
         FROM sums s CROSS JOIN (VALUES (0), (1), (2)) r(revision_round) LEFT JOIN (SELECT company, year, count(*) AS n FROM gaps GROUP BY ALL) g USING (company, year) LEFT JOIN report p USING (company, year)""",
-    "table_facts": """SELECT * FROM (VALUES
-        ('D1', '甲公司', 'A-2024', '主要指标', '营业收入', 2024, '2024年', '', '万元', CAST(1200.5 AS DOUBLE)), ('D1', '甲公司', 'A-2024', '主要指标', '营业收入', 2023, '2023年', '', '万元', 1000),
-        ('D1', '甲公司', 'A-2024', '主要指标', '净利润', 2024, '2024年', '', '万元', -30), ('D1', '甲公司', 'A-2024', '主要指标', '不良贷款率', 2024, '2024年', '', '%', 1.42),
-        ('D1', '甲公司', 'A-2024', '主要指标', '不良贷款率', 2023, '2023年', '', '%', 1.5), ('D1', '甲公司', 'A-2024', '主要指标', '商誉账面价值', 2024, '2024年', '', '', 5),
-        ('D2', '乙公司', 'B-2024', '正文', '资产总额', 2024, '2024年前三季度', '前三季度', '', 99), ('D2', '乙公司', 'B-2024', '附录', '毛利润', 2022, '2022 年', '', '', 300), ('D2', '乙公司', 'B-2024', '附录', '应收账款', 2021, '2021年', '', '', 4.5)
-        ) v(doc_id, company, source_id, section_title, metric, year, period, period_suffix, unit, value)""",
 }

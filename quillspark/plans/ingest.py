@@ -1,49 +1,57 @@
-"""Document files, vector stores and trace lines: plans over literal files and the driver's tables."""
+"""Document files made from the tables, vector stores and trace lines."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import reviews
 from ..session import table
 from ..sources import documents, stores
 
-#: Small files of every format: path and text.
-FILES = (
-    ("/data/rules.md", "---\n资料编号: R-1\n机构: 甲行\n# comment\nno colon\nx: y: z\n---\n前言\n第二行\n\n# 规则\n| A | B |\n| --- | :-: |\n| 1 | 2 |\n|  |  |\n尾段\n## 空节\n## 末节\n只有一段\n"),
-    ("/data/scan.txt", "---\ntitle: 扫描件\n---\n正文一\n# 章\n正文二"),
-    ("/data/table.csv", '#编号: T-9\n# 版本 : v2\n代码,名称\nP1,"甲, 乙"\n\nP2,"a ""b"""\n,\n'),
-    ("/data/empty.csv", "\n \n"),
-    ("/data/records.json", '{"标题": "产品库", "records": [{"code": "P1", "rate": 1.50}, {"code": "P2", "name": "乙", "rate": ""}], "extra": {"a": 1}}'),
-    ("/data/none.json", '{"records": []}'),
-    ("/data/faq.json", '{"faq": [{"question": "问?", "answer": " 答 "}, {"question": "", "answer": "x"}, {"faq_id": "F-7", "question": "q", "answer": "a", "category": "c"}, {"question": "三", "answer": "3"}]}'),
-    ("/data/other.json", '{"a": 1}'),
-    ("/data/plain.md", "没有标题"),
-)
 
-
-def _files(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(FILES), "path string, raw string")
-
-
-def parsed(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    return documents.documents(_files(spark))
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files (path, raw) of every format: a document as markdown, a customer's orders as CSV, an order's lines as JSON records."""
+    docs = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("/d/"), "doc_id", F.lit(".md")).alias("path"),
+        F.concat(F.lit("---\n资料编号: D-"), "doc_id", F.lit("\n地区: "), F.coalesce("lang", F.lit("")), F.lit("\n---\n# Document "), "doc_id", F.lit("\n"), F.coalesce("text", F.lit(""))).alias("raw"),
+    )
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    line = F.struct("o_orderkey", F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderpriority", "o_orderstatus").alias("line"))
+    per = orders.groupBy("o_custkey").agg(F.sort_array(F.collect_list(line)).alias("l"))
+    sheets = per.select(F.concat(F.lit("/c/"), "o_custkey", F.lit(".csv")).alias("path"), F.concat(F.lit("#编号: C-"), "o_custkey", F.lit("\n#版本: v1\nkey,priority,status\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n")).alias("raw"))
+    record = F.struct("l_linenumber", F.struct(F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status")).alias("r"))
+    kept = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(record)).alias("l"))
+    jsons = kept.select(F.concat(F.lit("/o/"), "l_orderkey", F.lit(".json")).alias("path"), F.to_json(F.struct(F.concat(F.lit("O-"), "l_orderkey").alias("source_id"), F.concat(F.lit("Order "), "l_orderkey").alias("title"), F.transform("l", lambda x: x["r"]).alias("records"))).alias("raw"))
+    return docs.unionByName(sheets).unionByName(jsons)
 
 
 def ingest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, _ = documents.documents(_files(spark))
+    docs, _ = documents.documents(files(spark, sf_dir))
     meta = F.concat_ws(";", F.array_sort(F.transform(F.map_entries("meta"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))))
     return docs.select("doc_id", "title", "fmt", meta.alias("meta"), F.concat_ws(";", "issues").alias("issues"))
 
 
 def ingest_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, blocks = documents.documents(_files(spark))
+    """Blocks of spreadsheets and records: tables and what their rows say."""
+    _, blocks = documents.documents(files(spark, sf_dir).where("path not like '%.md'"))
     rows = F.concat_ws("/", F.transform("rows", lambda r: F.concat_ws(",", r)))
     return blocks.select("doc_id", "section_order", "section_title", "level", "block_order", "kind", F.when(F.col("kind") == "table", rows).otherwise(F.col("text")).alias("content"))
 
 
+def ingest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reviews.corpus_stats(*documents.documents(files(spark, sf_dir))).withColumn("formats", F.concat_ws(",", "formats"))
+
+
 def ingest_faq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents.faq(_files(spark)).drop("path")
+    """A conversation as a list of questions and answers: a user turn and the assistant's after it, without either the entry goes."""
+    c = table(spark, sf_dir, "conversations")
+    asked = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
+    said = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    entry = F.struct("turn", F.struct(F.concat_ws("-", F.lit("Q"), "conv_id", "turn").alias("faq_id"), "question", "answer").alias("e"))
+    per = asked.join(said, ["conv_id", "turn"], "left").groupBy("conv_id").agg(F.sort_array(F.collect_list(entry)).alias("l"))
+    made = per.select(F.concat(F.lit("/f/"), "conv_id", F.lit(".json")).alias("path"), F.to_json(F.struct(F.transform("l", lambda x: x["e"]).alias("faq"))).alias("raw"))
+    return documents.faq(made).select("faq_id", "question", "answer")
 
 
 def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,18 +91,23 @@ def trace_of_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "ingest_documents": ingest_documents, "ingest_blocks": ingest_blocks, "ingest_faq": ingest_faq, "page_sections": page_sections, "vector_upsert": vector_upsert,
+    "ingest_documents": ingest_documents, "ingest_blocks": ingest_blocks, "ingest_stats": ingest_stats, "ingest_faq": ingest_faq,
+    "page_sections": page_sections, "vector_upsert": vector_upsert,
     "vector_delete": vector_delete, "trace_runs": trace_runs, "trace_of_run": trace_of_run,
 }
+_STRIP = lambda c: f"trim({c}, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))"
 ORACLE_SQL = {
-    "ingest_documents": """SELECT * FROM (VALUES ('R-1', '规则', 'markdown', 'institution=甲行;source_id=R-1;x_x=y: z', ''), ('scan', '扫描件', 'text', 'doc_type=OCR文本;title=扫描件', ''),
-        ('T-9', 'table', 'csv', 'doc_type=产品要素表;source_id=T-9;version=v2', ''), ('empty', 'empty', 'csv', '', '解析失败：CSV 为空'), ('records', '产品库', 'json', 'doc_type=结构化记录;title=产品库', ''),
-        ('none', 'none', 'json', '', '解析失败：JSON 缺少 records 列表'), ('plain', 'plain', 'markdown', '', '')) v(doc_id, title, fmt, meta, issues)""",
-    "ingest_blocks": """SELECT * FROM (VALUES ('R-1', 0, '正文', 1, 0, 'paragraph', '前言' || chr(10) || '第二行'), ('R-1', 1, '规则', 1, 0, 'table', 'A,B/1,2'), ('R-1', 1, '规则', 1, 1, 'paragraph', '尾段'), ('R-1', 2, '末节', 2, 0, 'paragraph', '只有一段'),
-        ('scan', 0, '正文', 1, 0, 'paragraph', '正文一'), ('scan', 1, '章', 1, 0, 'paragraph', '正文二'), ('T-9', 0, 'table', 1, 0, 'table', '代码,名称/P1,甲, 乙/P2,a "b"'),
-        ('records', 0, '产品库', 1, 0, 'table', 'code,rate,name/P1,1.5,/P2,,乙'), ('records', 0, '产品库', 1, 1, 'paragraph', 'code: P1；rate: 1.5。'), ('records', 0, '产品库', 1, 2, 'paragraph', 'code: P2；name: 乙。'),
-        ('plain', 0, '正文', 1, 0, 'paragraph', '没有标题')) v(doc_id, section_order, section_title, level, block_order, kind, content)""",
-    "ingest_faq": "SELECT * FROM (VALUES ('FAQ-001', '问?', '答', '', '', ''), ('F-7', 'q', 'a', 'c', '', ''), ('FAQ-004', '三', '3', '', '', '')) v(faq_id, question, answer, category, updated_at, source_id)",
+    "ingest_documents": """SELECT 'D-' || doc_id AS doc_id, 'Document ' || doc_id AS title, 'markdown' AS fmt, CASE WHEN coalesce(trim(lang), '') <> '' THEN 'region=' || lang || ';' ELSE '' END || 'source_id=D-' || doc_id AS meta, '' AS issues FROM documents
+        UNION ALL SELECT DISTINCT 'C-' || o_custkey, o_custkey::VARCHAR, 'csv', 'doc_type=产品要素表;source_id=C-' || o_custkey || ';version=v1', '' FROM orders
+        UNION ALL SELECT DISTINCT 'O-' || l_orderkey, 'Order ' || l_orderkey, 'json', 'doc_type=结构化记录;source_id=O-' || l_orderkey || ';title=Order ' || l_orderkey, '' FROM lineitem""",
+    "ingest_blocks": """SELECT 'C-' || o_custkey AS doc_id, 0 AS section_order, o_custkey::VARCHAR AS section_title, 1 AS level, 0 AS block_order, 'table' AS kind, 'key,priority,status/' || string_agg(o_orderkey || ',' || o_orderpriority || ',' || o_orderstatus, '/' ORDER BY o_orderkey) AS content FROM orders GROUP BY o_custkey
+        UNION ALL SELECT 'O-' || l_orderkey, 0, 'Order ' || l_orderkey, 1, 0, 'table', 'line,flag,status/' || string_agg(l_linenumber || ',' || l_returnflag || ',' || l_linestatus, '/' ORDER BY l_linenumber, l_returnflag, l_linestatus) FROM lineitem GROUP BY l_orderkey
+        UNION ALL SELECT 'O-' || l_orderkey, 0, 'Order ' || l_orderkey, 1, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_linestatus)::INT, 'paragraph', 'line: ' || l_linenumber || '；flag: ' || l_returnflag || '；status: ' || l_linestatus || '。' FROM lineitem""",
+    "ingest_stats": r"""SELECT (SELECT count(*) FROM documents) + (SELECT count(DISTINCT o_custkey) FROM orders) + (SELECT count(DISTINCT l_orderkey) FROM lineitem) AS n_documents, 0::BIGINT AS n_issues, 'csv,json,markdown' AS formats,
+        (SELECT count(*) FROM (SELECT unnest(regexp_split_to_array(text, '\n([ \t\r]*\n)+')) AS p FROM documents) WHERE trim(p, ' ' || chr(9) || chr(10) || chr(13)) <> '')
+          + (SELECT count(DISTINCT o_custkey) FROM orders) + (SELECT count(DISTINCT l_orderkey) FROM lineitem) + (SELECT count(*) FROM lineitem) AS n_blocks, (SELECT count(DISTINCT o_custkey) FROM orders) + (SELECT count(DISTINCT l_orderkey) FROM lineitem) AS n_tables""",
+    "ingest_faq": f"""SELECT 'Q-' || u.conv_id || '-' || u.turn AS faq_id, {_STRIP('u.text')} AS question, {_STRIP('a.text')} AS answer FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+        WHERE u.role = 'user' AND {_STRIP("coalesce(u.text, '')")} <> '' AND {_STRIP("coalesce(a.text, '')")} <> ''""",
     # Texts without headings and tables: paragraphs are what blank lines part.
     "page_sections": r"""WITH paras AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\n([ \t\r]*\n)+')) AS p FROM documents)
         SELECT doc_id, count(*) AS n_blocks, sum(length(trim(p, ' ' || chr(9) || chr(10) || chr(13))))::BIGINT AS n_chars FROM paras WHERE trim(p, ' ' || chr(9) || chr(10) || chr(13)) <> '' GROUP BY doc_id""",

@@ -79,6 +79,8 @@ def bm25_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
+#: A term of all documents is dealt over a task for so many of them.
+DOCUMENTS_A_SPLIT = 5_000_000
 _INDEXES: dict[tuple[str, str], str] = {}
 
 
@@ -87,13 +89,18 @@ def _index(spark: SparkSession, sf_dir: str) -> lexical.Index:
     at = (spark.sparkContext.applicationId, sf_dir)
     if at not in _INDEXES:
         path = scratch_path(spark, "index")
-        lexical.write_index(spread_table(spark, sf_dir, "documents"), "doc_id", path)
+        docs = spread_table(spark, sf_dir, "documents")
+        lexical.write_index(docs, "doc_id", path, metadata=("n_chars", "source"), prune=("lang",), splits=1 + docs.count() // DOCUMENTS_A_SPLIT)
         _INDEXES[at] = path
     return lexical.Index(spark, _INDEXES[at], "doc_id")
 
 
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(spark, sf_dir).scores(table(spark, sf_dir, "benchmark"), "item_id")
+
+
 def _bm25(spark: SparkSession, sf_dir: str, k: int = TOP) -> DataFrame:
-    return lexical.top(_index(spark, sf_dir).bm25(table(spark, sf_dir, "benchmark"), "item_id"), "item_id", "doc_id", k)
+    return lexical.top(_scored(spark, sf_dir).withColumnRenamed("bm25", "score"), "item_id", "doc_id", k)
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +122,7 @@ def _dense(metric: str):
 
 
 def _sparse(spark: SparkSession, sf_dir: str, k: int = TOP) -> DataFrame:
-    return lexical.top(_index(spark, sf_dir).sparse(table(spark, sf_dir, "benchmark"), "item_id"), "item_id", "doc_id", k)
+    return lexical.top(_scored(spark, sf_dir).withColumnRenamed("sparse", "score"), "item_id", "doc_id", k)
 
 
 def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +130,7 @@ def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion.reciprocal_rank({"bm25": (_bm25(spark, sf_dir, 20), 0.6), "sparse": (_sparse(spark, sf_dir, 20), 0.4)}, "item_id", "doc_id")
+    return fusion.reciprocal_rank(lexical.routes_of(_scored(spark, sf_dir), "item_id", "doc_id", 20), {"bm25": 0.6, "sparse": 0.4}, "item_id", "doc_id")
 
 
 def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,10 +146,9 @@ def dense_text_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def weighted_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 hits with the share of matched terms, the vector route and a language match, weighted."""
-    hits = _index(spark, sf_dir).bm25(table(spark, sf_dir, "benchmark"), "item_id").withColumnRenamed("score", "bm25")
-    sparse = _index(spark, sf_dir).sparse(table(spark, sf_dir, "benchmark"), "item_id").withColumnRenamed("score", "cosine")
+    hits = _scored(spark, sf_dir).withColumnsRenamed({"sparse": "cosine"})
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("lang") == "en").cast("double").alias("metadata"))
-    rows = hits.join(sparse, ["item_id", "doc_id"]).join(docs, "doc_id").withColumn("hit_ratio", F.least(F.lit(1.0), F.col("cosine")))
+    rows = hits.join(docs, "doc_id").withColumn("hit_ratio", F.least(F.lit(1.0), F.col("cosine")))
     return fusion.weighted(rows.na.fill(0.0, ["metadata"]), "item_id", "doc_id", TOP).select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -164,18 +170,6 @@ def _with_texts(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(d, "doc_id").join(spread_table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question")), "item_id")
 
 
-def rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hybrid candidates by lexical features and min-max normalised fusion scores."""
-    rows = fusion.pair_features(_with_texts(_hybrid(spark, sf_dir), spark, sf_dir), "question", "text")
-    rows = rows.withColumn("final", F.round(0.55 * F.col("lexical") + 0.30 * fusion.minmax(F.col("rrf"), "item_id") + 0.15, 6))
-    return lexical.top(rows, "item_id", "doc_id", 5, "final").select("item_id", "doc_id", "final", "rank")
-
-
-def dedup_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _with_texts(_hybrid(spark, sf_dir), spark, sf_dir)
-    return fusion.drop_near_duplicates(rows, "item_id", "doc_id", "text", "rrf")
-
-
 def ir_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search results held against documents that contain the question verbatim."""
     ranked = _bm25(spark, sf_dir)
@@ -233,23 +227,6 @@ def faq_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.top(rows.withColumn("score", score), "item_id", "conv_id", 1).select("item_id", "conv_id", "score")
 
 
-#: Route keywords with their weights.
-ROUTE_WORDS = (("clause", "shall", 1.3), ("clause", "limit", 1.3), ("clause", "the", 0.4), ("case", "is", 1.0), ("case", "event", 1.3), ("metric", "of", 0.4), ("metric", "rate", 1.2), ("metric", "and", 1.1))
-
-
-def route_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyword votes; equal best votes or none mean general."""
-    score = lambda kind: sum((F.when(F.contains(F.lower("text"), F.lit(w)), F.lit(x)).otherwise(0.0) for k, w, x in ROUTE_WORDS if k == kind), F.lit(0.0))
-    kinds = ("clause", "case", "metric")
-    rows = spread_table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", *(F.round(score(k), 6).alias(k) for k in kinds))
-    ordered = F.sort_array(F.array(*kinds), asc=False)
-    tie = (F.get(ordered, F.lit(0)) <= 0) | (F.abs(F.get(ordered, F.lit(0)) - F.get(ordered, F.lit(1))) < 1e-9)
-    best = F.when(F.col("clause") == F.get(ordered, F.lit(0)), "clause").when(F.col("case") == F.get(ordered, F.lit(0)), "case").otherwise("metric")
-    return rows.select("conv_id", "turn", F.when(tie, "general").otherwise(best).alias("route"))
-
-
-
-
 def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections of a page made of each document's first words."""
     t = spread_table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("# "), F.coalesce(F.get(F.split("text", "\n"), F.lit(0)), F.lit("")), F.lit("\n"), F.col("text")).alias("text"))
@@ -266,7 +243,7 @@ def table_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "text_normalize": text_normalize, "sentences": sentences, "token_counts": token_counts, "mask_pii": mask_pii, "boilerplate_lines": boilerplate_lines, "quality_score": quality_score,
     "chunk_docs": chunk_docs, "chunk_stats": chunk_stats, "markdown_sections": markdown_sections, "table_chunks": table_chunks,
-    "bm25_build": bm25_build, "bm25_topk": bm25_topk, "matched_terms": matched_terms, "sparse_topk": sparse_topk, "rrf_hybrid": rrf_hybrid, "dense_text_topk": dense_text_topk, "weighted_fusion": weighted_fusion, "route_counts": route_counts, "parent_chunks": parent_chunks, "rerank": rerank, "dedup_near": dedup_near, "ir_metrics": ir_metrics,
+    "bm25_build": bm25_build, "bm25_topk": bm25_topk, "matched_terms": matched_terms, "sparse_topk": sparse_topk, "rrf_hybrid": rrf_hybrid, "dense_text_topk": dense_text_topk, "weighted_fusion": weighted_fusion, "route_counts": route_counts, "parent_chunks": parent_chunks, "ir_metrics": ir_metrics,
     "dense_topk_cosine": _dense("COSINE"), "dense_topk_ip": _dense("IP"), "dense_topk_l2": _dense("L2"),
     "filter_eq": _filter("documents", lambda f: f.eq("lang", "en") & f.ge("n_chars", 1000), "doc_id", ["lang"]),
     "filter_in": _filter("documents", lambda f: f.among("lang", ["de", "fr"]) | f.eq("source", "src3"), "doc_id", ["lang"]),
@@ -274,7 +251,7 @@ QUERIES = {
     "filter_ne_missing": _filter("documents", lambda f: f.ne("absent", "x") | f.ne("lang", "en"), "doc_id", ["lang"]),
     "filter_contains": _filter("documents", lambda f: f.contains("text", "Apache") & ~f.among("lang", ["es"]), "doc_id", ["lang"]),
     "filter_str_num": _filter("orders", lambda f: f.gt("o_totalprice", 100000) & f.ge("o_orderpriority", "3"), "o_orderkey", ["o_orderpriority"]),
-    "faq_match": faq_match, "route_classify": route_classify, "cite_validate": cite_validate, "number_faithfulness": number_faithfulness, "sentence_support": sentence_support, "answer_f1": answer_f1,
+    "faq_match": faq_match, "cite_validate": cite_validate, "number_faithfulness": number_faithfulness, "sentence_support": sentence_support, "answer_f1": answer_f1,
 }
 
 _BM25 = f"""d AS (SELECT doc_id, {_tokens('text')} AS t FROM documents), q AS (SELECT item_id, {_tokens('text')} AS t FROM benchmark),
@@ -310,7 +287,6 @@ def _masked(c: str) -> str:
 
 _PAIR = f"a AS (SELECT x.conv_id || '/' || x.turn AS key, x.text AS answer, u.text AS question FROM conversations x JOIN conversations u ON u.conv_id = x.conv_id AND u.turn = x.turn - 1 WHERE x.role = 'assistant' AND u.role = 'user')"
 _SUSPECT = " + ".join(f"len(regexp_extract_all(text, '\\d{p}\\d'))" for p, _ in fx.SCAN_DIGITS)
-_ROUTE = lambda kind: "round(" + " + ".join(f"CASE WHEN contains(lower(text), '{w}') THEN {x}::DOUBLE ELSE 0 END" for k, w, x in ROUTE_WORDS if k == kind) + ", 6)"
 _SHINGLES = lambda t: f"list_distinct(CASE WHEN len({t}) >= 2 THEN list_transform(range(1, len({t})), lambda i: {t}[i] || {t}[i + 1]) ELSE {t} END)"
 _JACCARD = lambda a, b: f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0::DOUBLE ELSE len(list_intersect({a}, {b}))::DOUBLE / len(list_distinct(list_concat({a}, {b}))) END"
 
@@ -341,8 +317,6 @@ ORACLE_SQL = {
     "filter_ne_missing": "SELECT doc_id, lang FROM documents WHERE coalesce(lang <> 'en', FALSE)",
     "filter_contains": "SELECT doc_id, lang FROM documents WHERE coalesce(contains(text, 'Apache'), FALSE) AND NOT coalesce(lang IN ('es'), FALSE)",
     "filter_str_num": "SELECT o_orderkey, o_orderpriority FROM orders WHERE coalesce(o_totalprice > 100000, FALSE) AND coalesce(o_orderpriority >= '3', FALSE)",
-    "route_classify": f"""WITH r AS (SELECT conv_id, turn, {_ROUTE('clause')} AS c, {_ROUTE('case')} AS k, {_ROUTE('metric')} AS m FROM conversations WHERE role = 'user'), o AS (SELECT *, list_reverse_sort([c, k, m]) AS s FROM r)
-      SELECT conv_id, turn, CASE WHEN s[1] <= 0 OR abs(s[1] - s[2]) < 1e-9 THEN 'general' WHEN c = s[1] THEN 'clause' WHEN k = s[1] THEN 'case' ELSE 'metric' END AS route FROM o""",
     "answer_f1": f"WITH {_PAIR}, t AS (SELECT key, list_distinct({_tokens('answer')}) AS x, list_distinct({_tokens('question')}) AS y FROM a) SELECT key, round(CASE WHEN len(list_intersect(x, y)) = 0 THEN 0 ELSE 2.0::DOUBLE * len(list_intersect(x, y)) / (len(x) + len(y)) END, 6) AS f1 FROM t",
     "sentence_support": f"""WITH {_PAIR}, s AS (SELECT key, unnest({_sentences('answer')}) AS s, list_distinct({_tokens('question')}) AS e FROM a), t AS (SELECT key, list_distinct({_tokens('s')}) AS t, e FROM s)
       SELECT key, count(*) AS n_sentences, sum((len(list_intersect(t, e))::DOUBLE / len(t) >= 0.1::DOUBLE)::INT)::BIGINT AS n_supported, round(sum((len(list_intersect(t, e))::DOUBLE / len(t) >= 0.1::DOUBLE)::INT)::DOUBLE / count(*), 6) AS rate FROM t WHERE len(t) > 0 GROUP BY key""",

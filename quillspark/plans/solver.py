@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import advice
+from ..operators import advice, tightening
 from ..operators.allocation import allocate
 from .advisory import clients, products, screened
 
@@ -54,5 +54,19 @@ def counterfactual_solved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return advice.weight_changes(variant_weights(spark, sf_dir))
 
 
-QUERIES = {"solve_weights": solve_weights, "solve_violations": solve_violations, "counterfactual_solved": counterfactual_solved}
+def tightened_portfolios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every client's settled portfolio: the round it was settled in, the verdict, rules that are left, holdings, limits that bind."""
+    rows = tightening.final(tightening.settle(clients(spark, sf_dir), products(spark, sf_dir)))
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    held = F.array_join(F.transform("held", lambda x: F.concat_ws("=", x["product_id"], F.format_string("%.6f", x["weight"]))), ",")
+    return rows.select("client_id", "round", "directive", "escalated", "n_open", joined("blocks"), joined("warns"), joined("binding"), held.alias("held"), F.round("cash", 6).alias("cash"))
+
+
+def tightening_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each further round did to the rules that a client's portfolio hit."""
+    rows = tightening.rule_changes(tightening.settle(clients(spark, sf_dir), products(spark, sf_dir)))
+    return rows.select("client_id", "round", *(F.array_join(c, ",").alias(c) for c in ("resolved", "introduced", "common")))
+
+
+QUERIES = {"solve_weights": solve_weights, "solve_violations": solve_violations, "counterfactual_solved": counterfactual_solved, "tightened_portfolios": tightened_portfolios, "tightening_rules": tightening_rules}
 ORACLE_SQL = {"solve_violations": "SELECT c_custkey AS client_id, 'x' AS code FROM customer WHERE FALSE"}

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text as fx
 from ..operators.facts import stripped
 
 #: Canonical field names and the spellings that count as them, in any case.
@@ -129,7 +130,7 @@ def documents(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     payload = F.when(F.col("fmt") == "json", F.from_json("raw", _EMPTY))
     front, body = front_matter(F.col("raw"))
     cells = F.when(F.col("fmt") == "csv", csv_rows(F.col("raw")))
-    rows = base.select("*", payload.alias("payload"), front.alias("front"), body.alias("body"), cells.alias("cells"))
+    rows = fx.settled(base.select("*", payload.alias("payload"), front.alias("front"), body.alias("body"), cells.alias("cells")))
     rows = rows.where(~F.coalesce(F.map_contains_key("payload", "faq") | (F.col("payload").isNotNull() & ~F.map_contains_key("payload", "records")), F.lit(False)))
     # CSV: comment lines up to the first that is none.
     first = F.coalesce(F.array_position(F.transform("cells", lambda r: ~r[0].startswith("#")), True) - 1, F.lit(0)).cast("int")
@@ -140,7 +141,7 @@ def documents(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     raw_meta = F.when(F.col("fmt") == "csv", _pairs(told)).when(F.col("fmt") == "json", F.coalesce(plain, F.create_map().cast(_EMPTY))).otherwise(F.col("front"))
     meta = map_fields(raw_meta)
     kind = F.create_map(*(F.lit(x) for p in DEFAULT_TYPES.items() for x in p))[F.col("fmt")]
-    rows = rows.select("*", meta.alias("own"), F.slice("cells", F.size(comments) + 1, F.size("cells")).alias("table"), records.alias("records"))
+    rows = fx.settled(rows.select("*", meta.alias("own"), F.slice("cells", F.size(comments) + 1, F.size("cells")).alias("table"), records.alias("records")))
     full = F.when(kind.isNotNull() & ~F.map_contains_key("own", "doc_type"), F.map_concat("own", F.create_map(F.lit("doc_type"), kind))).otherwise(F.col("own"))
     issue = F.when((F.col("fmt") == "csv") & (F.size("cells") == 0), "解析失败：CSV 为空").when((F.col("fmt") == "json") & F.col("payload").isNull(), "解析失败：JSON").when((F.col("fmt") == "json") & (F.coalesce(F.size("records"), F.lit(-1)) <= 0), "解析失败：JSON 缺少 records 列表")
     rows = rows.select("path", "raw", "stem", "fmt", F.when(issue.isNull(), full).otherwise(F.create_map().cast(_EMPTY)).alias("meta"), "body", "table", "records", issue.alias("issue"))
@@ -153,7 +154,7 @@ def documents(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     shape = ("doc_id", "section_order", "section_title", "level", "block_order", "kind", "text", "rows")
     tables = head(rows.where("fmt = 'csv' and size(issues) = 0").select("doc_id", "title", F.lit(0).alias("block_order"), F.lit("table").alias("kind"), F.lit("").alias("text"), F.col("table").alias("rows")))
     keys = F.array_distinct(F.flatten(F.transform("records", lambda r: F.map_keys(r))))
-    listed = rows.where("fmt = 'json' and size(issues) = 0").select("doc_id", "title", "records", keys.alias("keys"))
+    listed = fx.settled(rows.where("fmt = 'json' and size(issues) = 0").select("doc_id", "title", "records", keys.alias("keys")))
     grid = F.concat(F.array("keys"), F.transform("records", lambda r: F.transform("keys", lambda k: stripped(F.coalesce(r[k], F.lit(""))))))
     whole = listed.select("doc_id", "title", F.lit(0).alias("block_order"), F.lit("table").alias("kind"), F.lit("").alias("text"), grid.alias("rows"))
     each = listed.select("doc_id", "title", "keys", F.posexplode("records").alias("at", "r"))

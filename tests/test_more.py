@@ -102,7 +102,7 @@ def test_changes_are_seen_from_both_sides(spark):
 
 def test_tightening_only_narrows(spark):
     people = spark.createDataFrame([(1, 3, 2.0, 0.4, 0.6, 0.5, 0.1), (2, 2, 1.0, 0.3, 0.6, 0.5, 0.1)], "client_id int, risk_capacity int, horizon double, single_cap double, class_cap double, issuer_cap double, liquidity_floor double")
-    specs = spark.createDataFrame([(1, 2, None, 0.5, None, None, 0.05, ["x"])], "client_id int, risk_cap int, horizon_cap double, single_cap double, class_cap double, issuer_cap double, liquidity_floor double, excluded array<string>")
+    specs = spark.createDataFrame([(1, 2, None, 0.5, None, None, 0.05, ["x"])], "client_id int, risk_cap int, horizon_cap double, single_cap double, class_cap double, issuer_cap double, liquidity_floor double, excluded array<string>").withColumn("excluded_classes", F.array().cast("array<string>"))
     got = {r["client_id"]: r for r in advice.tightened_clients(people, specs).collect()}
     assert got[1]["risk_capacity"] == 2 and got[1]["single_cap"] == 0.4 and got[1]["liquidity_floor"] == 0.1 and got[1]["excluded"] == ["x"] and got[2]["excluded"] == []
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as fx
 from quillspark.functions import filters
-from quillspark.operators import answers, chunking, fusion, lexical
+from quillspark.operators import answers, chunking
 
 
 def one(spark, text, use):
@@ -102,19 +102,6 @@ def test_citations_and_numbers(spark):
     assert (row["used"], row["dangling"], row["unused"], row["clean"], row["missing"]) == ([1], [9], [2], "see [1] and ", [])
 
 
-def test_greedy_duplicates_keep_the_best(spark):
-    rows = [(1, 1, "a b c d e f", 0.9), (1, 2, "a b c d e f", 0.8), (1, 3, "x y z", 0.7), (2, 4, "a b c d e f", 0.1)]
-    df = spark.createDataFrame(rows, "q int, k int, t string, s double")
-    assert sorted(tuple(r) for r in fusion.drop_near_duplicates(df, "q", "k", "t", "s").collect()) == [(1, 1), (1, 3), (2, 4)]
-
-
-def test_bm25_prefers_rare_terms(spark):
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["common rare", "common word", "common thing", ""])], "id int, text string")
-    q = spark.createDataFrame([(1, "common rare")], "q int, text string")
-    top = lexical.with_terms(lexical.top(lexical.scores(docs, q, "id", "q"), "q", "id", 3), docs, q, "id", "q").orderBy("rank").collect()
-    assert [r["id"] for r in top] == [0, 1, 2] and top[0]["terms"] == ["common", "rare"]
-
-
 def test_small_text_functions(spark):
     import hashlib
 
