@@ -110,7 +110,7 @@ def _marks(attributes: list[tuple[str, str]]) -> tuple[tuple[str, ...], bool]:
     words: list[str] = []
     hidden = False
     for name, value in attributes:
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.IGNORECASE):
+        if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value, re.IGNORECASE):
             hidden = True
         elif name in ("class", "id", "role"):
             words += _WORD.findall(_HUMP.sub("-", value).lower())
@@ -216,9 +216,10 @@ def leaf_blocks(html: str, known: frozenset[str] | None = None) -> list[Block]:
             at = lt + 1
             continue
         end, found, alone = attributes.read(m.end())
-        if html[end - 1 : end] != ">":  # a tag that the page's end cuts off is text
-            break
         page.take(html[text_from:lt])
+        if html[end - 1 : end] != ">":  # a tag that the page's end cuts off is dropped
+            text_from = n
+            break
         at = text_from = end
         name = m[0].lower()
         if after == "/":

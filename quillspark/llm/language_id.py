@@ -217,9 +217,9 @@ def least_score(docs: DataFrame, profiles: Profiles, least: float, key: str = "d
     return max(least, (own + other) / 2000)
 
 
-def language_id(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """identify() with profiles learned from the same table's labelled documents that are not held out."""
-    return identify(docs, learn(docs, key, text, lang), key, text)
+def language_id(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", learned: int = LEARNED, languages: int = LANGUAGES) -> DataFrame:
+    """identify() with profiles learned from the same table's labelled documents that are not held out, `learned` of each of `languages` at most."""
+    return identify(docs, learn(docs, key, text, lang, learned, languages), key, text)
 
 
 def is_held_out(key: object) -> bool:

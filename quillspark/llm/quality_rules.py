@@ -28,9 +28,9 @@ from . import common
 BUCKETS = 1 << 14
 PRIOR = 8
 THRESHOLD = -0.06
-#: Trusted documents that are used at most: those whose keys have the lowest hashes. It bounds what is broadcast.
+#: Defaults of quality_rules(): trusted documents that are used at most, which bounds what is broadcast, and languages that are
+#: balanced each, the rarer ones and rows without one as one more, which bounds what reaches the driver.
 MOST_TRUSTED = 20_000
-#: Languages that are balanced each; rarer ones and rows without one are balanced as one. It bounds what reaches the driver.
 STRATA = 64
 UNIT = 1_000_000
 
@@ -53,10 +53,10 @@ def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def trusted_keys(labels: DataFrame, key: str = "doc_id", quality: str = "quality") -> DataFrame:
-    """Keys of documents labelled good (quality 1), at most MOST_TRUSTED, by the lowest hashes."""
+def trusted_keys(labels: DataFrame, key: str = "doc_id", quality: str = "quality", most: int = MOST_TRUSTED) -> DataFrame:
+    """Keys of documents labelled good (quality 1), at most `most`, by the lowest hashes."""
     good = labels.where(F.col(quality) == 1).select(F.col(key).alias("_trusted")).where("_trusted is not null").distinct()
-    return good.orderBy(F.xxhash64("_trusted"), "_trusted").limit(MOST_TRUSTED)
+    return good.orderBy(F.xxhash64("_trusted"), "_trusted").limit(most)
 
 
 def _grams(docs: DataFrame, trusted: DataFrame, key: str, text: str, *more: Column) -> DataFrame:
@@ -86,12 +86,12 @@ def _ratios(raw: list[int], good: list[int]) -> list[int]:
     return [round(UNIT * math.log((n + prior * p) / ((trusted_total + prior) * p))) for n, p in zip(good, shares, strict=True)]
 
 
-def balanced_log_ratios(docs: DataFrame, trusted: DataFrame, lang: str, key: str = "doc_id", text: str = "text") -> tuple[list[int], list[int]]:
-    """log_ratios(), and the same with trusted counts balanced by language. (STRATA + 1) * BUCKETS rows at most reach the driver."""
-    frequent = [r[0] for r in docs.where(F.col(lang).isNotNull()).groupBy(F.col(lang).cast("string").alias("_lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_lang").limit(STRATA).collect()]
-    places = F.create_map(*(F.lit(x) for pair in zip(frequent, range(1, STRATA + 1), strict=False) for x in pair)) if frequent else None
+def balanced_log_ratios(docs: DataFrame, trusted: DataFrame, lang: str, key: str = "doc_id", text: str = "text", strata: int = STRATA) -> tuple[list[int], list[int]]:
+    """log_ratios(), and the same with trusted counts balanced by language. (strata + 1) * BUCKETS rows at most reach the driver."""
+    frequent = [r[0] for r in docs.where(F.col(lang).isNotNull()).groupBy(F.col(lang).cast("string").alias("_lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_lang").limit(strata).collect()]
+    places = F.create_map(*(F.lit(x) for pair in zip(frequent, range(1, strata + 1), strict=False) for x in pair)) if frequent else None
     stratum = F.coalesce(places[F.col(lang).cast("string")], F.lit(0)) if frequent else F.lit(0)
-    raw, good = np.zeros((STRATA + 1, BUCKETS), np.int64), np.zeros((STRATA + 1, BUCKETS), np.int64)
+    raw, good = np.zeros((strata + 1, BUCKETS), np.int64), np.zeros((strata + 1, BUCKETS), np.int64)
     found = _grams(docs, trusted, key, text, stratum).groupBy("_more0", "b").agg(F.count("*").alias("n"), F.sum("t").alias("t")).toArrow()
     s, b = (found.column(c).to_numpy() for c in ("_more0", "b"))
     raw[s, b], good[s, b] = (found.column(c).to_numpy() for c in ("n", "t"))
@@ -142,7 +142,17 @@ def _each(hashes: Column, n: Column, ratios: list[int]) -> Column:
     return F.transform(hashes, lambda x, i: one(x) + F.when(i + 1 < n, two(x, i)).otherwise(F.lit(0)))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, keep: list[str] | None = None, lang: str | None = None) -> DataFrame:
+def quality_rules(
+    docs: DataFrame,
+    labels: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    threshold: float = THRESHOLD,
+    keep: list[str] | None = None,
+    lang: str | None = None,
+    most_trusted: int = MOST_TRUSTED,
+    strata: int = STRATA,
+) -> DataFrame:
     """Rows (key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score) for every row of docs.
 
     labels has the key and quality (1: trusted). base_failed: n_words < 50 or 100 * n_repeat_words > 50 * n_words.
@@ -153,11 +163,15 @@ def quality_rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
 
     With lang, the name of a column of docs, rows also have balanced_score, the mean of log ratios balanced by that
     column, and plain_kept, the verdict by score; kept, also with keep, is then the verdict by balanced_score.
+
+    The trusted multinomial is fitted on at most `most_trusted` documents; raw counts and verdicts cover all. The `strata` most frequent
+    values of lang are balanced each, all others together: none is left out.
     """
+    trusted = trusted_keys(labels, most=most_trusted)
     if lang is None:
-        ratios = log_ratios(docs, trusted_keys(labels), key, text)
+        ratios = log_ratios(docs, trusted, key, text)
     else:
-        ratios, balanced = balanced_log_ratios(docs, trusted_keys(labels), lang, key, text)
+        ratios, balanced = balanced_log_ratios(docs, trusted, lang, key, text, strata)
         if keep is not None:
             ratios = balanced
     carried = [F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep or [])]

@@ -264,7 +264,7 @@ def test_language_profiles():
         ("<table><tr><td>1<td>2<tr><td>3</table>", ["1", "2", "3"]),
         ("a &lt;b&gt; &#233;\n\n c<!-- no --><script>var x='</p>'</script><style>p{}</style>", ["a <b> é c"]),
         ("<div hidden>no</div><span>in</span>line", ["inline"]),
-        ("", []), ("<", ["<"]), ("<p", ["<p"]), ("<script>never closed", []),
+        ("", []), ("<", ["<"]), ("<p", []), ("<script>never closed", []),
         ("<head><title>t</title><meta x><p>a", ["a"]), ("<head>text", ["text"]), ("<body>a</body></html>b", ["ab"]),
         ("<select><option>a<p>after", ["after"]), ("<select><option>a<option>b</select>c", ["c"]), ("&am<b></b>p;", ["&am p;".replace(" ", "")]),
         ("<li><p>a<li>b", ["a", "b"]), ("<dl><dt>a<dd>b<dt>c</dl>", ["a", "b", "c"]), ("</p>a</x>b", ["ab"]),
