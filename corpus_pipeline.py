@@ -39,17 +39,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest doc_id (a null one comes last).
 
-    Rows are told apart by a hash of doc_id and text, so rows that repeat a doc_id, or have none, are judged by their
-    texts. Of rows alike in both, one stays.
+    Rows are written once with numbers of their own, so rows that repeat a doc_id, or have none, are judged by their texts, and no two
+    are taken for one another. Of rows alike in a text without words, which is near no other, one stays for each doc_id.
     """
-    row, group, late = (common.unused(n, docs.columns) for n in ("_row", "_group", "_late"))
-    marked = docs.withColumn(row, F.xxhash64("doc_id", "text"))
-    found = near_duplicates(marked.select(row, "text"), key=row).groupBy(row).agg(F.min("component_id").alias(group))
-    keys = marked.groupBy(row).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
-    keys = common.Scratch(spark, "near").write(keys.join(found, row), "groups")
-    first = keys.groupBy(group).agg(F.min(F.struct(F.col("doc_id").isNull().alias(late), "doc_id", row)).alias("first")).select(F.col(f"first.{row}").alias(row))
-    left = marked.join(first, row, "left_semi")
-    return (left if keys.where("n > 1").isEmpty() else left.dropDuplicates([row])).select(*docs.columns)
+    row, group, late, words = (common.unused(n, docs.columns) for n in ("_row", "_group", "_late", "_words"))
+    held = common.Scratch(spark, "near").write(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(held.select(row, "text"), key=row).select(row, F.col("component_id").alias(group), F.col("n_shingles").alias(words))
+    keys = common.Scratch(spark, "near").write(held.select(row, "doc_id").join(found, row), "groups")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias(late), "doc_id", row)).alias("first")
+    first = keys.where(F.col(words) > 0).groupBy(group).agg(least).select(F.col(f"first.{row}").alias(row))
+    bare = keys.where(F.col(words) == 0).select(row)
+    left = held.join(first, row, "left_semi")
+    alone = held.join(bare, row, "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.unionByName(alone).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
