@@ -46,12 +46,13 @@ _ENDS = frozenset(_MARKS + "\"'”’»」』）)")
 _WIDE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u9fff\uac00-\ud7af\uf900-\ufaff]")
 #: What notices, adverts and comments say of themselves, whatever their elements are called.
 PHRASES = {
-    "notice": ("cookies", "cookie policy", "privacy policy", "accept all", "gdpr", "subscribe", "newsletter", "your consent", "enable javascript", "datenschutz", "akzeptieren", "abonnieren", "confidentialité", "accepter", "aceptar", "privacidad", "suscríbete"),
+    "notice": ("cookies", "cookie policy", "privacy policy", "accept all", "gdpr", "subscribe", "newsletter", "your consent", "enable javascript", "sign up", "sign in", "register now", "join our", "datenschutz", "akzeptieren", "abonnieren", "confidentialité", "accepter", "aceptar", "privacidad", "suscríbete"),
     "ad": ("advertisement", "sponsored", "buy now", "free shipping", "% off", "anzeige", "gesponsert", "publicité", "publicidad", "promoted"),
     "comments": ("reply", "posted by", "log in to comment", "leave a comment", "says:", "antworten", "répondre", "responder"),
     "aside": ("read more", "related articles", "share this", "most popular", "weiterlesen", "lire la suite", "leer más"),
     "footer": ("all rights reserved", "terms of use", "impressum", "mentions légales", "aviso legal"),
 }
+_SAYS_ANY = re.compile("|".join(re.escape(p) for told in PHRASES.values() for p in told))
 _SAYS = {kind: re.compile("|".join(map(re.escape, told))) for kind, told in PHRASES.items()}
 
 
@@ -67,12 +68,12 @@ def _dense(block: Block) -> int:
 def features(blocks: list[Block]) -> list[tuple[frozenset[str], list[str]]]:
     """For each block the names of its ancestors' features, shared among blocks, and of its own."""
     n, out = len(blocks), []
-    widths = [len(b.text) + 1.5 * len(_WIDE.findall(b.text)) for b in blocks]
+    widths = [len(b.text) if b.text.isascii() else len(b.text) + 1.5 * len(_WIDE.findall(b.text)) for b in blocks]
     sizes = [_step(w, 12, 25, 50, 100, 200, 400, 800) for w in widths]
     dense = [_dense(b) for b in blocks]
     for i, b in enumerate(blocks):
         text, words = b.text, b.text.split(" ")
-        few = [w for w in words if len(w) < 4 and not _WIDE.search(w)]
+        few = [w for w in words if len(w) < 4 and (w.isascii() or not _WIDE.search(w))]
         own = [
             "bias", f"tag={b.tag}", f"near={b.part}", f"length={sizes[i]}", f"linked={dense[i]}", f"length={sizes[i]} linked={dense[i]}",
             f"near={b.part} length={sizes[i]}", f"marks={_step(len(_MARK.findall(text)), 1, 2, 4, 8)}", f"short={_step(len(few) / len(words), 0.01, 0.2, 0.5)}",
@@ -86,7 +87,8 @@ def features(blocks: list[Block]) -> list[tuple[frozenset[str], list[str]]]:
         if n < 3:
             own += [f"alone={n} length={sizes[i]} linked={dense[i]}", f"alone ends={text[-1] in _ENDS} linked={dense[i]}"]
         low = text.lower()
-        own += [f"says={kind} length={_step(widths[i], 60, 200, 600)}" for kind, said in _SAYS.items() if said.search(low)]
+        if _SAYS_ANY.search(low):
+            own += [f"says={kind} length={_step(widths[i], 60, 200, 600)}" for kind, said in _SAYS.items() if said.search(low)]
         if text[:1].isupper():
             own.append("capital")
         if "©" in text or "(c)" in low:
@@ -225,7 +227,7 @@ class _Layouts:
 
     def phrase(self, kind: str) -> str:
         """What such a part says, or nothing."""
-        return f" {self.rng.choice(PHRASES[kind])}{self.rng.choice(('', '.', '!'))} " if kind in PHRASES and self.rng.random() < 0.5 else ""
+        return f" {self.rng.choice(PHRASES[kind])}{self.rng.choice(('', '.', '!'))} " if kind in PHRASES and self.rng.random() < (0.7 if kind == "notice" else 0.4) else ""
 
     def sentence(self, lo: int = 1, hi: int = 40) -> str:
         """A text of some sentences, once in a while with odd ends or characters."""
@@ -283,7 +285,7 @@ class _Layouts:
         else:
             body = rng.choice((f"&copy; {self.words(1, 3)} &middot; {self.sentence(2, 20)}", f"<p>&copy; {self.words(1, 4)}</p>{self.links(3)}", f"<p>{self.sentence(2, 25)}</p>"))
         told = any(p in body for p in PHRASES.get(kind, ()))
-        if told and rng.random() < 0.5:  # only its words tell
+        if told and kind in ("notice", "ad") and rng.random() < 0.5:  # only its words tell
             return f"<{(t := rng.choice(('div', 'div', 'section', 'p')))}{self.odd()}>{body}</{t}>"
         tag = {"nav": "nav", "header": "header", "aside": "aside", "footer": "footer"}.get(kind)
         if style == "unnamed" and kind in ("nav", "footer", "header"):
@@ -326,7 +328,7 @@ class _Layouts:
             body.insert(0, f"<p>{_TRUE}{self.sentence(20, 110)}</p>")
         head = rng.choice((f"<h1>{_TRUE}{self.words(1, 12)}</h1>", f"<h1>{_TRUE}{self.words(1, 12)}</h1>", f"<h2>{_TRUE}{self.words(1, 12)}</h2>", f"<header><h1>{_TRUE}{self.words(1, 12)}</h1></header>", ""))
         for _ in range(rng.choice((0, 0, 0, 1, 2, 3))):  # something foreign inside the article's own element
-            kind = rng.choice(("ad", "aside", "notice", "comments", "form"))
+            kind = rng.choice(("ad", "aside", "notice", "comments", "comments", "form"))
             at = len(body) if kind == "comments" else rng.randint(0, len(body))
             body.insert(at, "</p>" + self.around(kind, "classes"))
         if rng.random() < 0.3:  # a division inside
@@ -395,7 +397,7 @@ def default_field() -> Field:
 
 
 #: Changes with what the default model learns from.
-MODEL = f"4-{TRAINING_PAGES}-{PASSES}"
+MODEL = f"8-{TRAINING_PAGES}-{PASSES}"
 
 
 def saved_field(spark: SparkSession) -> Field:
