@@ -189,7 +189,7 @@ def tightened_clients(clients: DataFrame, specs: DataFrame) -> DataFrame:
     both = clients.join(t, "client_id", "left")
     changed = {
         "risk_capacity": F.least("risk_capacity", "_risk_cap"), "horizon": F.least("horizon", "_horizon_cap"), "single_cap": F.least("single_cap", "_single_cap"), "class_cap": F.least("class_cap", "_class_cap"),
-        "issuer_cap": F.least("issuer_cap", "_issuer_cap"), "liquidity_floor": F.greatest("liquidity_floor", F.least(F.lit(1.0), F.col("_liquidity_floor"))),
+        "issuer_cap": F.least("issuer_cap", "_issuer_cap"), "liquidity_floor": F.greatest("liquidity_floor", F.when(F.col("_liquidity_floor").isNotNull(), F.least(F.lit(1.0), F.col("_liquidity_floor")))),
     }
     none = F.array().cast("array<string>")
     grown = [F.array_sort(F.array_union(F.col(c) if c in clients.columns else none, F.coalesce(F.col(f"_{c}"), none))).alias(c) for c in sets]

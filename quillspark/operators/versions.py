@@ -30,12 +30,13 @@ def changes(versions: DataFrame, key: str, status: str, value: str) -> DataFrame
 def map_changes(versions: DataFrame, key: str, maps: list[str], sets: tuple[str, ...] = ()) -> DataFrame:
     """Rows (key, version, previous, part, name, before, after) where a version's maps or sets differ from those of the version before.
 
-    maps are columns of names to numbers, sets arrays of names; a name that one side lacks is null there, a member of a set counts 1. Numbers
+    maps are columns of names to numbers, sets arrays of names; a name that one side lacks is null there, a member of a set counts 1, a null map or set is empty. Numbers
     that differ by the tolerance at most are equal. Both sides are compared in one pass over each key's chain, of two rows at a time.
     """
     order = Window.partitionBy(key).orderBy("version")
     as_map = {m: F.coalesce(F.col(m), F.create_map().cast("map<string,double>")) for m in maps}
-    as_map |= {s: F.map_from_arrays(F.array_distinct(s), F.transform(F.array_distinct(s), lambda _: F.lit(1.0))) for s in sets}
+    members = lambda s: F.array_distinct(F.coalesce(F.col(s), F.array().cast("array<string>")))
+    as_map |= {s: F.map_from_arrays(members(s), F.transform(members(s), lambda _: F.lit(1.0))) for s in sets}
     rows = versions.select(key, "version", *(m.cast("map<string,double>").alias(n) for n, m in as_map.items()))
     both = rows.select("*", *(F.lag(c).over(order).alias(f"_{c}") for c in ("version", *as_map))).where("_version is not null")
 

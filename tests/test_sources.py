@@ -8,12 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators import versions
-from quillspark.plans import ingest
+import literal_cases
 from quillspark.sources import documents, stores
 
 
 def test_folder_is_read_with_bad_and_odd_files(spark, tmp_path):
-    for name, text in ingest.FILES:
+    for name, text in literal_cases.FILES:
         (tmp_path / name.rsplit("/", 1)[1]).write_text(text, encoding="utf-8-sig" if name.endswith("csv") else "utf-8")
     (tmp_path / "空 名.md").write_bytes("# 标题\n好".encode() + b"\xff")
     (tmp_path / "nothing.txt").write_text("")
