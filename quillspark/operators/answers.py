@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
+from . import names
 
 SUPPORT = 0.34
 
@@ -52,17 +53,10 @@ def ranking_metrics(ranked: DataFrame, truth: DataFrame, query: str, key: str) -
     return first.agg(F.count("*").alias("queries"), share(F.col("first").isNotNull().cast("double")).alias("hit_rate"), share((F.col("first") == 1).cast("double")).alias("recall_at_1"), share(1.0 / F.col("first")).alias("mrr"))
 
 
-def verbatim(docs: DataFrame, parts: DataFrame, text: str, part: str) -> DataFrame:
-    """Pairs of docs and parts where the text holds the part as it stands.
+def verbatim(docs: DataFrame, parts: DataFrame, key: str, text: str, part: str) -> DataFrame:
+    """Rows (key, the columns of parts) where a document's text holds the part as it stands; null and empty parts are held by none.
 
-    The three words in the middle of a part, its first and last word apart, stand between white space in every text that holds it: an
-    equi-join on them finds the candidates. Parts of under five words have no such middle and are tried on every text, in a join of their own.
+    The parts are one automaton (or a few), so each text is read once and only keys and parts leave it.
     """
-    words = lambda c: F.split(F.regexp_replace(c, r"^\s+|\s+$", ""), r"\s+")
-    join3 = lambda w, i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
-    asked = parts.withColumn("_w", words(F.col(part))).withColumn("_n", F.size("_w"))
-    keyed = asked.where("_n >= 5").withColumn("_key", join3(F.col("_w"), F.floor(F.col("_n") / 2).cast("int") - 1)).drop("_w", "_n")
-    runs = docs.withColumn("_w", words(F.col(text))).withColumn("_key", F.explode(F.array_distinct(F.transform("_w", lambda x, i: F.concat_ws(" ", x, F.get(F.col("_w"), i + 1), F.get(F.col("_w"), i + 2)))))).drop("_w")
-    found = runs.join(keyed, "_key").drop("_key").where(F.contains(text, part))
-    short = asked.where("_n < 5").drop("_w", "_n")
-    return found.unionByName(docs.join(short, F.contains(docs[text], short[part])))
+    found = names.mentions(docs, parts, key, text, part).select(key, part).distinct()
+    return found.join(parts, part).select(key, *parts.columns)

@@ -44,43 +44,75 @@ def similarity(a: Column, b: Column, metric: str) -> Column:
     raise ValueError(f"unknown metric {metric}")
 
 
-#: Bytes of query vectors that go to every task at most; beyond it vectors and queries meet by Spark's join.
+#: Bytes of query vectors that go to every task at most; more queries take a pass over the vectors for each part of them.
 BROADCAST_BYTES = 64 << 20
+#: Queries that are multiplied with a batch of vectors at a time.
+BLOCK = 512
 
 
 def dense_top(queries: DataFrame, vectors: DataFrame, metric: str, k: int, query: str = "query_id", key: str = "vec_id") -> DataFrame:
     """The k nearest vectors of each query: (query, key, score, rank). No cut at 0; ties by key.
 
-    A stated query set against all vectors. Query vectors are counted first: if they are few, each batch of vectors is one matrix product and
-    leaves its own k best of each query, so rows are never those of all pairs; else Spark joins both in blocks.
+    A stated query set against all vectors, in blocks: each task multiplies BLOCK queries with a batch of vectors at a time and keeps its own k
+    best of each query, so neither memory nor rows grow with the pairs. Query vectors go to the tasks; they are measured first, and beyond
+    BROADCAST_BYTES they are dealt into parts of that size, each with a pass of its own.
     """
     n, size = queries.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
+    parts = max(1, -(-8 * n * size // BROADCAST_BYTES))
     best = Window.partitionBy(query).orderBy(F.desc("score"), key)
-    if 8 * n * size > BROADCAST_BYTES:
-        pairs = vectors.select(F.col(key), F.col("embedding").alias("v")).join(queries.select(F.col(query), F.col("embedding").alias("q")), how="cross")
-        scored = pairs.select(query, key, F.round(similarity(F.col("q"), F.col("v"), metric), lexical.DIGITS).alias("score"))
-    else:
-        found = queries.select(query, F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null").toArrow()
-        names = found.column(query).combine_chunks()
-        left = np.array(found.column("embedding").to_pylist(), float).reshape(len(names), -1)
-        schema = T.StructType([queries.schema[query], vectors.schema[key], T.StructField("score", T.DoubleType())])
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not len(names) or not batch.num_rows:
-                    continue
-                right = np.array(batch.column("v").to_pylist(), float)
-                scores = np.round(_similarities(left, right, metric), lexical.DIGITS)
-                # The k best of each query, ties by key: keys in order, then a stable sort of falling scores.
-                by = np.argsort(batch.column(key).to_numpy(zero_copy_only=False), kind="stable")
-                top = by[np.argsort(-scores[:, by], axis=1, kind="stable")[:, :k]]
-                rows = np.repeat(np.arange(len(names)), top.shape[1])
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(rows)), batch.column(key).take(pa.array(top.ravel())), pa.array(np.take_along_axis(scores, top, axis=1).ravel())], names=[query, key, "score"])
-
-        scored = vectors.where("embedding is not null").select(key, F.col("embedding").cast("array<double>").alias("v")).mapInArrow(run, schema)
+    scored = None
+    for i in range(parts):
+        own = _best_of_part(queries if parts == 1 else queries.where(F.pmod(F.xxhash64(query), F.lit(parts)) == i), vectors, metric, k, query, key)
+        scored = own if scored is None else scored.unionByName(own)
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def _best_of_part(queries: DataFrame, vectors: DataFrame, metric: str, k: int, query: str, key: str) -> DataFrame:
+    """Rows (query, key, score): each task's k best vectors of each query."""
+    found = queries.select(query, F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null").toArrow()
+    names = found.column(query).combine_chunks()
+    left = _rows(found.column("embedding").combine_chunks())
+    schema = T.StructType([queries.schema[query], vectors.schema[key], T.StructField("score", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[np.ndarray, pa.Array, np.ndarray]] = {}
+        for batch in batches:
+            if not len(names) or not batch.num_rows:
+                continue
+            right, keys = _rows(batch.column("v")), batch.column(key)
+            for at in range(0, len(names), BLOCK):
+                scores = np.round(_similarities(left[at : at + BLOCK], right, metric), lexical.DIGITS)
+                n = scores.shape[1]
+                least = np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.full(len(scores), -np.inf)
+                rows, cols = np.nonzero(scores >= least[:, None])
+                new = (rows, keys.take(pa.array(cols)), scores[rows, cols])
+                if at in held:
+                    old = held[at]
+                    new = (np.concatenate([old[0], new[0]]), pa.concat_arrays([old[1], new[1]]), np.concatenate([old[2], new[2]]))
+                held[at] = _k_best(*new, k)
+        for at, (rows, keys, scores) in held.items():
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(rows + at)), keys, pa.array(scores)], names=[query, key, "score"])
+
+    return vectors.where("embedding is not null").select(key, F.col("embedding").cast("array<double>").alias("v")).mapInArrow(run, schema)
+
+
+def _rows(column: pa.Array) -> np.ndarray:
+    """A column of equally long lists of numbers as a matrix, from its flat buffer."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def _k_best(rows: np.ndarray, keys: pa.Array, scores: np.ndarray, k: int) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Of entries (row, key, score) the k best of each row, ties by key."""
+    plain = keys.to_numpy(zero_copy_only=False)
+    by_key = np.empty(len(plain), np.int64)
+    by_key[np.argsort(plain, kind="stable")] = np.arange(len(plain))
+    order = np.lexsort((by_key, -scores, rows))
+    ordered = rows[order]
+    first = np.searchsorted(ordered, ordered)
+    order = order[np.arange(len(order)) - first < k]
+    return rows[order], keys.take(pa.array(order)), scores[order]
+
+
 def _similarities(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     """similarity() of each row of a with each row of b."""
     dots = a @ b.T
@@ -120,12 +152,3 @@ def sparse_weights(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Rows (key, term, w): 1 + ln tf."""
     counted = lexical.query_terms(docs, key, text)
     return counted.select(key, "term", (1.0 + F.log(F.col("qtf").cast("double"))).alias("w"))
-
-
-def sparse_scores(docs: DataFrame, queries: DataFrame, key: str, query: str) -> DataFrame:
-    """Rows (query, key, score): the dot product over the query's length; only common terms meet."""
-    q = sparse_weights(queries, query).withColumnRenamed("w", "qw")
-    length = q.groupBy(query).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
-    d = sparse_weights(docs, key).join(q.select("term").distinct(), "term", "left_semi")
-    raw = d.join(q, "term").groupBy(query, key).agg(F.sum(F.col("w") * F.col("qw")).alias("raw"))
-    return raw.join(length, query).select(query, key, F.round(F.col("raw") / F.when(F.col("qn") == 0, 1.0).otherwise(F.col("qn")), lexical.DIGITS).alias("score"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fx
 from ..operators import facts as ops
-from ..session import table
+from ..session import scratch_path, table
 
 #: A supplier and year stand for a company's report; every fifth supplier is a bank. Four digits hold metrics exactly.
 METRICS = tuple(ops.METRICS.values())
@@ -45,17 +45,23 @@ def long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.unpivoted(wide(spark, sf_dir), list(METRICS))
 
 
-def values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.risk_values(wide(spark, sf_dir))
+def values(spark: SparkSession, sf_dir: str, w: DataFrame | None = None) -> DataFrame:
+    return ops.risk_values(wide(spark, sf_dir) if w is None else w)
 
 
 def fact_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long(spark, sf_dir).groupBy("metric").agg(F.count_distinct("company").alias("companies"), F.min("year").alias("first_year"), F.max("year").alias("last_year"))
 
 
-def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """wide(), written once for plans that read it many times."""
+    rows, path = wide(spark, sf_dir), scratch_path(spark, "wide")
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def findings(w: DataFrame) -> DataFrame:
     """Rule hits as findings: high ones cite the year's returned and accepted lines, others the open ones; growth cites nothing, goodwill names no metric."""
-    w = wide(spark, sf_dir)
     hits = ops.rule_hits(ops.risk_values(w))
     name = lambda flag: F.concat(F.lit("E"), F.col("company"), F.lit("-"), F.col("year"), F.lit(f"-{flag}"))
     cited = F.when(F.col("rule_id") == "R-GROW-01", F.array().cast("array<string>")).when(F.col("level") == "high", F.array(name("R"), name("A"))).otherwise(F.array(name("N")))
@@ -64,23 +70,24 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.join(prior, list(ops.KEY), "left").select(*ops.KEY, F.col("rule_id").alias("finding_id"), cited.alias("evidence_ids"), metrics.alias("metrics"), F.col("_prior").isNotNull().alias("checked"))
 
 
-def gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+def gaps(spark: SparkSession, sf_dir: str, w: DataFrame) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("c"), F.year("l_shipdate").alias("y"), F.col("l_returnflag").alias("f")).distinct()
     evidence = lines.select(F.concat(F.lit("E"), "c", F.lit("-"), "y", F.lit("-"), "f").alias("evidence_id"), F.concat(F.lit("S"), "c").alias("source_id"))
     sources = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.concat(F.lit("S"), "s_suppkey").alias("source_id"))
-    return ops.evidence_gaps(wide(spark, sf_dir).select(*ops.KEY), findings(spark, sf_dir), evidence, sources, values(spark, sf_dir))
+    return ops.evidence_gaps(w.select(*ops.KEY), findings(w), evidence, sources, values(spark, sf_dir, w))
 
 
 def reflection_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = ops.risk_report(values(spark, sf_dir)).select(*ops.KEY, "overall")
-    counted = gaps(spark, sf_dir).groupBy(*ops.KEY).agg(F.count("*").alias("n"))
-    rows = wide(spark, sf_dir).select(*ops.KEY).join(counted, list(ops.KEY), "left").join(report, list(ops.KEY), "left").withColumn("revision_round", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    w = written(spark, sf_dir)
+    report = ops.risk_report(values(spark, sf_dir, w)).select(*ops.KEY, "overall")
+    counted = gaps(spark, sf_dir, w).groupBy(*ops.KEY).agg(F.count("*").alias("n"))
+    rows = w.select(*ops.KEY).join(counted, list(ops.KEY), "left").join(report, list(ops.KEY), "left").withColumn("revision_round", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     n = F.coalesce("n", F.lit(0))
     return rows.select(*ops.KEY, "revision_round", n.alias("n_gaps"), ops.verdict(n, F.col("revision_round"), 2, F.col("overall")).alias("verdict"))
 
 
 def evidence_gap_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gaps(spark, sf_dir).groupBy("gap", "target").agg(F.count("*").alias("n"))
+    return gaps(spark, sf_dir, written(spark, sf_dir)).groupBy("gap", "target").agg(F.count("*").alias("n"))
 
 
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -173,7 +173,7 @@ def _with_texts(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
 def ir_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search results held against documents that contain the question verbatim."""
     ranked = _bm25(spark, sf_dir)
-    pairs = answers.verbatim(spread_table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("q")), "text", "q")
+    pairs = answers.verbatim(spread_table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("q")), "doc_id", "text", "q")
     return answers.ranking_metrics(ranked, pairs.select("item_id", "doc_id"), "item_id", "doc_id")
 
 

@@ -67,7 +67,27 @@ def test_weighted_fusion(spark):
 def test_verbatim_parts(spark):
     docs = spark.createDataFrame([(1, "x one two  three four five y"), (2, "one two three four five"), (3, "tone two three four fivefold"), (4, "short bit here")], "d int, text string")
     parts = spark.createDataFrame([(1, "one two three four five"), (2, "bit"), (3, "one two  three four five")], "p int, part string")
-    assert sorted((r["d"], r["p"]) for r in verbatim(docs, parts, "text", "part").collect()) == [(1, 3), (2, 1), (3, 1), (4, 2)]
+    assert sorted((r["d"], r["p"]) for r in verbatim(docs, parts, "d", "text", "part").collect()) == [(1, 3), (2, 1), (3, 1), (4, 2)]
+
+
+@pytest.mark.parametrize("metric", ["COSINE", "IP", "L2"])
+def test_nearest_vectors_in_blocks_and_parts(spark, metric, monkeypatch):
+    """Few different values, so many ties; small blocks and parts give what all pairs give."""
+    draw = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in draw.integers(-1, 2, 3)]) for i in range(60)] + [(99, None)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    q = v.where("vec_id % 7 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+    def score(a, b):
+        a, b = np.array(a), np.array(b)
+        n = np.linalg.norm(a) * np.linalg.norm(b)
+        return round(float({"IP": a @ b, "L2": -np.linalg.norm(a - b), "COSINE": a @ b / n if n else 0.0}[metric]), 9) + 0.0
+
+    want = {(i, j, rank) for i, a in rows if a and i % 7 == 0 for rank, (_, j) in enumerate(sorted((-score(a, b), j) for j, b in rows if b)[:4], 1)}
+    for block, size in ((512, 64 << 20), (2, 100)):
+        monkeypatch.setattr(vectors, "BLOCK", block)
+        monkeypatch.setattr(vectors, "BROADCAST_BYTES", size)
+        assert {(r["query_id"], r["vec_id"], r["rank"]) for r in vectors.dense_top(q, v, metric, 4).collect()} == want
 
 
 def client(**changed):
