@@ -9,7 +9,7 @@ from ..functions import text as fx
 from ..operators import advice, assembly, questions, reviews
 from ..session import table
 from . import advisory, facts, ingest
-from .retrieval import _PAIR, _sentences, _tokens
+from .retrieval import _NUMBER, _PAIR, _answers, _sentences, _tokens
 
 
 def named_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,14 @@ def answer_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assembly.chosen_sentences(rows, "query").where("place = 0").groupBy("query").agg(F.count("*").alias("n"), F.min(F.length("sentence")).alias("n_chars"))
 
 
+def answer_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each assistant turn as an answer to the user turn before it, which is also its evidence; the question's first two words are the phrases."""
+    rows = _answers(spark, sf_dir).withColumn("evidence", F.array("question")).withColumn("phrases", F.slice(F.split("question", " "), 1, 2))
+    out = assembly.faithfulness(rows, "answer", "question", "evidence")
+    covered = F.round(assembly.keyphrase_coverage(F.col("answer"), F.col("phrases")), 6)
+    return out.select("key", F.array_join(F.array_sort("unsupported_numbers"), ",").alias("unsupported"), "support_rate", "relevance", "faithful", covered.alias("coverage"))
+
+
 def evidence_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as scored children of orders, customers as queries: the best line of each order, the eight best orders."""
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("query"), F.col("o_orderkey").alias("parent"), F.concat_ws("-", "l_orderkey", F.format_string("%02d", "l_linenumber")).alias("child"), F.col("l_quantity").alias("score"))
@@ -82,12 +90,34 @@ def reply_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "answer_report": answer_report,
     "boilerplate_stripped": boilerplate_stripped, "reply_objects": reply_objects,
     "metric_texts": metric_texts, "variant_coverage": variant_coverage, "stress_coverage": stress_coverage, "review_reasons": review_reasons,
     "named_filters": named_filters, "answer_sentences": answer_sentences, 
     "evidence_merge": evidence_merge, "sources_by_use": sources_by_use, "evaluation_summary": evaluation_summary, "client_reports": client_reports,
 }
+_BLANKS = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
+
+
+def _bare(sentence: str) -> str:
+    """A sentence without citation numbers, bracketed remarks and list marks."""
+    for pattern in assembly.META:
+        sentence = f"regexp_replace({sentence}, '{pattern}', ' ', 'g')"
+    return f"trim(regexp_replace({sentence}, '\\s{{2,}}', ' ', 'g'), {_BLANKS})"
+
+
+_SHORT = "CASE WHEN contains(t, '.') THEN rtrim(rtrim(t, '0'), '.') ELSE t END"
 ORACLE_SQL = {
+    "answer_report": f"""WITH {_PAIR}, b AS MATERIALIZED (SELECT key, answer, question, trim(answer, {_BLANKS}) AS body FROM a),
+        n AS (SELECT key, list_sort(list_filter(list_distinct(list_transform(regexp_extract_all(body, '{_NUMBER}'), lambda x: replace(x, ',', ''))),
+          lambda t: NOT regexp_full_match(t, '\\d{{1,2}}') AND NOT regexp_full_match(t, '(19|20)\\d{{2}}') AND NOT contains(replace(question, ',', ''), t) AND NOT contains(replace(question, ',', ''), {_SHORT}))) AS missing FROM b),
+        s AS MATERIALIZED (SELECT key, question, unnest(list_filter({_sentences('body')}, lambda s: length(s) >= {assembly.CHECKED})) AS s FROM b),
+        t AS (SELECT key, list_distinct({_tokens(_bare('s'))}) AS own, list_distinct({_tokens('question')}) AS e FROM s),
+        r AS (SELECT key, sum((len(own) = 0 OR (len(e) > 0 AND len(list_intersect(own, e)) >= 0.34::DOUBLE * len(own)))::INT)::DOUBLE / count(*) AS rate FROM t GROUP BY key),
+        f AS (SELECT key, list_distinct({_tokens('body')}) AS x, list_distinct({_tokens('question')}) AS y, string_split(question, ' ')[1:2] AS phrases, answer FROM b)
+        SELECT key, array_to_string(missing, ',') AS unsupported, round(coalesce(rate, 1), 6) AS support_rate, round(CASE WHEN len(list_intersect(x, y)) = 0 THEN 0 ELSE 2.0::DOUBLE * len(list_intersect(x, y)) / (len(x) + len(y)) END, 6) AS relevance,
+          len(missing) = 0 AND round(coalesce(rate, 1), 6) >= 0.8::DOUBLE AS faithful, round(len(list_filter(phrases, lambda p: p <> '' AND contains(b.answer, p)))::DOUBLE / len(phrases), 6) AS coverage
+        FROM b JOIN n USING (key) JOIN f USING (key) LEFT JOIN r USING (key)""",
     "boilerplate_stripped": """WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), t AS (SELECT doc_id, trim(unnest(ls)) AS t FROM l),
         c AS (SELECT doc_id, t FROM t WHERE t <> '' AND length(t) <= 40 AND (NOT regexp_matches(t, '[。！？；，.!?;,]') OR regexp_matches(t, '^第?\\s*\\d+\\s*(页|/\\s*\\d+)?$')) GROUP BY doc_id, t HAVING count(*) >= 3), r AS (SELECT doc_id, list(t) AS r FROM c GROUP BY doc_id)
         SELECT doc_id, array_to_string(list_filter(ls, lambda x: NOT list_contains(coalesce(r, []), trim(x))), chr(10)) AS stripped FROM l LEFT JOIN r USING (doc_id)""",
