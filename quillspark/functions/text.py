@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -207,6 +208,11 @@ def repair_scan(text: Column) -> Column:
     return out
 
 
+def scan_suspects_apart(text: Column) -> Column:
+    """Letters between two digits of their own, so `1O2O3` has one where scan_suspects finds two; null of null."""
+    return reduce(lambda a, b: a + b, (F.regexp_count(text, F.lit(f"\\d{pattern}\\d")) for pattern, _ in SCAN_DIGITS))
+
+
 def scan_suspects(text: Column) -> Column:
     total = F.lit(0)
     for pattern, _ in SCAN_DIGITS:

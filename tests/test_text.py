@@ -56,6 +56,22 @@ def test_repair_scan(spark):
     assert one(spark, "1O0 2l3 4S5 6B7 SOB", fx.repair_scan) == "100 213 455 687 SOB"
 
 
+def test_quality_score_counts_suspects_as_its_sql(spark, tmp_path):
+    import duckdb
+
+    from quillspark.plans import retrieval
+
+    rows = [(1, "1O2O3 4S5S6S7"), (2, "1O2 3O4"), (3, ""), (4, None), (5, "a 2l3l4 5B6O7")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1)], "doc_id long, quality int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in retrieval.quality_score(spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(retrieval.ORACLE_SQL["quality_score"]).fetchall())
+    assert dict((r[0], r[2]) for r in got)[1] == 0.94  # one O, and two S that share no digit
+
+
 def test_jaccard_and_f1(spark):
     row = spark.range(1).select(fx.jaccard(F.array(F.lit("a")), F.array(F.lit("a"), F.lit("b"))).alias("j"), fx.token_f1(F.array(F.lit("a")), F.array(F.lit("b"))).alias("f")).first()
     assert row["j"] == 0.5 and row["f"] == 0.0
