@@ -6,47 +6,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import advice, tightening
-from ..operators.allocation import allocate
-from .advisory import clients, products, screened
-
-_CLIENT = ("risk_capacity", "qualified", "experienced", "single_cap", "class_cap", "issuer_cap", "liquidity_floor", "amount")
-_PRODUCT = ("product_id", "asset_class", "issuer", "expected_return", "volatility", "fee", "liquidity", "min_investment")
-
-
-def _open(rows: DataFrame, *keys: str) -> DataFrame:
-    return rows.where(F.size("codes") == 0).select(*keys, *_CLIENT, *(f"p.{c}" for c in _PRODUCT))
-
-
-def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _open(screened(spark, sf_dir), "client_id")
+from ..operators.allocation import allocate, weights
+from .advisory import clients, products
 
 
 def solve_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return allocate(_candidates(spark, sf_dir))
+    return weights(allocate(clients(spark, sf_dir), products(spark, sf_dir)).where("n_open > 0"))
 
 
 def solve_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Broken limits of solved portfolios, admissibility, entry amounts and liquidity among them: there are none."""
-    c = _candidates(spark, sf_dir)
-    keys = ["client_id", "product_id"]
-    w = allocate(c).join(c, keys, "left")
-    cash = F.col("product_id") == "cash"
-    rows = w.select("client_id", F.explode(F.array_compact(F.array(
-        F.when(~cash & F.col("asset_class").isNull(), F.lit("C-CLOSED")), F.when(F.col("weight") > F.col("single_cap") + 1e-6, F.lit("C-SINGLE")), F.when(F.col("weight") < 0, F.lit("C-NEGATIVE")),
-        F.when((F.col("weight") + 1e-6) * F.col("amount") < F.col("min_investment"), F.lit("C-ENTRY")),
-    ))).alias("code"))
-    sums = w.groupBy("client_id").agg(F.sum("weight").alias("total"), F.sum(F.col("weight") * F.when(cash, 1.0).otherwise(F.col("liquidity"))).alias("liquid"), F.max("liquidity_floor").alias("floor"))
-    whole = sums.select("client_id", F.explode(F.array_compact(F.array(F.when(F.abs(F.col("total") - 1) > 1e-6, F.lit("C-TOTAL")), F.when(F.col("liquid") + 1e-6 < F.col("floor"), F.lit("C-LIQUIDITY"))))).alias("code"))
-    grouped = [w.where(f"{name} is not null").groupBy("client_id", name).agg(F.sum("weight").alias("s"), F.max(cap).alias("cap")).where("s > cap + 1e-6").select("client_id", F.lit(code).alias("code")) for name, cap, code in (("asset_class", "class_cap", "C-CLASS"), ("issuer", "issuer_cap", "C-ISSUER"))]
-    return rows.unionByName(whole).unionByName(grouped[0]).unionByName(grouped[1])
+    limits = ("single_cap", "class_cap", "issuer_cap", "liquidity_floor", "amount")
+    people = clients(spark, sf_dir)
+    books = allocate(people, products(spark, sf_dir)).where("n_open > 0").join(people.select("client_id", *limits), "client_id")
+    held = F.transform("held", lambda x: F.struct(x["weight"].alias("weight"), *(x["p"][c].alias(c) for c in ("asset_class", "issuer"))))
+    single = lambda code, test: F.transform(F.filter("held", test), lambda x: F.lit(code))
+    closed = lambda x: ~F.exists("open", lambda p: p["product_id"] == x["p"]["product_id"])
+    liquid = F.col("cash") + advice.total(F.col("held"), lambda x: x["weight"] * x["p"]["liquidity"])
+    whole = F.col("cash") + advice.total(F.col("held"), lambda x: x["weight"])
+    beyond = lambda sums, cap, code: F.transform(F.filter(sums, lambda x: x["weight"] > F.col(cap) + 1e-6), lambda x: F.lit(code))
+    codes = F.concat(
+        single("C-CLOSED", closed), single("C-SINGLE", lambda x: x["weight"] > F.col("single_cap") + 1e-6), single("C-NEGATIVE", lambda x: x["weight"] < 0),
+        single("C-ENTRY", lambda x: (x["weight"] + 1e-6) * F.col("amount") < x["p"]["min_investment"]),
+        beyond(advice.class_weights(held), "class_cap", "C-CLASS"), beyond(advice.issuer_weights(held), "issuer_cap", "C-ISSUER"),
+        F.array_compact(F.array(
+            F.when(F.col("cash") < 0, F.lit("C-NEGATIVE")), F.when(F.col("cash") > 1 + 1e-6, F.lit("C-SINGLE")),
+            F.when(F.abs(whole - 1) > 1e-6, F.lit("C-TOTAL")), F.when(liquid + 1e-6 < F.col("liquidity_floor"), F.lit("C-LIQUIDITY")),
+        )),
+    )
+    return books.select("client_id", F.explode(codes).alias("code"))
 
 
 def variant_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Portfolios of every client and variant, screened and solved anew; without an open product all is cash."""
-    people = advice.varied(clients(spark, sf_dir))
-    solved = allocate(_open(advice.screen(people, products(spark, sf_dir)), "client_id", "variant"), ("client_id", "variant"))
-    bare = people.select("client_id", "variant").join(solved.select("client_id", "variant").distinct(), ["client_id", "variant"], "left_anti")
-    return solved.unionByName(bare.select("client_id", "variant", F.lit("cash").alias("product_id"), F.lit(1.0).alias("weight")))
+    keys = ("client_id", "variant")
+    return weights(allocate(advice.varied(clients(spark, sf_dir)), products(spark, sf_dir), keys), keys)
 
 
 def counterfactual_solved(spark: SparkSession, sf_dir: str) -> DataFrame:
