@@ -196,3 +196,23 @@ def test_fallback_takes_exact_facts_first(spark):
     assert row["e"] == ["示例银行", "与甲乙科技股份有限公司"]
 
 
+
+
+def test_ranking_in_blocks_is_that_of_all_pairs(spark, tmp_path, monkeypatch):
+    from quillspark.operators import lexical, ranking
+
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(30)]
+    docs = [(i, " ".join(rng.choices(words, weights=range(30, 0, -1), k=rng.randint(0, 25))), rng.choice(["en", "de", None])) for i in range(120)]
+    asks = [(f"q{i}", " ".join(rng.choices(words, k=rng.randint(0, 6))), rng.choice(["en", "de", None])) for i in range(40)]
+    d, q = spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(asks, "q string, text string, want string")
+    lexical.write_index(d, "doc_id", f"{tmp_path}/index", metadata=("lang",))
+    index = lexical.Index(spark, f"{tmp_path}/index", "doc_id")
+    rows = lambda df: sorted((r["q"], r["route"], r["rank"], r["doc_id"], round(r["score"], 8)) for r in df.collect())
+    monkeypatch.setattr(ranking, "BLOCK", 16)
+    for options in ({}, {"same": {"want": "lang"}}, {"mask": F.col("lang") == "de"}):
+        want = rows(lexical.routes_of(index.scores(q, "q", **options), "q", "doc_id", 4))
+        assert want and rows(ranking.ranked(index, q, "q", 4, **options)) == want
+    monkeypatch.setattr(ranking, "BROADCAST_BYTES", 2000)
+    assert rows(ranking.ranked(index, q, "q", 4)) == rows(lexical.routes_of(index.scores(q, "q"), "q", "doc_id", 4))
+    assert ranking.ranked(index, q.limit(0), "q", 4).count() == 0
