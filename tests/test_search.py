@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as fx
-from quillspark.operators import fusion, lexical, names, segments
+from quillspark.operators import fusion, lexical, names, ranking, segments
 from quillspark.plans import search
 from quillspark.session import scratch_path
 
@@ -216,3 +216,19 @@ def test_ranking_in_blocks_is_that_of_all_pairs(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(ranking, "BROADCAST_BYTES", 2000)
     assert rows(ranking.ranked(index, q, "q", 4)) == rows(lexical.routes_of(index.scores(q, "q"), "q", "doc_id", 4))
     assert ranking.ranked(index, q.limit(0), "q", 4).count() == 0
+
+
+def test_weighted_fusion_in_blocks_is_that_of_all_pairs(spark, monkeypatch):
+    rows, docs = corpus(spark, 150, seed=9)
+    path = scratch_path(spark, "test")
+    lexical.write_index(docs, "id", path, prune=("lang",), buckets=4)
+    index = lexical.Index(spark, path, "id")
+    asked = spark.createDataFrame([(i, " ".join(random.Random(i).choices(WORDS, k=1 + i % 4))) for i in range(11)] + [(11, "nowhere"), (12, "")], "q int, text string")
+    monkeypatch.setattr(ranking, "BLOCK", 4)
+    monkeypatch.setattr(ranking, "DOCUMENTS", 16)
+    got = ranking.weighted(index, asked, "q", 5, F.col("lang") == "en")
+    pairs = index.scores(asked, "q").withColumnsRenamed({"sparse": "cosine"}).join(docs.select("id", F.coalesce((F.col("lang") == "en").cast("double"), F.lit(0.0)).alias("metadata")), "id")
+    want = fusion.weighted(pairs.withColumn("hit_ratio", F.least(F.lit(1.0), F.col("cosine"))), "q", "id", 5)
+    plain = lambda df: sorted(tuple(r) for r in df.select("q", "id", "score", "rank").collect())
+    assert plain(got) == plain(want)
+    assert len({r[0] for r in plain(got)}) == 11
