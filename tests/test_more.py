@@ -136,3 +136,18 @@ def test_periods_years_and_codes(spark):
 @pytest.mark.parametrize(("cell", "value"), [("1,234.5", 1234.5), ("-3%", -3.0), ("1.5％", 1.5), ("—", None), ("N/A", None), ("12a", None), ("", None), ("不适用", None)])
 def test_numbers_of_cells(spark, cell, value):
     assert spark.createDataFrame([(cell,)], "c string").select(facts_ops.parse_number(F.col("c")).alias("v")).first()["v"] == value
+
+
+def test_screening_makes_plain_columns_and_counts_alike(spark):
+    from quillspark.operators import advice
+    from quillspark.plans import advisory
+
+    clients, products = advisory.clients(spark, "/root/testdata/sf0.001"), advisory.products(spark, "/root/testdata/sf0.001")
+    pairs = advice.screen(clients, products)
+    # A pair is judged once and makes no array.
+    assert "lambda" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    want = {r["client_id"]: (r["n"], r["open"]) for r in pairs.groupBy("client_id").agg(F.count("*").alias("n"), F.count_if(F.col("reasons") == "").alias("open")).collect()}
+    assert {r["client_id"]: (r["n_products"], r["n_included"]) for r in advice.screen_counts(clients, products).collect()} == want
+    # An attribute that is missing closes nothing.
+    blank = products.limit(1).withColumns({c: F.lit(None).cast(t) for c, t in products.drop("product_id").dtypes})
+    assert {r["reasons"] for r in advice.screen(clients, blank).collect()} == {""}
