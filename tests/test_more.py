@@ -151,3 +151,11 @@ def test_screening_makes_plain_columns_and_counts_alike(spark):
     # An attribute that is missing closes nothing.
     blank = products.limit(1).withColumns({c: F.lit(None).cast(t) for c, t in products.drop("product_id").dtypes})
     assert {r["reasons"] for r in advice.screen(clients, blank).collect()} == {""}
+
+
+def test_portfolios_deal_order_lines_once(spark):
+    from quillspark.plans import advisory
+
+    plan = advisory.books(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(client_id" in line]
+    assert dealt and not any(", product_id" in line.split("),")[0] for line in dealt)
