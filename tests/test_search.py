@@ -232,3 +232,26 @@ def test_weighted_fusion_in_blocks_is_that_of_all_pairs(spark, monkeypatch):
     plain = lambda df: sorted(tuple(r) for r in df.select("q", "id", "score", "rank").collect())
     assert plain(got) == plain(want)
     assert len({r[0] for r in plain(got)}) == 11
+
+
+def test_nearest_entries_are_those_of_all_pairs(spark, monkeypatch):
+    rng = random.Random(4)
+    draw = lambda most: [rng.choice(WORDS) for _ in range(rng.randint(0, most))]
+    asks, told = [(i, draw(7)) for i in range(30)] + [(30, ["nowhere"]), (31, None)], [(i, draw(9)) for i in range(60)] + [(60, None)]
+    q, e = spark.createDataFrame(asks, "q int, a array<string>"), spark.createDataFrame(told, "k long, d array<string>")
+    pairs = lambda t: set(map("".join, zip(t, t[1:], strict=False))) if len(t) > 1 else set(t)
+    want = {}
+    for i, a in asks:
+        scored = []
+        for k, d in told:
+            if a and d and set(a) & set(d):
+                x, y = pairs(a), pairs(d)
+                scored.append((-round(0.55 * max(len(set(a) & set(d)) / len(set(a)), len(x & y) / len(x | y)) + 1e-12, 6), k))
+        if scored:
+            want[i] = (min(scored)[1], -min(scored)[0])
+    for block, bytes_ in ((8, 1 << 20), (512, 800)):
+        monkeypatch.setattr(ranking, "BLOCK", block)
+        monkeypatch.setattr(ranking, "DOCUMENTS", 16)
+        monkeypatch.setattr(ranking, "BROADCAST_BYTES", bytes_)
+        assert {r["q"]: (r["k"], r["score"]) for r in ranking.nearest_entry(q, e, "q", "k", "a", "d", 0.55).collect()} == want
+    assert ranking.nearest_entry(q.limit(0), e, "q", "k", "a", "d", 0.55).count() == 0
