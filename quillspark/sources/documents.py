@@ -127,6 +127,26 @@ def documents(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     paragraph for each record; JSON with `faq` is no document, see faq(); other JSON neither. Values keep JSON's own spelling.
     """
     base = files.select("path", F.coalesce("raw", F.lit("")).alias("raw"), _stem(F.col("path")).alias("stem"), F.create_map(*(F.lit(x) for p in FORMATS.items() for x in p))[_suffix(F.col("path"))].alias("fmt"))
+    # Files are told apart before they are parsed, so that no kind of block parses the others' files; tables and what records say come from one parsing.
+    texts = sections(_parsed(base.where(F.col("fmt").isin("markdown", "text"))).select("doc_id", "body"))
+    rows = _parsed(base.where(F.col("fmt").isin("csv", "json"))).where(F.size("issues") == 0)
+    block = lambda order, kind, text, cells: F.struct(order.cast("int").alias("block_order"), F.lit(kind).alias("kind"), text.alias("text"), cells.cast("array<array<string>>").alias("rows"))
+    keys = F.array_distinct(F.flatten(F.transform("records", lambda r: F.map_keys(r))))
+    listed = fx.settled(rows.select("doc_id", "title", "fmt", "table", "records", keys.alias("keys")))
+    there = lambda r, k: stripped(F.coalesce(r[k], F.lit("")))
+    grid = F.concat(F.array("keys"), F.transform("records", lambda r: F.transform("keys", lambda k: there(r, k))))
+    said = lambda r: F.concat_ws("；", F.transform(F.filter("keys", lambda k: there(r, k) != ""), lambda k: F.concat(k, F.lit(": "), r[k])))
+    spoken = F.filter(F.transform("records", lambda r, i: block(i + 1, "paragraph", said(r), F.lit(None))), lambda x: x["text"] != "")
+    ended = F.transform(spoken, lambda x: x.withField("text", F.concat(x["text"], F.lit("。"))))
+    whole = F.array(block(F.lit(0), "table", F.lit(""), F.when(F.col("fmt") == "csv", F.col("table")).otherwise(grid)))
+    own = F.when(F.col("fmt") == "csv", whole).otherwise(F.concat(whole, ended))
+    tables = listed.select("doc_id", F.lit(0).alias("section_order"), F.col("title").alias("section_title"), F.lit(1).alias("level"), F.inline(own))
+    shape = ("doc_id", "section_order", "section_title", "level", "block_order", "kind", "text", "rows")
+    return _parsed(base).drop("body", "table", "records"), texts.select(*shape).unionByName(tables.select(*shape))
+
+
+def _parsed(base: DataFrame) -> DataFrame:
+    """Rows (doc_id, source_id, title, path, fmt, meta, issues, raw, body, table, records) of files (path, raw, stem, fmt)."""
     payload = F.when(F.col("fmt") == "json", F.from_json("raw", _EMPTY))
     front, body = front_matter(F.col("raw"))
     cells = F.when(F.col("fmt") == "csv", csv_rows(F.col("raw")))
@@ -148,20 +168,7 @@ def documents(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     source = F.coalesce(F.col("meta")["source_id"], F.col("stem"))
     top = F.nullif(stripped(F.regexp_extract("body", r"(?m)^[^\S\n]*#[^\S\n]+(.*)$", 1)), F.lit(""))
     title = F.when(F.col("fmt") == "markdown", F.coalesce(top, _titled(F.col("meta"), F.col("stem")))).otherwise(_titled(F.col("meta"), F.col("stem")))
-    rows = rows.select(source.alias("doc_id"), source.alias("source_id"), title.alias("title"), "path", "fmt", "meta", F.array_compact(F.array("issue")).alias("issues"), "raw", "body", "table", "records")
-    texts = sections(rows.where(F.col("fmt").isin("markdown", "text")).select("doc_id", "body"))
-    head = lambda df: df.select("doc_id", F.lit(0).alias("section_order"), F.col("title").alias("section_title"), F.lit(1).alias("level"), "*")
-    shape = ("doc_id", "section_order", "section_title", "level", "block_order", "kind", "text", "rows")
-    tables = head(rows.where("fmt = 'csv' and size(issues) = 0").select("doc_id", "title", F.lit(0).alias("block_order"), F.lit("table").alias("kind"), F.lit("").alias("text"), F.col("table").alias("rows")))
-    keys = F.array_distinct(F.flatten(F.transform("records", lambda r: F.map_keys(r))))
-    listed = fx.settled(rows.where("fmt = 'json' and size(issues) = 0").select("doc_id", "title", "records", keys.alias("keys")))
-    grid = F.concat(F.array("keys"), F.transform("records", lambda r: F.transform("keys", lambda k: stripped(F.coalesce(r[k], F.lit(""))))))
-    whole = listed.select("doc_id", "title", F.lit(0).alias("block_order"), F.lit("table").alias("kind"), F.lit("").alias("text"), grid.alias("rows"))
-    each = listed.select("doc_id", "title", "keys", F.posexplode("records").alias("at", "r"))
-    said = F.concat_ws("；", F.transform(F.filter("keys", lambda k: stripped(F.coalesce(F.col("r")[k], F.lit(""))) != ""), lambda k: F.concat(k, F.lit(": "), F.col("r")[k])))
-    spoken = each.select("doc_id", "title", (F.col("at") + 1).alias("block_order"), F.lit("paragraph").alias("kind"), said.alias("text"), F.lit(None).cast("array<array<string>>").alias("rows")).where("text <> ''").withColumn("text", F.concat("text", F.lit("。")))
-    blocks = texts.select(*shape).unionByName(tables.select(*shape)).unionByName(head(whole).select(*shape)).unionByName(head(spoken).select(*shape))
-    return rows.drop("body", "table", "records"), blocks
+    return rows.select(source.alias("doc_id"), source.alias("source_id"), title.alias("title"), "path", "fmt", "meta", F.array_compact(F.array("issue")).alias("issues"), "raw", "body", "table", "records")
 
 
 def faq(files: DataFrame) -> DataFrame:

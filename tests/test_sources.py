@@ -61,3 +61,11 @@ def test_keys_and_dimensions_are_checked(spark, tmp_path):
 def test_canonical_text_has_sorted_keys_and_keeps_nulls(spark):
     row = spark.createDataFrame([(2, 'a"b', None)], "b int, a string, c string").select(versions.canonical(["b", "a", "c"], [F.col("b"), F.col("a"), F.col("c")]).alias("t")).first()
     assert json.loads(row["t"]) == {"a": 'a"b', "b": 2, "c": None} and row["t"].startswith('{"a":')
+
+
+def test_blocks_come_from_one_parsing_of_each_kind_of_file(spark):
+    files = spark.createDataFrame([("/a.json", '{"id": "A", "records": [{"k": 1}, {"k": ""}]}'), ("/b.csv", "k,v\n1,2\n"), ("/c.md", "# T\ntext\n")], "path string, raw string")
+    docs, blocks = documents.documents(files)
+    parsed = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("from_json")
+    assert parsed(blocks) <= 2 * parsed(docs)
+    assert sorted((r["doc_id"], r["block_order"], r["kind"]) for r in blocks.collect()) == [("A", 0, "table"), ("A", 1, "paragraph"), ("b", 0, "table"), ("c", 0, "paragraph")]
