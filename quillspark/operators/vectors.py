@@ -45,9 +45,11 @@ def similarity(a: Column, b: Column, metric: str) -> Column:
 
 
 #: Bytes of query vectors that go to every task at most; more queries take a pass over the vectors for each part of them.
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 16 << 20
 #: Queries that are multiplied with a batch of vectors at a time.
 BLOCK = 512
+#: Vectors of a batch that are multiplied, and texts that are embedded, at a time: what a task's Python holds beside the queries.
+VECTORS, TEXTS = 2048, 256
 
 
 def dense_top(queries: DataFrame, vectors: DataFrame, metric: str, k: int, query: str = "query_id", key: str = "vec_id") -> DataFrame:
@@ -58,7 +60,8 @@ def dense_top(queries: DataFrame, vectors: DataFrame, metric: str, k: int, query
     BROADCAST_BYTES they are dealt into parts of that size, each with a pass of its own.
     """
     n, size = queries.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
-    parts = max(1, -(-8 * n * size // BROADCAST_BYTES))
+    # A part holds a query at least.
+    parts = max(1, min(n, -(-8 * n * size // max(1, BROADCAST_BYTES))))
     best = Window.partitionBy(query).orderBy(F.desc("score"), key)
     scored = None
     for i in range(parts):
@@ -76,8 +79,8 @@ def _best_of_part(queries: DataFrame, vectors: DataFrame, metric: str, k: int, q
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[np.ndarray, pa.Array, np.ndarray]] = {}
-        for batch in batches:
-            if not len(names) or not batch.num_rows:
+        for batch in (b.slice(low, VECTORS) for b in batches for low in range(0, b.num_rows, VECTORS)):
+            if not len(names):
                 continue
             right, keys = _rows(batch.column("v")), batch.column(key)
             for at in range(0, len(names), BLOCK):
@@ -101,6 +104,11 @@ def _rows(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+def _lists_of(rows: np.ndarray) -> pa.Array:
+    """A matrix as a column of lists, of its own buffer."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.reshape(-1)))
+
+
 def _k_best(rows: np.ndarray, keys: pa.Array, scores: np.ndarray, k: int) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Of entries (row, key, score) the k best of each row, ties by key."""
     plain = keys.to_numpy(zero_copy_only=False)
@@ -135,7 +143,7 @@ def hash_embeddings(docs: DataFrame, key: str, text: str = "text", dimension: in
     schema = T.StructType([docs.schema[key], T.StructField("embedding", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(low, TEXTS) for b in batches for low in range(0, b.num_rows, TEXTS)):
             out = np.zeros((batch.num_rows, dimension))
             for row, tokens in zip(out, batch.column("_tokens").to_pylist(), strict=True):
                 for token, n in Counter(tokens or ()).items():
@@ -143,7 +151,7 @@ def hash_embeddings(docs: DataFrame, key: str, text: str = "text", dimension: in
                     row[int.from_bytes(raw[:8], "big") % dimension] += (1.0 if raw[8] & 1 else -1.0) * (1.0 + math.log(n))
             length = np.sqrt((out * out).sum(axis=1, keepdims=True))
             out = np.divide(out, length, out=out, where=length > 0)
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(list(out), pa.list_(pa.float64()))], names=[key, "embedding"])
+            yield pa.RecordBatch.from_arrays([batch.column(key), _lists_of(out)], names=[key, "embedding"])
 
     return docs.select(key, fx.tokenize(F.col(text)).alias("_tokens")).mapInArrow(run, schema)
 

@@ -159,3 +159,25 @@ def test_portfolios_deal_order_lines_once(spark):
     plan = advisory.books(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(client_id" in line]
     assert dealt and not any(", product_id" in line.split("),")[0] for line in dealt)
+
+
+def test_query_vectors_of_no_share_take_a_pass_each_and_batches_are_cut(spark, monkeypatch):
+    rows = [(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    want = sorted(tuple(r) for r in vectors.dense_top(q, v, "L2", 4).collect())
+    monkeypatch.setattr(vectors, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(vectors, "VECTORS", 7)
+    assert sorted(tuple(r) for r in vectors.dense_top(q, v, "L2", 4).collect()) == want
+    texts = spark.createDataFrame([(i, "a b c"[: i % 6]) for i in range(20)], "k int, text string").coalesce(1)
+    whole = sorted((r["k"], r["embedding"]) for r in vectors.hash_embeddings(texts, "k", dimension=8).collect())
+    monkeypatch.setattr(vectors, "TEXTS", 3)
+    assert sorted((r["k"], r["embedding"]) for r in vectors.hash_embeddings(texts, "k", dimension=8).collect()) == whole
+
+
+def test_best_child_is_found_without_grouping_children(spark):
+    from quillspark.operators import assembly
+
+    rows = spark.createDataFrame([(1, "p", "b", 2.0), (1, "p", "a", 2.0), (1, "p", "a", 1.0), (1, "p", "0", None), (1, "r", "c", 3.0), (2, "s", "d", None)], "q int, p string, c string, s double")
+    merged = assembly.merged_evidence(rows, "q", "c", "p", "s", tasks=3)
+    assert sorted(map(tuple, merged.select("q", "p", "c", "s", "evidence_no").collect())) == [(1, "p", "a", 2.0, "E2"), (1, "r", "c", 3.0, "E1"), (2, "s", "d", None, "E1")]
