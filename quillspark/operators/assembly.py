@@ -115,12 +115,17 @@ def traceable(known: Column, used: Column) -> Column:
     return (F.size(used) > 0) & (F.size(F.array_except(used, known)) == 0)
 
 
-def merged_evidence(rows: DataFrame, query: str, child: str, parent: str, score: str, most: int = 8) -> DataFrame:
-    """Rows (query, parent, child, score, evidence_no): the best score of each child over query variants, the best child of each parent, the first `most`."""
-    best = rows.groupBy(query, parent, child).agg(F.max(score).alias(score))
-    top = best.groupBy(query, parent).agg(F.min_by(F.struct(child, score), F.struct(-F.col(score), child)).alias("b")).select(query, parent, f"b.{child}", f"b.{score}")
+def merged_evidence(rows: DataFrame, query: str, child: str, parent: str, score: str, most: int = 8, tasks: int | None = None) -> DataFrame:
+    """Rows (query, parent, child, score, evidence_no): the best score of each child over query variants, the best child of each parent, the first `most`.
+
+    The best child of a parent has its best score, so children are not grouped before; scores that are missing come last. tasks: how many tasks the
+    best children are dealt over, so that a task's share does not grow with the input; rows that are dealt by parent already stay where they are.
+    """
+    best = F.min(F.struct(F.col(score).isNull().alias("_none"), (-F.col(score)).alias("_minus"), F.col(child).alias("_child"), F.col(score).alias("_score"))).alias("b")
+    top = rows.groupBy(query, parent).agg(best).select(query, parent, F.col("b._child").alias(child), F.col("b._score").alias(score))
     order = Window.partitionBy(query).orderBy(F.desc(score), child)
-    return top.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).withColumn("evidence_no", F.concat(F.lit("E"), "_n")).drop("_n")
+    dealt = top if tasks is None else top.repartition(tasks, query)
+    return dealt.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).withColumn("evidence_no", F.concat(F.lit("E"), "_n")).drop("_n")
 
 
 def sources_by_use(rows: DataFrame, query: str, source: str, rank: str) -> DataFrame:
