@@ -25,11 +25,11 @@ class Segments:
     newest: int = 0
 
 
-def _tombstones(spark: SparkSession, state: Segments) -> DataFrame | None:
-    """Rows (key, dead_at): the newest tombstone of each key."""
-    if not state.newest:
+def _tombstones(spark: SparkSession, state: Segments, after: int = 0) -> DataFrame | None:
+    """Rows (key, dead_at): the newest tombstone of each key, of those younger than a version; None if there can be none."""
+    if state.newest <= after:
         return None
-    return spark.read.parquet(f"{state.path}/tombstones").where(F.col("version") <= state.newest).groupBy(state.key).agg(F.max("version").alias("dead_at"))
+    return spark.read.parquet(f"{state.path}/tombstones").where((F.col("version") <= state.newest) & (F.col("version") > after)).groupBy(state.key).agg(F.max("version").alias("dead_at"))
 
 
 def upsert(state: Segments, docs: DataFrame, text: str = "text", metadata: tuple[str, ...] = (), prune: tuple[str, ...] = ()) -> Segments:
@@ -51,24 +51,28 @@ class View(lexical.Index):
     """The living rows of an index, for search as in one written at once."""
 
     def __init__(self, spark: SparkSession, state: Segments):
-        self.key, dead = state.key, _tombstones(spark, state)
+        # Tombstones that are not younger than the oldest segment harm no row.
+        self.key, dead = state.key, _tombstones(spark, state, min(state.postings))
         parts = [spark.read.parquet(f"{state.path}/segment-{v}/postings").withColumn("_segment", F.lit(v)) for v in state.postings]
         rows = parts[0]
         for p in parts[1:]:
             rows = rows.unionByName(p)
-        # Keys of the newest segment that wrote them are not dead at their own version, but at any younger one.
-        late = dead.withColumnRenamed(self.key, "_key")
-        gone = (F.col(self.key) == F.col("_key")) & (F.col("dead_at") > F.col("_segment"))
-        self.rows = rows.join(late, gone, "left_anti").drop("_segment")
-        lost = rows.join(late, gone, "left_semi")
         terms = [spark.read.parquet(f"{state.path}/segment-{v}/terms") for v in state.postings]
         every = terms[0]
         for t in terms[1:]:
             every = every.unionByName(t)
-        minus = lost.where("bucket >= 0").groupBy("bucket", "term").agg((-F.count("*")).alias("df"))
-        self.terms = every.unionByName(minus).groupBy("bucket", "term").agg(F.sum("df").alias("df")).where("df > 0")
         sums = [spark.read.parquet(f"{state.path}/segment-{v}/totals").select("n", (F.col("n") * F.coalesce("avgdl", F.lit(0.0))).alias("length")) for v in state.postings]
-        total = lost.where("bucket = -1").agg((-F.count("*")).cast("double").alias("n"), (-F.coalesce(F.sum("dl"), F.lit(0))).cast("double").alias("length"))
+        if dead is None:
+            self.rows, total = rows.drop("_segment"), sums.pop()
+        else:
+            # Keys of the newest segment that wrote them are not dead at their own version, but at any younger one.
+            late = dead.withColumnRenamed(self.key, "_key")
+            gone = (F.col(self.key) == F.col("_key")) & (F.col("dead_at") > F.col("_segment"))
+            self.rows = rows.join(late, gone, "left_anti").drop("_segment")
+            lost = rows.join(late, gone, "left_semi")
+            every = every.unionByName(lost.where("bucket >= 0").groupBy("bucket", "term").agg((-F.count("*")).alias("df")))
+            total = lost.where("bucket = -1").agg((-F.count("*")).cast("double").alias("n"), (-F.coalesce(F.sum("dl"), F.lit(0))).cast("double").alias("length"))
+        self.terms = every.groupBy("bucket", "term").agg(F.sum("df").alias("df")).where("df > 0")
         for s in sums:
             total = total.unionByName(s)
         self.totals = total.agg(F.sum("n").alias("n"), F.sum("length").alias("length")).select("n", (F.col("length") / F.nullif(F.col("n"), F.lit(0.0))).alias("avgdl"))

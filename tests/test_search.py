@@ -255,3 +255,15 @@ def test_nearest_entries_are_those_of_all_pairs(spark, monkeypatch):
         monkeypatch.setattr(ranking, "BROADCAST_BYTES", bytes_)
         assert {r["q"]: (r["k"], r["score"]) for r in ranking.nearest_entry(q, e, "q", "k", "a", "d", 0.55).collect()} == want
     assert ranking.nearest_entry(q.limit(0), e, "q", "k", "a", "d", 0.55).count() == 0
+
+
+def test_a_compacted_index_is_read_without_its_old_tombstones(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "b c"), (3, "c")], "id long, text string")
+    state = segments.upsert(segments.Segments(scratch_path(spark, "segments"), "id"), docs)
+    state = segments.compacted(spark, segments.delete(state, docs.where("id = 2").select("id")))
+    view = segments.View(spark, state)
+    assert "Join" not in view.rows._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["term"], r["df"]) for r in view.terms.collect()) == [("a", 1), ("b", 1), ("c", 1)]
+    assert tuple(view.totals.first()) == (2.0, 1.5)
+    again = segments.View(spark, segments.delete(state, docs.where("id = 3").select("id")))
+    assert sorted((r["term"], r["df"]) for r in again.terms.collect()) == [("a", 1), ("b", 1)]
