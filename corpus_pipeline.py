@@ -19,6 +19,8 @@ from quillspark.llm.quality_rules import quality_rules
 
 #: A text whose nearest language is so far away is none of the learned languages, whatever least_score() learns from the documents.
 LEAST_LANGUAGE_SCORE = 0.15
+#: Bitmaps that go to every task at most, 4 KB for each 32,768 row numbers; more rows are joined by their numbers.
+MOST_BITMAPS = 4096
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,9 +51,21 @@ def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     least = F.min(F.struct(F.col("doc_id").isNull().alias(late), "doc_id", row)).alias("first")
     first = keys.where(F.col(words) > 0).groupBy(group).agg(least).select(F.col(f"first.{row}").alias(row))
     bare = keys.where(F.col(words) == 0).select(row)
-    left = held.join(first, row, "left_semi")
-    alone = held.join(bare, row, "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.unionByName(alone).select(*docs.columns)
+    alone = _rows_of(held, bare, row).dropDuplicates(["doc_id", "text"])
+    return _rows_of(held, first, row).unionByName(alone).select(*docs.columns)
+
+
+def _rows_of(held: DataFrame, chosen: DataFrame, row: str) -> DataFrame:
+    """Rows of held whose number is among the chosen: a bit for each number goes to the tasks, so that no text is shuffled."""
+    bucket, bits = (common.unused(n, held.columns) for n in ("_bucket", "_bits"))
+    maps = chosen.groupBy(F.bitmap_bucket_number(row).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(row)).alias(bits))
+    maps = common.Scratch(held.sparkSession, "near").write(maps, "bitmaps")
+    if maps.count() > MOST_BITMAPS:
+        return held.join(chosen, row, "left_semi")
+    at = F.bitmap_bit_position(row)
+    byte = F.conv(F.hex(F.substring(bits, (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    near = held.withColumn(bucket, F.bitmap_bucket_number(row)).join(F.broadcast(maps), bucket)
+    return near.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*held.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,6 +31,24 @@ def test_near_duplicates_by_text(spark):
     assert [k for k, _ in got] == [3, 7, 8, 9, None] and {t for k, t in got if k in (3, 7)} == {a + " more", b}
 
 
+def test_texts_stay_where_they_are(spark, monkeypatch):
+    """Rows are chosen by bitmaps of their numbers: the larger table of a join is not shuffled, and the rows are those of a join."""
+    rows = [(i, " ".join(f"w{i % 700}x{j}" for j in range(20)) if i % 50 else None) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(corpus_pipeline, "MOST_BITMAPS", 0)
+    joined = sorted(map(tuple, corpus_pipeline.near_duplicate_removal(spark, docs, oracle.SMALL).collect()))
+    monkeypatch.undo()
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = corpus_pipeline.near_duplicate_removal(spark, docs, oracle.SMALL)
+        assert "SortMergeJoin" not in left._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, left.collect())) == joined
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert len(joined) == 706 and sum(t is None for _, t in joined) == 20
+
+
 def test_stages_on_edge_rows(spark):
     labels = {r["doc_id"]: r["quality"] for r in common.read(spark, oracle.SMALL, "labels").collect()}
     good = [k for k, q in sorted(labels.items()) if q == 1 and not language_id.is_held_out(k)]
