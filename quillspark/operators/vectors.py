@@ -52,9 +52,12 @@ BLOCK = 512
 VECTORS, TEXTS = 2048, 256
 
 
-def dense_top(queries: DataFrame, vectors: DataFrame, metric: str, k: int, query: str = "query_id", key: str = "vec_id") -> DataFrame:
+def dense_top(queries: DataFrame, vectors: DataFrame, metric: str, k: int, query: str = "query_id", key: str = "vec_id", text: str | None = None) -> DataFrame:
     """The k nearest vectors of each query: (query, key, score, rank). No cut at 0; ties by key.
 
+    With text, vectors has texts in that column, and their hash_embeddings(), of the queries' dimension, are made where they are multiplied: one
+    Python worker for each task holds a few of them at a time, where two would hold batches of all.
+
     A stated query set against all vectors, in blocks: each task multiplies BLOCK queries with a batch of vectors at a time and keeps its own k
     best of each query, so neither memory nor rows grow with the pairs. Query vectors go to the tasks; they are measured first, and beyond
     BROADCAST_BYTES they are dealt into parts of that size, each with a pass of its own.
@@ -65,12 +68,12 @@ def dense_top(queries: DataFrame, vectors: DataFrame, metric: str, k: int, query
     best = Window.partitionBy(query).orderBy(F.desc("score"), key)
     scored = None
     for i in range(parts):
-        own = _best_of_part(queries if parts == 1 else queries.where(F.pmod(F.xxhash64(query), F.lit(parts)) == i), vectors, metric, k, query, key)
+        own = _best_of_part(queries if parts == 1 else queries.where(F.pmod(F.xxhash64(query), F.lit(parts)) == i), vectors, metric, k, query, key, text)
         scored = own if scored is None else scored.unionByName(own)
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def _best_of_part(queries: DataFrame, vectors: DataFrame, metric: str, k: int, query: str, key: str) -> DataFrame:
+def _best_of_part(queries: DataFrame, vectors: DataFrame, metric: str, k: int, query: str, key: str, text: str | None) -> DataFrame:
     """Rows (query, key, score): each task's k best vectors of each query."""
     found = queries.select(query, F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null").toArrow()
     names = found.column(query).combine_chunks()
@@ -79,10 +82,11 @@ def _best_of_part(queries: DataFrame, vectors: DataFrame, metric: str, k: int, q
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[np.ndarray, pa.Array, np.ndarray]] = {}
-        for batch in (b.slice(low, VECTORS) for b in batches for low in range(0, b.num_rows, VECTORS)):
+        step = VECTORS if text is None else TEXTS
+        for batch in (b.slice(low, step) for b in batches for low in range(0, b.num_rows, step)):
             if not len(names):
                 continue
-            right, keys = _rows(batch.column("v")), batch.column(key)
+            right, keys = _rows(batch.column("v")) if text is None else _embedded(batch.column("v"), left.shape[1]), batch.column(key)
             for at in range(0, len(names), BLOCK):
                 scores = np.round(_similarities(left[at : at + BLOCK], right, metric), lexical.DIGITS)
                 n = scores.shape[1]
@@ -96,6 +100,8 @@ def _best_of_part(queries: DataFrame, vectors: DataFrame, metric: str, k: int, q
         for at, (rows, keys, scores) in held.items():
             yield pa.RecordBatch.from_arrays([names.take(pa.array(rows + at)), keys, pa.array(scores)], names=[query, key, "score"])
 
+    if text is not None:
+        return vectors.select(key, fx.tokenize(F.col(text)).alias("v")).mapInArrow(run, schema)
     return vectors.where("embedding is not null").select(key, F.col("embedding").cast("array<double>").alias("v")).mapInArrow(run, schema)
 
 
@@ -135,6 +141,17 @@ def _similarities(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     raise ValueError(f"unknown metric {metric}")
 
 
+def _embedded(tokens: pa.Array, dimension: int) -> np.ndarray:
+    """A vector of length 1, or 0, for each list of tokens."""
+    out = np.zeros((len(tokens), dimension))
+    for i, row in enumerate(out):
+        for token, n in Counter(tokens[i].as_py() or ()).items():
+            raw = hashlib.blake2b(token.encode(), digest_size=16).digest()
+            row[int.from_bytes(raw[:8], "big") % dimension] += (1.0 if raw[8] & 1 else -1.0) * (1.0 + math.log(n))
+    length = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return np.divide(out, length, out=out, where=length > 0)
+
+
 def hash_embeddings(docs: DataFrame, key: str, text: str = "text", dimension: int = 512) -> DataFrame:
     """Rows (key, embedding): each distinct token adds plus or minus 1 + ln tf at a place, both from its BLAKE2b hash; vectors of length 1.
 
@@ -144,13 +161,7 @@ def hash_embeddings(docs: DataFrame, key: str, text: str = "text", dimension: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(low, TEXTS) for b in batches for low in range(0, b.num_rows, TEXTS)):
-            out = np.zeros((batch.num_rows, dimension))
-            for row, tokens in zip(out, batch.column("_tokens").to_pylist(), strict=True):
-                for token, n in Counter(tokens or ()).items():
-                    raw = hashlib.blake2b(token.encode(), digest_size=16).digest()
-                    row[int.from_bytes(raw[:8], "big") % dimension] += (1.0 if raw[8] & 1 else -1.0) * (1.0 + math.log(n))
-            length = np.sqrt((out * out).sum(axis=1, keepdims=True))
-            out = np.divide(out, length, out=out, where=length > 0)
+            out = _embedded(batch.column("_tokens"), dimension)
             yield pa.RecordBatch.from_arrays([batch.column(key), _lists_of(out)], names=[key, "embedding"])
 
     return docs.select(key, fx.tokenize(F.col(text)).alias("_tokens")).mapInArrow(run, schema)

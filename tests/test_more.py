@@ -40,6 +40,18 @@ def test_dense_search_by_blocks_is_that_by_join(spark, metric, monkeypatch):
     assert blocks == sorted(tuple(r) for r in vectors.dense_top(q, v, metric, 7).collect())
 
 
+def test_texts_are_embedded_where_they_are_multiplied(spark):
+    """One Python step over the documents; rows are those of vectors made before. A text of null or without tokens counts as a zero vector."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{rng.randint(0, 30)}" for _ in range(rng.randint(1, 40)))) for i in range(600)] + [(600, None), (601, "")]
+    docs = spark.createDataFrame(rows, "vec_id long, text string").repartition(2)
+    asked = vectors.hash_embeddings(docs.where("vec_id % 50 = 0"), "vec_id", dimension=64).withColumnRenamed("vec_id", "query_id")
+    want = sorted(tuple(r) for r in vectors.dense_top(asked, vectors.hash_embeddings(docs, "vec_id", dimension=64), "COSINE", 5).collect())
+    got = vectors.dense_top(asked, docs, "COSINE", 5, text="text")
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted(tuple(r) for r in got.collect()) == want and len(want) == 65
+
+
 def test_parents_and_children(spark):
     row = lambda i: [f"n{i}", "v" * 20]
     big = [["name", "value"], *map(row, range(10))]
