@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,11 +42,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest doc_id (a null one comes last).
 
-    Rows are written once with numbers of their own, so rows that repeat a doc_id, or have none, are judged by their texts, and no two
+    Rows have numbers of their own, so rows that repeat a doc_id, or have none, are judged by their texts, and no two
     are taken for one another. Of rows alike in a text without words, which is near no other, one stays for each doc_id.
     """
     row, group, late, words = (common.unused(n, docs.columns) for n in ("_row", "_group", "_late", "_words"))
-    held = common.Scratch(spark, "near").write(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    held = _numbered(spark, docs, row)
     found = near_duplicates(held.select(row, "text"), key=row).select(row, F.col("component_id").alias(group), F.col("n_shingles").alias(words))
     keys = common.Scratch(spark, "near").write(held.select(row, "doc_id").join(found, row), "groups")
     least = F.min(F.struct(F.col("doc_id").isNull().alias(late), "doc_id", row)).alias("first")
@@ -55,6 +56,35 @@ def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return _rows_of(held, first, row).unionByName(alone).select(*docs.columns)
 
 
+def _numbered(spark: SparkSession, docs: DataFrame, row: str) -> DataFrame:
+    """docs with a number of each row that is the same at each reading: its place in the files, if docs is all rows of its files, else docs is written."""
+    file, at, base = (common.unused(n, docs.columns) for n in ("_file", "_at", "_base"))
+    placed = _placed(docs, file, at)
+    if placed is not None:
+        bits = F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position(at)))
+        seen = placed.groupBy(file, F.bitmap_bucket_number(at)).agg(F.count("*").alias("n"), bits.alias("places"), F.max(at).alias("last"))
+        files = sorted(seen.groupBy(file).agg(F.sum("n"), F.sum("places"), F.max("last")).collect(), key=repr)
+        # As many rows as places, and no place left out: no row came twice or went.
+        if all(n == places == (-1 if last is None else last) + 1 for _, n, places, last in files):
+            starts, before = [], 0
+            for name, n, *_ in files:
+                starts.append((name, before))
+                before += n
+            starts = spark.createDataFrame(starts, f"{file} string, {base} long")
+            return placed.join(F.broadcast(starts), file).select(*docs.columns, (F.col(base) + F.col(at)).alias(row))
+    return common.Scratch(spark, "near").write(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+
+
+def _placed(docs: DataFrame, file: str, at: str) -> DataFrame | None:
+    """docs with the file and the place in it that each row is read from; None where rows have no such place."""
+    if "_metadata" in (c.lower() for c in docs.columns):
+        return None
+    try:
+        return docs.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(at))
+    except AnalysisException:
+        return None
+
+
 def _rows_of(held: DataFrame, chosen: DataFrame, row: str) -> DataFrame:
     """Rows of held whose number is among the chosen: a bit for each number goes to the tasks, so that no text is shuffled."""
     bucket, bits = (common.unused(n, held.columns) for n in ("_bucket", "_bits"))

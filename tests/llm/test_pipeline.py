@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import oracle
+from pyspark.sql import functions as F
 from test_operators import LONG, brute_groups, brute_quality, check_pieces, langs, texts
 
 import corpus_pipeline
@@ -49,6 +50,27 @@ def test_texts_stay_where_they_are(spark, monkeypatch):
     assert len(joined) == 706 and sum(t is None for _, t in joined) == 20
 
 
+def test_rows_of_files_are_not_written_again(spark, monkeypatch, tmp_path):
+    """Rows read from files are numbered by their places in them; rows that went or came twice since are written, with the same result."""
+    rows = [(i % 300 if i % 7 else None, " ".join(f"w{i % 70}x{j}" for j in range(20)) if i % 50 else None) for i in range(1000)]
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    made.repartition(5).write.parquet(f"{tmp_path}/a b")
+    read = spark.read.parquet(f"{tmp_path}/a b")
+    labels, write = [], common.Scratch.write
+    monkeypatch.setattr(common.Scratch, "write", lambda self, df, label: (labels.append(label), write(self, df, label))[1])
+
+    def left(docs):
+        labels.clear()
+        return sorted(map(tuple, corpus_pipeline.near_duplicate_removal(spark, docs, oracle.SMALL).collect()), key=repr), "rows" in labels
+
+    want, written = left(made)
+    assert written and left(read) == (want, False)
+    assert left(read.crossJoin(spark.range(2).select(F.lit("y").alias("twice"))).select("doc_id", "text")) == (want, True)
+    some = F.coalesce(F.col("doc_id"), F.lit(0)) % 2 == 0
+    assert left(read.where(some)) == (left(made.where(some))[0], True)
+    assert left(read.limit(0))[0] == []
+
+
 def test_stages_on_edge_rows(spark):
     labels = {r["doc_id"]: r["quality"] for r in common.read(spark, oracle.SMALL, "labels").collect()}
     good = [k for k, q in sorted(labels.items()) if q == 1 and not language_id.is_held_out(k)]
