@@ -26,6 +26,7 @@ FORMATS = {"md": "markdown", "markdown": "markdown", "txt": "text", "csv": "csv"
 DEFAULT_TYPES = {"text": "OCR文本", "csv": "产品要素表", "json": "结构化记录"}
 NO_SECTION = "正文"
 _BREAK = r"\r\n|\r|\n"
+_HEADING, _SEPARATES = r"^#{1,6}\s+.*$", r"^\s*\|?[\s:\-|]+\|[\s:\-|]*$"
 _EMPTY = "map<string,string>"
 
 
@@ -89,7 +90,7 @@ def sections(docs: DataFrame) -> DataFrame:
     """
     order = Window.partitionBy("doc_id").orderBy("at")
     lines = docs.select("doc_id", F.posexplode(F.split("body", _BREAK)).alias("at", "line"))
-    heading = stripped(F.col("line")).rlike(r"^#{1,6}\s+.*$")
+    heading = stripped(F.col("line")).rlike(_HEADING)
     sort = F.when(heading, "heading").when(stripped(F.col("line")) == "", "blank").when(stripped(F.col("line")).startswith("|"), "table").otherwise("paragraph")
     marked = lines.select("*", sort.alias("kind")).withColumn("new", (F.lag("kind").over(order).isNull() | (F.lag("kind").over(order) != F.col("kind")) | (F.col("kind") == "heading")).cast("int"))
     text = stripped(F.col("line"))
@@ -99,7 +100,7 @@ def sections(docs: DataFrame) -> DataFrame:
     )
     runs = headed.where(F.col("kind").isin("table", "paragraph")).groupBy("doc_id", "sec", "run", "kind").agg(F.first("head").alias("head"), F.sort_array(F.collect_list(F.struct("at", "line"))).alias("own"))
     own = F.transform("own", lambda x: x["line"])
-    rows = F.filter(F.transform(F.filter(own, lambda x, i: ~((i == 1) & x.rlike(r"^\s*\|?[\s:\-|]+\|[\s:\-|]*$"))), table_cells), lambda c: F.exists(c, lambda x: x != ""))
+    rows = F.filter(F.transform(F.filter(own, lambda x, i: ~((i == 1) & x.rlike(_SEPARATES))), table_cells), lambda c: F.exists(c, lambda x: x != ""))
     blocks = runs.select("doc_id", "sec", "run", "kind", "head", F.when(F.col("kind") == "table", F.concat_ws("\n", own)).otherwise(stripped(F.concat_ws("\n", own))).alias("text"), F.when(F.col("kind") == "table", rows).alias("rows"))
     blocks = blocks.where((F.col("kind") == "paragraph") | (F.size("rows") > 0))
     return blocks.select(
@@ -145,6 +146,39 @@ def documents(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return _parsed(base).drop("body", "table", "records"), texts.select(*shape).unionByName(tables.select(*shape))
 
 
+def tallies(files: DataFrame) -> DataFrame:
+    """Rows (path, fmt, issue, n_blocks, n_tables), one for each document of documents(): how many blocks it has, without making any.
+
+    Each file is counted by itself, in one pass and without a shuffle, also where two files name one source.
+    """
+    fmt, marked = F.col("fmt"), _is("markdown", "text")
+    rows = files.select("path", F.coalesce("raw", F.lit("")).alias("raw"), F.create_map(*(F.lit(x) for p in FORMATS.items() for x in p))[_suffix(F.col("path"))].alias("fmt"))
+    rows = fx.settled(rows.select("path", "fmt", F.when(marked, _line_kinds(front_matter(F.col("raw"))[1])).alias("kinds"), F.when(fmt == "csv", F.size(csv_rows(F.col("raw")))).alias("cells"), F.when(fmt == "json", F.from_json("raw", _EMPTY)).alias("payload")))
+    rows = rows.where(~F.coalesce(F.map_contains_key("payload", "faq") | (F.col("payload").isNotNull() & ~F.map_contains_key("payload", "records")), F.lit(False)))
+    rows = fx.settled(rows.select("path", "fmt", "kinds", "cells", F.from_json(F.col("payload")["records"], f"array<{_EMPTY}>").alias("records")))
+    issue = F.coalesce((fmt == "csv") & (F.col("cells") == 0) | (fmt == "json") & (F.coalesce(F.size("records"), F.lit(-1)) <= 0), F.lit(False))
+    # Records speak by the keys of all records, so none does where one of them is null.
+    speaks = lambda r: F.exists(F.map_values(r), lambda v: stripped(F.coalesce(v, F.lit(""))) != "")
+    spoken = F.when(F.exists("records", lambda r: r.isNull()), 0).otherwise(F.size(F.filter("records", speaks)))
+    # A table that holds nothing has lines without a cell, and perhaps the one that separates, in its second place.
+    tables = F.regexp_count("kinds", F.lit("[fes]+")) - F.regexp_count("kinds", F.lit("(?<![fes])es?e*(?![fes])"))
+    n_tables = F.when(marked, tables).when(fmt.isin("csv", "json") & ~issue, 1).otherwise(0)
+    others = F.when(marked, F.regexp_count("kinds", F.lit("p+"))).when((fmt == "json") & ~issue, spoken).otherwise(0)
+    return rows.select("path", "fmt", issue.alias("issue"), (n_tables + others).cast("long").alias("n_blocks"), n_tables.cast("long").alias("n_tables"))
+
+
+def _is(*names: str) -> Column:
+    return F.coalesce(F.col("fmt").isin(*names), F.lit(False))
+
+
+def _line_kinds(body: Column) -> Column:
+    """A letter for each line of a markdown body, as sections() tells them apart: h heading, b blank, p paragraph; in tables s for a line that separates, e without text, f other."""
+    lines = F.transform(F.split(body, _BREAK), lambda x: F.struct(x.alias("line"), stripped(x).alias("bare")))
+    cells = lambda x: F.when(~F.exists(table_cells(x["line"]), lambda c: c != ""), "e").when(x["line"].rlike(_SEPARATES), "s").otherwise("f")
+    sort = lambda x: F.when(x["bare"] == "", "b").when(x["bare"].startswith("|"), cells(x)).when(x["bare"].startswith("#") & x["bare"].rlike(_HEADING), "h").otherwise("p")
+    return F.array_join(F.transform(lines, sort), "")
+
+
 def _parsed(base: DataFrame) -> DataFrame:
     """Rows (doc_id, source_id, title, path, fmt, meta, issues, raw, body, table, records) of files (path, raw, stem, fmt)."""
     payload = F.when(F.col("fmt") == "json", F.from_json("raw", _EMPTY))
